@@ -7,18 +7,21 @@ where that cutting could differ from the library's (special strings, rare separa
 
 from __future__ import annotations
 
+import gc
 import os
-import re
+import string
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 
+from .wordwise import slices, spread, words_of
+
 #: Words that a worker remembers; then it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 700_000
 #: White space by Python's or the library's reckoning alone, and the start of special strings.
-WHOLE = re.compile(r"[\x1c-\x1f\x85᠎]|<\|")
-ASIDE = ".,;:!?"
+WHOLE = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\u180e", "<|")
 
 
 class LibraryIds:
@@ -26,9 +29,9 @@ class LibraryIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals the work out
         from tokenizers import Tokenizer
 
+        gc.disable()  # large tables of plain strings: nothing in them forms cycles, and walking them costs more than the work
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
 
     def _call(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -39,34 +42,54 @@ class LibraryIds:
         ids, ends = np.array(e.ids, dtype="<u4").tobytes(), (4 * np.searchsorted(e.word_ids, np.arange(1, len(words) + 1))).tolist()
         return [ids[a:b] for a, b in zip([0, *ends], ends)]
 
-    def _learn(self, chunks: set[str]) -> None:
+    def _learn(self, new: list[str]) -> None:
         """Marks behind a letter are cut off, so that a word costs one library call however it is followed."""
-        cut = {}
-        for c in chunks:
-            core = c.rstrip(ASIDE)
-            cut[c] = (core, c[len(core) :]) if core and len(core) < len(c) and core[-1].isalpha() else (c, "")
-        new = list({x for pair in cut.values() for x in pair if x} - self.cores.keys())
-        for some, call in (([w for w in new if w.isalpha()], self._call_joined), ([w for w in new if not w.isalpha()], self._call)):
+        known, plain, odd, marked = self.known, set(), set(), []
+        for w in new:
+            if w.isalpha():
+                plain.add(w)
+                continue
+            core = w.rstrip(string.punctuation)
+            if len(core) < len(w) and core and core[-1].isalpha():
+                marked.append((w, core, w[len(core) :]))
+                for x in marked[-1][1:]:
+                    if x not in known:
+                        (plain if x.isalpha() else odd).add(x)
+            else:
+                odd.add(w)
+        for some, call in ((list(plain), self._call_joined), (list(odd), self._call)):
             for at in range(0, len(some), 1000):
-                self.cores.update(zip(some[at : at + 1000], call(some[at : at + 1000])))
-        for c, (core, mark) in cut.items():
-            self.chunks[c] = self.cores[core] + self.cores[mark] if mark else self.cores[core]
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        for table in (self.chunks, self.cores):
-            if len(table) > REMEMBERED:
-                table.clear()
-        laid = [None if WHOLE.search(t) else normal(t).split() for t in texts]
-        wanted: set[str] = set()
-        for words in laid:
-            if words:
-                wanted.update(words)
-        wanted -= self.chunks.keys()
-        if wanted:
-            self._learn(wanted)
-        get = self.chunks.__getitem__
-        return [self._call([t])[0] if words is None else b"".join(map(get, words)) for t, words in zip(texts, laid)]
+                known.update(zip(some[at : at + 1000], call(some[at : at + 1000])))
+        for w, core, mark in marked:
+            known[w] = known[core] + known[mark]
+
+    def encode(self, texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """For ranges a, b of texts: their ids joined, and how many each has. A null text is empty."""
+        for a, b in slices(texts):
+            if len(self.known) > REMEMBERED:
+                self.known = {"": b""}
+            part = [t or "" for t in texts[a:b]]
+            whole = {i: t for i, t in enumerate(part) if any(map(t.__contains__, WHOLE))}
+            words, at, starts = words_of([normal(t) if i not in whole else "" for i, t in enumerate(part)])
+            values = list(map(self.known.get, words))
+            if missing := [i for i, v in enumerate(values) if v is None]:
+                self._learn([words[i] for i in missing])
+                for i in missing:
+                    values[i] = self.known[words[i]]
+            ids, counts = spread(values, at, starts)
+            if whole:
+                pieces = np.split(ids, np.cumsum(counts)[:-1])
+                for i, got in zip(whole, self._call(list(whole.values()))):
+                    pieces[i] = np.frombuffer(got, dtype="<u4")
+                ids, counts = np.concatenate(pieces), np.array([len(p) for p in pieces])
+            yield a, b, ids, counts
+
+    def encode_each(self, texts: list[str | None], end_id: int | None = None) -> Iterator[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers, with end_id behind them if given."""
+        end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
+        for _, _, ids, counts in self.encode(texts):
+            data, ends = ids.astype("<u4", copy=False).tobytes(), (4 * np.cumsum(counts)).tolist()
+            yield from (data[x:y] + end for x, y in zip([0, *ends], ends))
 
 
 def normal(text: str) -> str:

@@ -36,18 +36,14 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window:
 
     def run(batches):
         codec = library_ids(tokenizer_path)
-        end = np.array([end_id], dtype="<u4").tobytes()
         for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                rows = []
-                keys = pdf["id"].iloc[at : at + 256].astype(object).tolist()
-                texts = pdf["text"].iloc[at : at + 256]
-                for key, ids in zip(keys, codec.encode_batch(["" if t is None else t for t in texts])):
-                    data = memoryview(ids + end)
-                    n = len(data) // 4
-                    rows += [(None if key != key else key, a, min(window, n - a), zlib.crc32(data[4 * a : 4 * (a + window)]), n) for a in range(0, n, window)]
-                out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-                yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+            rows = []
+            for key, ids in zip(pdf["id"].astype(object).tolist(), codec.encode_each(pdf["text"].tolist(), end_id)):
+                data = memoryview(ids)
+                n = len(data) // 4
+                rows += [(None if key != key else key, a, min(window, n - a), zlib.crc32(data[4 * a : 4 * (a + window)]), n) for a in range(0, n, window)]
+            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            yield out.assign(doc_id=out["doc_id"].astype("Int64"))
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return source.mapInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")

@@ -108,7 +108,6 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id
 
     def run(batches):
         codec = library_ids(tokenizer_path)
-        end = np.array([end_id], dtype="<u4").tobytes()
         part, shard, before = TaskContext.get().partitionId(), 0, 0
         doc_ids, sizes, parts, held = [], [], [], 0
 
@@ -120,16 +119,13 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id
             return row
 
         for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                keys = pdf["id"].iloc[at : at + 256].astype(object).tolist()
-                texts = pdf["text"].iloc[at : at + 256]
-                for key, ids in zip(keys, codec.encode_batch(["" if t is None else t for t in texts])):
-                    doc_ids.append(key)
-                    sizes.append(len(ids) // 4 + 1)
-                    parts += [ids, end]
-                    held += sizes[-1]
-                    if held >= shard_ids:
-                        yield pd.DataFrame(close())
+            for key, ids in zip(pdf["id"].astype(object).tolist(), codec.encode_each(pdf["text"].tolist(), end_id)):
+                doc_ids.append(key)
+                sizes.append(len(ids) // 4)
+                parts.append(ids)
+                held += sizes[-1]
+                if held >= shard_ids:
+                    yield pd.DataFrame(close())
         if doc_ids:
             yield pd.DataFrame(close())
 

@@ -10,20 +10,26 @@ Many short words are merged in lockstep, one row of a numpy tree for each; a lon
 
 from __future__ import annotations
 
+import gc
 import json
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .wordwise import slices, spread, words_of
+
 INF = np.int64(1) << 60
 #: Longest word that is merged in lockstep; above it a tree of its own is faster.
 LOCKSTEP = 64
 #: Words that a worker remembers; then it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 700_000
 
 
 def byte_letters() -> list[str]:
@@ -169,62 +175,55 @@ class Merges:
 
 #: The published pattern that cuts text before byte-level merges (fixed value).
 CUT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
-#: Where two white spaces meet, or where Python's idea of white space differs from the pattern's, cutting at single spaces isn't safe.
-UNSAFE = re.compile(r"\s\s|[\x1c-\x1f\x85᠎]")
+#: Where two white spaces meet, or special strings may start, cutting at single spaces first isn't safe (RE2).
+UNSAFE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}|<\|"
 
 
 class ByteCodec:
     """Encodes and decodes whole texts; cuts at spaces first, so that a chunk met before costs one lookup."""
 
     def __init__(self, path: str):
+        gc.disable()  # large tables of plain strings: nothing in them forms cycles, and walking them costs more than the work
         self.merges = Merges(path)
-        self.chunks: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {"": b""}
         self.words: dict[str, bytes] = {}
         self.is_special = re.compile("(" + "|".join(map(re.escape, sorted(self.merges.special, key=len, reverse=True))) + ")") if self.merges.special else None
 
-    def _learn(self, chunks: set[str]) -> None:
-        cut = {c: CUT.findall(c) for c in chunks}
-        new = list({w for ws in cut.values() for w in ws} - self.words.keys())
-        for w, ids in zip(new, self.merges.encode([w.encode() for w in new])):
-            self.words[w] = ids
-        known = self.words
-        for c, ws in cut.items():
-            self.chunks[c] = b"".join([known[w] for w in ws])
-
-    def _pieces(self, text: str) -> list[str]:
-        """Chunks that the pattern never matches across: each starts with its space."""
-        if UNSAFE.search(text):
-            return self._runs(text)
-        head, *rest = text.split(" ")
-        return [head, *[" " + x for x in rest]] if head else [" " + x for x in rest]
-
-    @staticmethod
-    def _runs(text: str) -> list[str]:
-        return CUT.findall(text)
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        for table in (self.chunks, self.words):
-            if len(table) > REMEMBERED:
-                table.clear()
-        laid: list[list] = []
-        for text in texts:
-            if self.is_special and "<|" in text:
-                parts = self.is_special.split(text)
-            else:
-                parts = [text]
-            laid.append([p if i % 2 else self._pieces(p) for i, p in enumerate(parts)])
-        wanted: set[str] = set()
-        for parts in laid:
-            for p in parts:
-                if isinstance(p, list):
-                    wanted.update(p)
-        wanted -= self.chunks.keys()
-        if wanted:
-            self._learn(wanted)
-        get = self.chunks.__getitem__
+    def _values(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk; new ones are cut by the pattern, and new words merged."""
+        values = list(map(self.chunks.get, chunks))
+        if missing := [i for i, v in enumerate(values) if v is None]:
+            cut = [CUT.findall(chunks[i]) for i in missing]
+            known = self.words
+            new = list({w for ws in cut for w in ws} - known.keys())
+            known.update(zip(new, self.merges.encode([w.encode() for w in new])))
+            for i, ws in zip(missing, cut):
+                values[i] = self.chunks[chunks[i]] = known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws])
+        return values
+
+    def _whole(self, text: str) -> bytes:
+        """A text that can't be cut at spaces first: at its special strings, and then by the pattern at once."""
+        parts = self.is_special.split(text) if self.is_special else [text]
         special = {k: np.uint32(v).tobytes() for k, v in self.merges.special.items()}
-        return [b"".join([b"".join(map(get, p)) if isinstance(p, list) else special[p] for p in parts]) for parts in laid]
+        return b"".join([special[p] if i % 2 else b"".join(self._values(CUT.findall(p))) for i, p in enumerate(parts)])
+
+    def encode(self, texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """For ranges a, b of texts: their ids joined, and how many each has. A null text is empty."""
+        for a, b in slices(texts):
+            if len(self.chunks) > REMEMBERED or len(self.words) > REMEMBERED:
+                self.chunks, self.words = {"": b""}, {}
+            part = [t or "" for t in texts[a:b]]
+            unsafe = pc.match_substring_regex(pa.array(part, type=pa.large_string()), UNSAFE).to_numpy(zero_copy_only=False)
+            words, at, starts = words_of(["" if u else t for t, u in zip(part, unsafe.tolist())], " ")
+            heads = [words[i] for i in at[starts[:-1]].tolist()]  # a text's first chunk has no space before it
+            at[starts[:-1]] = len(words) + np.arange(len(heads))
+            ids, counts = spread(self._values([" " + w for w in words]) + self._values(heads), at, starts)
+            if unsafe.any():
+                pieces = np.split(ids, np.cumsum(counts)[:-1])
+                for i in np.flatnonzero(unsafe).tolist():
+                    pieces[i] = np.frombuffer(self._whole(part[i]), dtype="<u4")
+                ids, counts = np.concatenate(pieces), np.array([len(p) for p in pieces])
+            yield a, b, ids, counts
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids, special tokens included; bytes that aren't UTF-8 become U+FFFD."""
@@ -248,10 +247,10 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
         codec = byte_codec(path)
         for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                part = pdf.iloc[at : at + 256]
-                ids = codec.encode_batch(["" if t is None else t for t in part["text"]])
-                yield pd.DataFrame({"id": part["id"], "ids": ids, "n_tokens": [len(x) // 4 for x in ids], "decoded": [codec.decode(np.frombuffer(x, dtype="<u4")) for x in ids]})
+            keys = pdf["id"].astype("Int64")
+            for a, b, ids, counts in codec.encode(pdf["text"].tolist()):
+                each = np.split(ids, np.cumsum(counts)[:-1])
+                yield pd.DataFrame({"id": keys.iloc[a:b], "ids": [x.astype("<u4").tobytes() for x in each], "n_tokens": counts, "decoded": [codec.decode(x) for x in each]})
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return source.mapInPandas(run, "id long, ids binary, n_tokens long, decoded string").withColumnRenamed("id", id_col)

@@ -21,6 +21,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash_dedup import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -40,6 +46,28 @@ def op5_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pack_sequences, op4_token_files, op5_bpe_roundtrip)}
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_classifier import fit, held_out, score
+
+    docs = _read(spark, sf_dir, "documents")
+    scored = score(docs, fit(docs, _read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import judge
+
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
+    return judge(_read(spark, sf_dir, "documents")).select(*columns)
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import count_tokens
+
+    counted = count_tokens(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_pack_sequences, op3_quality_classifier, op4_token_files, op5_bpe_roundtrip, op9_quality_rules, op10_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {}

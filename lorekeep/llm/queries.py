@@ -61,6 +61,12 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract_main_text
+
+    return extract_main_text(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import judge
 
@@ -75,6 +81,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_pack_sequences, op3_quality_classifier, op4_token_files, op5_bpe_roundtrip, op7_nearest_neighbours, op9_quality_rules, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_pack_sequences, op3_quality_classifier, op4_token_files, op5_bpe_roundtrip, op7_nearest_neighbours, op8_main_text, op9_quality_rules, op10_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -54,6 +54,13 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op6_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_digest
+
+    records = archive_digest(_read(spark, sf_dir, "pages"), least_bytes=0)
+    return records.select(F.col("record_place").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ann import search
 
@@ -81,6 +88,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_pack_sequences, op3_quality_classifier, op4_token_files, op5_bpe_roundtrip, op7_nearest_neighbours, op8_main_text, op9_quality_rules, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_pack_sequences, op3_quality_classifier, op4_token_files, op5_bpe_roundtrip, op6_warc_roundtrip, op7_nearest_neighbours, op8_main_text, op9_quality_rules, op10_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -29,7 +29,9 @@ INF = np.int64(1) << 60
 #: Longest word that is merged in lockstep; above it a tree of its own is faster.
 LOCKSTEP = 64
 #: Words that a worker remembers; then it starts anew.
-REMEMBERED = 700_000
+REMEMBERED = 300_000
+#: Characters of text that are encoded together; their ids and decoded texts are held at once.
+SLICE = 3_000_000
 
 
 def byte_letters() -> list[str]:
@@ -78,7 +80,7 @@ class Merges:
         while width <= LOCKSTEP:
             low = 0 if width == 2 else width // 2
             at = np.flatnonzero((sizes > low) & (sizes <= width))
-            step = max(1, 1_000_000 // width)
+            step = max(1, 250_000 // width)
             for some in (at[i : i + step] for i in range(0, len(at), step)):
                 for i, ids in zip(some.tolist(), self._lockstep([words[i] for i in some.tolist()], sizes[some], width)):
                     out[i] = ids
@@ -209,7 +211,7 @@ class ByteCodec:
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """For ranges a, b of texts: their ids joined, and how many each has. A null text is empty."""
-        for a, b in slices(texts):
+        for a, b in slices(texts, SLICE):
             if len(self.chunks) > REMEMBERED or len(self.words) > REMEMBERED:
                 self.chunks, self.words = {"": b""}, {}
             part = [t or "" for t in texts[a:b]]
@@ -247,6 +249,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
         codec = byte_codec(path)
         for pdf in batches:
+            gc.collect()
             keys = pdf["id"].astype("Int64")
             for a, b, ids, counts in codec.encode(pdf["text"].tolist()):
                 each = np.split(ids, np.cumsum(counts)[:-1])

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text_stats import matches, with_counts, with_repeats, with_words
+from .text_stats import matches, where_computed, with_counts, with_repeats, with_words
 
 #: Common words by language (fixed values: articles, prepositions, pronouns and conjunctions of everyday use).
 COMMON_WORDS = {
@@ -60,8 +60,8 @@ def references(df: DataFrame, lang: str | None = "lang") -> dict[str, tuple[list
     At most one row per known language and one more reach the driver, so the size is fixed.
     """
     key = language_key(F.col(lang)) if lang else F.lit("other")
-    there = with_histograms(with_counts(with_words(df.select(F.col("text"), key.alias("_key"))))).where("n_words > 0")
-    one = there.select("_key", *[F.get("_chars", F.lit(i)).alias(f"c{i}") for i in range(len(CLASSES) + 1)], *[F.get("_common", F.lit(i)).alias(f"w{i}") for i in range(len(WORDS) + 1)])
+    there = with_histograms(with_counts(with_words(df.select(F.col("text"), key.alias("_key")))))
+    one = where_computed(there, F.col("n_words") > 0).select("_key", *[F.get("_chars", F.lit(i)).alias(f"c{i}") for i in range(len(CLASSES) + 1)], *[F.get("_common", F.lit(i)).alias(f"w{i}") for i in range(len(WORDS) + 1)])
     middle = [F.percentile_approx(f"c{i}", 0.5, 1000) for i in range(len(CLASSES) + 1)]
     mean = [F.avg(f"w{i}") for i in range(len(WORDS) + 1)]
     rows = [list(r) for r in one.rollup("_key").agg(F.array(*middle), F.array(*mean)).collect()]

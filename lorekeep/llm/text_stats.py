@@ -16,6 +16,15 @@ def matches(text: Column, char_class: str) -> Column:
     return (F.length(text) - F.length(F.regexp_replace(text, char_class, ""))).cast("long")
 
 
+def where_computed(df: DataFrame, condition: Column) -> DataFrame:
+    """df.where(condition) for conditions on computed columns.
+
+    The optimizer moves a filter below the projections it stands on and so computes their expressions anew, word
+    arrays included, for every use. A condition that also reads a row number stays where it is.
+    """
+    return df.withColumn("_row_number", F.monotonically_increasing_id()).where((F.col("_row_number") >= 0) & condition).drop("_row_number")
+
+
 def with_words(df: DataFrame, text: str = "text") -> DataFrame:
     """df with ``_text`` (null: empty) and its arrays ``_words`` and ``_lines`` (lines that hold a word)."""
     clean = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))

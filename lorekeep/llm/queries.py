@@ -78,7 +78,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import judge
 
     columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
-    return judge(_read(spark, sf_dir, "documents")).select(*columns)
+    return judge(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), keep_text=False).select(*columns)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

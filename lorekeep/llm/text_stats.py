@@ -29,7 +29,7 @@ def with_words(df: DataFrame, text: str = "text") -> DataFrame:
     """df with ``_text`` (null: empty) and its arrays ``_words`` and ``_lines`` (lines that hold a word)."""
     clean = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
     words = F.filter(F.split("_text", SPACE), lambda w: w != "")
-    lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    lines = F.filter(F.split("_text", "\n"), lambda x: F.trim(x, F.lit(" \t\x0b\x0c\r")) != "")
     return clean.withColumns({"_words": words, "_lines": lines})
 
 
@@ -47,17 +47,24 @@ def with_counts(df: DataFrame) -> DataFrame:
 def with_repeats(df: DataFrame, window: int = REPEAT_WINDOW) -> DataFrame:
     """df of with_words with ``n_repeat_words``: words that lie in a window of words found twice or more in the text.
 
-    Hashes of the windows tell which texts hold none twice; the others sort their windows, by words and not hashes.
+    Windows are told apart by 64-bit hashes, built by joining those of shorter windows. Texts that hold none twice
+    are done then; the others sort theirs and add up what the repeated ones cover.
     """
-    last = F.size("_words") - window
-    hashes = F.when(last < 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get("_words", i + k) for k in range(window)])))
-    hashed = df.withColumn("_hashes", hashes)
-    pairs = F.when(
-        F.size(F.array_distinct("_hashes")) < F.size("_hashes"),
-        F.sort_array(F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.array_join(F.slice("_words", i + 1, window), " ").alias("s"), i.alias("i")))),
-    )
+    hashed = df.withColumn("_hash1", F.transform("_words", lambda w: F.xxhash64(w)))
+    # doubling: a window of a + b words is one of a words and, a places on, one of b
+    size = 1
+    while size < window:
+        more = min(size, window - size)
+        other = F.col(f"_hash{more}")
+        enough = F.size(other) > size
+        joined = F.zip_with(F.slice(f"_hash{size}", F.lit(1), F.size(other) - size), F.slice(other, F.lit(size + 1), F.size(other) - size), lambda x, y: F.xxhash64(x, y))
+        hashed = hashed.withColumn(f"_hash{size + more}", F.when(enough, joined).otherwise(F.array().cast("array<bigint>")))
+        size += more
+    last = f"_hash{window}"
+    pairs = F.when(F.size(F.array_distinct(last)) < F.size(last), F.sort_array(F.transform(last, lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
     sorted_pairs = hashed.withColumn("_pairs", pairs)
-    twice = F.filter("_pairs", lambda x, j: (x["s"] == F.get("_pairs", j - 1)["s"]) | (x["s"] == F.get("_pairs", j + 1)["s"]))
+    twice = F.filter("_pairs", lambda x, j: (x["h"] == F.get("_pairs", j - 1)["h"]) | (x["h"] == F.get("_pairs", j + 1)["h"]))
     placed = sorted_pairs.withColumn("_starts", F.sort_array(F.transform(twice, lambda x: x["i"])))
     covered = F.aggregate(F.transform("_starts", lambda x, j: F.least(F.lit(window), F.coalesce(F.get("_starts", j + 1) - x, F.lit(window)))), F.lit(0), lambda a, x: a + x)
-    return placed.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_hashes", "_pairs", "_starts")
+    counted = placed.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
+    return counted.drop("_pairs", "_starts", *[c for c in counted.columns if c.startswith("_hash")])

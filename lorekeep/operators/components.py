@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -11,6 +12,10 @@ Keep = Callable[[DataFrame, str], DataFrame]
 
 
 def _checkpointed(df: DataFrame, name: str) -> DataFrame:
+    """df with its lineage cut, in the session's checkpoint folder; one of our own only where none is set."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lorekeep-"))
     return df.checkpoint()
 
 

@@ -150,7 +150,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> RuleMod
 
 
 def score(df: DataFrame, model: RuleModel) -> DataFrame:
-    """df with ``score`` (0 to 1, higher: label 1 likelier) and ``predicted`` (1 from ACCEPT on), for every row, empty texts too."""
-    names = [c for c in df.columns if c not in ("score", "predicted")]
-    scored = with_features(df).withColumn("score", model.column())
-    return scored.select(*names, "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
+    """df (``text``) with ``score`` (0 to 1, higher: label 1 likelier) and ``predicted`` (1 from ACCEPT on), for every row, null and empty texts too.
+
+    Columns of these two names are replaced; all others and repeated rows pass through.
+    """
+    row = F.struct(*[F.col(c) for c in df.columns if c not in ("score", "predicted")])  # whole, so that no name of it can clash
+    scored = with_features(df.select(row.alias("_row"), "text")).withColumn("score", model.column())
+    return scored.select("_row.*", "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))

@@ -33,6 +33,8 @@ CLASSES = {"upper": r"\p{Lu}+", "digit": r"\p{Nd}+", "mark": "[.,;:!?'\"()\\-]+"
 MIN_WORDS = 60
 #: A document is rejected if both distances are above the first pair, or that of characters alone is above the last.
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, MAX_CHAR_ALONE = 0.20, 0.22, 0.30
+#: Columns that judge() adds, or replaces.
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance", "base_failed", "kept")
 #: Base rules.
 BASE_MIN_WORDS, BASE_MAX_REPEAT_PERCENT = 10, 20
 
@@ -111,8 +113,8 @@ def judge(df: DataFrame, keep_text: bool = True, refs: dict[str, tuple[list[floa
     gives an empty result. The measures are written to the shared folder once, read for the references
     (refs: from references(), measured on df when not given), and read again for the verdicts.
     """
-    made = measure(df)
-    made = materialise(made if keep_text else made.drop("text"), "measures")
+    row = F.struct(*[F.col(c) for c in df.columns if c not in RESULTS and (keep_text or c != "text")])  # whole, so that no name of it can clash
+    made = materialise(measure(df.select(row.alias("_row"), *[c for c in ("text", "lang") if c in df.columns])).drop("text"), "measures")
     refs = refs or references(made)
     literal = lambda values: F.array(*[F.lit(float(v)) for v in values])
     pick = lambda i: by_language(F.col("_key"), {k: literal(v[i]) for k, v in refs.items()})
@@ -120,4 +122,4 @@ def judge(df: DataFrame, keep_text: bool = True, refs: dict[str, tuple[list[floa
     failed = (F.col("n_words") < BASE_MIN_WORDS) | (100 * F.col("n_repeat_words") > BASE_MAX_REPEAT_PERCENT * F.col("n_words"))
     both = (F.col("char_distance") > MAX_CHAR_DISTANCE) & (F.col("word_distance") > MAX_WORD_DISTANCE)
     strange = (F.col("n_words") >= MIN_WORDS) & (both | (F.col("char_distance") > MAX_CHAR_ALONE))
-    return judged.withColumns({"base_failed": failed, "kept": ~failed & ~strange}).drop("_chars", "_common", "_key")
+    return judged.withColumns({"base_failed": failed, "kept": ~failed & ~strange}).select("_row.*", *RESULTS)

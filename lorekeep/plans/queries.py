@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_term, similarity
-from ..operators import align, etl, facets, fulltext, glossary, logs, quality, resolve, sessions
+from ..operators import align, etl, facets, fulltext, glossary, logs, options, quality, resolve, rules, sessions
 from ..sources import corpus
 from ..sources.corpus import ENTRIES_SQL, GLOSSARY_SQL, LOG_SQL, SOURCES_SQL, table
 from ..streaming import gates
@@ -380,3 +380,95 @@ def user_sessions(spark, sf_dir):
 @query("""WITH r AS (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 2 DAY PRECEDING AND CURRENT ROW) AS recent FROM events WHERE event_type = 'error') SELECT event_id, user_id, recent FROM r WHERE recent >= 3""")
 def lockouts(spark, sf_dir):
     return sessions.locked(table(spark, sf_dir, "events"), 3, 2 * 86400)
+
+
+@query(f"""WITH {ENTRIES_SQL}, {SOURCES_SQL}, r AS (SELECT category, {NORM.format(_CORE.format('name'))} AS key, id, name, source_key, coalesce(priority, 100) AS priority FROM entries JOIN sources USING (source_key)),
+o AS (SELECT *, row_number() OVER (PARTITION BY category, key ORDER BY priority, id) AS n FROM r WHERE key <> ''), s AS (SELECT category, key, string_agg(DISTINCT source_key, ',' ORDER BY source_key) AS sources FROM r GROUP BY ALL)
+SELECT category, key, id AS lead_id, name, sources FROM o JOIN s USING (category, key) WHERE n = 1""")
+def option_list(spark, sf_dir):
+    return options.option_list(corpus.entries(spark, sf_dir), corpus.sources(spark, sf_dir))
+
+
+@query(f"WITH {SOURCES_SQL} SELECT source_key, CASE WHEN kind IS NOT NULL THEN 'revision' WHEN priority < 10 THEN 'main' ELSE 'other' END AS bucket FROM sources")
+def source_buckets(spark, sf_dir):
+    return options.source_buckets(corpus.sources(spark, sf_dir))
+
+
+_SECTIONS = """s AS (SELECT 'n' || n_nationkey AS id, r_name AS path, n_name AS name, 'about ' || n_name AS body FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'r' || r_regionkey, '', r_name, 'about ' || r_name FROM region)"""
+
+
+@query(f"""WITH {_SECTIONS}, c AS (SELECT path AS parent, string_agg('## ' || name || chr(10) || body, chr(10) ORDER BY id) AS below FROM s WHERE path <> '' GROUP BY path)
+SELECT id, path, name, concat_ws(chr(10), body, below) AS whole FROM s LEFT JOIN c ON (CASE WHEN path = '' THEN name ELSE path || ' > ' || name END) = parent""")
+def sections_with_children(spark, sf_dir):
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    low = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.col("r_name").alias("path"), F.col("n_name").alias("name"), F.concat(F.lit("about "), "n_name").alias("body"))
+    top = r.select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit("").alias("path"), F.col("r_name").alias("name"), F.concat(F.lit("about "), "r_name").alias("body"))
+    return options.with_children(low.unionByName(top))
+
+
+@query("""WITH u AS (SELECT p_name, count(*) AS n, min(p_partkey) AS id FROM (SELECT p_name || ' ' || p_partkey % 700 AS p_name, p_partkey FROM part) GROUP BY p_name HAVING count(*) = 1)
+SELECT p_partkey AS id, u.id AS related_id FROM part JOIN u ON u.p_name = (SELECT q.p_name || ' ' || q.p_partkey % 700 FROM part q WHERE q.p_partkey = (part.p_partkey + 3) % (SELECT count(*) FROM part)) WHERE part.p_partkey <> u.id""")
+def quoted_relations(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    n = p.count()
+    named = p.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", F.col("p_partkey") % 700).alias("name"))
+    quoted = named.select(((F.col("id") - 3 + n) % n).alias("id"), F.concat(F.lit('Text. See also the entry "'), F.col("name"), F.lit('".')).alias("body"))
+    return options.quoted_relations(named.join(quoted, "id"))
+
+
+@query(f"""WITH x AS (SELECT p_partkey AS id, p_name FROM part) SELECT id, {NORM.format("p_name || ' a'")} AS key FROM x UNION SELECT id, {NORM.format("'B ' || p_name")} FROM x""")
+def sub_headings(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return options.sub_headings(p.select(F.col("p_partkey").alias("id"), F.concat(F.lit("intro\n### "), "p_name", F.lit(" A \ntext\n**B "), "p_name", F.lit(".** more")).alias("body")))
+
+
+@query("""SELECT p_partkey AS id, 1 AS "table", r AS row, c AS "column", CASE WHEN c = 'level' THEN CAST(r AS VARCHAR) ELSE CAST(p_size + r AS VARCHAR) END AS value FROM part, (VALUES (1), (2)) t(r), (VALUES ('level'), ('points')) k(c)""")
+def table_cells(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    line = lambda r: F.concat(F.lit(f"\n| {r} | "), F.col("p_size") + r, F.lit(" |"))
+    return options.table_cells(p.select("p_partkey", F.concat(F.lit("text\n| level | points |\n|---|---|"), line(1), line(2), F.lit("\nend")).alias("t")), "p_partkey", "t")
+
+
+_RULES = [("hand size", "p_size", 1.0, 25.0), ("price", "p_retailprice", 0.0, 950.0), ("weight", "p_weight", 0.0, 9.0)]
+
+
+@query("""WITH r(rule, field, low, high) AS (VALUES ('hand size', 's', 1, 25), ('price', 'p', 0, 950), ('weight', 'w', 0, 9)),
+f AS (SELECT p_partkey AS build_id, rule, CASE field WHEN 'w' THEN 'not checkable' WHEN 's' THEN CASE WHEN p_size BETWEEN low AND high THEN 'ok' ELSE 'violation' END ELSE CASE WHEN p_retailprice BETWEEN low AND high THEN 'ok' ELSE 'violation' END END AS v FROM part, r)
+SELECT build_id, CASE WHEN count(*) FILTER (v = 'violation') > 0 THEN 'violation' ELSE 'not checkable' END AS verdict, count(*) AS findings FROM f GROUP BY build_id""")
+def build_verdicts(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    values = p.select(F.col("p_partkey").alias("build_id"), F.explode(F.create_map(F.lit("p_size"), F.col("p_size").cast("double"), F.lit("p_retailprice"), F.col("p_retailprice"))).alias("field", "value"))
+    return rules.verdicts(rules.build_findings(values, spark.createDataFrame(_RULES, "rule string, field string, low double, high double")))
+
+
+@query(f"""WITH {GLOSSARY_SQL}, g AS (SELECT {NORM.format('term')} AS key, min(target) AS target FROM glossary WHERE official = 1 GROUP BY 1), t AS (SELECT DISTINCT p_name || CASE WHEN p_partkey % 3 = 0 THEN ' x' ELSE '' END AS text FROM part)
+SELECT text, coalesce(target, CASE WHEN text LIKE 'red%' THEN 'cached' END, text || '*') AS translation, CASE WHEN target IS NOT NULL THEN 'glossary' WHEN text LIKE 'red%' THEN 'cache' ELSE 'open' END AS stage FROM t LEFT JOIN g ON g.key = {NORM.format('text')}""")
+def staged_translation(spark, sf_dir):
+    texts = table(spark, sf_dir, "part").select(F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, " x").otherwise("")).alias("text"))
+    cache = texts.where("text like 'red%'").distinct().withColumn("translation", F.lit("cached"))
+    return rules.translated(texts, corpus.glossary(spark, sf_dir).where("official = 1"), cache)
+
+
+@query("""SELECT c_custkey AS doc_id, 'person.name' AS path, c_name AS value FROM customer UNION ALL SELECT c_custkey, 'rest.c_mktsegment', c_mktsegment FROM customer""")
+def mapped_fields(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.explode(F.create_map(F.lit("c_name"), F.col("c_name"), F.lit("c_mktsegment"), F.col("c_mktsegment"))).alias("name", "value"))
+    return rules.mapped_fields(c, spark.createDataFrame([("c_name", "person.name")], "name string, path string"))
+
+
+@query("""SELECT p_partkey, p_name || '’s' AS title, CASE WHEN contains(lower(p_type), 'econ') THEN 'cheap' WHEN contains(lower(p_type), 'small') OR contains(lower(p_type), 'std') THEN 'plain' END AS category FROM part""")
+def titles_and_categories(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    raw = F.concat("p_name", F.lit("'s  ("), "p_brand", F.lit(") (x)"))
+    return p.select("p_partkey", rules.work_title(raw).alias("title"), rules.category_of(F.col("p_type"), {"cheap": ["econ"], "plain": ["small", "std"]}).alias("category"))
+
+
+@query("""SELECT p_partkey AS id, '**Brand:** ' || p_brand || CASE WHEN p_size % 2 = 0 THEN chr(10) || '**Size:** ' || p_size ELSE '' END || chr(10) || chr(10) || p_name AS body FROM part""")
+def record_markdown(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_brand", F.when(F.col("p_size") % 2 == 0, F.col("p_size")).alias("size"), F.col("p_name").alias("description"))
+    return rules.record_markdown(p, {"p_brand": "Brand", "size": "Size"})
+
+
+@query("""SELECT event_type AS kind, user_id AS ref, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1 AND event_type <> 'error'""")
+def feedback_latest(spark, sf_dir):
+    e = table(spark, sf_dir, "events").where("event_type <> 'error'").select(F.col("event_type").alias("kind"), F.col("user_id").alias("ref"), "event_id", "ts")
+    return quality.newest(e, ["kind", "ref"], [F.desc("ts"), F.desc("event_id")], 1)

@@ -2,7 +2,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lorekeep.operators import align, etl, facets, glossary, resolve, sessions
+from lorekeep.operators import align, etl, facets, glossary, resolve, rules, sessions
 from lorekeep.operators.components import connected_components
 from lorekeep.sources import corpus
 from lorekeep.streaming import gates
@@ -124,3 +124,10 @@ def test_entry_points_agree():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_elimination_runs_to_a_fixpoint_and_drops_contradictions(spark):
+    rows = [("g", "l", "a"), ("g", "l", "b"), ("g", "r", "A"), ("g", "r", "B"), ("h", "l", "b"), ("h", "l", "c"), ("h", "r", "B"), ("h", "r", "C"), ("i", "l", "d"), ("i", "r", "D"), ("j", "l", "d"), ("j", "r", "E")]
+    groups = spark.createDataFrame(rows, "group string, side string, term string")
+    known = spark.createDataFrame([("a", "A")], "left string, right string")
+    assert pairs(rules.forced_pairs(groups, known)) == {("a", "A"), ("b", "B"), ("c", "C")}

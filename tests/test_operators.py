@@ -131,3 +131,11 @@ def test_elimination_runs_to_a_fixpoint_and_drops_contradictions(spark):
     groups = spark.createDataFrame(rows, "group string, side string, term string")
     known = spark.createDataFrame([("a", "A")], "left string, right string")
     assert pairs(rules.forced_pairs(groups, known)) == {("a", "A"), ("b", "B"), ("c", "C")}
+
+
+def test_corpus_adapters_give_nothing_for_odd_sources(spark, tmp_path):
+    docs = spark.createDataFrame([(1, None, "xx", None), (2, "", "de", "weird")], "doc_id long, text string, lang string, source string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.id: (r.name, r.edition) for r in corpus.entries(spark, str(tmp_path)).collect()}
+    assert got == {1: (None, "2024"), 2: ("", "2024")}
+    assert {r.priority for r in corpus.sources(spark, str(tmp_path)).collect()} == {None}

@@ -93,3 +93,47 @@ def record_markdown(records: DataFrame, fields: dict[str, str]) -> DataFrame:
     """``id, body``: a line "**label:** value" for every field that a record has, and its description below; nulls leave no line."""
     lines = [F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), F.concat(F.lit(f"**{label}:** "), F.col(c).cast("string"))) for c, label in fields.items()]
     return records.select("id", F.concat_ws("\n\n", F.concat_ws("\n", *lines), "description").alias("body"))
+
+
+def display_names(entries: DataFrame, glossary: DataFrame) -> DataFrame:
+    """``id, shown``: the translated name with the original in parentheses, a star where no row is official; the original alone where the term has several or no targets."""
+    g = glossary.groupBy(norm_term(F.col("term")).alias("key")).agg(F.min("target").alias("target"), F.countDistinct("target").alias("n"), F.max("official").alias("official"))
+    met = entries.select("id", "name", norm_term(F.col("name")).alias("key")).join(g.where("n = 1"), "key", "left")
+    return met.select("id", F.when(F.col("target").isNull(), F.col("name")).otherwise(F.concat("target", F.when(F.col("official") == 1, "").otherwise("*"), F.lit(" ("), "name", F.lit(")"))).alias("shown"))
+
+
+def curated_first(glossary: DataFrame, curated: DataFrame) -> DataFrame:
+    """glossary with ``official`` 0 for rows whose term is curated (``term, target``) with another target."""
+    c = curated.groupBy(norm_term(F.col("term")).alias("_key")).agg(F.collect_set("target").alias("_good"))
+    met = glossary.withColumn("_key", norm_term(F.col("term"))).join(c, "_key", "left")
+    return met.withColumn("official", F.when(F.col("_good").isNotNull() & ~F.array_contains("_good", F.col("target")), 0).otherwise(F.col("official"))).drop("_key", "_good")
+
+
+def merged_details(items: DataFrame, details: DataFrame) -> DataFrame:
+    """items (``category, name, id``) joined with the first detail (``category, name, place, body``) of the same category and name."""
+    first = details.groupBy("category", "name").agg(F.min(F.struct("place", "body"))["body"].alias("detail"))
+    return items.join(first, ["category", "name"], "left").select("id", "category", "name", "detail")
+
+
+def chosen_candidates(asked: DataFrame, names: DataFrame) -> DataFrame:
+    """``asked, how, id``: for each question its exact name, else the only name that begins with it, else nothing ("ambiguous" or "none").
+
+    asked: ``asked``; names: ``id, name``. The least id stands for equal names. A question meets names through its first three letters.
+    """
+    q = asked.select("asked", norm_term(F.col("asked")).alias("key")).where("key <> ''").distinct().withColumn("p", F.substring("key", 1, 3))
+    n = names.groupBy(norm_term(F.col("name")).alias("name")).agg(F.min("id").alias("id")).withColumn("p", F.substring("name", 1, 3))
+    met = q.join(n, "p").where(F.expr("startswith(name, key)")).groupBy("asked").agg(F.min(F.when(F.col("name") == F.col("key"), F.col("id"))).alias("exact"), F.min("id").alias("only"), F.count("*").alias("n"))
+    out = q.join(met, "asked", "left")
+    how = F.when(F.col("exact").isNotNull(), "exact").when(F.col("n") == 1, "prefix").when(F.col("n") > 1, "ambiguous").otherwise("none")
+    return out.select("asked", how.alias("how"), F.coalesce("exact", F.when(F.col("n") == 1, F.col("only"))).alias("id"))
+
+
+def level_pairs(left: DataFrame, right: DataFrame, known: DataFrame) -> DataFrame:
+    """``group, level, left, right``: features (``group, level, name``) of levels with equal counts: known pairs (``left, right``) first, then the two that alone are left."""
+    count = lambda df, c: df.groupBy("group", "level").agg(F.countDistinct("name").alias(c))
+    even = count(left, "a").join(count(right, "b"), ["group", "level"]).where("a = b").select("group", "level")
+    l = left.join(even, ["group", "level"]).select("group", "level", F.col("name").alias("left")).distinct()
+    r = right.join(even, ["group", "level"]).select("group", "level", F.col("name").alias("right")).distinct()
+    paired = l.join(known, "left").join(r, ["group", "level", "right"]).select("group", "level", "left", "right").distinct()
+    alone = lambda df, c: df.join(paired, ["group", "level", c], "left_anti").groupBy("group", "level").agg(F.min(c).alias(c), F.count("*").alias("n")).where("n = 1").drop("n")
+    return paired.unionByName(alone(l, "left").join(alone(r, "right"), ["group", "level"]).select("group", "level", "left", "right"))

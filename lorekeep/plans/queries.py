@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_term, similarity
-from ..operators import align, etl, facets, fulltext, glossary, logs, options, quality, resolve, rules, sessions
+from ..operators import align, etl, facets, fulltext, glossary, logs, options, quality, repair, resolve, rules, sessions
 from ..sources import corpus
 from ..sources.corpus import ENTRIES_SQL, GLOSSARY_SQL, LOG_SQL, SOURCES_SQL, table
 from ..streaming import gates
@@ -472,3 +472,70 @@ def record_markdown(spark, sf_dir):
 def feedback_latest(spark, sf_dir):
     e = table(spark, sf_dir, "events").where("event_type <> 'error'").select(F.col("event_type").alias("kind"), F.col("user_id").alias("ref"), "event_id", "ts")
     return quality.newest(e, ["kind", "ref"], [F.desc("ts"), F.desc("event_id")], 1)
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'a wonder fire wonder' WHEN p_partkey % 3 = 1 THEN 'a won- der of ' || p_name ELSE 'fine ' || p_name END AS repaired FROM part""")
+def repaired_texts(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    body = F.when(F.col("p_partkey") % 3 == 0, "a won- der \ufb01re wonder").when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("a won- der of "), "p_name")).otherwise(F.concat(F.lit("\ufb01ne "), "p_name"))
+    return repair.repair_texts(p.select("p_partkey", body.alias("body"))).select("p_partkey", "repaired")
+
+
+@query()
+def split_answers(spark, sf_dir):
+    """Conversation texts in parts of at most 400 characters: ``conv_id, turn, part, text``."""
+
+    @F.udf("array<string>", useArrow=True)
+    def parts(text):
+        return etl.split_text(text, 400)
+
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(parts("text")).alias("part", "text"))
+
+
+@query(f"""WITH {GLOSSARY_SQL}, x AS (SELECT term || ' ' || row_id % 50 AS term, target, official FROM glossary), g AS (SELECT {NORM.format('term')} AS key, min(target) AS target, count(DISTINCT target) AS n, max(official) AS official FROM x GROUP BY 1)
+SELECT p_partkey AS id, CASE WHEN n = 1 THEN target || CASE WHEN official = 1 THEN '' ELSE '*' END || ' (' || p_name || ' ' || p_size || ')' ELSE p_name || ' ' || p_size END AS shown
+FROM part LEFT JOIN g ON g.key = {NORM.format("p_name || ' ' || p_size")}""")
+def display_names(spark, sf_dir):
+    g = corpus.glossary(spark, sf_dir).withColumn("term", F.concat_ws(" ", "term", F.col("row_id") % 50))
+    return rules.display_names(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_size").alias("name")), g)
+
+
+@query(f"""WITH {GLOSSARY_SQL}, c AS (SELECT DISTINCT {NORM.format('term')} AS key, target FROM glossary WHERE row_id < 40)
+SELECT row_id, CASE WHEN {NORM.format('term')} IN (SELECT key FROM c) AND NOT EXISTS (SELECT 1 FROM c WHERE c.key = {NORM.format('g.term')} AND c.target = g.target) THEN 0 ELSE official END AS official FROM glossary g""")
+def curated_first(spark, sf_dir):
+    g = corpus.glossary(spark, sf_dir)
+    return rules.curated_first(g, g.where("row_id < 40").select("term", "target")).select("row_id", "official")
+
+
+@query("""WITH d AS (SELECT p_type AS category, p_name AS name, p_partkey AS place, p_brand AS body FROM part WHERE p_size < 10), f AS (SELECT *, row_number() OVER (PARTITION BY category, name ORDER BY place) AS n FROM d)
+SELECT p_partkey AS id, p_type AS category, p_name AS name, body AS detail FROM part LEFT JOIN f ON n = 1 AND category = p_type AND name = p_name""")
+def merged_details(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    details = p.where("p_size < 10").select(F.col("p_type").alias("category"), F.col("p_name").alias("name"), F.col("p_partkey").alias("place"), F.col("p_brand").alias("body"))
+    return rules.merged_details(p.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("category"), F.col("p_name").alias("name")), details)
+
+
+@query(f"""WITH q AS (SELECT DISTINCT left(p_name, 4 + p_partkey % 9) AS asked FROM part), k AS (SELECT asked, {NORM.format('asked')} AS key FROM q), n AS (SELECT {NORM.format('p_name')} AS name, min(p_partkey) AS id FROM part GROUP BY 1),
+m AS (SELECT asked, min(CASE WHEN name = key THEN id END) AS exact, min(id) AS one_id, count(id) AS n FROM k LEFT JOIN n ON starts_with(name, key) GROUP BY asked)
+SELECT asked, CASE WHEN exact IS NOT NULL THEN 'exact' WHEN n = 1 THEN 'prefix' WHEN n > 1 THEN 'ambiguous' ELSE 'none' END AS how, coalesce(exact, CASE WHEN n = 1 THEN one_id END) AS id FROM m""")
+def chosen_candidates(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return rules.chosen_candidates(p.select(F.expr("left(p_name, 4 + p_partkey % 9)").alias("asked")), p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")))
+
+
+@query("""WITH l AS (SELECT DISTINCT p_brand AS g, p_size % 10 AS v, p_name AS n FROM part WHERE p_partkey % 2 = 0), r AS (SELECT DISTINCT p_brand AS g, p_size % 10 AS v, p_name AS n FROM part WHERE p_partkey % 2 = 1),
+e AS (SELECT g, v FROM (SELECT g, v, count(*) AS a FROM l GROUP BY ALL) JOIN (SELECT g, v, count(*) AS b FROM r GROUP BY ALL) USING (g, v) WHERE a = b),
+p AS (SELECT g, v, l.n AS n FROM l JOIN r USING (g, v, n) JOIN e USING (g, v)),
+a AS (SELECT g, v, min(n) AS x FROM l JOIN e USING (g, v) WHERE (g, v, n) NOT IN (SELECT (g, v, n) FROM p) GROUP BY ALL HAVING count(*) = 1), b AS (SELECT g, v, min(n) AS y FROM r JOIN e USING (g, v) WHERE (g, v, n) NOT IN (SELECT (g, v, n) FROM p) GROUP BY ALL HAVING count(*) = 1)
+SELECT g AS "group", v AS level, n AS "left", n AS "right" FROM p UNION ALL SELECT g, v, x, y FROM a JOIN b USING (g, v)""")
+def level_pairs(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("group"), (F.col("p_size") % 10).alias("level"), F.col("p_name").alias("name"))
+    return rules.level_pairs(p.where("p_partkey % 2 = 0"), p.where("p_partkey % 2 = 1"), p.select(F.col("name").alias("left"), F.col("name").alias("right")).distinct())
+
+
+@query("""SELECT n_name AS tool, count(*) AS calls, sum(o_custkey) AS input_tokens, sum(o_custkey % 10) AS cached_tokens, round(sum(o_custkey % 10) * 1.0 / nullif(sum(o_custkey), 0), 6) AS hit_ratio FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""")
+def usage_ratios(spark, sf_dir):
+    o, c, n = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    rows = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    cached, tokens = F.sum(F.col("o_custkey") % 10), F.sum("o_custkey")
+    return rows.groupBy(F.col("n_name").alias("tool")).agg(F.count("*").alias("calls"), tokens.alias("input_tokens"), cached.alias("cached_tokens"), F.round(cached / F.nullif(tokens, F.lit(0)), 6).alias("hit_ratio"))

@@ -86,11 +86,9 @@ class Forest:
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """``vec_id, v`` (array of double): vectors without null or non-finite components, not all zero, of the commonest length."""
+    """``vec_id, v`` (array of double): vectors without null or non-finite components, not all zero. Negative zero counts as zero."""
     fine = F.forall(vec_col, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists(vec_col, lambda x: x != 0)
-    kept = vectors.where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull()).where(fine).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vec_col, lambda x: x.cast("double") + 0.0).alias("v"))
-    lengths = kept.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return kept.where(F.size("v") == (lengths["d"] if lengths else 0))
+    return vectors.where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull()).where(fine).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vec_col, lambda x: x.cast("double") + 0.0).alias("v"))
 
 
 def _nearest(rows: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -106,7 +104,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     those with null or non-finite components take no part, nor do null ids and vectors of another length than most.
     Repeated rows count once; with fewer than k candidates all are returned if found. Empty tables give no rows.
     """
-    rows, asked = materialise(usable(vectors, id_col, vec_col).distinct(), "vectors"), usable(queries, id_col, vec_col).distinct()
+    rows = materialise(usable(vectors, id_col, vec_col).distinct(), "vectors")
+    lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    of_length = F.size("v") == (lengths["d"] if lengths else 0)
+    rows, asked = rows.where(of_length), usable(queries, id_col, vec_col).where(of_length).distinct()
     by_vector = Window.partitionBy("v").orderBy("vec_id")
     points = materialise(rows.withColumn("r", F.row_number().over(by_vector)).where(F.col("r") <= k + 1).drop("r"), "points")
     total = points.count()

@@ -65,6 +65,7 @@ class LibraryIds:
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """For ranges a, b of texts: their ids joined, and how many each has. A null text is empty."""
+        gc.collect()  # what others left; once a batch
         for a, b in slices(texts):
             if len(self.known) > REMEMBERED:
                 self.known = {"": b""}

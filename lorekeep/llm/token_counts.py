@@ -116,6 +116,7 @@ class Transducer:
 
     def count(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """Tokens of each text, for ranges of texts. A null text has none."""
+        gc.collect()  # what others left; once a batch
         for a, b in slices(texts):
             self.forget()
             counts = np.zeros(b - a, dtype=np.int64)

@@ -137,7 +137,7 @@ def hit_ranking(spark, sf_dir):
 
 @query(f"""WITH {ENTRIES_SQL}, {SOURCES_SQL}, k AS (SELECT id, edition, {NORM.format('name')} AS key, kind FROM entries JOIN sources USING (source_key)),
 m AS (SELECT b.id, r.id AS revision_id, row_number() OVER (PARTITION BY b.id ORDER BY r.id) AS place FROM k b JOIN k r USING (edition, key) WHERE b.kind IS NULL AND r.kind IS NOT NULL AND key <> '')
-SELECT id, revision_id, place FROM m WHERE place <= 3""")
+SELECT id, revision_id, CAST(place AS INTEGER) AS place FROM m WHERE place <= 3""")
 def attached_revisions(spark, sf_dir):
     return resolve.attach_revisions(corpus.entries(spark, sf_dir), _revisions(spark, sf_dir))
 
@@ -170,7 +170,7 @@ sheets AS (SELECT *, p % 17 = 0 AS none, CAST(floor(q * (die + 1) / 2.0) AS INTE
 
 @query(f"""WITH {_SHEETS} SELECT id, CASE WHEN none THEN NULL ELSE abs(hp - (floor(q * (die + 1) / 2.0) + p % 9)) <= 1 END AS formula_ok, CASE WHEN none THEN NULL ELSE die IN (4, 6, 8, 10, 12, 20) END AS die_ok,
 CASE WHEN none THEN NULL WHEN p % 31 = 0 THEN false WHEN mod >= 0 OR mod + CASE WHEN p % 13 = 0 THEN 1 ELSE 0 END < 0 THEN said = mod ELSE NULL END AS modifier_ok,
-CASE WHEN none THEN NULL ELSE ['1/4', '1/2', '3', '12'][p % 4 + 1] END AS challenge, CASE WHEN none THEN NULL ELSE 123450 + p % 10 END AS price_cents FROM sheets""")
+CASE WHEN none THEN NULL ELSE ['1/4', '1/2', '3', '12'][p % 4 + 1] END AS challenge, CASE WHEN none THEN NULL ELSE CAST(123450 + p % 10 AS BIGINT) END AS price_cents FROM sheets""")
 def facet_parsing(spark, sf_dir):
     found = facets.findings(_sheets(spark, sf_dir))
     return found.select("id", "formula_ok", "die_ok", "modifier_ok", facets.challenge(F.col("body")).alias("challenge"), facets.price_cents(F.col("body"), F.lit(False)).alias("price_cents"))
@@ -366,13 +366,13 @@ def history_turns(spark, sf_dir):
     return sessions.turns(table(spark, sf_dir, "conversations"))
 
 
-@query("""WITH a AS (SELECT conv_id, turn, row_number() OVER w AS age, sum(length(text)) OVER w AS chars_upto FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC)) SELECT conv_id, turn, age, chars_upto FROM a WHERE age <= 12 AND chars_upto <= 2400""")
+@query("""WITH a AS (SELECT conv_id, turn, row_number() OVER w AS age, sum(length(text)) OVER w AS chars_upto FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC)) SELECT conv_id, turn, CAST(age AS INTEGER) AS age, CAST(chars_upto AS BIGINT) AS chars_upto FROM a WHERE age <= 12 AND chars_upto <= 2400""")
 def history_budget(spark, sf_dir):
     return sessions.within_budget(table(spark, sf_dir, "conversations"), 12, 2400)
 
 
 @query("""WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) > 7200000000 THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g) SELECT user_id, session, min(ts) AS started, max(ts) AS ended, count(*) AS n FROM s GROUP BY ALL""")
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g) SELECT user_id, CAST(session AS BIGINT) AS session, min(ts) AS started, max(ts) AS ended, count(*) AS n FROM s GROUP BY ALL""")
 def user_sessions(spark, sf_dir):
     return sessions.sessions(table(spark, sf_dir, "events"), 7200)
 
@@ -533,7 +533,7 @@ def level_pairs(spark, sf_dir):
     return rules.level_pairs(p.where("p_partkey % 2 = 0"), p.where("p_partkey % 2 = 1"), p.select(F.col("name").alias("left"), F.col("name").alias("right")).distinct())
 
 
-@query("""SELECT n_name AS tool, count(*) AS calls, sum(o_custkey) AS input_tokens, sum(o_custkey % 10) AS cached_tokens, round(sum(o_custkey % 10) * 1.0 / nullif(sum(o_custkey), 0), 6) AS hit_ratio FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""")
+@query("""SELECT n_name AS tool, count(*) AS calls, CAST(sum(o_custkey) AS BIGINT) AS input_tokens, CAST(sum(o_custkey % 10) AS BIGINT) AS cached_tokens, round(sum(o_custkey % 10) * 1.0 / nullif(sum(o_custkey), 0), 6) AS hit_ratio FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""")
 def usage_ratios(spark, sf_dir):
     o, c, n = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
     rows = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))

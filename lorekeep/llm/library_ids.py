@@ -18,19 +18,19 @@ import numpy as np
 
 from .wordwise import slices, spread, words_of
 
-#: Words that a worker remembers; then it starts anew.
-REMEMBERED = 700_000
+#: Words that a worker remembers before it starts anew, and characters of text that it takes together.
+REMEMBERED, SLICE = 300_000, 4_000_000
 #: White space by Python's or the library's reckoning alone, and the start of special strings.
 WHOLE = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\u180e", "<|")
 
 
 class LibraryIds:
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED, slice_chars: int = SLICE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals the work out
         from tokenizers import Tokenizer
 
         gc.disable()  # large tables of plain strings: nothing in them forms cycles, and walking them costs more than the work
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.remembered, self.slice_chars = Tokenizer.from_file(path), remembered, slice_chars
         self.known: dict[str, bytes] = {"": b""}
 
     def _call(self, texts: list[str]) -> list[bytes]:
@@ -66,8 +66,8 @@ class LibraryIds:
     def encode(self, texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """For ranges a, b of texts: their ids joined, and how many each has. A null text is empty."""
         gc.collect()  # what others left; once a batch
-        for a, b in slices(texts):
-            if len(self.known) > REMEMBERED:
+        for a, b in slices(texts, self.slice_chars):
+            if len(self.known) > self.remembered:
                 self.known = {"": b""}
             part = [t or "" for t in texts[a:b]]
             whole = {i: t for i, t in enumerate(part) if any(map(t.__contains__, WHOLE))}
@@ -101,5 +101,5 @@ def normal(text: str) -> str:
 
 
 @lru_cache(maxsize=2)
-def library_ids(path: str) -> LibraryIds:
-    return LibraryIds(path)
+def library_ids(path: str, remembered: int = REMEMBERED, slice_chars: int = SLICE) -> LibraryIds:
+    return LibraryIds(path, remembered, slice_chars)

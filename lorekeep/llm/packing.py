@@ -12,11 +12,11 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .library_ids import library_ids
+from .library_ids import REMEMBERED, SLICE, library_ids
 from .storage import materialise
 
 WINDOW = 4096
@@ -27,7 +27,7 @@ SWEEPS = 30
 BUCKET_ROWS = 20_000
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED, slice_chars: int = SLICE) -> DataFrame:
     """Pieces of at most window ids: ``doc_id, start, length, ids_crc32, doc_tokens``. No shuffle.
 
     A document is cut only where it is longer than the window. A null text is empty and leaves its end id; null ids
@@ -35,18 +35,19 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window:
     """
 
     def run(batches):
-        codec = library_ids(tokenizer_path)
-        for pdf in batches:
-            rows = []
-            for key, ids in zip(pdf["id"].astype(object).tolist(), codec.encode_each(pdf["text"].tolist(), end_id)):
-                data = memoryview(ids)
-                n = len(data) // 4
-                rows += [(None if key != key else key, a, min(window, n - a), zlib.crc32(data[4 * a : 4 * (a + window)]), n) for a in range(0, n, window)]
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-            yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+        codec = library_ids(tokenizer_path, remembered, slice_chars)
+        for batch in batches:
+            for first in range(0, batch.num_rows, 500):
+                part, rows = batch.slice(first, 500), []
+                for key, ids in zip(part.column(0).to_pylist(), codec.encode_each(part.column(1).to_pylist(), end_id)):
+                    data = memoryview(ids)
+                    n = len(data) // 4
+                    rows += [(key, a, min(window, n - a), zlib.crc32(data[4 * a : 4 * (a + window)]), n) for a in range(0, n, window)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.int64()) for x in zip(*rows)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            pa.default_memory_pool().release_unused()
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return source.mapInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return source.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def combinations(counts: np.ndarray, window: int) -> list[tuple[int, ...]]:
@@ -170,6 +171,6 @@ def pack(pieces: DataFrame, window: int = WINDOW, length_col: str = "length", ti
     return joined.mapInPandas(place, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED, slice_chars: int = SLICE) -> DataFrame:
     """Tokenise, cut and pack docs: the columns of token_pieces, sequence_id and offset."""
-    return pack(materialise(token_pieces(docs, tokenizer_path, end_id, window, id_col, text_col), "pieces"), window)
+    return pack(materialise(token_pieces(docs, tokenizer_path, end_id, window, id_col, text_col, remembered, slice_chars), "pieces"), window)

@@ -24,6 +24,8 @@ MAGIC, VERSION, BLOCK, PERCENTILE = b"PFOR", 1, 128, 0.9
 HEADER = struct.Struct("<4sIqqqq")  # magic, version, documents, ids, ids of the partition before this shard, exceptions
 #: Ids after which a shard is closed; a single document may exceed it.
 SHARD_IDS = 1 << 20
+#: What a worker's encoder holds: words, and characters of text taken together.
+REMEMBERED, SLICE = 700_000, 16_000_000
 
 
 def pack_blocks(ids: np.ndarray) -> list[bytes]:
@@ -107,7 +109,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id
     """
 
     def run(batches):
-        codec = library_ids(tokenizer_path)
+        codec = library_ids(tokenizer_path, REMEMBERED, SLICE)
         part, shard, before = TaskContext.get().partitionId(), 0, 0
         doc_ids, sizes, parts, held = [], [], [], 0
 

@@ -16,6 +16,8 @@ from lorekeep.llm.text_stats import where_computed
 
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 END_ID = 2
+#: Words that an encoder remembers and characters that it takes together: its executor has run the other stages before.
+ENCODER = 80_000, 1_000_000
 
 
 def _whole_rows(docs: DataFrame, *columns: str) -> DataFrame:
@@ -47,7 +49,7 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def pack_kept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents, packed into windows."""
-    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), END_ID)
+    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), END_ID, remembered=ENCODER[0], slice_chars=ENCODER[1])
 
 
 STAGES = [("quality rules", keep_by_rules), ("quality classifier", keep_by_classifier), ("near-dedup", keep_one_of_similar), ("packing", pack_kept)]

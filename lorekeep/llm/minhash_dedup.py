@@ -4,14 +4,15 @@ A document is the set of its word shingles, and its minwise tokens are the least
 functions. In each of several independent trees, documents are branched by chosen tokens: a node holds those that
 share the tokens on its path. Nodes of one document end; small nodes are compared exhaustively by signature; large
 ones branch again by further tokens, two branches for each document so that similar ones rarely part. What is
-still large at the last level is compared in blocks, each joined by the node's first document.
+still large at the last level is compared in blocks, each joined by the node's first document, and then whole: all
+pairs across components, block by block, by exact overlap of full sets.
 
 A pair of similarity s shares the first token of a tree with probability s, and one of two branches with
 1 - (1 - s)^2. With six trees, a pair of 0.85 in small nodes is missed with probability 0.15^6, about 1e-5.
 
 Candidates are confirmed on full sets. The first round proposes a spanning forest per node, heaviest edges first;
-the second proposes, by sharper signatures, every pair left over whose documents aren't in one component yet, so
-no link between components is lost to the forest. Documents with equal sets stand for one another throughout.
+the second takes every pair left over whose documents aren't in one component yet, so no link between components is
+lost to the forest: in small nodes those that sharper signatures propose, in large ones all. Documents with equal sets stand for one another throughout.
 """
 
 from __future__ import annotations
@@ -39,6 +40,10 @@ BLOCK = 256
 #: How far below the threshold an estimate may lie, by hashes: three and a half standard deviations at 0.85, and three.
 SLACK = {192: 0.09, 1024: 0.035}
 SHARP = 1024
+#: Documents and shingles of a block where large nodes are compared whole; a task holds two blocks.
+WHOLE, WHOLE_SHINGLES = 1024, 500_000
+#: Holders up to which a shingle's pairs are counted one by one; columns of shingles of more that are multiplied at once.
+FEW, COLUMNS = 16, 2048
 #: Characters of text whose words are held at once, and bytes of signatures that are compared at once.
 SLICE, COMPARED = 2_000_000, 10_000_000
 #: Ids that may be broadcast to pick documents before a shuffle (8 bytes each); more are joined.
@@ -131,6 +136,21 @@ def sharp_signatures(texts: DataFrame, k: int) -> DataFrame:
     return texts.mapInPandas(run, "doc_id long, n long, sig binary")
 
 
+def full_sets(texts: DataFrame, k: int) -> DataFrame:
+    """``doc_id, n, shingles``: full sets of texts (``doc_id, text``) that hold a word, as bytes."""
+
+    def run(batches):
+        for pdf in batches:
+            for a, b in slices(pdf["text"].tolist(), SLICE):
+                part = pdf.iloc[a:b]
+                sets = list(shingle_sets(part["text"].tolist(), k))
+                full = [i for i, s in enumerate(sets) if len(s)]
+                if full:
+                    yield pd.DataFrame({"doc_id": part["doc_id"].iloc[full].to_numpy(), "n": [len(sets[i]) for i in full], "shingles": [sets[i].tobytes() for i in full]})
+
+    return texts.mapInPandas(run, "doc_id long, n long, shingles binary")
+
+
 def _nodes(batches) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
     """Whole nodes of a stream sorted by path: the rows, and where each node begins (one more at the end)."""
     held = None
@@ -212,8 +232,73 @@ def candidate_pairs(leaves: DataFrame, reps: DataFrame, percent: int, forest: bo
     return signed.repartition("path").sortWithinPartitions("path", "doc_id").mapInPandas(run, "a long, b long, path long")
 
 
-def grow_trees(reps: DataFrame) -> DataFrame:
-    """Leaves of all trees over reps (``doc_id, tokens``): ``path, doc_id``; no node above SMALL, no block much above BLOCK.
+def _shared(sets: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
+    """How many shingles each of some sets (rows) shares with each of all."""
+    doc, flat = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    doc, flat = doc[order], flat[order]
+    first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    held = np.diff(np.append(first, len(flat)))
+    row = np.full(len(sets), -1)
+    row[rows] = np.arange(len(rows))
+    shared = np.zeros((len(rows), len(sets)), dtype=np.float32)
+    for c in range(2, FEW + 1):
+        holders = doc[first[held == c][:, None] + np.arange(c)]
+        for d in range(1, c):
+            x, y = row[holders].ravel(), np.roll(holders, d, axis=1).ravel()
+            np.add.at(shared.reshape(-1), x[x >= 0] * len(sets) + y[x >= 0], np.float32(1))
+    many = np.flatnonzero(held > FEW)
+    for some in (many[i : i + COLUMNS] for i in range(0, len(many), COLUMNS)):
+        ends = np.cumsum(held[some])
+        places = np.repeat(first[some] - ends + held[some], held[some]) + np.arange(ends[-1])
+        holds = np.zeros((len(sets), len(some)), dtype=np.float32)
+        holds[doc[places], np.repeat(np.arange(len(some)), held[some])] = 1
+        shared += holds[rows] @ holds.T
+    return shared.astype(np.int32)
+
+
+def _links_across(sets: list[np.ndarray], component: np.ndarray, percent: int) -> np.ndarray:
+    """Rows (i, j) of linked sets of different components that span all such links."""
+    _, component = np.unique(component, return_inverse=True)
+    n, rows = np.array([len(s) for s in sets], dtype=np.int32), np.flatnonzero(component != np.bincount(component).argmax())
+    linked = (100 + percent) * _shared(sets, rows) >= percent * (n[rows][:, None] + n)
+    linked &= component[rows][:, None] != component
+    x, y = np.nonzero(linked)
+    x = rows[x]
+    _, one = np.unique(np.stack([component[x], component[y]]), axis=1, return_index=True)
+    x, y = x[one], y[one]
+    return _forest(np.stack([np.zeros(len(x), int), component[x], component[y], np.ones(len(x), int), x, y]))[4:]
+
+
+def whole_links(nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """``a < b``: links that span all those across components within nodes (``path, doc_id, component``), by full sets of texts.
+
+    A node's documents are dealt to blocks and every two blocks meet, so no pair is left out; the work of a node grows
+    with the square of its documents outside its largest component, that of a task doesn't.
+    """
+    sets = materialise(full_sets(_of_ids(texts, nodes.select("doc_id").distinct()), k), "full-sets")
+    sizes = nodes.join(sets.select("doc_id", "n").hint("merge"), "doc_id").groupBy("path").agg(F.greatest(F.ceil(F.count("*") / WHOLE), F.ceil(F.sum("n") / WHOLE_SHINGLES)).alias("blocks"))
+    dealt = nodes.join(materialise(sizes, "whole-nodes").hint("merge"), "path").withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks"))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: (x != F.col("own")) | (F.col("blocks") == 1))
+    met = dealt.withColumn("other", F.explode(others)).select(F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")).alias("path"), "doc_id", "component")
+
+    def run(batches):
+        for pdf, starts in _nodes(batches):
+            ids, component = pdf["doc_id"].to_numpy(), pdf["component"].to_numpy()
+            for at, end in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                if len(np.unique(component[at:end])) > 1:
+                    i, j = _links_across([np.frombuffer(s, dtype=np.uint64) for s in pdf["shingles"].iloc[at:end]], component[at:end], percent)
+                    if len(i):
+                        yield pd.DataFrame({"a": np.minimum(ids[at + i], ids[at + j]), "b": np.maximum(ids[at + i], ids[at + j])})
+
+    held = met.join(sets.select("doc_id", "shingles").hint("merge"), "doc_id")
+    return held.repartition("path").sortWithinPartitions("path", "doc_id").mapInPandas(run, "a long, b long")
+
+
+def grow_trees(reps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes of all trees over reps (``doc_id, tokens``): ``path, doc_id`` of small ones, of large ones, and of blocks of these.
+
+    No small node is above SMALL, no block much above BLOCK.
 
     Rows carry a path and an id alone; tokens meet again only those documents whose node branches further.
     """
@@ -234,11 +319,19 @@ def grow_trees(reps: DataFrame) -> DataFrame:
     blocks = F.ceil(F.col("size") / BLOCK)
     own = F.array(F.pmod(F.xxhash64("doc_id", "tree", "path"), blocks))
     every = F.when(F.col("doc_id") == F.col("first"), F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(own)
-    leaves.append(rows.withColumn("block", F.explode(every)).select(F.xxhash64("path", "block").alias("path"), "doc_id"))
+    dealt = rows.withColumn("block", F.explode(every)).select(F.xxhash64("path", "block").alias("path"), "doc_id")
     out = leaves[0]
     for more in leaves[1:]:
         out = out.unionByName(more)
-    return out
+    return out, rows.select("path", "doc_id"), dealt
+
+
+def _mixed(nodes: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """Rows (``path, doc_id``) of nodes that hold more than one component of found, with ``component``."""
+    placed = nodes.join(found.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    placed = materialise(placed, f"placed{name}")
+    mixed = placed.groupBy("path").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("path")
+    return materialise(placed.join(mixed, "path", "left_semi"), f"mixed{name}")
 
 
 def _of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -285,22 +378,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     reps, texts = members.where("n > 0 and doc_id = rep").select("doc_id", "n", "sig", "tokens"), source
     if repeats(members):
         reps, texts = materialise(reps.dropDuplicates(["doc_id"]), "reps"), source.where("doc_id is not null").dropDuplicates(["doc_id"])
-    leaves = grow_trees(reps)
-    proposed = materialise(candidate_pairs(leaves, reps, percent, True), "proposed")
+    small, large, blocks = grow_trees(reps)
+    proposed = materialise(candidate_pairs(small.unionByName(blocks), reps, percent, True), "proposed")
     first = materialise(confirm(materialise(proposed.select("a", "b").distinct(), "pairs"), texts, k, percent), "confirmed")
     found = materialise(connected_components(first.where("linked"), keep=materialise), "components")
     # a node without a proposed pair has none at all; of the others, those within one component are done
-    placed = leaves.join(proposed.select("path").distinct(), "path", "left_semi").join(found.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    placed = materialise(placed, "placed")
-    mixed = placed.groupBy("path").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("path")
-    mixed = materialise(placed.join(mixed, "path", "left_semi"), "mixed")
+    mixed = _mixed(small.join(proposed.select("path").distinct(), "path", "left_semi"), found, "")
     sharp = materialise(sharp_signatures(_of_ids(texts, mixed.select("doc_id").distinct()), k), "sharp-signatures")
     more = candidate_pairs(mixed, sharp, percent, False).select("a", "b").distinct()
     rest = materialise(more.join(first.select("a", "b"), ["a", "b"], "left_anti"), "more-pairs")
-    if not rest.isEmpty():
-        linked = materialise(confirm(rest, texts, k, percent).where("linked"), "more-confirmed")
-        if not linked.isEmpty():
-            found = materialise(connected_components(first.where("linked").select("a", "b").unionByName(linked.select("a", "b")), keep=materialise), "components")
+    linked = [] if rest.isEmpty() else [materialise(confirm(rest, texts, k, percent).where("linked").select("a", "b"), "more-confirmed")]
+    whole = _mixed(large, found, "-whole")
+    linked += [] if whole.isEmpty() else [materialise(whole_links(whole, texts, k, percent), "whole-links")]
+    linked = [x for x in linked if not x.isEmpty()]
+    if linked:
+        links = first.where("linked").select("a", "b")
+        for x in linked:
+            links = links.unionByName(x)
+        found = materialise(connected_components(links, keep=materialise), "components")
     joined = members.select("doc_id", "n", "rep").join(found.hint("merge"), F.col("rep") == F.col("node"), "left")
     out = joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

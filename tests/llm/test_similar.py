@@ -68,6 +68,48 @@ def test_large_groups_of_near_copies(spark, k, percent):
     assert np.mean([got[i] == want[i] for i in want]) > 0.99
 
 
+def test_links_in_a_large_group_below_the_threshold(spark):
+    rng = np.random.default_rng(7)
+    shared, n, pairs = 261, 5000, 150  # background 0.77; two that share six or more of their other words reach 0.8
+    own = [[f"o{i}_{j}" for j in range(39)] for i in range(n)]
+    for i in range(pairs):
+        more = int(rng.integers(5, 12))
+        own[n - 1 - i][:more] = own[i][:more]
+    texts = {i: " ".join([*(f"t{j}" for j in range(shared)), *own[i]]) for i in range(n)}
+    want = {i: i for i in range(n)}
+    for i in range(pairs):
+        both = shared + len(set(own[i]) & set(own[n - 1 - i]))
+        if 100 * both >= 80 * (600 - both):
+            want[n - 1 - i] = i
+    assert 100 * shared < 80 * (600 - shared) and 0 < sum(i != c for i, c in want.items()) < pairs
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(frame, 1, 80).collect()}
+    assert got == want
+
+
+def test_whole_nodes_equal_brute_force(monkeypatch, spark):
+    monkeypatch.setattr(minhash_dedup, "WHOLE", 40)
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(60)]
+    texts = {i: " ".join(f"x{rng.integers(40)}" if rng.random() < 0.2 else w for w in base) for i in range(150)}
+    component = {i: i // 2 * 2 for i in texts}
+    nodes = spark.createDataFrame([(1, i, c) for i, c in component.items()], "path long, doc_id long, component long")
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = [tuple(r) for r in minhash_dedup.whole_links(nodes, frame, 1, 70).collect()]
+    sets = {i: shingles(t, 1) for i, t in texts.items()}
+    linked = {(i, j) for j in sets for i in range(j) if component[i] != component[j] and 100 * len(sets[i] & sets[j]) >= 70 * len(sets[i] | sets[j])}
+    assert got and set(got) <= linked
+
+    def groups(edges):
+        root = dict(component)
+        for a, b in edges:
+            low, high = sorted((root[a], root[b]))
+            root = {i: low if c == high else c for i, c in root.items()}
+        return root
+
+    assert groups(got) == groups(linked) != component
+
+
 def test_odd_rows(spark):
     long = " ".join(f"t{i}" for i in range(20000))
     rows = [(5, None), (6, ""), (7, " \n"), (8, "One two"), (4, "one TWO"), (9, "É two"), (3, "é two"), (2, long), (1, long + " end"), (None, "one two"), (8, "One two"), (11, "one")]

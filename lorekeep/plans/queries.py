@@ -285,7 +285,7 @@ def anagram_repairs(spark, sf_dir):
 
 @query("SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '(?i)<br\\s*/?>', chr(10), 'g'), chr(160), ' ', 'g'), '[ \\t]+', ' ', 'g')) AS body FROM documents WHERE NOT contains(text, chr(173))")
 def cleaned_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where(~F.contains("text", F.lit("­"))).select("doc_id", etl.cleaned(F.col("text")).alias("body"))
+    return table(spark, sf_dir, "documents").select("doc_id", etl.cleaned(F.col("text")).alias("body"))
 
 
 _LINES = "x AS (SELECT doc_id, unnest(str_split(text, chr(10))) AS text, generate_subscripts(str_split(text, chr(10)), 1) - 1 AS pos FROM documents)"

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.operators import align, etl, facets, glossary, resolve, rules, sessions
 from lorekeep.operators.components import connected_components
+from lorekeep.plans import queries
 from lorekeep.sources import corpus
 from lorekeep.streaming import gates
 
@@ -139,3 +140,9 @@ def test_corpus_adapters_give_nothing_for_odd_sources(spark, tmp_path):
     got = {r.id: (r.name, r.edition) for r in corpus.entries(spark, str(tmp_path)).collect()}
     assert got == {1: (None, "2024"), 2: ("", "2024")}
     assert {r.priority for r in corpus.sources(spark, str(tmp_path)).collect()} == {None}
+
+
+def test_cleaned_text_keeps_every_document(spark, tmp_path):
+    rows = [(1, "soft\u00adhyphen<br/>next"), (2, None), (3, "two  spaces\u00a0here"), (4, "\u00ad")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert pairs(queries.cleaned_text(spark, str(tmp_path))) == {(1, "softhyphen\nnext"), (2, None), (3, "two spaces here"), (4, "")}

@@ -9,6 +9,8 @@ pairs across components, block by block, by exact overlap of full sets.
 
 A pair of similarity s shares the first token of a tree with probability s, and one of two branches with
 1 - (1 - s)^2. With six trees, a pair of 0.85 in small nodes is missed with probability 0.15^6, about 1e-5.
+Estimates that prune add to that, alike in all trees: one pair exactly at the threshold lies below four deviations with
+about 7e-5 (192 hashes) and 4e-5 (1024) at 0.8, 9e-5 and 6e-5 at 0.85. Large nodes compared whole use no estimates.
 
 Candidates are confirmed on full sets. The first round proposes a spanning forest per node, heaviest edges first;
 the second takes every pair left over whose documents aren't in one component yet, so no link between components is
@@ -37,8 +39,8 @@ HASHES, TREES, LEVELS, BRANCHES = 192, 6, 3, 2
 SMALL = 64
 #: Documents of a block of what is still large at the last level.
 BLOCK = 256
-#: How far below the threshold an estimate may lie, by hashes: three and a half standard deviations at 0.85, and three.
-SLACK = {192: 0.09, 1024: 0.035}
+#: How many standard deviations below the threshold an estimate may lie.
+DEVIATIONS = 4
 SHARP = 1024
 #: Documents and shingles of a block where large nodes are compared whole; a task holds two blocks.
 WHOLE, WHOLE_SHINGLES = 1024, 500_000
@@ -166,6 +168,12 @@ def _nodes(batches) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
         yield held, np.array([0, len(held)])
 
 
+def _slack(percent: int, hashes: int) -> float:
+    """How far below the threshold an estimate by so many hashes may lie; low bytes of different minima match by chance."""
+    match = percent / 100 + (1 - percent / 100) / 256
+    return DEVIATIONS * (match * (1 - match) / hashes) ** 0.5 / (1 - 1 / 256)
+
+
 def _similar(ids: np.ndarray, n: np.ndarray, sig: np.ndarray, starts: np.ndarray, percent: int) -> Iterator[np.ndarray]:
     """For nodes of one size at a time, rows (node, i, j, estimate) of pairs that may reach the threshold."""
     sizes = np.diff(starts)
@@ -180,7 +188,7 @@ def _similar(ids: np.ndarray, n: np.ndarray, sig: np.ndarray, starts: np.ndarray
                 fit = (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & (ids[x] != ids[y])
                 x, y = x[fit], y[fit]
                 estimate = ((sig[x] == sig[y]).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
-                good = estimate >= percent / 100 - SLACK[sig.shape[1]]
+                good = estimate >= percent / 100 - _slack(percent, sig.shape[1])
                 found.append(np.stack([np.searchsorted(where, x[good], side="right"), x[good], y[good], estimate[good]]))
             yield np.concatenate(found, axis=1)
 

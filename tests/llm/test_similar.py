@@ -110,6 +110,15 @@ def test_whole_nodes_equal_brute_force(monkeypatch, spark):
     assert groups(got) == groups(linked) != component
 
 
+@pytest.mark.parametrize("percent,hashes,matching", [(80, 192, 133), (80, 1024, 771), (85, 192, 145), (85, 1024, 827)])
+def test_estimates_of_linked_pairs_may_be_low(percent, hashes, matching):
+    match = percent / 100 + (1 - percent / 100) / 256
+    assert matching >= hashes * match - 3.9 * (hashes * match * (1 - match)) ** 0.5 > matching - 1
+    sig = np.zeros((2, hashes), dtype=np.uint8)
+    sig[1, matching:] = 1
+    assert [p.shape[1] for p in minhash_dedup._similar(np.array([1, 2]), np.array([100, 100]), sig, np.array([0, 2]), percent)] == [1]
+
+
 def test_odd_rows(spark):
     long = " ".join(f"t{i}" for i in range(20000))
     rows = [(5, None), (6, ""), (7, " \n"), (8, "One two"), (4, "one TWO"), (9, "É two"), (3, "é two"), (2, long), (1, long + " end"), (None, "one two"), (8, "One two"), (11, "one")]

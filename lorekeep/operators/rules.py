@@ -67,7 +67,7 @@ def category_of(breadcrumb: Column, words: dict[str, list[str]]) -> Column:
     return out
 
 
-def forced_pairs(groups: DataFrame, known: DataFrame, rounds: int = 10) -> DataFrame:
+def forced_pairs(groups: DataFrame, known: DataFrame) -> DataFrame:
     """``left, right`` that elimination forces: where all but one of a group's terms on either side are paired, the last two are.
 
     groups: ``group, side`` ("l" or "r"), ``term``; known: ``left, right``. Repeated until nothing new is found; of
@@ -75,7 +75,7 @@ def forced_pairs(groups: DataFrame, known: DataFrame, rounds: int = 10) -> DataF
     """
     found = known.select("left", "right").distinct()
     before = -1
-    for _ in range(rounds):
+    while True:  # each round but the last adds a pair
         left = groups.where("side = 'l'").join(found, F.col("term") == F.col("left"), "left_anti")
         right = groups.where("side = 'r'").join(found, F.col("term") == F.col("right"), "left_anti")
         last = lambda df, name: df.groupBy("group").agg(F.min("term").alias(name), F.countDistinct("term").alias("n")).where("n = 1").drop("n")
@@ -84,9 +84,8 @@ def forced_pairs(groups: DataFrame, known: DataFrame, rounds: int = 10) -> DataF
         found = _checkpointed(found.unionByName(once).distinct(), "forced")
         now = found.count()
         if now == before:
-            break
+            return found
         before = now
-    return found
 
 
 def record_markdown(records: DataFrame, fields: dict[str, str]) -> DataFrame:

@@ -134,6 +134,13 @@ def test_elimination_runs_to_a_fixpoint_and_drops_contradictions(spark):
     assert pairs(rules.forced_pairs(groups, known)) == {("a", "A"), ("b", "B"), ("c", "C")}
 
 
+def test_elimination_follows_long_chains(spark):
+    rows = [(i, side, f"{side}{j}") for i in range(14) for side in "lr" for j in (i, i + 1)]
+    groups = spark.createDataFrame(rows, "group int, side string, term string")
+    known = spark.createDataFrame([("l0", "r0")], "left string, right string")
+    assert pairs(rules.forced_pairs(groups, known)) == {(f"l{i}", f"r{i}") for i in range(15)}
+
+
 def test_corpus_adapters_give_nothing_for_odd_sources(spark, tmp_path):
     docs = spark.createDataFrame([(1, None, "xx", None), (2, "", "de", "weird")], "doc_id long, text string, lang string, source string")
     docs.write.parquet(str(tmp_path / "documents.parquet"))

@@ -10,7 +10,6 @@ Many short words are merged in lockstep, one row of a numpy tree for each; a lon
 
 from __future__ import annotations
 
-import gc
 import json
 import re
 from collections.abc import Iterator
@@ -23,7 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .wordwise import slices, spread, words_of
+from .char_classes import CODES, IN_USE, LETTER, NUMBER, OTHER, SPACE, STAND_IN, as_class, library_classes
+from .wordwise import paused_gc, slices, spread, words_of
 
 INF = np.int64(1) << 60
 #: Longest word that is merged in lockstep; above it a tree of its own is faster.
@@ -181,21 +181,31 @@ CUT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{
 UNSAFE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}|<\|"
 
 
+@lru_cache(maxsize=1)
+def odd_characters() -> re.Pattern:
+    """Characters that are letters, numbers or spaces to the pattern here or to the library's, but not to both."""
+    every, codes, here = "".join(map(chr, IN_USE)), np.array(IN_USE), np.full(CODES, OTHER, dtype=np.uint8)
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+        for m in regex.finditer(pattern, every):
+            here[codes[m.start() : m.end()]] = kind
+    differ = np.flatnonzero(here != library_classes())
+    return re.compile(as_class(differ) if len(differ) else r"(?!)")
+
+
 class ByteCodec:
     """Encodes and decodes whole texts; cuts at spaces first, so that a chunk met before costs one lookup."""
 
     def __init__(self, path: str):
-        gc.disable()  # large tables of plain strings: nothing in them forms cycles, and walking them costs more than the work
         self.merges = Merges(path)
         self.chunks: dict[str, bytes] = {"": b""}
         self.words: dict[str, bytes] = {}
         self.is_special = re.compile("(" + "|".join(map(re.escape, sorted(self.merges.special, key=len, reverse=True))) + ")") if self.merges.special else None
 
-    def _values(self, chunks: list[str]) -> list[bytes]:
-        """Ids of each chunk; new ones are cut by the pattern, and new words merged."""
+    def _values(self, chunks: list[str], words: bool = False) -> list[bytes]:
+        """Ids of each chunk; new ones are cut by the pattern unless they are words of it, and new words merged."""
         values = list(map(self.chunks.get, chunks))
         if missing := [i for i, v in enumerate(values) if v is None]:
-            cut = [CUT.findall(chunks[i]) for i in missing]
+            cut = [(chunks[i],) if words and chunks[i] else CUT.findall(chunks[i]) for i in missing]
             known = self.words
             new = list({w for ws in cut for w in ws} - known.keys())
             known.update(zip(new, self.merges.encode([w.encode() for w in new])))
@@ -203,29 +213,41 @@ class ByteCodec:
                 values[i] = self.chunks[chunks[i]] = known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws])
         return values
 
+    def _cut(self, text: str) -> list[str]:
+        """Words of the pattern; where its classes of characters aren't the library's, stand-ins are cut in their places."""
+        if not odd_characters().search(text):
+            return CUT.findall(text)
+        kinds = library_classes()
+        shown = odd_characters().sub(lambda m: STAND_IN[int(kinds[ord(m[0])])], text)
+        return [text[m.start() : m.end()] for m in CUT.finditer(shown)]
+
     def _whole(self, text: str) -> bytes:
         """A text that can't be cut at spaces first: at its special strings, and then by the pattern at once."""
         parts = self.is_special.split(text) if self.is_special else [text]
         special = {k: np.uint32(v).tobytes() for k, v in self.merges.special.items()}
-        return b"".join([special[p] if i % 2 else b"".join(self._values(CUT.findall(p))) for i, p in enumerate(parts)])
+        return b"".join([special[p] if i % 2 else b"".join(self._values(self._cut(p), True)) for i, p in enumerate(parts)])
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """For ranges a, b of texts: their ids joined, and how many each has. A null text is empty."""
-        for a, b in slices(texts, SLICE):
-            if len(self.chunks) > REMEMBERED or len(self.words) > REMEMBERED:
-                self.chunks, self.words = {"": b""}, {}
-            part = [t or "" for t in texts[a:b]]
-            unsafe = pc.match_substring_regex(pa.array(part, type=pa.large_string()), UNSAFE).to_numpy(zero_copy_only=False)
-            words, at, starts = words_of(["" if u else t for t, u in zip(part, unsafe.tolist())], " ")
-            heads = [words[i] for i in at[starts[:-1]].tolist()]  # a text's first chunk has no space before it
-            at[starts[:-1]] = len(words) + np.arange(len(heads))
-            ids, counts = spread(self._values([" " + w for w in words]) + self._values(heads), at, starts)
-            if unsafe.any():
-                pieces = np.split(ids, np.cumsum(counts)[:-1])
-                for i in np.flatnonzero(unsafe).tolist():
-                    pieces[i] = np.frombuffer(self._whole(part[i]), dtype="<u4")
-                ids, counts = np.concatenate(pieces), np.array([len(p) for p in pieces])
-            yield a, b, ids, counts
+        with paused_gc():
+            for a, b in slices(texts, SLICE):
+                if len(self.chunks) > REMEMBERED or len(self.words) > REMEMBERED:
+                    self.chunks, self.words = {"": b""}, {}
+                part = [t or "" for t in texts[a:b]]
+                unsafe = pc.match_substring_regex(pa.array(part, type=pa.large_string()), UNSAFE).to_numpy(zero_copy_only=False)
+                for i, t in enumerate(part):
+                    if not t.isascii() and odd_characters().search(t):
+                        unsafe[i] = True
+                words, at, starts = words_of(["" if u else t for t, u in zip(part, unsafe.tolist())], " ")
+                heads = [words[i] for i in at[starts[:-1]].tolist()]  # a text's first chunk has no space before it
+                at[starts[:-1]] = len(words) + np.arange(len(heads))
+                ids, counts = spread(self._values([" " + w for w in words]) + self._values(heads), at, starts)
+                if unsafe.any():
+                    pieces = np.split(ids, np.cumsum(counts)[:-1])
+                    for i in np.flatnonzero(unsafe).tolist():
+                        pieces[i] = np.frombuffer(self._whole(part[i]), dtype="<u4")
+                    ids, counts = np.concatenate(pieces), np.array([len(p) for p in pieces])
+                yield a, b, ids, counts
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids, special tokens included; bytes that aren't UTF-8 become U+FFFD."""
@@ -249,7 +271,6 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
         codec = byte_codec(path)
         for pdf in batches:
-            gc.collect()
             keys = pdf["id"].astype("Int64")
             for a, b, ids, counts in codec.encode(pdf["text"].tolist()):
                 each = np.split(ids, np.cumsum(counts)[:-1])

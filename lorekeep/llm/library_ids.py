@@ -7,7 +7,6 @@ where that cutting could differ from the library's (special strings, rare separa
 
 from __future__ import annotations
 
-import gc
 import os
 import string
 import unicodedata
@@ -16,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from .wordwise import slices, spread, words_of
+from .wordwise import paused_gc, slices, spread, words_of
 
 #: Words that a worker remembers before it starts anew, and characters of text that it takes together.
 REMEMBERED, SLICE = 300_000, 4_000_000
@@ -29,7 +28,6 @@ class LibraryIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals the work out
         from tokenizers import Tokenizer
 
-        gc.disable()  # large tables of plain strings: nothing in them forms cycles, and walking them costs more than the work
         self.tokenizer, self.remembered, self.slice_chars = Tokenizer.from_file(path), remembered, slice_chars
         self.known: dict[str, bytes] = {"": b""}
 
@@ -65,25 +63,25 @@ class LibraryIds:
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """For ranges a, b of texts: their ids joined, and how many each has. A null text is empty."""
-        gc.collect()  # what others left; once a batch
-        for a, b in slices(texts, self.slice_chars):
-            if len(self.known) > self.remembered:
-                self.known = {"": b""}
-            part = [t or "" for t in texts[a:b]]
-            whole = {i: t for i, t in enumerate(part) if any(map(t.__contains__, WHOLE))}
-            words, at, starts = words_of([normal(t) if i not in whole else "" for i, t in enumerate(part)])
-            values = list(map(self.known.get, words))
-            if missing := [i for i, v in enumerate(values) if v is None]:
-                self._learn([words[i] for i in missing])
-                for i in missing:
-                    values[i] = self.known[words[i]]
-            ids, counts = spread(values, at, starts)
-            if whole:
-                pieces = np.split(ids, np.cumsum(counts)[:-1])
-                for i, got in zip(whole, self._call(list(whole.values()))):
-                    pieces[i] = np.frombuffer(got, dtype="<u4")
-                ids, counts = np.concatenate(pieces), np.array([len(p) for p in pieces])
-            yield a, b, ids, counts
+        with paused_gc():
+            for a, b in slices(texts, self.slice_chars):
+                if len(self.known) > self.remembered:
+                    self.known = {"": b""}
+                part = [t or "" for t in texts[a:b]]
+                whole = {i: t for i, t in enumerate(part) if any(map(t.__contains__, WHOLE))}
+                words, at, starts = words_of([normal(t) if i not in whole else "" for i, t in enumerate(part)])
+                values = list(map(self.known.get, words))
+                if missing := [i for i, v in enumerate(values) if v is None]:
+                    self._learn([words[i] for i in missing])
+                    for i in missing:
+                        values[i] = self.known[words[i]]
+                ids, counts = spread(values, at, starts)
+                if whole:
+                    pieces = np.split(ids, np.cumsum(counts)[:-1])
+                    for i, got in zip(whole, self._call(list(whole.values()))):
+                        pieces[i] = np.frombuffer(got, dtype="<u4")
+                    ids, counts = np.concatenate(pieces), np.array([len(p) for p in pieces])
+                yield a, b, ids, counts
 
     def encode_each(self, texts: list[str | None], end_id: int | None = None) -> Iterator[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers, with end_id behind them if given."""

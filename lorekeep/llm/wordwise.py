@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,19 @@ import pyarrow.compute as pc
 BATCH_CHARS = 16_000_000
 
 
+@contextmanager
+def paused_gc() -> Iterator[None]:
+    """Without the cycle collector, as it was before afterwards: walking large tables of plain values costs more than the work."""
+    was = gc.isenabled()
+    gc.collect()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def slices(texts: list, limit: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of texts of at most limit characters, or one text."""
     start = held = 0

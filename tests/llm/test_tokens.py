@@ -1,6 +1,8 @@
 """Operators on tokens: BPE codec, token files, packing, token counts, each against the tokenizers library."""
 
 import hashlib
+import random
+import time
 import zlib
 
 import numpy as np
@@ -55,6 +57,72 @@ def test_random_texts(text):
     assert next(COUNTER.count([text])).tolist() == [len(want)]
 
 
+def strings(seed, n):
+    """Random texts: letters, pieces of the vocabulary, marks, newer Unicode letters and rare separators."""
+    rng = random.Random(seed)
+    vocabulary = [w.replace("</w>", "") for w in LIBRARY[WORD].get_vocab()]
+    near = [*map(chr, [*range(32, 0x250), *range(0x370, 0x530), 0x180E, *range(0x1C, 0x20), 0x85, 0x200B, 0x2028, 0x1C89, 0x1C8A, 0xA7DA, 0xA7CB, 0x1DFDF])]
+    far = [c for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    kinds = [lambda: rng.choice("abcdefghij"), lambda: rng.choice(vocabulary), lambda: rng.choice("aAB'stlre .,!0½Σ漢\n\t\xa0<|>"), lambda: rng.choice(near), lambda: chr(rng.choice(far))]
+    return ["".join(kind() for _ in range(rng.randint(0, 24))) for kind in (rng.choice(kinds) for _ in range(n))]
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_many_strings_equal_the_library(path):
+    texts = strings(11, 20_000)
+    want = [e.ids for e in LIBRARY[path].encode_batch_fast(texts, add_special_tokens=False)]
+    if path == WORD:
+        assert np.concatenate(list(COUNTER.count(texts))).tolist() == list(map(len, want))
+    else:
+        got = [x.tolist() for _, _, ids, counts in CODEC.encode(texts) for x in np.split(ids, np.cumsum(counts)[:-1])]
+        assert got == want
+
+
+def test_tokens_apart_are_those_that_merging_leaves():
+    rng, m = random.Random(4), COUNTER.merges
+    inner = list(COUNTER.inner.items())
+    for _ in range(3000):
+        (a, i), (b, j) = rng.choice(inner), rng.choice(inner)
+        symbols = np.frombuffer(a + b + b"x", dtype=np.uint8)
+        # without the last symbol, which is of another kind, no word end takes part
+        ids = list(m.first[symbols[:-1]])
+        while True:
+            ranks = [m.ranks.get(int(x) << 16 | int(y), 1 << 40) for x, y in zip(ids, ids[1:])]
+            if not ranks or min(ranks) == 1 << 40:
+                break
+            at = ranks.index(min(ranks))
+            ids[at : at + 2] = [int(m.made[ranks[at]])]
+        assert COUNTER.apart(i, j) == (ids == [i, j])
+
+
+def test_states_are_few_and_transitions_emit():
+    machine = token_counts.Transducer(WORD)
+    list(machine.count(["the cat sat on the mat " * 50]))
+    assert 1 < len(machine.states) < 60 and machine.table.size < 60
+    moves = machine.table.values[machine.table.keys >= 0]
+    finals = machine.table.keys[machine.table.keys >= 0] % 512 >= 256
+    assert (moves[finals] >> 16 == token_counts.START).all() and (moves[finals] & 0xFFFF > 0).all()
+
+
+@pytest.mark.parametrize("text", ["a" * 300_000, "ab" * 100_000, "the " * 100_000, "!" * 100_000, "é" * 50_000, "1" * 50_000])
+def test_long_words_are_counted_in_proportion(text):
+    began = time.time()
+    assert int(next(COUNTER.count([text]))[0]) == len(LIBRARY[WORD].encode(text, add_special_tokens=False).ids)
+    assert time.time() - began < 20
+
+
+def test_words_whose_states_would_grow_are_merged(monkeypatch):
+    monkeypatch.setattr(token_counts, "PENDING", 3)
+    machine = token_counts.Transducer(WORD)
+    texts = ["internationalization of xylophones", "", "plain"]
+    assert next(machine.count(texts)).tolist() == [len(LIBRARY[WORD].encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_other_vocabularies_are_refused():
+    with pytest.raises(ValueError):
+        token_counts.Transducer(BYTE)
+
+
 def test_lone_and_lockstep_trees_agree():
     merges = CODEC.merges
     words = [b"tionthetion" * 5, b"aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", b"a", "naïveté".encode()]
@@ -64,6 +132,8 @@ def test_lone_and_lockstep_trees_agree():
 @pytest.mark.parametrize("chunk", [1, 3, 7, 1 << 16])
 def test_chunk_maps_compose(monkeypatch, chunk):
     monkeypatch.setattr(token_counts, "CHUNK", chunk)
+    together = next(COUNTER.count(ODD)).tolist()
+    assert together == [len(LIBRARY[WORD].encode(t, add_special_tokens=False).ids) for t in ODD]
     for text in ODD:
         assert int(next(COUNTER.count([text]))[0]) == len(LIBRARY[WORD].encode(text, add_special_tokens=False).ids), text
 

@@ -3,7 +3,12 @@
 The trees' planes are fitted on the driver on a bounded sample (``SAMPLE`` vectors of the smallest id hash): each
 node is halved at the median along the line through two of its vectors. Every vector is then indexed, in one leaf
 of each tree. A query searches all trees through one priority queue, ordered by the farthest it is on the wrong
-side of a plane on the way, and visits a share of the leaves; vectors in these are reranked by exact distance.
+side of a plane on the way. How many leaves it visits is measured: as many as find ``TARGET`` of the nearest vectors
+of ``PROBES`` vectors, which one pass compares with the whole table; clustered tables need few, shapeless ones many.
+
+Leaves that grow beyond ``SMALL`` vectors branch on in the tasks that hold them, by planes through their own vectors,
+and a query follows every branch that lies no farther on the wrong side than the last leaf its queue gave. What it
+reaches is reranked by exact distance.
 
 Equal vectors are equally near to anything, so of each distinct vector only the rows that could be among the
 nearest go through the index (k of them and one more, smallest ids first); equal queries are searched once.
@@ -12,21 +17,25 @@ nearest go through the index (k of them and one more, smallest ids first); equal
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .storage import materialise
 
-SAMPLE, TREES, LEAF, MAX_LEAVES, SEED = 16_384, 8, 40, 1024, 11
-#: Share of all leaves that a query visits, chosen for a recall of 0.9 on vectors without much structure.
-VISIT_SHARE = 0.11
-#: Vectors of a leaf that one task compares at a time; larger leaves are dealt out.
-LEAF_ROWS = 4096
-#: Candidates that a task holds before it keeps the nearest of each query only.
-HELD = 1_000_000
+SAMPLE, TREES, LEAF, MAX_LEAVES, SEED = 16_384, 4, 40, 4096, 11
+#: Share of the nearest that visits must find, and how many of the sample's vectors are asked for that.
+TARGET, PROBES = 0.95, 128
+#: Leaves of a forest that is searched whole, and visits at least in a larger one.
+SEARCHED_WHOLE, LEAST_VISITS = 64, 16
+#: Vectors of a leaf that one task holds; larger leaves are dealt out. Above SMALL they branch on, down to so many.
+LEAF_ROWS, SMALL, BRANCHED = 32_768, 512, 128
+#: Candidates that a task holds before it keeps the nearest of each query only, and distances computed at once.
+HELD, DISTANCES = 1_000_000, 2_000_000
 
 
 class Tree:
@@ -57,22 +66,52 @@ class Tree:
         return node - (1 << self.depth)
 
 
+    def margins(self, x: np.ndarray) -> np.ndarray:
+        """Of each leaf, the farthest that the query x is on the wrong side of a plane on the way."""
+        side = self.planes @ x - self.cuts
+        m = np.zeros(1)
+        for level in range(self.depth):
+            s = side[1 << level : 2 << level]
+            m = np.stack([np.where(s > 0, np.maximum(m, s), m), np.where(s > 0, m, np.maximum(m, -s))], axis=1).ravel()
+        return m
+
+    def within(self, x: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query, leaf) of all leaves that are no farther on the wrong side of a plane than the query's bound."""
+        query, node = np.arange(len(x)), np.ones(len(x), dtype=np.int64)
+        for _ in range(self.depth):
+            side = np.einsum("ij,ij->i", x[query], self.planes[node]) - self.cuts[node]
+            near = 2 * node + (side > 0)
+            far = np.abs(side) <= bounds[query]
+            query, node = np.concatenate([query, query[far]]), np.concatenate([near, near[far] ^ 1])
+        return query, node - (1 << self.depth)
+
+
 class Forest:
     def __init__(self, sample: np.ndarray, rows: int):
         depth = max(0, int(np.log2(min(MAX_LEAVES, max(1, rows // LEAF), max(1, len(sample) // 4)))))
         rng = np.random.default_rng(SEED)
         self.leaf_count = 1 << depth
         self.trees = [Tree(sample, depth, rng) for _ in range(TREES)]
-        self.visits = min(TREES * self.leaf_count, max(64, int(np.ceil(VISIT_SHARE * TREES * self.leaf_count))))
+        self.visits = TREES * self.leaf_count
 
     def index(self, x: np.ndarray) -> np.ndarray:
         """Leaf of each vector in each tree, numbered through the forest."""
         return np.stack([t * self.leaf_count + tree.leaves(x) for t, tree in enumerate(self.trees)], axis=1)
 
-    def search(self, x: np.ndarray) -> np.ndarray:
-        """Leaves that the query x visits, nearest margin first, over all trees."""
+    def measure(self, probes: np.ndarray, found: np.ndarray, leaves: np.ndarray) -> None:
+        """Set the visits so that TARGET of some near vectors are found: found names each one's probe, leaves where it lies."""
+        needed = np.zeros(len(found), dtype=np.int64)
+        for i in np.unique(found).tolist():
+            place = np.empty(TREES * self.leaf_count, dtype=np.int64)
+            place[np.argsort(np.concatenate([t.margins(probes[i]) for t in self.trees]), kind="stable")] = np.arange(len(place))
+            needed[found == i] = place[leaves[found == i]].min(axis=1) + 1
+        enough = int(np.sort(needed)[min(len(needed) - 1, int(np.ceil(TARGET * len(needed))))]) if len(needed) else 1
+        self.visits = min(TREES * self.leaf_count, max(LEAST_VISITS, enough))
+
+    def search(self, x: np.ndarray) -> tuple[np.ndarray, float]:
+        """Leaves that the query x visits, nearest margin first over all trees, and the last one's margin."""
         sides = [(tree.planes @ x - tree.cuts).tolist() for tree in self.trees]
-        heap, found = [(0.0, t, 1) for t in range(TREES)], []
+        heap, found, margin = [(0.0, t, 1) for t in range(TREES)], [], 0.0
         while heap and len(found) < self.visits:
             margin, t, node = heapq.heappop(heap)
             side = sides[t]
@@ -82,7 +121,45 @@ class Forest:
                 heapq.heappush(heap, (max(margin, abs(m)), t, near ^ 1))
                 node = near
             found.append(t * self.leaf_count + node - self.leaf_count)
-        return np.array(found, dtype=np.int64)
+        return np.array(found, dtype=np.int64), margin if heap else np.inf
+
+
+def compare(p: np.ndarray, ids: np.ndarray, q: np.ndarray, bounds: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows (query, id, distance) of the k nearest of some vectors p (ids ascend) to each query q, among those that its bound lets it reach."""
+    if len(p) > SMALL:
+        tree = Tree(p, int(np.log2(len(p) / BRANCHED)), np.random.default_rng(SEED))
+        query, leaf = tree.within(q, bounds)
+        if 2 * len(query) < len(q) << tree.depth:
+            own, order = tree.leaves(p), np.argsort(leaf, kind="stable")
+            at = np.searchsorted(leaf[order], np.arange((1 << tree.depth) + 1))
+            for i in np.unique(leaf).tolist():
+                rows, asked = np.flatnonzero(own == i), query[order[at[i] : at[i + 1]]]
+                if len(rows):
+                    for x, y, d in _nearest_of(p[rows], q[asked], k):
+                        yield asked[x], ids[rows[y]], d
+            return
+    for x, y, d in _nearest_of(p, q, k):
+        yield x, ids[y], d
+
+
+def _nearest_of(p: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places (in q, in p) and distances of the k nearest, ties to the first; products of matrices leave few to be computed exactly."""
+    sizes = (p**2).sum(axis=1)
+    for at in range(0, len(q), max(1, DISTANCES // len(p))):
+        some = q[at : at + max(1, DISTANCES // len(p))]
+        near = sizes - 2 * some @ p.T
+        if len(p) > k:
+            own = (some**2).sum(axis=1)
+            slack = 1e-12 * (own + sizes.max()) * (4 + p.shape[1])
+            x, y = np.nonzero(near <= (np.partition(near, k - 1, axis=1)[:, k - 1] + slack)[:, None])
+        else:
+            x, y = (i.ravel() for i in np.indices(near.shape))
+        d = np.sqrt(((some[x] - p[y]) ** 2).sum(axis=1))
+        order = np.lexsort((y, d, x))
+        x, y, d = x[order], y[order], d[order]
+        first = np.searchsorted(x, x)
+        kept = np.arange(len(x)) - first < k
+        yield x[kept] + at, y[kept], d[kept]
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -117,21 +194,39 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     one = asked.groupBy("v").agg(F.min("vec_id").alias("query"))
     sample = points.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
     forest = Forest(np.stack(sample["v"]), total)
+    if forest.leaf_count * TREES > SEARCHED_WHOLE:
+        probes, probe_ids = np.stack(sample["v"].iloc[:PROBES]), sample["vec_id"].to_numpy()[:PROBES]
+
+        def nearest_of_probes(batches):
+            for pdf in batches:
+                if len(pdf):
+                    x, ids = np.stack(pdf["v"]), pdf["vec_id"].to_numpy()
+                    i, j, d = (np.concatenate(c) for c in zip(*_nearest_of(x, probes, k + 1)))
+                    other = ids[j] != probe_ids[i]
+                    i, j, d = i[other], j[other], d[other]
+                    yield pd.DataFrame({"probe": i, "vec_id": ids[j], "d": d, "leaves": list(forest.index(x[j]))})
+
+        near = points.mapInPandas(nearest_of_probes, "probe int, vec_id long, d double, leaves array<long>")
+        near = near.withColumn("r", F.row_number().over(Window.partitionBy("probe").orderBy("d", "vec_id"))).where(F.col("r") <= k).toPandas()
+        forest.measure(probes, near["probe"].to_numpy(), np.stack(near["leaves"]) if len(near) else np.zeros((0, TREES), dtype=np.int64))
     shares = -(-total // (forest.leaf_count * LEAF_ROWS))
+    # vectors of single precision are moved as such: doubles of them hold nothing more
+    packed = "<f4" if getattr(vectors.schema[vec_col].dataType, "elementType", None) == T.FloatType() else "<f8"
 
     def leaves(batches):
         for pdf in batches:
             if len(pdf):
                 found = forest.index(np.stack(pdf["v"]))
-                yield pd.DataFrame({"leaf": found.ravel(), "query": False, "id": np.repeat(pdf["vec_id"].to_numpy(), TREES), "v": [np.asarray(x, dtype="<f8").tobytes() for x in pdf["v"] for _ in range(TREES)]})
+                data = [np.asarray(x, dtype=packed).tobytes() for x in pdf["v"]]
+                yield pd.DataFrame({"leaf": found.ravel(), "query": False, "id": np.repeat(pdf["vec_id"].to_numpy(), TREES), "bound": 0.0, "v": np.repeat(np.array(data, dtype=object), TREES)})
 
     def visits(batches):
         for pdf in batches:
             for i, x in zip(pdf["query"], pdf["v"]):
-                found = forest.search(np.asarray(x, dtype=float))
-                yield pd.DataFrame({"leaf": found, "query": True, "id": i, "v": [np.asarray(x, dtype="<f8").tobytes()] * len(found)})
+                found, bound = forest.search(np.asarray(x, dtype=float))
+                yield pd.DataFrame({"leaf": found, "query": True, "id": i, "bound": bound, "v": [np.asarray(x, dtype=packed).tobytes()] * len(found)})
 
-    schema = "leaf long, query boolean, id long, v binary"
+    schema = "leaf long, query boolean, id long, bound double, v binary"
     placed = points.mapInPandas(leaves, schema).withColumn("share", F.pmod(F.xxhash64("id"), F.lit(shares)))
     visited = one.mapInPandas(visits, schema).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
     dealt = placed.unionByName(visited).repartition("leaf", "share").sortWithinPartitions("leaf", "share", "query", "id")
@@ -139,27 +234,21 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     def rerank(batches):
         held, size, rest = [], 0, None
 
-        def compare(group: pd.DataFrame):
-            asks = group["query"].to_numpy(dtype=bool)
-            n = int((~asks).sum())
+        def reranked(group: pd.DataFrame):
+            n = int((~group["query"].to_numpy(dtype=bool)).sum())
             if not n or n == len(group):
                 return
-            x = np.frombuffer(b"".join(group["v"]), dtype="<f8").reshape(len(group), -1)
-            ids = group["id"].to_numpy()
-            p, pid = x[:n], ids[:n]
-            step = max(1, 2_000_000 // (n * x.shape[1]))
-            for at in range(n, len(group), step):
-                q, qid = x[at : at + step], ids[at : at + step]
-                d = np.sqrt(((q[:, None, :] - p[None, :, :]) ** 2).sum(axis=2))
-                best = np.argsort(d, axis=1, kind="stable")[:, : k + 1]  # ids ascend, so ties stay with the smaller
-                yield pd.DataFrame({"query": np.repeat(qid, best.shape[1]), "vec_id": pid[best].ravel(), "score": np.take_along_axis(d, best, axis=1).ravel()})
+            x = np.frombuffer(b"".join(group["v"]), dtype=packed).reshape(len(group), -1).astype(float)
+            ids, bounds = group["id"].to_numpy(), group["bound"].to_numpy()
+            for query, vec, d in compare(x[:n], ids[:n], x[n:], bounds[n:], k + 1):
+                yield pd.DataFrame({"query": ids[n:][query], "vec_id": vec, "score": d})
 
         for pdf in batches:
             pdf = pd.concat([rest, pdf], ignore_index=True) if rest is not None else pdf
             key = pdf[["leaf", "share"]].to_numpy()
             starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)])) if len(pdf) else np.zeros(0, int)
             for a, b in zip(starts[:-1], starts[1:]):
-                for found in compare(pdf.iloc[a:b]):
+                for found in reranked(pdf.iloc[a:b]):
                     held.append(found)
                     size += len(found)
                     if size > HELD:
@@ -170,7 +259,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
                             size = 0
             rest = pdf.iloc[starts[-1] :] if len(starts) else pdf
         if rest is not None and len(rest):
-            held += list(compare(rest))
+            held += list(reranked(rest))
         if held:
             yield _nearest(pd.concat(held), k + 1)
 

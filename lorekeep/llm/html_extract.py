@@ -11,18 +11,17 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Markup in page order: comments, elements whose text is never shown, declarations, tags, text.
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|math|textarea|select|object|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>.*?(?:</\1\s*>|\Z))"
-    r"|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|([^<]+|<)",
-    re.S | re.I,
-)
+#: Elements whose text is never shown, and the start of a tag.
+UNSHOWN = frozenset("script style noscript template iframe svg math textarea select object title".split())
+TAG = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+TAG_MARK = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，！？、]")
 
@@ -30,24 +29,30 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Tags whose opening ends an open one of the given names, and how far out that reaches.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-#: Elements, roles and words in classes or ids that mark what isn't the article.
+#: How far out an open element is looked for that a new one ends.
+REACH = 64
+#: Elements and roles that mark what isn't the article, and words in classes or ids that do.
 ASIDE_TAGS = frozenset("nav footer aside form head dialog menu button fieldset".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 ASIDE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup "
-    "sidebar side aside widget widgets related recommended share sharing social breadcrumb breadcrumbs pagination pager menu nav navbar navigation topbar toolbar masthead header footer "
-    "comment comments respond reply replies disqus login search skip legal copyright".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr popup modal overlay newsletter subscribe signup "
+    "sidebar widget widgets related recommended share sharing social breadcrumb breadcrumbs pagination pager menu nav navbar navigation topbar toolbar masthead header footer "
+    "comment comments respond reply replies disqus login".split()
 )
+#: Words that mark it unless the ratios say otherwise, and how much more prose than the rest such parts must hold.
+DOUBTFUL_WORDS, OVERRULE = frozenset("banner notice alert side aside search skip legal copyright".split()), 4.0
 MAIN_TAGS, MAIN_WORDS = frozenset(("article", "main")), frozenset("article main content post entry story".split())
 #: Share of the best path's score from which a path is content, and weight of a block's neighbours in smoothing.
 SHARE, NEIGHBOUR = 0.25, 0.25
 
 
 class Element:
-    __slots__ = ("tag", "parent", "path", "aside", "main")
+    """An open or closed element; elements are numbered in page order and hold those up to ``last``."""
+
+    __slots__ = ("tag", "parent", "path", "aside", "doubtful", "main", "number", "last")
 
-    def __init__(self, tag: str, parent: Element | None, attributes: str):
-        self.tag, self.parent = tag, parent
+    def __init__(self, tag: str, parent: Element | None, attributes: str, number: int, paths: dict[tuple[int, str], int]):
+        self.tag, self.parent, self.number, self.last = tag, parent, number, number
         words: set[str] = set()
         aside = tag in ASIDE_TAGS
         inside = parent is not None and parent.main
@@ -63,19 +68,79 @@ class Element:
                 elif name != "aria-hidden":
                     words.update(re.split(r"[^a-z0-9]+", value))
                     label += "." + value.replace(" ", ".") if name == "class" else ""
-        if words & ASIDE_WORDS and tag not in ("html", "body", "article", "main"):
-            aside = True
-        if tag == "header" and not inside:
+        named = tag not in ("html", "body", "article", "main")
+        if words & ASIDE_WORDS and named or tag == "header" and not inside:
             aside = True
         self.main = inside or main or bool(words & MAIN_WORDS and tag not in ("html", "body"))
         self.aside = aside or (parent is not None and parent.aside)
-        self.path = (parent.path + "/" if parent is not None else "") + label
+        self.doubtful = named and bool(words & DOUBTFUL_WORDS) or (parent is not None and parent.doubtful)
+        self.path = paths.setdefault((parent.path if parent is not None else -1, label), len(paths))
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str | None]]:
+    """Tags and texts in page order: ("", name, attributes), ("/", name, "") or (text, "", None). Comments, declarations and elements that are never shown are left out.
+
+    In linear time: what isn't closed is looked for once. Where the quotes in a tag never end, tags from there on end
+    at the next ">"; without one, "<" is text.
+    """
+    at, size = 0, len(page)
+    quoted, missing = True, set()
+
+    def tag_end(start: int) -> int:
+        nonlocal quoted
+        i = start
+        while quoted:
+            mark = TAG_MARK.search(page, i)
+            if mark is None:
+                break
+            if mark[0] == ">":
+                return mark.start()
+            i = -1 if mark[0] in missing else page.find(mark[0], mark.end()) + 1
+            if i <= 0:
+                missing.add(mark[0])
+                return page.find(">", start)
+        quoted = False
+        return page.find(">", start)
+
+    while at < size:
+        start = page.find("<", at)
+        if start < 0 or "end" in missing:
+            hidden = re.search("<[!?]", page[at:]) if start >= 0 else None
+            yield page[at : at + hidden.start() if hidden else size], "", None
+            return
+        if start > at:
+            yield page[at:start], "", None
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = size if end < 0 else end + 3
+            continue
+        if page.startswith(("<!", "<?"), start):
+            end = page.find(">", start)
+            at = size if end < 0 else end + 1
+            continue
+        tag = TAG.match(page, start + 1)
+        end = tag_end(tag.end()) if tag else -1
+        if end < 0:
+            if tag:
+                missing.add("end")  # no ">" is left
+            yield "<", "", None
+            at = start + 1
+            continue
+        name, attributes, at = tag[2].lower(), page[tag.end() : end], end + 1
+        if name in UNSHOWN and not tag[1]:
+            if not attributes.endswith("/"):
+                closed = re.compile(f"</{name}\\s*>", re.I).search(page, at)
+                at = size if closed is None else closed.end()
+            continue
+        yield tag[1], name, attributes
 
 
 def blocks(page: str) -> list[tuple[Element, str, int]]:
     """Blocks of text in page order: the element that holds them, the text, and characters of it in links."""
-    root = Element("", None, "")
-    at, out, text, linked, in_link = root, [], [], 0, 0
+    paths: dict[tuple[int, str], int] = {}
+    root = Element("", None, "", 0, paths)
+    at, out, text, linked, in_link, made = root, [], [], 0, 0, 0
+    opened: dict[str, int] = {}
 
     def close() -> None:
         nonlocal linked
@@ -86,64 +151,75 @@ def blocks(page: str) -> list[tuple[Element, str, int]]:
             text.clear()
         linked = 0
 
-    for token in TOKEN.finditer(page):
-        end, name, attributes, words = token.group(2, 3, 4, 5)
-        if words is not None:
-            text.append(words)
+    def leave(to: Element) -> None:
+        """Close the open elements below to."""
+        nonlocal at
+        while at is not to:
+            at.last = made
+            opened[at.tag] -= 1
+            at = at.parent
+
+    for end, name, attributes in tokens(page):
+        if attributes is None:
+            text.append(end)
             if in_link:
-                linked += len(words)
-            continue
-        if name is None:
-            continue
-        name = name.lower()
-        if name == "br":
+                linked += len(end)
+        elif name == "br":
             text.append(" ")
         elif name in INLINE:
             if name == "a":
                 in_link = 0 if end else 1
         elif end:
             close()
-            x = at
-            while x is not root and x.tag != name:
-                x = x.parent
-            if x is not root:
-                at = x.parent
+            if opened.get(name):
+                x = at
+                while x.tag != name:
+                    x = x.parent
+                leave(x.parent)
             in_link = 0
         else:
             close()
             if at.tag == "p" or re.fullmatch("h[1-6]", at.tag) and re.fullmatch("h[1-6]", name):
-                at = at.parent
+                leave(at.parent)
             if name in ENDS:
                 ended, limit = ENDS[name]
-                x = at
-                while x is not root and x.tag not in limit:
+                x, to = at, at
+                for _ in range(REACH):
+                    if x is root or x.tag in limit:
+                        break
                     if x.tag in ended:
-                        at = x.parent
-                        if name not in ("tr",):
+                        to = x.parent
+                        if name != "tr":
                             break
                     x = x.parent
-            if name not in VOID and not (attributes or "").endswith("/"):
-                at = Element(name, at, attributes or "")
+                leave(to)
+            if name not in VOID and not attributes.endswith("/"):
+                made += 1
+                at = Element(name, at, attributes, made, paths)
+                opened[name] = opened.get(name, 0) + 1
     close()
+    leave(root)
+    root.last = made
     return out
 
 
-def path_scores(found: list[tuple[Element, str, int]]) -> dict[str, float]:
-    """Fused, smoothed ratio of every path that isn't aside."""
-    total: dict[str, list[float]] = {}
+def path_scores(found: list[tuple[Element, str, int]], apart: list[bool]) -> tuple[dict[int, float], list[float]]:
+    """Fused, smoothed ratio of every path, from the blocks that aren't set apart, and the ratio of each block's path."""
+    total: dict[int, list[float]] = {}
     for element, text, linked in found:
         sums = total.setdefault(element.path, [0, 0, 0, 0])
         for i, v in enumerate((len(text), len(PUNCTUATION.findall(text)), linked, 1)):
             sums[i] += v
     ratio = {p: 0.0 if n == 0 else (chars / n) * (1 + marks / n) * (1 - links / max(1, chars)) for p, (chars, marks, links, n) in total.items()}
-    own = np.array([0.0 if e.aside else ratio[e.path] for e, _, _ in found])
+    plain = [ratio[e.path] for e, _, _ in found]
+    own = np.array([0.0 if x else r for x, r in zip(apart, plain)])
     around = np.concatenate([[0.0], own, [0.0]])
     smooth = NEIGHBOUR * (around[:-2] + around[2:]) + (1 - 2 * NEIGHBOUR) * own
-    fused: dict[str, list[float]] = {}
-    for (element, _, _), value in zip(found, np.sqrt(smooth * np.maximum(own, 1e-9)).tolist()):
-        if not element.aside:
+    fused: dict[int, list[float]] = {}
+    for (element, _, _), x, value in zip(found, apart, np.sqrt(smooth * np.maximum(own, 1e-9)).tolist()):
+        if not x:
             fused.setdefault(element.path, []).append(value)
-    return {p: sum(v) / len(v) for p, v in fused.items()}
+    return {p: sum(v) / len(v) for p, v in fused.items()}, plain
 
 
 def main_text(page: str | None) -> str:
@@ -151,33 +227,26 @@ def main_text(page: str | None) -> str:
     found = blocks(page or "")
     if any(e.main and not e.aside for e, _, _ in found):
         found = [b for b in found if b[0].main]
-    scores = path_scores(found)
+    apart = [e.aside or e.doubtful for e, _, _ in found]
+    scores, ratios = path_scores(found, apart)
+    # a doubtful name is overruled where nearly all prose stands below it
+    doubted = sum(r for (e, _, _), r in zip(found, ratios) if e.doubtful and not e.aside)
+    if doubted > OVERRULE * sum(r for r, x in zip(ratios, apart) if not x):
+        apart = [e.aside for e, _, _ in found]
+        scores, _ = path_scores(found, apart)
     if not scores:
         return ""
     least = SHARE * max(scores.values())
-    chosen = [b for b in found if not b[0].aside and scores[b[0].path] >= least]
-    lines = [_line(b[0]) for b in chosen]
-    common = lines[0]
-    for line in lines[1:]:
-        n = 0
-        while n < min(len(common), len(line)) and common[n] is line[n]:
-            n += 1
-        common = common[:n]
-    holder = common[-1]
+    shown = [b for b, x in zip(found, apart) if not x]
+    chosen = [e for e, _, _ in shown if scores[e.path] >= least]
+    holder, last = min(chosen, key=lambda e: e.number), max(e.number for e in chosen)
+    while holder.last < last:
+        holder = holder.parent
     if holder.tag in ("", "html", "body"):
-        return "\n".join(t for e, t, _ in found if not e.aside and (scores[e.path] >= least or re.fullmatch("h[1-6]", e.tag)))
+        return "\n".join(t for e, t, _ in shown if scores[e.path] >= least or re.fullmatch("h[1-6]", e.tag))
     if not re.fullmatch("article|main|div|section|td", holder.tag) and holder.parent is not None and holder.parent.tag not in ("", "html", "body"):
         holder = holder.parent  # a lone paragraph's heading stands beside it
-    return "\n".join(t for e, t, _ in found if not e.aside and holder in _line(e))
-
-
-def _line(element: Element) -> list[Element]:
-    """From the root to the element."""
-    out = []
-    while element is not None:
-        out.append(element)
-        element = element.parent
-    return out[::-1]
+    return "\n".join(t for e, t, _ in shown if holder.number <= e.number <= holder.last)
 
 
 def extract_main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -162,6 +162,61 @@ def test_recall_on_more_vectors(spark):
     assert hits >= 0.9 * 300
 
 
+def clustered(n, d=16, seed=5):
+    rng = np.random.default_rng(seed)
+    return rng.normal(size=(n // 75, d))[rng.integers(0, n // 75, n)] + 0.1 * rng.normal(size=(n, d))
+
+
+def test_leaves_that_branch_on_keep_the_recall(monkeypatch, spark):
+    monkeypatch.setattr(ann, "SAMPLE", 512)
+    monkeypatch.setattr(ann, "SMALL", 40)
+    monkeypatch.setattr(ann, "BRANCHED", 10)
+    monkeypatch.setattr(ann, "LEAF_ROWS", 60)
+    x, ids = clustered(6000), np.arange(6000)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    x = x.astype(np.float32).astype(float)
+    got = ann.search(frame, frame.where("vec_id % 100 = 0")).toPandas()
+    hits = 0
+    for q in range(0, 6000, 100):
+        mine = got[got.query_id == q].sort_values("rank")
+        hits += len({i for i, _ in nearest(ids, x, q, 10)} & set(mine.vec_id))
+        assert np.allclose(mine.score, np.sqrt(((x[mine.vec_id] - x[q]) ** 2).sum(axis=1)), rtol=1e-12)
+    assert hits >= 0.9 * 600
+
+
+def test_clustered_vectors_need_few_leaves_and_bounds_let_few_through():
+    x = clustered(40_000, 32)
+    forest = ann.Forest(x[:8000], len(x))
+    leaves, probes = forest.index(x), x[:64]
+    near = [np.argsort(((x - q) ** 2).sum(axis=1))[1:11] for q in probes]
+    forest.measure(probes, np.repeat(np.arange(64), 10), leaves[np.concatenate(near)])
+    seen = hits = 0
+    for q in range(1000, 1100):
+        found, bound = forest.search(x[q])
+        at = np.isin(leaves, found).any(axis=1)
+        seen += at.sum()
+        hits += at[np.argsort(((x - x[q]) ** 2).sum(axis=1))[1:11]].sum()
+        assert len(found) == forest.visits and bound < np.inf
+    assert seen < 0.05 * 100 * len(x) and hits > 900
+
+
+def test_leaves_within_a_bound_are_those_of_that_margin():
+    x = clustered(2000)
+    tree = ann.Tree(x, 5, np.random.default_rng(1))
+    bounds = np.linspace(0, 2, 20)
+    query, leaf = tree.within(x[:20], bounds)
+    for i in range(20):
+        assert sorted(leaf[query == i]) == np.flatnonzero(tree.margins(x[i]) <= bounds[i]).tolist()
+
+
+def test_exact_nearest_of_few_and_equal_vectors():
+    x = np.array([[1.0, 0], [1, 0], [0, 1], [1, 1e-9], [5, 5]])
+    (i, j, d), = ann._nearest_of(x, x[:1], 3)
+    assert i.tolist() == [0, 0, 0] and j.tolist() == [0, 1, 3] and d.tolist() == [0, 0, 1e-9]
+    (_, j, _), = ann._nearest_of(x[:2], x[:1], 9)
+    assert j.tolist() == [0, 1]
+
+
 def test_copies_ties_and_odd_vectors(spark):
     rows = [(i, [1.0, 0.0]) for i in range(100, 130)] + [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [float("inf"), 1.0]), (7, [1.0]), (None, [1.0, 0.0]), (1, [0.0, 1.0])]
     frame = spark.createDataFrame([(*r, "v", 1) for r in rows], "vec_id long, embedding array<double>, v string, leaf int")

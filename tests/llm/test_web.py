@@ -3,6 +3,8 @@
 import base64
 import gzip
 import hashlib
+import time
+import tracemalloc
 
 import pytest
 
@@ -103,6 +105,48 @@ def test_pages(page, want):
     assert html_extract.main_text(page) == want
 
 
+PROSE = "<p>" + "The river rose again, and people moved to higher ground. " * 6 + "</p>"
+SHORT = "<ul>" + "<li><a href='#'>item</a></li>" * 8 + "</ul>"
+
+
+@pytest.mark.parametrize("name", ["legal", "search-results", "notice", "copyright", "side"])
+def test_ratios_overrule_doubtful_names(name):
+    page = f"<body><div class='x1'>{SHORT}</div><div class='{name}'><h1>Title</h1>{PROSE * 4}</div><div class='x2'>{SHORT}</div></body>"
+    assert html_extract.main_text(page).count("The river rose") == 24
+    beside = f"<body><div class='x1'><h1>Title</h1>{PROSE * 4}</div><div class='{name}'><p>Read our terms, please.</p></div></body>"
+    assert "terms" not in html_extract.main_text(beside) and html_extract.main_text(beside).count("The river rose") == 24
+
+
+def test_pages_without_telling_names():
+    page = f"<body><div class='a'>{SHORT}</div><div class='b'><div class='c'><h1>Title</h1>{PROSE * 5}</div></div><div class='d'>{SHORT}<p>Fine.</p></div></body>"
+    got = html_extract.main_text(page)
+    assert got.startswith("Title\nThe river") and got.count("The river rose") == 30 and "item" not in got and "Fine." not in got
+
+
+@pytest.mark.parametrize("name", ["comments", "cookie-consent", "sidebar", "related"])
+def test_prose_below_firm_names_stays_out(name):
+    page = f"<body><div><h1>Title</h1>{PROSE}</div><div class='{name}'>{PROSE.replace('river', 'lake') * 6}</div></body>"
+    assert "lake" not in html_extract.main_text(page)
+
+
+@pytest.mark.parametrize(
+    "unit", ["<x", "<a '", "<a \"", "<a '>", "<a \">\"", "<!--", "<script>", "</script ", "<div>", "<li>", "</p>", "<div><li>", "<td><div>", "<p class='a b'>x, y.", "<a class=", "&amp", "<x <!--", "<ul><li><div>"]
+)
+def test_malformed_and_deep_pages_take_linear_time(unit):
+    html_extract.main_text(unit * 10)
+    tracemalloc.start()
+    began = time.process_time()
+    html_extract.main_text(unit * min(100_000, 600_000 // len(unit)))
+    took, (_, peak) = time.process_time() - began, tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert took < 20 and peak < 400_000_000  # memory tracing slows it down several times
+
+
+def test_unclosed_markup_is_text_or_hidden():
+    assert html_extract.main_text("<p>a <b x") == "a <b x" and html_extract.main_text("<p>a <b <!-- no") == "a <b"
+    assert html_extract.main_text("<p>a <i title='x>y</i> b, c</p>") == "a y b, c"
+
+
 def test_long_and_clashing_pages(spark):
     rows = [(1, "u", "<p>" + "word, word. " * 50000, "old", 3), (1, "u", None, "old", 3), (None, None, "<p>x", None, None)]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")

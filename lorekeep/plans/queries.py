@@ -10,22 +10,8 @@ from ..operators import align, etl, facets, fulltext, glossary, logs, options, q
 from ..sources import corpus
 from ..sources.corpus import ENTRIES_SQL, GLOSSARY_SQL, LOG_SQL, SOURCES_SQL, table
 from ..streaming import gates
+from .registry import NORM, ORACLE_SQL, QUERIES, query
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-NORM = "lower(strip_accents(trim({})))"
 SEARCHES = [(1, "the of"), (2, "therea"), (3, "für"), (4, "and tion"), (5, "la"), (6, "th in er"), (7, "queue"), (8, "")]
 
 
@@ -283,7 +269,7 @@ def anagram_repairs(spark, sf_dir):
     return align.anagram_repairs(n.select(F.reverse("name").alias("name")), n)
 
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '(?i)<br\\s*/?>', chr(10), 'g'), chr(160), ' ', 'g'), '[ \\t]+', ' ', 'g')) AS body FROM documents WHERE NOT contains(text, chr(173))")
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(173), ''), '(?i)<br\\s*/?>', chr(10), 'g'), chr(160), ' ', 'g'), '[ \\t]+', ' ', 'g')) AS body FROM documents ")
 def cleaned_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", etl.cleaned(F.col("text")).alias("body"))
 
@@ -539,3 +525,6 @@ def usage_ratios(spark, sf_dir):
     rows = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     cached, tokens = F.sum(F.col("o_custkey") % 10), F.sum("o_custkey")
     return rows.groupBy(F.col("n_name").alias("tool")).agg(F.count("*").alias("calls"), tokens.alias("input_tokens"), cached.alias("cached_tokens"), F.round(cached / F.nullif(tokens, F.lit(0)), 6).alias("hit_ratio"))
+
+
+from . import facet_queries  # noqa: E402, F401  registers its queries

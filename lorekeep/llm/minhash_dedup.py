@@ -377,15 +377,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     Documents are linked where 100 * shared >= percent * all of their shingles; component_id is the least id that a
     document reaches by links, and kept holds for that document alone. Texts that are null or hold no word have the
     empty set and are linked with nothing. Rows with a null id take no part: their component is null and they are
-    kept. Rows that repeat an id are one node; of its texts, any may confirm a link. Further columns are ignored.
+    kept. Rows that repeat an id all get what its least text gives. Further columns are ignored.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    source, copies = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), None
+    if repeats(source):
+        copies = materialise(source.where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text"), F.count("*").alias("rows")), "texts")
+        source = copies.select("doc_id", "text").unionByName(source.where("doc_id is null"))
     marked = materialise(signatures(source, k, "doc_id"), "signatures")
     twice = marked.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
     members = materialise(marked.join(materialise(twice, "twice").hint("merge"), "key", "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))).drop("key"), "members")
     reps, texts = members.where("n > 0 and doc_id = rep").select("doc_id", "n", "sig", "tokens"), source
-    if repeats(members):
-        reps, texts = materialise(reps.dropDuplicates(["doc_id"]), "reps"), source.where("doc_id is not null").dropDuplicates(["doc_id"])
     small, large, blocks = grow_trees(reps)
     proposed = materialise(candidate_pairs(small.unionByName(blocks), reps, percent, True), "proposed")
     first = materialise(confirm(materialise(proposed.select("a", "b").distinct(), "pairs"), texts, k, percent), "confirmed")
@@ -406,6 +407,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         found = materialise(connected_components(links, keep=materialise), "components")
     joined = members.select("doc_id", "n", "rep").join(found.hint("merge"), F.col("rep") == F.col("node"), "left")
     out = joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    if copies is not None:
+        each = out.join(copies.select("doc_id", "rows"), "doc_id", "left").withColumn("_row", F.explode(F.sequence(F.lit(1), F.coalesce(F.col("rows").cast("int"), F.lit(1)))))
+        out = each.drop("rows", "_row")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

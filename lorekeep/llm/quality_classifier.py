@@ -140,12 +140,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> RuleMod
     """Fit on docs (``doc_id, text``) and labels (``doc_id, quality`` of 0 or 1; others and nulls don't count).
 
     Labels of held-out ids are left aside; a doc labelled twice counts as 1 only if all its labels are. At most
-    max_rows labels are used, which bounds what is broadcast and collected.
+    max_rows labels are used, which bounds what is broadcast and collected; of rows that repeat an id, that of the
+    least features is learnt from.
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sample = known.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min("quality").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(sample), "_id")
-    rows = with_features(texts).select("_id", "_y", *[f"_f_{k}" for k in FEATURES]).toPandas().sort_values(["_id", *[f"_f_{k}" for k in FEATURES]])
+    each = with_features(texts).groupBy("_id").agg(F.min("_y").alias("_y"), F.min(F.struct(*[f"_f_{k}" for k in FEATURES])).alias("_f"))
+    rows = each.select("_id", "_y", "_f.*").toPandas().sort_values("_id")
     return fit_rules(rows.iloc[:, 2:].to_numpy(dtype=float), rows["_y"].to_numpy(dtype=float))
 
 

@@ -29,8 +29,8 @@ def sorted_letters(c: Column) -> Column:
 
 
 def core_name(c: Column) -> Column:
-    """A name without a parenthesis at its end."""
-    return F.trim(F.regexp_replace(c, r"\s*\([^()]*\)\s*$", ""))
+    """A name without a parenthesis of up to 40 characters at its end."""
+    return F.trim(F.regexp_replace(c, r"\s*\([^()]{1,40}\)\s*$", ""))
 
 
 def lcs_length(a: Column, b: Column) -> Column:

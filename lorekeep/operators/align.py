@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_term
+from .components import _checkpointed
 
 SUFFIXES = ("s", "e", "en", "n", "er")
 
@@ -68,3 +71,66 @@ def anagram_repairs(names: DataFrame, known: DataFrame) -> DataFrame:
     only = k.groupBy("key").agg(F.min("repaired").alias("repaired"), F.count("*").alias("n")).where("n = 1").drop("n")
     torn = names.select("name").distinct().join(known.select("name").distinct(), "name", "left_anti").withColumn("key", sorted_letters(F.col("name")))
     return torn.join(only, "key").select("name", "repaired")
+
+
+def inflected_pairs(glossary: DataFrame) -> DataFrame:
+    """``term, target``: search variants of official rows: where both languages inflect the same two rows ("attack", "attacks"), each form's term with the other form's target, if no row has them yet."""
+    rows = glossary.where("official = 1").select(norm_term(F.col("term")).alias("en"), norm_term(F.col("target")).alias("de")).where("en <> '' and de <> ''").distinct()
+    ends = lambda c: F.explode(F.array_compact(F.array(*[F.when(F.endswith(c, F.lit(x)) & (F.length(c) > len(x)), F.expr(f"left({c}, length({c}) - {len(x)})")) for x in SUFFIXES])))
+    long = rows.select(F.col("en").alias("en2"), F.col("de").alias("de2"), ends("en").alias("en")).select("en2", "de2", "en", ends("de2").alias("de"))
+    pairs = rows.join(long, ["en", "de"])
+    crossed = pairs.select(F.col("en").alias("term"), F.col("de2").alias("target")).unionByName(pairs.select(F.col("en2").alias("term"), F.col("de").alias("target"))).distinct()
+    there = glossary.select(norm_term(F.col("term")).alias("term"), norm_term(F.col("target")).alias("target"))
+    return crossed.join(there, ["term", "target"], "left_anti")
+
+
+def container_pairs(left: DataFrame, right: DataFrame, known: DataFrame) -> DataFrame:
+    """``container, left, right``: parts (``container, name``) of containers with as many on either side, in no order: known pairs (``left, right``) first, apostrophes of any kind alike, then the two that alone are left."""
+    straight = lambda c: norm_term(F.regexp_replace(c, "[’‘`´]", "'"))
+    count = lambda df, c: df.groupBy("container").agg(F.countDistinct("name").alias(c))
+    even = count(left, "a").join(count(right, "b"), "container").where("a = b").select("container")
+    l = left.join(even, "container").select("container", F.col("name").alias("left"), straight(F.col("name")).alias("_l")).distinct()
+    r = right.join(even, "container").select("container", F.col("name").alias("right"), straight(F.col("name")).alias("_r")).distinct()
+    k = known.select(straight(F.col("left")).alias("_l"), straight(F.col("right")).alias("_r")).distinct()
+    paired = l.join(k, "_l").join(r, ["container", "_r"]).select("container", "left", "right").distinct()
+    alone = lambda df, c: df.join(paired, ["container", c], "left_anti").groupBy("container").agg(F.min(c).alias(c), F.count("*").alias("n")).where("n = 1").drop("n")
+    return paired.unionByName(alone(l, "left").join(alone(r, "right"), "container"))
+
+
+def colloquial(variants: DataFrame, glossary: DataFrame) -> DataFrame:
+    """``term, target, official``: curated everyday words (``term, target``) as search variants, where the target is one that the glossary has and the pair is new."""
+    targets = glossary.select(norm_term(F.col("target")).alias("_t")).distinct()
+    there = glossary.select(norm_term(F.col("term")).alias("_k"), norm_term(F.col("target")).alias("_t"))
+    rows = variants.withColumns({"_k": norm_term(F.col("term")), "_t": norm_term(F.col("target"))})
+    return rows.join(targets, "_t", "left_semi").join(there, ["_k", "_t"], "left_anti").select("term", "target", F.lit(0).alias("official")).distinct()
+
+
+def part_terms(parts: DataFrame, glossary: DataFrame) -> DataFrame:
+    """``term, target, official``: parts (``term, target, whole_term, whole_target``) of compounds, where the glossary has the compound as an official row and the part isn't there."""
+    official = glossary.where("official = 1").select(norm_term(F.col("term")).alias("_w"), norm_term(F.col("target")).alias("_v")).distinct()
+    rows = parts.withColumns({"_w": norm_term(F.col("whole_term")), "_v": norm_term(F.col("whole_target")), "_k": norm_term(F.col("term"))})
+    new = rows.join(official, ["_w", "_v"], "left_semi").join(glossary.select(norm_term(F.col("term")).alias("_k")).distinct(), "_k", "left_anti")
+    return new.select("term", "target", F.lit(0).alias("official")).distinct()
+
+
+def preview(proposed: DataFrame, glossary: DataFrame) -> DataFrame:
+    """``term, target, evidence, new``: proposed pairs (``term, target, step``) with how many steps found them, and whether the glossary lacks them."""
+    there = glossary.select(norm_term(F.col("term")).alias("_k"), norm_term(F.col("target")).alias("_t")).distinct().withColumn("_old", F.lit(True))
+    counted = proposed.groupBy("term", "target").agg(F.countDistinct("step").alias("evidence"))
+    met = counted.withColumns({"_k": norm_term(F.col("term")), "_t": norm_term(F.col("target"))}).join(there, ["_k", "_t"], "left")
+    return met.select("term", "target", "evidence", F.col("_old").isNull().alias("new"))
+
+
+def seeded_chain(glossary: DataFrame, steps: list[tuple[str, Callable[[DataFrame], DataFrame]]], keep: Callable = _checkpointed) -> DataFrame:
+    """glossary (``term, target, official, origin``) after an ordered chain of steps: each drops the rows of its own origin and adds those that it derives from what is there then.
+
+    A row that another origin has already is not added again. Nothing is written; the caller writes the result at once.
+    """
+    rows = glossary.select("term", "target", "official", "origin")
+    for origin, derive in steps:
+        rest = rows.where(~F.col("origin").eqNullSafe(F.lit(origin)))
+        new = derive(rest).select("term", "target", F.coalesce(F.col("official"), F.lit(0)).alias("official"), F.lit(origin).alias("origin")).distinct()
+        there = rest.select(norm_term(F.col("term")).alias("_k"), norm_term(F.col("target")).alias("_t")).distinct()
+        fresh = new.withColumns({"_k": norm_term(F.col("term")), "_t": norm_term(F.col("target"))}).join(there, ["_k", "_t"], "left_anti").drop("_k", "_t")
+        rows = keep(rest.unionByName(fresh), "seeded")
+    return rows

@@ -12,10 +12,13 @@ Keep = Callable[[DataFrame, str], DataFrame]
 
 
 def _checkpointed(df: DataFrame, name: str) -> DataFrame:
-    """df with its lineage cut, in the session's checkpoint folder; one of our own only where none is set."""
+    """df with its lineage cut, in the session's checkpoint folder; one of our own only where none is set and all runs on one machine."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lorekeep-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lorekeep-"))
     return df.checkpoint()
 
 

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import norm_term
+from .components import _checkpointed
+
 SHRINK_LIMIT, GROW_LIMIT = 0.5, 3.0
 
 
@@ -60,10 +64,21 @@ def html_to_markdown(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return pages.select(*[f.name for f in kept], F.col(html_col).alias("_html")).mapInPandas(run, schema)
 
 
-def chunk_headings(text: str | None, split_level: int = 2, least: int = 1) -> list[dict]:
-    """Sections of a Markdown text down to a heading level: name, breadcrumb, page and body.
+#: What a chunk counts as by the breadcrumb where it stands: (pattern, level down to which it is split, category).
+SplitRule = tuple[str, int, str | None]
+
+
+def rule_for(breadcrumb: str, rules: tuple[SplitRule, ...], split_level: int) -> tuple[int, str | None]:
+    """Level and category of the first rule whose pattern is found in a breadcrumb."""
+    return next(((level, category) for pattern, level, category in rules if re.search(pattern, breadcrumb, re.I)), (split_level, None))
+
 
-    Deeper headings stay in the body; ``<!-- page n -->`` lines carry the page forward; sections with a shorter body are left out.
+def chunk_headings(text: str | None, split_level: int = 2, least: int = 1, rules: tuple[SplitRule, ...] = (), rejected: list[str] | None = None) -> list[dict]:
+    """Sections of a Markdown text down to a heading level: name, breadcrumb, page, category and body.
+
+    Deeper headings stay in the body; ``<!-- page n -->`` lines carry the page forward; sections with a shorter body are
+    left out, and named in rejected. Lines of bold text alone count as headings below the last one ("pseudo-headings")
+    where a rule splits deeper than level 6.
     """
     out: list[dict] = []
     stack: list[tuple[int, str]] = []
@@ -74,15 +89,22 @@ def chunk_headings(text: str | None, split_level: int = 2, least: int = 1) -> li
             body = "\n".join(current.pop("lines")).strip()
             if len(body) >= least:
                 out.append(current | {"body": body})
+            elif rejected is not None:
+                rejected.append(current["name"])
 
     for line in (text or "").split("\n"):
         if m := re.fullmatch(r"\s*<!--\s*page\s+(\d+)\s*-->\s*", line):
             page = int(m[1])
-        elif (m := re.match(r"(#{1,6})\s+(.*\S)", line)) and len(m[1]) <= split_level:
+            continue
+        m = re.match(r"(#{1,6})\s+(.*\S)", line) or re.fullmatch(r"(\*\*)([^*]+?)[.:]?\*\*\s*", line)
+        level = 0 if m is None else 7 if m[1] == "**" else len(m[1])
+        above = [x for x in stack if x[0] < level]
+        breadcrumb = " > ".join(n for _, n in above)
+        deepest, category = rule_for(breadcrumb, rules, split_level) if m else (0, None)
+        if m and level <= deepest:
             close()
-            level = len(m[1])
-            stack = [x for x in stack if x[0] < level]
-            current = {"name": m[2].strip("* "), "breadcrumb": " > ".join(n for _, n in stack), "page": page, "lines": []}
+            stack = above
+            current = {"name": m[2].strip("* "), "breadcrumb": breadcrumb, "page": page, "category": category, "lines": []}
             stack.append((level, current["name"]))
         elif current is not None:
             current["lines"].append(line)
@@ -90,16 +112,59 @@ def chunk_headings(text: str | None, split_level: int = 2, least: int = 1) -> li
     return out
 
 
-def chunks(docs: DataFrame, id_col: str, text_col: str, split_level: int = 2, least: int = 1) -> DataFrame:
-    """``id, place, name, breadcrumb, page, body`` of all sections; a document at a time, without shuffle."""
+def chunks(docs: DataFrame, id_col: str, text_col: str, split_level: int = 2, least: int = 1, rules: tuple[SplitRule, ...] = ()) -> DataFrame:
+    """``id, place, name, breadcrumb, page, category, body`` of all sections; a document at a time, without shuffle."""
 
     def run(batches):
         for pdf in batches:
-            rows = [{"id": i, "place": n} | c for i, t in zip(pdf["id"], pdf["text"]) for n, c in enumerate(chunk_headings(t, split_level, least))]
-            frame = pd.DataFrame(rows, columns=["id", "place", "name", "breadcrumb", "page", "body"])
+            rows = [{"id": i, "place": n} | c for i, t in zip(pdf["id"], pdf["text"]) for n, c in enumerate(chunk_headings(t, split_level, least, rules))]
+            frame = pd.DataFrame(rows, columns=["id", "place", "name", "breadcrumb", "page", "category", "body"])
             yield frame.astype({"page": "Int64"})
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, place int, name string, breadcrumb string, page long, body string")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, place int, name string, breadcrumb string, page long, category string, body string")
+
+
+def split_entries(docs: DataFrame, id_col: str, text_col: str, rules: tuple[SplitRule, ...] = (), share: float = 0.6) -> DataFrame:
+    """``id, place, name, body``: the sections of each entry, or the entry itself (name null) where it has one at most or they hold less than a share of its text."""
+    parts = chunks(docs, id_col, text_col, 4, 1, rules)
+    sizes = parts.groupBy("id").agg(F.count("*").alias("n"), F.sum(F.length("body")).alias("held"))
+    whole = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    judged = whole.join(sizes, "id", "left").withColumn("split", F.coalesce((F.col("n") > 1) & (F.col("held") >= share * F.length("text")), F.lit(False)))
+    kept = parts.join(judged.where("split").select("id"), "id", "left_semi").select("id", "place", "name", "body")
+    return kept.unionByName(judged.where("not split").select("id", F.lit(0).alias("place"), F.lit(None).cast("string").alias("name"), F.col("text").alias("body")))
+
+
+def import_report(docs: DataFrame, parts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``reason, n``: what an import left out: documents without text, documents without a section, headings that gave no section (their body is too short or too deep)."""
+    text = F.coalesce(F.trim(text_col), F.lit(""))
+    empty = docs.where(text == "").agg(F.count("*").alias("n")).select(F.lit("empty").alias("reason"), "n")
+    unsplit = docs.where(text != "").join(parts.select(F.col("id").alias(id_col)).distinct(), id_col, "left_anti").agg(F.count("*").alias("n")).select(F.lit("no section").alias("reason"), "n")
+    headings = docs.select(F.coalesce(F.sum(F.regexp_count(F.col(text_col), F.lit(r"(?m)^#{1,6}\s+\S"))), F.lit(0)).alias("h"))
+    dropped = headings.crossJoin(parts.agg(F.count("*").alias("c"))).select(F.lit("dropped heading").alias("reason"), F.greatest(F.col("h") - F.col("c"), F.lit(0)).alias("n"))  # one row each
+    return empty.unionByName(unsplit).unionByName(dropped)
+
+
+def merge_sections(parts: DataFrame, same_name: str | None = None, alone: tuple[str, str] | None = None, fragment: tuple[str, str, str] | None = None) -> DataFrame:
+    """``id, place, name, breadcrumb, body``: sections (``id, place, name, breadcrumb, body``) with fragments joined to the section before, their names as bold lines.
+
+    A section is a fragment, below breadcrumbs that match a pattern as the one before does: by same_name, where it has
+    the folded name of the one before; by alone (breadcrumbs, bodies), where its body doesn't begin as those that stand
+    alone; by fragment (breadcrumbs, names, bodies), where its name or body begins as fragments do. The first section of
+    a document is none.
+    """
+    w = Window.partitionBy("id").orderBy("place")
+    rows = parts.withColumns({"_before": F.lag("name").over(w), "_path": F.lag("breadcrumb").over(w), "_first": F.row_number().over(w) == 1})
+    inside = lambda p: F.regexp_like("breadcrumb", F.lit(p)) & F.regexp_like("_path", F.lit(p))
+    joined = F.lit(False)
+    if same_name is not None:
+        joined = joined | inside(same_name) & (norm_term(F.col("name")) == norm_term(F.col("_before")))
+    if alone is not None:
+        joined = joined | inside(alone[0]) & ~F.regexp_like("body", F.lit(f"^(?:{alone[1]})"))
+    if fragment is not None:
+        joined = joined | inside(fragment[0]) & (F.regexp_like("name", F.lit(f"^(?:{fragment[1]})")) | F.regexp_like("body", F.lit(f"^(?:{fragment[2]})")))
+    islands = rows.withColumn("_s", F.when(F.col("_first") | ~F.coalesce(joined, F.lit(False)), 1).otherwise(0)).withColumn("_i", F.sum("_s").over(w))
+    text = F.when(F.col("_s") == 1, F.col("body")).otherwise(F.concat(F.lit("**"), F.col("name"), F.lit("**\n\n"), F.col("body")))
+    return islands.groupBy("id", "_i").agg(F.min(F.struct("place", "name", "breadcrumb")).alias("m"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", text.alias("t")))), lambda x: x["t"]), "\n\n").alias("body")).select("id", "m.place", "m.name", "m.breadcrumb", "body")
 
 
 def guarded_replace(old: DataFrame, new: DataFrame, source_key: str, shrink: float = SHRINK_LIMIT, grow: float = GROW_LIMIT) -> DataFrame:
@@ -119,22 +184,25 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep_if_empty: tuple
     return both.select(*keys, *map(pick, values))
 
 
-def parent_chain(nodes: DataFrame, hops: int = 16) -> DataFrame:
-    """``id, breadcrumb``: names from the root down to each node's parent (nodes: ``id, parent_id, name``).
+def parent_chain(nodes: DataFrame, keep: Callable = _checkpointed) -> DataFrame:
+    """``id, breadcrumb``: names from the root down to each node's parent (nodes: ``id, parent_id, name``; ids are distinct).
 
-    A missing parent ends the chain. Raises ValueError where a chain is longer than hops, as a cycle is. A hop doubles
-    the part of the chain that is known, so hops bounds the depth by a power of two.
+    A missing parent ends the chain, and one without a name isn't named. Each round joins the known parts of chains
+    with one another and so doubles them: a depth of 1,000 takes ten rounds. Raises ValueError where parents form a
+    cycle: a chain is then still open when it is longer than there are nodes.
     """
-    names = nodes.select(F.col("id").alias("pid"), F.col("name").alias("pname"), F.col("parent_id").alias("pparent"))
-    at = nodes.select("id", F.col("parent_id").alias("next"), F.array().cast("array<string>").alias("chain"))
-    for _ in range(hops):
-        if at.where("next is not null").isEmpty():
-            break
-        moved = at.join(names, F.col("next") == F.col("pid"), "left")
-        at = moved.select("id", F.col("pparent").alias("next"), F.when(F.col("pname").isNull(), F.col("chain")).otherwise(F.concat(F.array("pname"), "chain")).alias("chain"))
-    else:
-        raise ValueError("a chain of parents is a cycle or too long")
-    return at.select("id", F.array_join("chain", " > ").alias("breadcrumb"))
+    named = nodes.select("id", F.col("parent_id").alias("next"), F.when(F.col("name").isNull(), F.array().cast("array<string>")).otherwise(F.array("name")).alias("own"), F.array().cast("array<string>").alias("above"))
+    at, size, length = keep(named, "chains"), None, 1
+    while not at.where("next is not null").isEmpty():
+        size = size or at.count()
+        if length > size:
+            raise ValueError("parents form a cycle")
+        over = at.select(F.col("id").alias("_id"), F.col("next").alias("_next"), F.col("own").alias("_own"), F.col("above").alias("_above"))
+        met = at.join(over, F.col("next") == F.col("_id"), "left")
+        none = F.array().cast("array<string>")
+        at = keep(met.select("id", F.col("_next").alias("next"), "own", F.concat(F.coalesce("_above", none), F.coalesce("_own", none), "above").alias("above")), "chains")
+        length *= 2
+    return at.select("id", F.array_join("above", " > ").alias("breadcrumb"))
 
 
 def split_text(text: str | None, limit: int) -> list[str]:

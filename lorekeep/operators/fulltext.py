@@ -1,48 +1,68 @@
-"""Ranked full-text search over postings: BM25 with column weights and prefix terms, for many queries at once."""
+"""Ranked full-text search: BM25 with column weights and prefix terms, for many queries at once; and the search driver over it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import citation, tokens
+from ..functions.fuzzy import weighted_ratio
+from ..functions.text import citation, norm_term, similarity, tokens
+from . import glossary as terms_of
+from .components import _checkpointed
+from .predicates import checked, edition, relevance
+from .resolve import entity_groups, ranked
 
 K1, B = 1.2, 0.75
-NAME_WEIGHT, BODY_WEIGHT = 10.0, 1.0
+#: Weights of the columns that entries may have.
+WEIGHTS = {"name": 10.0, "original": 10.0, "body": 1.0}
 LEAST_IDF = 1e-6
-PREFIX = 3
+#: Distinct prefixes that are tested while a text is cut, so that only what they match is kept; more are joined. Rows of terms that may be broadcast.
+TESTED, BROADCAST_TERMS = 500, 100_000
+QUERY_CHARS, MOST, RAW, FUZZY_FROM = 200, 50, 5, 86.0
+SNIPPET_WORDS, SNIPPET_BEFORE = 16, 4
 
 
-def postings(entries: DataFrame) -> DataFrame:
-    """``term, id, weighted`` : each entry's terms with their counts by column, weighted. Terms of a document are counted in it."""
-    terms = entries.select("id", F.explode(F.concat(F.transform(tokens(F.col("name")), lambda t: F.struct(t.alias("term"), F.lit(NAME_WEIGHT).alias("w"))), F.transform(tokens(F.col("body")), lambda t: F.struct(t.alias("term"), F.lit(BODY_WEIGHT).alias("w"))))).alias("t"))
-    return terms.groupBy("id", "t.term").agg(F.sum("t.w").alias("weighted"))
+def matching(entries: DataFrame, prefixes: list[str] | None) -> DataFrame:
+    """``id, size, hits``: each entry's number of words and those that begin with one of the prefixes (None: all), with the weights of their columns."""
+    held = [c for c in WEIGHTS if c in entries.columns]
+    cut = entries.select("id", *[tokens(F.col(c)).alias(f"_{c}") for c in held])
+    test = None if prefixes is None else "^(?:" + "|".join(sorted(prefixes)) + ")"
+    some = lambda c: F.col(c) if test is None else F.filter(c, lambda t: F.regexp_like(t, F.lit(test)))
+    weigh = lambda w: lambda t: F.struct(t.alias("term"), F.lit(w).alias("w"))
+    hits = F.concat(*[F.transform(some(f"_{c}"), weigh(WEIGHTS[c])) for c in held])
+    size = F.lit(0)
+    for c in held:
+        size = size + F.size(f"_{c}")
+    return cut.select("id", size.alias("size"), hits.alias("hits"))
 
 
-def search(entries: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """``query_id, run, rank, id, score`` : the k best entries of each query (``query_id, query``), lower scores first.
+def search(entries: DataFrame, queries: DataFrame, k: int = 10, keep: Callable = _checkpointed) -> DataFrame:
+    """``query_id, rank, id, score`` : the k best entries of each query (``query_id, query``), lower scores first.
 
-    Every word of a query is a prefix and all must occur. Filters belong on entries, before the limit. A word's rows
-    are found by an equi-join on its first letters and a prefix test, so the postings are read once for all queries.
-    Queries without a word find nothing.
+    Every word of a query is a prefix and all must occur. Filters belong on entries, before the limit. Texts are cut
+    once; of their words only those are kept that begin with a query's, and they meet the queries by equality of their
+    first letters. Queries without a word find nothing.
     """
     terms = queries.select("query_id", F.posexplode(tokens(F.col("query"))).alias("i", "prefix"))
     wanted = queries.select("query_id", F.size(tokens(F.col("query"))).alias("n_terms"))
-    sized = entries.select("id", (F.size(tokens(F.col("name"))) + F.size(tokens(F.col("body")))).alias("size"))
-    docs, mean_size = sized.agg(F.count("*"), F.avg("size")).first()
-    found = postings(entries)
-    short = terms.where(F.length("prefix") < PREFIX).withColumn("key", F.substring("prefix", 1, 1))
-    long = terms.where(F.length("prefix") >= PREFIX).withColumn("key", F.substring("prefix", 1, PREFIX))
-    # a posting has two keys, its first letter and its first letters; only keys that a query uses meet it
-    keyed = found.withColumn("key", F.explode(F.array_distinct(F.array(F.substring("term", 1, 1), F.substring("term", 1, PREFIX)))))
-    hit = keyed.join(F.broadcast(short.unionByName(long)), "key").where(F.expr("startswith(term, prefix)"))
-    per_term = hit.groupBy("query_id", "i", "id").agg(F.sum("weighted").alias("f"))
+    known = [r["prefix"] for r in terms.select("prefix").distinct().limit(TESTED + 1).collect()]
+    small = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    near = F.broadcast if small else (lambda df: df)
+    lengths = sorted({len(p) for p in known} if len(known) <= TESTED else {r["n"] for r in terms.select(F.length("prefix").alias("n")).distinct().collect()})
+    rows = keep(matching(entries, known if len(known) <= TESTED else None), "matching")
+    docs, mean_size = rows.agg(F.count("*"), F.avg("size")).first()
+    found = rows.where(F.size("hits") > 0).select("id", "size", F.inline("hits")).groupBy("id", "size", "term").agg(F.sum("w").alias("weighted"))
+    starts = F.array_compact(F.array(*[F.when(F.length("term") >= n, F.substring("term", 1, n)) for n in lengths])) if lengths else F.array().cast("array<string>")
+    hit = found.withColumn("prefix", F.explode(starts)).join(near(terms), "prefix")
+    per_term = hit.groupBy("query_id", "i", "id", "size").agg(F.sum("weighted").alias("f"))
     frequency = per_term.groupBy("query_id", "i").agg(F.count("*").alias("df"))
-    scored = per_term.join(frequency, ["query_id", "i"]).join(sized, "id")
     idf = F.log((docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
     part = -idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("size") / (mean_size or 1.0)))
-    whole = scored.groupBy("query_id", "id").agg(F.sum(part).alias("score"), F.count("*").alias("n")).join(F.broadcast(wanted), "query_id").where("n = n_terms")
+    scored = per_term.join(near(frequency), ["query_id", "i"])
+    whole = scored.groupBy("query_id", "id").agg(F.sum(part).alias("score"), F.count("*").alias("n")).join(near(wanted), "query_id").where("n = n_terms")
     best = Window.partitionBy("query_id").orderBy(F.round("score", 9), "id")
     return whole.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
@@ -62,3 +82,91 @@ def cited(hits: DataFrame, entries: DataFrame, sources: DataFrame) -> DataFrame:
     """Hits with the compact projection: name, citation and an excerpt of 160 characters."""
     e = entries.join(sources, "source_key")
     return hits.join(e, "id").select(*hits.columns, "name", citation(F.col("source_key"), F.col("edition"), F.col("kind")).alias("citation"), F.substring("body", 1, 160).alias("excerpt"))
+
+
+def snippet(body: Column, prefixes: Column, words: int = SNIPPET_WORDS) -> Column:
+    """Words of a body around the first that begins with one of the prefixes (an array), with matches in »« and an ellipsis where it is cut; marks between words are left out."""
+    raw = F.regexp_extract_all(body, F.lit(r"([\p{L}\p{N}\p{M}]+)"))
+    marked = F.transform(raw, lambda w: F.struct(w.alias("w"), F.exists(prefixes, lambda p: F.startswith(norm_term(w), p)).alias("hit")))
+
+    def window(x: Column) -> Column:
+        at = F.array_position(F.transform(x, lambda e: e["hit"]), True)
+        start = F.greatest(F.lit(1), F.least(at - SNIPPET_BEFORE, F.size(x) - words + 1)).cast("int")
+        text = F.array_join(F.transform(F.slice(x, start, words), lambda e: F.when(e["hit"], F.concat(F.lit("»"), e["w"], F.lit("«"))).otherwise(e["w"])), " ")
+        return F.concat(F.when(start > 1, "… ").otherwise(""), text, F.when(start + words <= F.size(x), " …").otherwise(""))
+
+    return F.element_at(F.transform(F.array(marked), window), 1)
+
+
+def fuzzy_names(entries: DataFrame, asked: DataFrame, k: int = 10, least: float = FUZZY_FROM) -> DataFrame:
+    """``query_id, id, score, place``: entries whose name resembles a question (``query_id, query``) by weighted similarity, as written, best first, then by name.
+
+    A name and a question meet where they share a run of three letters; those of 86 or more do, but for strings below
+    six letters, which meet by a single letter.
+    """
+    def runs_of(c: Column, n: int) -> Column:
+        return F.explode(F.array_distinct(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: c.substr(i, F.lit(n))), lambda g: F.length(g) == n)))
+
+    n = entries.where("name is not null and name <> ''").select("id", "name")
+    q = asked.where("query is not null and query <> ''").select("query_id", "query")
+    keyed = lambda df, c, size: df.withColumn("g", runs_of(F.col(c), size))
+    long = keyed(n, "name", 3).join(keyed(q, "query", 3), "g")
+    short = keyed(n, "name", 1).join(keyed(q.where(F.length("query") < 6), "query", 1), "g")
+    short = short.unionByName(keyed(n.where(F.length("name") < 6), "name", 1).join(keyed(q, "query", 1), "g"))
+    met = long.unionByName(short).select("query_id", "query", "id", "name").distinct()
+    scored = met.withColumn("score", weighted_ratio(F.col("query"), F.col("name"))).where(F.col("score") >= least)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "name", "id")
+    return scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).select("query_id", "id", F.round("score", 4).alias("score"), "place")
+
+
+def find(entries: DataFrame, sources: DataFrame, glossary: DataFrame, questions: DataFrame, wanted_edition: str | None = "2024", category=None, source: str | None = None, limit: int = 10) -> DataFrame:
+    """``query_id, other, rank, id, path, relevance, total``: what the whole search shows for questions (``query_id, query``).
+
+    Questions are cut to 200 characters and limits to 1 to 50. Each is searched as it stands and by its exact glossary
+    alternatives; a question that finds nothing so is compared with the names. Hits of one entity are merged, ranked by
+    how the name fits, and cut; total counts them before. path says how an entry was found: "direct", "glossary:" and
+    the alternative, or "fuzzy"; relevance, whether its name fits or its text alone mentions the question. Other
+    editions (other is true) are searched apart, for half as many hits but three at least, and never merged with these.
+    Raises ValueError for an edition, category or source that no entry has.
+    """
+    known = lambda c: {r[0] for r in entries.select(c).distinct().limit(10_000).collect()}  # noqa: E731  few values by nature
+    wanted_edition = edition(wanted_edition, known("edition"))
+    checked("category", category, known("category") if category is not None else set())
+    checked("source", source, known("source_key") if source is not None else set())
+    limit = min(max(1, limit), MOST)
+    for column, value in (("category", category), ("source_key", source)):
+        if value is not None:
+            entries = entries.where(F.col(column) == value)
+    asked = _checkpointed(questions.select("query_id", F.substring("query", 1, QUERY_CHARS).alias("query")), "asked")
+    more = terms_of.alternatives(glossary, asked.select(F.col("query").alias("term")))
+    order = Window.partitionBy("query_id").orderBy("hop", "alternative")
+    runs = asked.join(more, F.col("query") == F.col("term")).select("query_id", F.row_number().over(order).alias("run"), F.col("alternative").alias("query"))
+    runs = _checkpointed(asked.select("query_id", F.lit(0).alias("run"), "query").unionByName(runs), "runs")
+    if wanted_edition is None:
+        return _found(entries, sources, asked, runs, limit).withColumn("other", F.lit(False)).select(*COLUMNS)
+    here, there = (entries.where(F.col("edition") == wanted_edition), limit), (entries.where(F.col("edition") != wanted_edition), max(3, limit // 2))
+    parts = [_found(e, sources, asked, runs, n).withColumn("other", F.lit(o)).select(*COLUMNS) for (e, n), o in ((here, False), (there, True))]
+    return parts[0].unionByName(parts[1])
+
+
+COLUMNS = ("query_id", "other", "rank", "id", "path", "relevance", "total")
+
+
+def _found(entries: DataFrame, sources: DataFrame, asked: DataFrame, runs: DataFrame, limit: int) -> DataFrame:
+    exact = search_in_runs(entries, runs, RAW * limit).join(runs.withColumnRenamed("query", "alternative"), ["query_id", "run"])
+    path = F.when(F.col("run") == 0, "direct").otherwise(F.concat(F.lit("glossary:"), "alternative"))
+    exact = _checkpointed(exact.select("query_id", "id", "run", "place", path.alias("path")), "hits")
+    open_ = asked.join(exact.select("query_id").distinct(), "query_id", "left_anti")
+    hits = exact.unionByName(fuzzy_names(entries, open_, RAW * limit).select("query_id", "id", F.lit(0).alias("run"), "place", F.lit("fuzzy").alias("path")))
+    rows = hits.join(entries, "id").join(sources, "source_key").join(asked, "query_id").withColumn("priority", F.coalesce("priority", F.lit(100)))
+    # entities are those among a question's own hits
+    nodes = _checkpointed(rows.withColumnsRenamed({"id": "entry", "edition": "_edition"}).withColumns({"id": F.concat_ws("|", F.col("query_id").cast("string"), F.lpad(F.col("entry").cast("string"), 20, "0")), "edition": F.concat_ws("|", F.col("query_id").cast("string"), "_edition")}), "nodes")
+    groups = entity_groups(nodes, sources.where("kind is not null").select("source_key"))
+    lead = Window.partitionBy("group_id").orderBy("priority", "run", "name", "entry")
+    one = nodes.join(groups, "id").withColumn("_n", F.row_number().over(lead)).where("_n = 1").select("query_id", "query", F.col("entry").alias("id"), "name", "priority", "run", "path")
+    variants = runs.where("run > 0").groupBy("query_id").agg(F.array_sort(F.collect_set(norm_term(F.col("query")))).alias("variants"))  # at most eight each
+    placed = ranked(one.join(variants, "query_id", "left"))
+    aims = F.concat(F.array(norm_term(F.col("query"))), F.coalesce("variants", F.array().cast("array<string>")))
+    score = F.array_max(F.transform(aims, lambda v: F.when(v == norm_term(F.col("name")), F.lit(100.0)).otherwise(similarity(v, norm_term(F.col("name"))))))
+    total = F.count("*").over(Window.partitionBy("query_id"))
+    return placed.withColumn("total", total).where(F.col("rank") <= limit).select("query_id", "rank", "id", "path", relevance(score).alias("relevance"), "total")

@@ -20,7 +20,7 @@ def nearest_rank(values: DataFrame, column: str, shares: dict[str, float]) -> Da
 
 
 SECTIONS = {
-    "zero_hits": "hits = 0 AND path <> 'fehler' AND tool <> 'translate'",
+    "zero_hits": "hits = 0 AND path <> 'error' AND tool <> 'translate'",
     "fuzzy": "path = 'fuzzy' AND tool <> 'translate'",
     "bridges": "path LIKE 'glossary:%'",
     "ambiguous": "ambiguous = 1",

@@ -39,11 +39,78 @@ def term_conflicts(glossary: DataFrame) -> DataFrame:
 
 
 def counts_by(entries: DataFrame) -> DataFrame:
-    """``source_key, edition, category, n``: entries by source, by edition and by category, one grouping each."""
-    entries.createOrReplaceTempView("_entries_to_count")
-    return entries.sparkSession.sql("SELECT source_key, edition, category, count(*) AS n FROM _entries_to_count GROUP BY GROUPING SETS ((source_key), (edition), (category))")
+    """``source_key, edition, category, n``: entries by source, by edition and by category, one grouping each, in one pass."""
+    sets = [[F.col("source_key")], [F.col("edition")], [F.col("category")]]
+    return entries.groupingSets(sets, "source_key", "edition", "category").agg(F.count("*").alias("n"))
 
 
 def newest(rows: DataFrame, by: list[str], order: list, keep: int) -> DataFrame:
     """The keep first rows of each group in the given order."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= keep).drop("_n")
+
+
+SECTION_NAMES = ("Merkmale", "Traits", "Aktionen", "Actions", "Bonusaktionen", "Bonus Actions", "Reaktionen", "Reactions", "Legendäre Aktionen", "Legendary Actions")  # fixed values
+
+
+def empty_sections(entries: DataFrame, names: tuple[str, ...] = SECTION_NAMES) -> DataFrame:
+    """``source_key, section, n``: sections of the given names in entries (``source_key, body``) that have a heading and nothing below it."""
+    parts = entries.select("source_key", F.explode(F.split("body", r"(?m)^#{3,6}")).alias("part"))
+    named = parts.select("source_key", F.trim(F.substring_index("part", "\n", 1)).alias("section"), F.trim(F.regexp_replace("part", r"^[^\n]*\n?", ""), F.lit(" \t\r\n")).alias("rest"))
+    return named.where(F.col("section").isin(*names) & (F.col("rest") == "")).groupBy("source_key", "section").agg(F.count("*").alias("n"))
+
+
+def measured(found: DataFrame, known: DataFrame) -> DataFrame:
+    """``metric, source_key, n``: findings (``metric, source_key, id``) by kind and source, without those that are known errors of the source (``metric, id``)."""
+    return found.join(known.select("metric", "id").distinct(), ["metric", "id"], "left_anti").groupBy("metric", "source_key").agg(F.count("*").alias("n"))
+
+
+def rebased(baseline: DataFrame, now: DataFrame, present: DataFrame) -> DataFrame:
+    """``metric, source_key, expected``: a new baseline: what is measured now; of sources that aren't present (``source_key``) the old lines stay."""
+    away = baseline.select("metric", "source_key", "expected").join(present.select("source_key").distinct(), "source_key", "left_anti").select("metric", "source_key", "expected")
+    return now.select("metric", "source_key", F.col("n").alias("expected")).unionByName(away)
+
+
+def suspects(sources: DataFrame, entries: DataFrame, words: tuple[str, ...], cleared: DataFrame) -> DataFrame:
+    """``source_key``: sources (``source_key, title, kind``) without a kind whose key or title holds one of the words.
+
+    A source that was cleared (``source_key, category``: the categories that its evidence covers) is left out as long as
+    it has entries, and none of another category.
+    """
+    text = F.lower(F.concat_ws(" ", "source_key", "title"))
+    named = sources.where(F.col("kind").isNull() & F.greatest(*[F.contains(text, F.lit(w)) for w in (*words, words[0])])).select("source_key")
+    held = entries.select("source_key", "category").distinct()
+    beyond = held.join(cleared.select("source_key").distinct(), "source_key").join(cleared, ["source_key", "category"], "left_anti").select("source_key").distinct()
+    covered = cleared.select("source_key").distinct().join(held.select("source_key").distinct(), "source_key", "left_semi").join(beyond, "source_key", "left_anti")
+    return named.join(covered, "source_key", "left_anti")
+
+
+def outside(rows: DataFrame, column: str, allowed: list) -> DataFrame:
+    """rows whose column holds a value that isn't allowed; null isn't either."""
+    return rows.where(F.col(column).isNull() | ~F.col(column).isin(*allowed))
+
+
+def orphans(entries: DataFrame, sources: DataFrame) -> DataFrame:
+    """``problem, n``: entries of sources that don't exist, and entries whose edition isn't that of their source (sources: ``source_key, edition``)."""
+    met = entries.select("source_key", "edition").join(sources.select("source_key", F.col("edition").alias("_e"), F.lit(True).alias("_s")), "source_key", "left")
+    counted = met.agg(F.count_if(F.col("_s").isNull()).alias("no source"), F.count_if(F.col("_s") & F.col("_e").isNotNull() & (F.col("edition") != F.col("_e"))).alias("other edition"))
+    return counted.unpivot([], ["no source", "other edition"], "problem", "n")
+
+
+def audited(entries: DataFrame, glossary: DataFrame) -> DataFrame:
+    """``category, entries, names, translated, official, gaps``: per category, how many entries and distinct names there are, and of the names how many have a glossary row, an official one, or none."""
+    g = glossary.groupBy(F.lower("term").alias("_key")).agg(F.max("official").alias("_official"))
+    named = entries.where("name is not null and name <> ''").select("category", F.lower("name").alias("_key")).groupBy("category", "_key").agg(F.count("*").alias("n"))
+    return named.join(g, "_key", "left").groupBy("category").agg(
+        F.sum("n").alias("entries"), F.count("*").alias("names"), F.count("_official").alias("translated"), F.count_if(F.col("_official") == 1).alias("official"), F.count_if(F.col("_official").isNull()).alias("gaps"),
+    )
+
+
+def without_source(entries: DataFrame, sources: DataFrame, source_key: str) -> tuple[DataFrame, DataFrame]:
+    """entries and sources without those of one source."""
+    stays = ~F.col("source_key").eqNullSafe(F.lit(source_key))
+    return entries.where(stays), sources.where(stays)
+
+
+def sampled(rows: DataFrame, n: int = 3, seed: int = 0) -> DataFrame:
+    """n rows (``id``) drawn by a hash of their id, the same for the same seed."""
+    return rows.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(n)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.fuzzy import ratio
 from ..functions.text import core_name, norm_term
 from .components import _checkpointed, connected_components
 
@@ -35,20 +36,60 @@ def entity_groups(entries: DataFrame, revisions: DataFrame, bridges: DataFrame |
 
 
 def canonical_members(entries: DataFrame, groups: DataFrame, sources: DataFrame) -> DataFrame:
-    """``group_id, id, name, members, other_sources``: the member of the best source priority, then name, then id."""
+    """``group_id, id, name, members, other_sources``: the member of the best source priority, then run (if entries have one), then name, then id."""
     rows = entries.join(groups, "id").join(sources, "source_key").withColumn("priority", F.coalesce("priority", F.lit(100)))
-    best = rows.groupBy("group_id").agg(F.min(F.struct("priority", "name", "id", "source_key")).alias("m"), F.count("*").alias("members"), F.array_sort(F.collect_set("source_key")).alias("s"))
+    rows = rows if "run" in rows.columns else rows.withColumn("run", F.lit(0))
+    best = rows.groupBy("group_id").agg(F.min(F.struct("priority", "run", "name", "id", "source_key")).alias("m"), F.count("*").alias("members"), F.array_sort(F.collect_set("source_key")).alias("s"))
     return best.select("group_id", F.col("m.id").alias("id"), F.col("m.name").alias("name"), "members", F.array_join(F.array_remove("s", F.col("m.source_key")), ",").alias("other_sources"))
 
 
+def shown_members(entries: DataFrame, groups: DataFrame, sources: DataFrame) -> DataFrame:
+    """``group_id, id, name, other_places``: what a result shows of each group of entries (``id, source_key, name, excerpt, page``).
+
+    A group in which no source stands twice shows its canonical member, with the places of the other sources. Where one
+    does, all members are shown but those of one source, folded name and excerpt, of which the first (least id) stays
+    with the other pages; a source's sections of one name are different texts.
+    """
+    rows = entries.join(groups, "id").join(sources.select("source_key", F.coalesce("priority", F.lit(100)).alias("priority")), "source_key")
+    rows = rows if "run" in rows.columns else rows.withColumn("run", F.lit(0))
+    place = F.concat_ws(" p. ", "source_key", "page")
+    twice = rows.groupBy("group_id", "source_key").agg(F.count("*").alias("n")).groupBy("group_id").agg(F.max("n").alias("most"))
+    judged = rows.join(twice, "group_id").withColumn("place", place)
+    best = Window.partitionBy("group_id").orderBy("priority", "run", "name", "id")
+    lone = judged.where("most = 1").withColumns({"_n": F.row_number().over(best), "_lead": F.first("source_key").over(best)})
+    others = F.array_sort(F.collect_set(F.when((F.col("_n") > 1) & (F.col("source_key") != F.col("_lead")), F.col("place"))))
+    canonical = lone.groupBy("group_id").agg(F.min(F.when(F.col("_n") == 1, F.struct("id", "name"))).alias("m"), others.alias("o"))
+    same = judged.where("most > 1").groupBy("group_id", "source_key", norm_term(F.col("name")).alias("_k"), "excerpt").agg(F.min(F.struct("id", "name", "page")).alias("m"), F.collect_set(F.struct("page", "place")).alias("p"))
+    pages = F.array_sort(F.transform(F.filter("p", lambda x: x["page"].isNotNull() & ~x["page"].eqNullSafe(F.col("m.page"))), lambda x: x["place"]))
+    shown = canonical.select("group_id", "m.id", "m.name", F.array_join("o", ", ").alias("other_places"))
+    return shown.unionByName(same.select("group_id", "m.id", "m.name", F.array_join(pages, ", ").alias("other_places")))
+
+
+def divergent(entries: DataFrame, groups: DataFrame, least: float = 90.0, cap: int = 3) -> DataFrame:
+    """``id, other_id, score``: of each group, up to cap members of the lead's language (entries ``id, lang, body``; the lead has the least id) whose body differs from it: similarity below least.
+
+    Bodies are compared without their breadcrumb line, in lower case and with single spaces; empty ones aren't compared.
+    Members that differ from the lead in language are other versions, not conflicts.
+    """
+    text = F.trim(F.regexp_replace(F.lower(F.regexp_replace("body", r"^\*Context:[^\n]*?\*", "")), r"\s+", " "))
+    rows = entries.join(groups, "id").select("group_id", "id", "lang", text.alias("t"))
+    w = Window.partitionBy("group_id").orderBy("id")
+    lead = rows.withColumn("n", F.row_number().over(w)).where("n = 1").select("group_id", F.col("id").alias("lead"), F.col("lang").alias("l"), F.col("t").alias("lt"))
+    met = rows.join(lead, "group_id").where("id <> lead and lang <=> l and t <> '' and lt <> ''")
+    few = met.withColumn("n", F.row_number().over(w)).where(F.col("n") <= cap)
+    return few.withColumn("score", ratio(F.col("lt"), F.col("t"))).where(F.col("score") < least).select(F.col("lead").alias("id"), F.col("id").alias("other_id"), F.round("score", 4).alias("score"))
+
+
 def ranked(hits: DataFrame) -> DataFrame:
-    """hits (``query_id, query, id, name, priority, run``) with ``class`` and ``rank`` in their query: 0 exact, 1 prefix, 2 other; then source or run, then name.
+    """hits (``query_id, query, id, name, priority, run``) with ``class`` and ``rank`` in their query: 0 exact, 1 prefix of the question, 2 prefix of one of its ``variants`` (if there), 3 other; then source or run, then name.
 
     A query's hits are as many as the search's limit lets through.
     """
     key = norm_term(F.col("query"))
     name = norm_term(F.col("name"))
-    classed = hits.withColumn("class", F.when(name == key, 0).when(F.startswith(name, key), 1).otherwise(2))
+    variants = F.coalesce("variants", F.array().cast("array<string>")) if "variants" in hits.columns else F.array().cast("array<string>")
+    exact = (name == key) | F.array_contains(variants, name)
+    classed = hits.withColumn("class", F.when(exact, 0).when(F.startswith(name, key), 1).when(F.exists(variants, lambda v: F.startswith(name, v)), 2).otherwise(3))
     first, second = F.when(F.col("class") == 0, F.col("priority")).otherwise(F.col("run")), F.when(F.col("class") == 0, F.col("run")).otherwise(F.col("priority"))
     return classed.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("class", first, second, "name", "id")))
 

@@ -49,11 +49,17 @@ def mapped_fields(cells: DataFrame, field_map: DataFrame) -> DataFrame:
     return met.select("doc_id", F.coalesce("path", F.concat(F.lit("rest."), F.col("name"))).alias("path"), "value")
 
 
-def work_title(c: Column, rounds: int = 3) -> Column:
-    """A title without repeated parentheses at its end, with typographic apostrophes and single spaces."""
-    for _ in range(rounds):
-        c = F.regexp_replace(c, r"\s*\([^()]*\)\s*$", "")
-    return F.trim(F.regexp_replace(F.replace(c, F.lit("'"), F.lit("’")), r"\s+", " "))
+#: What a parenthesis at a title's end may repeat of language, edition or way of supply (fixed values).
+ADDITIONS = ("deutsch", "englisch", "english", "de", "en", "d&d beyond", "dnd beyond", "ddb", "open5e", "druck", "pdf", "scan", "2014", "2024", "2014er regeln", "2024er regeln")
+
+
+def work_title(c: Column) -> Column:
+    """A title without parentheses at its end that hold known additions alone, with typographic apostrophes and single spaces; a title that is nothing else stays."""
+    known = "(?:" + "|".join(ADDITIONS) + ")"
+    brackets = rf"\(\s*{known}\s*(?:,\s*{known}\s*)*\)"
+    title = F.trim(F.regexp_replace(F.replace(c, F.lit("'"), F.lit("’")), r"\s+", " "))
+    # all of them at once; the first stays where nothing stands before it
+    return F.regexp_replace(title, rf"(?i)^(.*?\S)(?:\s*{brackets})+$", "$1")
 
 
 def category_of(breadcrumb: Column, words: dict[str, list[str]]) -> Column:

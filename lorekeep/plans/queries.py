@@ -5,51 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import norm_term, similarity
-from ..operators import align, etl, facets, fulltext, glossary, logs, options, quality, repair, resolve, rules, sessions
+from ..functions.text import norm_term
+from ..operators import align, etl, facets, glossary, logs, options, quality, repair, resolve, rules, sessions
 from ..sources import corpus
 from ..sources.corpus import ENTRIES_SQL, GLOSSARY_SQL, LOG_SQL, SOURCES_SQL, table
 from ..streaming import gates
 from .registry import NORM, ORACLE_SQL, QUERIES, query
 
-SEARCHES = [(1, "the of"), (2, "therea"), (3, "für"), (4, "and tion"), (5, "la"), (6, "th in er"), (7, "queue"), (8, "")]
-
-
-def _searches(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SEARCHES, "query_id int, query string")
-
-
-_FTS_SQL = rf"""WITH {ENTRIES_SQL}, {SOURCES_SQL},
-e AS (SELECT * FROM entries WHERE edition = '2024' AND lang <> 'es'),
-tok AS (SELECT id, unnest(regexp_extract_all({NORM.format('name')}, '[\p{{L}}\p{{N}}]+')) AS term, 10.0 AS w FROM e
-        UNION ALL SELECT id, unnest(regexp_extract_all({NORM.format('body')}, '[\p{{L}}\p{{N}}]+')) AS term, 1.0 AS w FROM e),
-size AS (SELECT id, count(*) AS size FROM tok GROUP BY id),
-total AS (SELECT (SELECT count(*) FROM e) AS docs, (SELECT sum(size) FROM size) * 1.0 / (SELECT count(*) FROM e) AS mean_size),
-q(query_id, query) AS (VALUES {", ".join(f"({i}, '{q}')" for i, q in SEARCHES)}),
-qt AS (SELECT query_id, unnest(regexp_extract_all({NORM.format('query')}, '[\p{{L}}\p{{N}}]+')) AS prefix FROM q),
-qd AS (SELECT DISTINCT query_id, prefix FROM qt), qn AS (SELECT query_id, count(*) AS n_terms FROM qd GROUP BY query_id),
-f AS (SELECT query_id, prefix, id, sum(w) AS f FROM qd JOIN tok ON starts_with(term, prefix) GROUP BY ALL),
-df AS (SELECT query_id, prefix, count(*) AS df FROM f GROUP BY ALL),
-part AS (SELECT f.query_id, f.id, CASE WHEN ln((docs - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((docs - df + 0.5) / (df + 0.5)) END AS idf, f.f, size.size, mean_size
-  FROM f JOIN df USING (query_id, prefix) JOIN size USING (id) CROSS JOIN total),
-score AS (SELECT query_id, id, sum(-idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * size / mean_size))) AS score, count(*) AS n FROM part GROUP BY ALL),
-r AS (SELECT score.query_id, id, score, row_number() OVER (PARTITION BY score.query_id ORDER BY round(score, 9), id) AS rank FROM score JOIN qn USING (query_id) WHERE n = n_terms)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(score, 6) AS score, name, concat_ws(' · ', source_key, edition, kind) AS citation, substring(body, 1, 160) AS excerpt
-FROM r JOIN e USING (id) JOIN sources USING (source_key) WHERE rank <= 10"""
-
-
-@query(_FTS_SQL)
-def fts_search(spark, sf_dir):
-    e = corpus.entries(spark, sf_dir).where("edition = '2024' AND lang <> 'es'")
-    return fulltext.cited(fulltext.search(e, _searches(spark)), e, corpus.sources(spark, sf_dir))
-
-
-@query()
-def fts_runs(spark, sf_dir):
-    runs = spark.createDataFrame([(1, 0, "therea"), (1, 1, "the"), (2, 0, "queue"), (2, 1, "la que")], "query_id int, run int, query string")
-    return fulltext.search_in_runs(corpus.entries(spark, sf_dir), runs)
-
-
 _CANON = f"""canon AS (SELECT *, {NORM.format('term')} AS key, row_number() OVER (PARTITION BY {NORM.format('term')}
   ORDER BY official DESC, edition IS NULL, edition DESC NULLS LAST, origin IS NULL, target, row_id) AS n FROM glossary)"""
 
@@ -70,20 +32,6 @@ def glossary_two_hops(spark, sf_dir):
     return glossary.alternatives(g, g.select("term"))
 
 
-ASKED = ["smal ring", "red widgets", "blu bolt", "greeen gear", "Rings", "aktionen"]
-
-
-@query()
-def glossary_suggestions(spark, sf_dir):
-    return glossary.suggest(table(spark, sf_dir, "part").select(F.col("p_name").alias("name")), spark.createDataFrame([(x,) for x in ASKED], "asked string"))
-
-
-@query()
-def fuzzy_ratio(spark, sf_dir):
-    pairs = [("aktionen", "reaktionen"), ("magic missle", "magic missile"), ("elf", "elfenrustung"), ("", "a"), ("", "")]
-    return spark.createDataFrame(pairs, "a string, b string").select("a", "b", F.round(similarity(F.col("a"), F.col("b")), 2).alias("ratio"))
-
-
 @query(f"""WITH {ENTRIES_SQL}, terms AS (SELECT DISTINCT array_to_string(regexp_extract_all({NORM.format('text')}, '[\\p{{L}}\\p{{N}}]+')[1:3], ' ') AS term FROM benchmark),
 b AS (SELECT id, ' ' || array_to_string(regexp_extract_all({NORM.format('body')}, '[\\p{{L}}\\p{{N}}]+'), ' ') || ' ' AS body FROM entries)
 SELECT id, term FROM b JOIN terms ON contains(body, ' ' || term || ' ') WHERE length(term) >= 4""")
@@ -110,17 +58,6 @@ def entity_groups(spark, sf_dir):
     return resolve.canonical_members(e, resolve.entity_groups(e, _revisions(spark, sf_dir)), s)
 
 
-@query(f"""WITH hits AS ({_FTS_SQL.replace('rank <= 10', 'rank <= 50').replace('concat_ws', 'coalesce(priority, 100) AS priority, concat_ws')}),
-h AS (SELECT *, rank % 3 AS run, {NORM.format('name')} AS key, {NORM.format('query')} AS asked FROM hits JOIN (VALUES {", ".join(f"({i}, '{q}')" for i, q in SEARCHES)}) q(query_id, query) USING (query_id)),
-c AS (SELECT *, CASE WHEN key = asked THEN 0 WHEN starts_with(key, asked) THEN 1 ELSE 2 END AS class FROM h)
-SELECT query_id, id, class, CAST(row_number() OVER (PARTITION BY query_id ORDER BY class, CASE WHEN class = 0 THEN priority ELSE run END, CASE WHEN class = 0 THEN run ELSE priority END, name, id) AS INTEGER) AS rank FROM c""")
-def hit_ranking(spark, sf_dir):
-    e = corpus.entries(spark, sf_dir).where("edition = '2024' AND lang <> 'es'")
-    hits = fulltext.search(e, _searches(spark), 50).join(e.join(corpus.sources(spark, sf_dir), "source_key"), "id").join(_searches(spark), "query_id")
-    asked = hits.select("query_id", "query", "id", "name", F.coalesce("priority", F.lit(100)).alias("priority"), (F.col("rank") % 3).alias("run"))
-    return resolve.ranked(asked).select("query_id", "id", "class", "rank")
-
-
 @query(f"""WITH {ENTRIES_SQL}, {SOURCES_SQL}, k AS (SELECT id, edition, {NORM.format('name')} AS key, kind FROM entries JOIN sources USING (source_key)),
 m AS (SELECT b.id, r.id AS revision_id, row_number() OVER (PARTITION BY b.id ORDER BY r.id) AS place FROM k b JOIN k r USING (edition, key) WHERE b.kind IS NULL AND r.kind IS NOT NULL AND key <> '')
 SELECT id, revision_id, CAST(place AS INTEGER) AS place FROM m WHERE place <= 3""")
@@ -257,13 +194,21 @@ def inflection_bridge(spark, sf_dir):
     return align.inflections(words)
 
 
-@query()
+_FOLD = "lower(strip_accents(trim(replace(lower(target), 'ß', 'ss'))))"
+
+
+@query(f"""WITH {GLOSSARY_SQL}, g AS (SELECT row_id, term, CASE WHEN row_id % 2 = 0 THEN 'groß' ELSE 'gross' END || term AS target, official FROM glossary), a AS (SELECT lower(term) AS k, count(DISTINCT {_FOLD}) AS folds, count(DISTINCT target) AS forms FROM g GROUP BY 1),
+r AS (SELECT g.*, folds, forms, row_number() OVER (PARTITION BY lower(term) ORDER BY official DESC, target, row_id) AS n FROM g JOIN a ON k = lower(term)) SELECT row_id, term, target, CASE WHEN folds = 1 AND forms > 1 AND n > 1 THEN 0 ELSE official END AS official FROM r""")
 def one_spelling(spark, sf_dir):
     g = corpus.glossary(spark, sf_dir).withColumn("target", F.when(F.col("row_id") % 2 == 0, F.concat(F.lit("gro"), F.lit("ß"), "term")).otherwise(F.concat(F.lit("gross"), "term")))
     return align.one_spelling(g).select("row_id", "term", "target", "official")
 
 
-@query()
+_LETTERS = "array_to_string(list_sort(str_split(replace(lower({}), ' ', ''), '')), '')"
+
+
+@query(f"""WITH k AS (SELECT {_LETTERS.format('p_name')} AS key, min(p_name) AS repaired FROM part GROUP BY 1 HAVING count(DISTINCT p_name) = 1), n AS (SELECT DISTINCT reverse(p_name) AS name FROM part WHERE reverse(p_name) NOT IN (SELECT p_name FROM part))
+SELECT name, repaired FROM n JOIN k ON key = {_LETTERS.format('name')}""")
 def anagram_repairs(spark, sf_dir):
     n = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"))
     return align.anagram_repairs(n.select(F.reverse("name").alias("name")), n)
@@ -340,11 +285,6 @@ def log_windows(spark, sf_dir):
     return gates.windowed_log(corpus.query_log(spark, sf_dir))
 
 
-@query()
-def cooldown_gate(spark, sf_dir):
-    return gates.replayed_gate(table(spark, sf_dir, "events"), 3600.0)
-
-
 @query("""WITH c AS (SELECT *, CASE WHEN role <> coalesce(lag(role) OVER w, '') THEN 1 ELSE 0 END AS c FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), i AS (SELECT *, sum(c) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM c),
 g AS (SELECT conv_id, island, role, string_agg(text, chr(10) ORDER BY turn) AS text FROM i GROUP BY ALL), n AS (SELECT *, lead(role) OVER w AS nr, lead(text) OVER w AS answer FROM g WINDOW w AS (PARTITION BY conv_id ORDER BY island))
 SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY island) AS INTEGER) AS pair, text AS question, answer FROM n WHERE role = 'user' AND nr = 'assistant'""")
@@ -441,10 +381,11 @@ def mapped_fields(spark, sf_dir):
     return rules.mapped_fields(c, spark.createDataFrame([("c_name", "person.name")], "name string, path string"))
 
 
-@query("""SELECT p_partkey, p_name || '’s' AS title, CASE WHEN contains(lower(p_type), 'econ') THEN 'cheap' WHEN contains(lower(p_type), 'small') OR contains(lower(p_type), 'std') THEN 'plain' END AS category FROM part""")
+@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN p_name || '’s' WHEN 1 THEN p_name || ' Vol. 1 (Ship Creatures)' WHEN 2 THEN '(2014)' ELSE p_name || ' (2014, ' || p_brand || ')' END AS title, CASE WHEN contains(lower(p_type), 'econ') THEN 'cheap' WHEN contains(lower(p_type), 'small') OR contains(lower(p_type), 'std') THEN 'plain' END AS category FROM part""")
 def titles_and_categories(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    raw = F.concat("p_name", F.lit("'s  ("), "p_brand", F.lit(") (x)"))
+    form = F.col("p_size") % 4
+    raw = F.when(form == 0, F.concat("p_name", F.lit("'s  (2014) (D&D Beyond, PDF) "))).when(form == 1, F.concat("p_name", F.lit(" Vol. 1 (Ship Creatures) (deutsch)"))).when(form == 2, "(2014)").otherwise(F.concat("p_name", F.lit(" (2014, "), "p_brand", F.lit(")")))
     return p.select("p_partkey", rules.work_title(raw).alias("title"), rules.category_of(F.col("p_type"), {"cheap": ["econ"], "plain": ["small", "std"]}).alias("category"))
 
 
@@ -527,4 +468,5 @@ def usage_ratios(spark, sf_dir):
     return rows.groupBy(F.col("n_name").alias("tool")).agg(F.count("*").alias("calls"), tokens.alias("input_tokens"), cached.alias("cached_tokens"), F.round(cached / F.nullif(tokens, F.lit(0)), 6).alias("hit_ratio"))
 
 
-from . import facet_queries  # noqa: E402, F401  registers its queries
+from . import entry_queries, facet_queries, search_queries  # noqa: E402, F401  they register their queries
+from .search_queries import fts_search  # noqa: E402, F401

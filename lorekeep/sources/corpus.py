@@ -58,12 +58,12 @@ def log_rows(events: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     return events.select(
         F.col("event_id").alias("id"), F.col("ts").alias("asked_at"), F.when(F.col("event_type") == "signup", "translate").otherwise("search").alias("tool"), F.concat(F.lit("term"), F.col("user_id") % 40).alias("term"),
-        F.when(F.col("event_type") == "error", "fehler").when(F.col("event_type") == "click", "fuzzy").when(F.col("event_type") == "purchase", F.concat(F.lit("glossary:"), k % 10)).otherwise("direct").alias("path"),
+        F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "click", "fuzzy").when(F.col("event_type") == "purchase", F.concat(F.lit("glossary:"), k % 10)).otherwise("direct").alias("path"),
         (k % 5).alias("hits"), (k % 7 == 0).cast("int").alias("ambiguous"), (k % 2).alias("found"), F.col("value").alias("duration_ms"), "user_id",
     )
 
 
 LOG_SQL = """log AS (SELECT event_id AS id, ts AS asked_at, CASE WHEN event_type = 'signup' THEN 'translate' ELSE 'search' END AS tool, 'term' || (user_id % 40) AS term,
-  CASE event_type WHEN 'error' THEN 'fehler' WHEN 'click' THEN 'fuzzy' WHEN 'purchase' THEN 'glossary:' || (CAST(json_extract(props, '$.k') AS INTEGER) % 10) ELSE 'direct' END AS path,
+  CASE event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'fuzzy' WHEN 'purchase' THEN 'glossary:' || (CAST(json_extract(props, '$.k') AS INTEGER) % 10) ELSE 'direct' END AS path,
   CAST(json_extract(props, '$.k') AS INTEGER) % 5 AS hits, CASE WHEN CAST(json_extract(props, '$.k') AS INTEGER) % 7 = 0 THEN 1 ELSE 0 END AS ambiguous,
   CAST(json_extract(props, '$.k') AS INTEGER) % 2 AS found, value AS duration_ms, user_id FROM events)"""

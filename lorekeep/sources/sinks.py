@@ -69,9 +69,10 @@ def write_artifact(entries: DataFrame, path: str, title: str) -> dict:
 
 
 def _digest(rows: DataFrame) -> tuple[int, int, str]:
-    parts = rows.groupBy(F.substring("body_sha256", 1, 2).alias("p")).agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.length("body"), F.lit(0)) == 0).alias("e"), F.sha2(F.array_join(F.array_sort(F.collect_list("body_sha256")), ""), 256).alias("d"))
-    total = parts.agg(F.sum("n"), F.sum("e"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("p", "d"))), ""), 256)).first()
-    return total[0] or 0, total[1] or 0, total[2]
+    """Rows, rows without a body, and a digest of all bodies' hashes: sums of their parts, which any order of rows gives alike and no task gathers."""
+    pieces = [F.coalesce(F.sum(F.conv(F.substring("body_sha256", i, 12), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string") for i in range(1, 61, 12)]
+    total = rows.agg(F.count("*"), F.count_if(F.coalesce(F.length("body"), F.lit(0)) == 0), F.sha2(F.concat_ws("-", F.count("*").cast("string"), *pieces), 256)).first()
+    return total[0], total[1], total[2]
 
 
 SCHEMA = "id long, body string, body_sha256 string"
@@ -98,3 +99,61 @@ def read_artifact(spark: SparkSession, path: str) -> DataFrame:
     if (n, digest) != (manifest["entry_count"], manifest["entries_sha256"]) or wrong or repeated:
         raise ValueError(f"artifact {manifest['title']} is damaged")
     return rows
+
+
+def latest_artifacts(artifacts: DataFrame) -> DataFrame:
+    """``book_id, path, export_id``: of each book's artifacts (``book_id, path, export_id``) the one of the greatest export, then path."""
+    return artifacts.groupBy("book_id").agg(F.max(F.struct("export_id", "path")).alias("m")).select("book_id", "m.path", "m.export_id")
+
+
+def table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """A Parquet table, or None where there is none."""
+    system, base = _system(path)
+    return spark.read.parquet(path) if system.get_file_info(base).type != fs.FileType.NotFound else None
+
+
+def markdown_files(spark: SparkSession, path: str) -> DataFrame:
+    """``path, text``: whole Markdown files at or below a path; their order is that of the paths."""
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+
+def described(tables: dict[str, DataFrame]) -> DataFrame:
+    """``table, rows, columns``: what given tables hold."""
+    parts = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "rows", F.lit(", ".join(df.columns)).alias("columns")) for name, df in tables.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def with_columns_of(df: DataFrame, schema: dict[str, str]) -> DataFrame:
+    """df with the columns of a newer schema (name: type) that it lacks, as nulls; a column of another type is an error."""
+    have = dict(df.dtypes)
+    if other := {c: (have[c], t) for c, t in schema.items() if c in have and have[c] != t}:
+        raise ValueError(f"columns of other types: {other}")
+    return df.withColumns({c: F.lit(None).cast(t) for c, t in schema.items() if c not in have})
+
+
+def export_glossary(glossary: DataFrame, sources: DataFrame, entries: DataFrame, path: str) -> None:
+    """Write what a web page needs: the glossary's exact rows, and the sources with their numbers of entries, as JSON lines."""
+    counts = entries.groupBy("source_key").agg(F.count("*").alias("entries"))
+    glossary.select("term", "target", "official").distinct().write.mode("overwrite").json(f"{path}/glossary")
+    sources.join(counts, "source_key", "left").select("source_key", "priority", F.coalesce("entries", F.lit(0)).alias("entries")).write.mode("overwrite").json(f"{path}/sources")
+
+
+def append_log(rows: DataFrame, path: str) -> bool:
+    """Append rows to a log; a log that can't be written is no error, and False is returned."""
+    try:
+        rows.write.mode("append").parquet(path)
+    except Exception:  # noqa: BLE001  a failed log never fails the question
+        return False
+    return True
+
+
+def detail_bodies(entities: DataFrame, texts: DataFrame, fallback: DataFrame) -> DataFrame:
+    """``kind, id, name, body``: entities (``kind, id`` and name columns, the first non-null of which names it) with their texts (``kind, id, place, text``) in order; the fallback's where they have none."""
+    names = [c for c in entities.columns if c not in ("kind", "id")]
+    joined = lambda df, c: df.where("text is not null").groupBy("kind", "id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), "\n\n").alias(c))
+    met = entities.join(joined(texts, "_own"), ["kind", "id"], "left").join(joined(fallback, "_other"), ["kind", "id"], "left")
+    return met.select("kind", "id", F.coalesce(*names).alias("name"), F.coalesce("_own", "_other").alias("body"))

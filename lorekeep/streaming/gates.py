@@ -68,3 +68,33 @@ def windowed_log(events: DataFrame, late: str = "10 minutes", width: str = "1 ho
 def latest_feedback(events: DataFrame) -> DataFrame:
     """A stream of feedback (``kind, ref, at``) with each (kind, ref) once within the watermark."""
     return events.withWatermark("at", "1 hour").dropDuplicatesWithinWatermark(["kind", "ref"])
+
+
+def within_daily_cap(admitted: DataFrame, cap: int) -> DataFrame:
+    """``event_id, day, place``: the first cap requests of each UTC day (``event_id, ts``) over all users; only so many of a day reach one task.
+
+    It follows the cooldown gate. A request that the cap turns away should not start a cooldown; here it does, which
+    matters only to a user's first request of the next day.
+    """
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("day").orderBy("ts", "event_id")
+    return admitted.withColumn("day", F.to_date("ts")).withColumn("place", F.row_number().over(w)).where(F.col("place") <= cap).select("event_id", "day", "place")
+
+
+def kept_questions(turns: DataFrame, cap: int) -> DataFrame:
+    """``conv_id, turn, text, age``: the newest cap questions of each conversation (``conv_id, turn, role, text``)."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
+    return turns.where("role = 'user'").withColumn("age", F.row_number().over(w)).where(F.col("age") <= cap).select("conv_id", "turn", "text", "age")
+
+
+def repeats(findings: DataFrame) -> DataFrame:
+    """``rule, n, last``: how often each rule was broken and when last, by findings (``day, rules``); a finding counts for each of its rules."""
+    return findings.select("day", F.explode("rules").alias("rule")).groupBy("rule").agg(F.count("*").alias("n"), F.max("day").alias("last"))
+
+
+def decided(findings: DataFrame, decision: str) -> DataFrame:
+    """Findings (``day, decision``) of one decision; the newest are shown first."""
+    return findings.where(F.col("decision") == decision)

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.markup import tokens
 from ..functions.text import norm_term
 from .components import _checkpointed
 
@@ -31,24 +32,92 @@ def merge_fragments(lines: DataFrame, least: int) -> DataFrame:
     return joined.select("doc_id", "pos", "text", "parts")
 
 
-_DROPPED = re.compile(r"<(script|style|noscript|iframe|object|form)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)", re.S | re.I)
-_BLOCK = re.compile(r"</?(?:p|div|ul|ol|table|tr|section|article|header|footer|nav|blockquote)\b[^>]*>", re.I)
-_LINK = re.compile(r"<a\b[^>]*?href\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a\s*>", re.S | re.I)
-
-
-def markdown_of(page: str | None) -> str:
-    """Markdown of an HTML fragment: active parts dropped, headings, emphasis, lists and web links kept, images as their alternative text."""
-    text = _DROPPED.sub("", page or "")
-    text = re.sub(r"<img\b[^>]*?alt\s*=\s*[\"']([^\"']*)[\"'][^>]*>", r"\1", text, flags=re.I)
-    text = _LINK.sub(lambda m: f"[{m[2]}]({m[1]})" if re.match("https?://", m[1]) else m[2], text)
-    text = re.sub(r"<h([1-6])\b[^>]*>", lambda m: "\n\n" + "#" * int(m[1]) + " ", text, flags=re.I)
-    text = re.sub(r"</h[1-6]\s*>", "\n\n", text, flags=re.I)
-    text = re.sub(r"</?(?:b|strong)\b[^>]*>", "**", text, flags=re.I)
-    text = re.sub(r"</?(?:i|em)\b[^>]*>", "*", text, flags=re.I)
-    text = re.sub(r"<li\b[^>]*>", "\n- ", text, flags=re.I)
-    text = re.sub(r"<br\s*/?>", "\n", text, flags=re.I)
-    text = html.unescape(re.sub(r"<[^>]*>", "", _BLOCK.sub("\n\n", text)))
-    lines = [re.sub(r"[ \t ]+", " ", x).strip() for x in text.split("\n")]
+#: Elements whose text isn't kept, those that hold further ones, and those that part blocks.
+_UNSHOWN, _ACTIVE = frozenset(("script", "style", "noscript", "iframe", "object", "template")), frozenset(("form", "button"))
+_BLOCKS = frozenset("p div ul ol table section article header footer nav aside blockquote main figure figcaption dl dt dd pre hr address body html".split())
+_ATTRIBUTE = re.compile(r"""\b(href|alt)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+
+
+def _attributes(text: str) -> dict[str, str]:
+    return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "").strip() for m in _ATTRIBUTE.finditer(text)}
+
+
+def markdown_of(page: str | None, base: str = "") -> str:
+    """Markdown of an HTML page: active parts and their handlers dropped; headings, emphasis, lists, quotes and tables kept, images as their alternative text.
+
+    Links keep their address if it is one of the web, or begins with "/" (base is put before it; without a base only
+    the text stays); other addresses go and the text stays. Reading takes linear time, however broken the page is.
+    """
+    out: list[str] = []
+    links: list[tuple[int, str]] = []
+    row: list[str] | None = None
+    rows = active = 0
+
+    def text_since(at: int) -> str:
+        found = re.sub(r"\s+", " ", "".join(out[at:])).strip()
+        del out[at:]
+        return found
+
+    cell_at = -1
+
+    def end_cell() -> None:
+        nonlocal cell_at
+        if cell_at >= 0 and row is not None:
+            row.append(text_since(cell_at).replace("|", "\\|"))
+        cell_at = -1
+
+    def end_row() -> None:
+        nonlocal row, rows
+        end_cell()
+        if row:
+            out.append("\n| " + " | ".join(row) + " |")
+            if not rows:
+                out.append("\n|" + "---|" * len(row))
+            rows += 1
+        row = None
+
+    for end, name, attributes in tokens(page or "", _UNSHOWN):
+        if name in _ACTIVE:
+            active = max(0, active + (-1 if end else 1))
+        elif active:
+            continue
+        elif attributes is None:
+            out.append(re.sub(r"\s+", " ", html.unescape(end)))
+        elif name == "a":
+            while links and (end or links):
+                at, href = links.pop()
+                if end or href:
+                    text = text_since(at)
+                    out.append(f"[{text}]({href})" if href and text else text)
+                break
+            if not end:
+                href = _attributes(attributes).get("href", "")
+                href = href if re.match("https?://", href, re.I) else base + href if base and href.startswith("/") else ""
+                links.append((len(out), href))
+        elif name == "img" and not end:
+            out.append(_attributes(attributes).get("alt", ""))
+        elif re.fullmatch("h[1-6]", name):
+            out.append("\n\n" if end else "\n\n" + "#" * int(name[1]) + " ")
+        elif name in ("b", "strong", "i", "em"):
+            out.append("**" if name in ("b", "strong") else "*")
+        elif name == "br":
+            out.append("\n")
+        elif name == "li" and not end:
+            out.append("\n- ")
+        elif name in ("td", "th"):
+            end_cell()
+            if not end:
+                row = [] if row is None else row
+                cell_at = len(out)
+        elif name == "tr":
+            end_row()
+        elif name in _BLOCKS and cell_at < 0:
+            if name == "table":
+                end_row()
+                rows = 0
+            out.append("\n\n")
+    end_row()
+    lines = [re.sub(r"[ \t\xa0]+", " ", x).strip() for x in "".join(out).split("\n")]
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
 
 

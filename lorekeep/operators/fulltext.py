@@ -91,7 +91,7 @@ def snippet(body: Column, prefixes: Column, words: int = SNIPPET_WORDS) -> Colum
 
     def window(x: Column) -> Column:
         at = F.array_position(F.transform(x, lambda e: e["hit"]), True)
-        start = F.greatest(F.lit(1), F.least(at - SNIPPET_BEFORE, F.size(x) - words + 1)).cast("int")
+        start = F.greatest(F.lit(1), F.least(at - min(SNIPPET_BEFORE, (words - 1) // 3), F.size(x) - words + 1)).cast("int")
         text = F.array_join(F.transform(F.slice(x, start, words), lambda e: F.when(e["hit"], F.concat(F.lit("»"), e["w"], F.lit("«"))).otherwise(e["w"])), " ")
         return F.concat(F.when(start > 1, "… ").otherwise(""), text, F.when(start + words <= F.size(x), " …").otherwise(""))
 

@@ -89,7 +89,7 @@ def looked_up(glossary: DataFrame, asked: DataFrame, reverse: bool = False, leas
 
     reverse: questions are in the targets' language. score is that of the similar term, null for exact rows.
     """
-    g = glossary.withColumnsRenamed({"term": "target", "target": "term"}) if reverse else glossary
+    g = glossary.select(*[F.col({"term": "target", "target": "term"}.get(c, c)).alias(c) for c in glossary.columns]) if reverse else glossary
     keyed = g.withColumn("_key", norm_term(F.col("term")))
     q = asked.select("asked", norm_term(F.col("asked")).alias("_key")).where("_key <> ''").distinct()
     exact = q.join(keyed, "_key").withColumns({"match": F.lit("exact"), "score": F.lit(None).cast("double")})

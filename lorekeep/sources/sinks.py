@@ -114,7 +114,7 @@ def table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
 
 def markdown_files(spark: SparkSession, path: str) -> DataFrame:
     """``path, text``: whole Markdown files at or below a path; their order is that of the paths."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 

@@ -2,7 +2,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lorekeep.operators import align, etl, facets, glossary, resolve, rules, sessions
+from lorekeep.operators import align, etl, facets, glossary, predicates, resolve, rules, sessions
 from lorekeep.operators.components import connected_components
 from lorekeep.plans import queries
 from lorekeep.sources import corpus
@@ -153,3 +153,31 @@ def test_cleaned_text_keeps_every_document(spark, tmp_path):
     rows = [(1, "soft\u00adhyphen<br/>next"), (2, None), (3, "two  spaces\u00a0here"), (4, "\u00ad")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert pairs(queries.cleaned_text(spark, str(tmp_path))) == {(1, "softhyphen\nnext"), (2, None), (3, "two spaces here"), (4, "")}
+
+
+def test_long_chains_missing_parents_and_cycles(spark):
+    chain = [(i, i - 1 if i else None, f"n{i}") for i in range(300)]
+    rows = chain + [(1000, 999, "lost"), (1001, 1000, None), (1002, 1001, "x")]
+    got = dict(pairs(etl.parent_chain(spark.createDataFrame(rows, "id long, parent_id long, name string"))))
+    assert got[0] == "" and got[299] == " > ".join(f"n{i}" for i in range(299)) and (got[1000], got[1001], got[1002]) == ("", "lost", "lost")
+    with pytest.raises(ValueError):
+        etl.parent_chain(spark.createDataFrame([(1, 2, "a"), (2, 1, "b"), (3, None, "c")], "id long, parent_id long, name string"))
+    assert etl.parent_chain(spark.createDataFrame([], "id long, parent_id long, name string")).count() == 0
+
+
+def test_titles_lose_known_additions_alone(spark):
+    titles = ["Curse: Options (D&D Beyond)", "Vol. 1 (Ship Creatures)", "(2014) (pdf)", "A's (2014) (en, PDF)", "A ()", None, "B (2014, x)"]
+    e = spark.createDataFrame([(t,) for t in titles], "t string")
+    assert [r[0] for r in e.select(rules.work_title(F.col("t"))).collect()] == ["Curse: Options", "Vol. 1 (Ship Creatures)", "(2014)", "A’s", "A ()", None, "B (2014, x)"]
+
+
+def test_differing_versions_of_one_language(spark):
+    rows = [(1, "de", "*Context: A*\nSame  text here"), (2, "de", "same text HERE"), (3, "de", "quite another thing"), (4, "en", "other language"), (5, "de", None), (6, "de", "more that differs a lot"), (7, "de", "and a fourth one, cut")]
+    e = spark.createDataFrame(rows, "id long, lang string, body string")
+    groups = e.select("id", F.lit(1).alias("group_id"))
+    assert {r.other_id for r in resolve.divergent(e, groups).collect()} == {3, 6}
+
+
+def test_book_values_and_records(spark):
+    e = spark.createDataFrame([(1, {"str": 0}, {}), (2, {"str": 10}, {"str": 12}), (3, {"str": 10}, {"dex": 30}), (4, None, None)], "id int, a map<string,int>, b map<string,int>")
+    assert [r[0] for r in e.orderBy("id").select(predicates.implausible(F.col("a"), F.col("b"))).collect()] == ["score", "save", None, None]

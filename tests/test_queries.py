@@ -13,6 +13,10 @@ from lorekeep.plans import queries
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+#: Queries that SQL can't express; test_search.py holds them against brute force or another reading.
+ELSEWHERE = {"glossary_suggestions", "fuzzy_ratio", "fuzzy_names", "html_markdown", "heading_chunks", "split_answers"}
+
+
 def plain(v):
     if v is None or isinstance(v, float) and math.isnan(v):
         return None
@@ -37,7 +41,7 @@ def test_query(spark, sf, duck, name):
     columns = sorted(frame.columns)
     got = sorted((tuple(plain(r[c]) for c in columns) for r in frame.collect()), key=repr)
     if name not in queries.ORACLE_SQL:
-        assert got
+        assert name in ELSEWHERE and got
         return
     result = duck.sql(queries.ORACLE_SQL[name])
     names = result.columns

@@ -42,3 +42,33 @@ def test_torn_words_need_evidence(spark):
     assert repair.rejoined("a well- known thing") == "a well- known thing"
     frame = spark.createDataFrame([("ﬁre and ﬁ- re",), (None,), ("",)], "body string")
     assert sorted(str(r.repaired) for r in repair.repair_texts(frame).collect()) == ["", "None", "fire and fire"]
+
+
+def test_reading_what_may_be_missing(spark, tmp_path):
+    assert sinks.table_or_none(spark, str(tmp_path / "none")) is None
+    spark.range(2).write.parquet(str(tmp_path / "some"))
+    assert sinks.table_or_none(spark, str(tmp_path / "some")).count() == 2
+    (tmp_path / "md" / "deep").mkdir(parents=True)
+    (tmp_path / "md" / "a.md").write_text("# A\nx")
+    (tmp_path / "md" / "deep" / "b.md").write_text("# B")
+    (tmp_path / "md" / "c.txt").write_text("no")
+    assert [r.text for r in sinks.markdown_files(spark, str(tmp_path / "md")).orderBy("path").collect()] == ["# A\nx", "# B"]
+
+
+def test_columns_are_added_and_never_changed(spark):
+    df = sinks.with_columns_of(spark.range(1), {"id": "bigint", "kind": "string"})
+    assert df.dtypes == [("id", "bigint"), ("kind", "string")] and df.first().kind is None
+    with pytest.raises(ValueError):
+        sinks.with_columns_of(spark.range(1), {"id": "string"})
+
+
+def test_logs_never_fail_and_exports_are_written(spark, tmp_path):
+    assert sinks.append_log(spark.range(1), str(tmp_path / "log")) and sinks.append_log(spark.range(2), str(tmp_path / "log"))
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 3
+    (tmp_path / "file").write_text("")
+    assert not sinks.append_log(spark.range(1), str(tmp_path / "file" / "log"))
+    g = spark.createDataFrame([("a", "b", 1), ("a", "b", 1)], "term string, target string, official int")
+    sources = spark.createDataFrame([("s", 1), ("t", 2)], "source_key string, priority int")
+    sinks.export_glossary(g, sources, spark.createDataFrame([("s",), ("s",)], "source_key string"), str(tmp_path / "web"))
+    assert rows(spark.read.json(str(tmp_path / "web" / "glossary")).select("term", "target", "official")) == [("a", "b", 1)]
+    assert rows(spark.read.json(str(tmp_path / "web" / "sources")).select("source_key", "entries")) == [("s", 2), ("t", 0)]

@@ -11,17 +11,16 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Elements whose text is never shown, and the start of a tag.
+from ..functions.markup import tokens
+
+#: Elements whose text is never shown.
 UNSHOWN = frozenset("script style noscript template iframe svg math textarea select object title".split())
-TAG = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
-TAG_MARK = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，！？、]")
 
@@ -77,64 +76,6 @@ class Element:
         self.path = paths.setdefault((parent.path if parent is not None else -1, label), len(paths))
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, str | None]]:
-    """Tags and texts in page order: ("", name, attributes), ("/", name, "") or (text, "", None). Comments, declarations and elements that are never shown are left out.
-
-    In linear time: what isn't closed is looked for once. Where the quotes in a tag never end, tags from there on end
-    at the next ">"; without one, "<" is text.
-    """
-    at, size = 0, len(page)
-    quoted, missing = True, set()
-
-    def tag_end(start: int) -> int:
-        nonlocal quoted
-        i = start
-        while quoted:
-            mark = TAG_MARK.search(page, i)
-            if mark is None:
-                break
-            if mark[0] == ">":
-                return mark.start()
-            i = -1 if mark[0] in missing else page.find(mark[0], mark.end()) + 1
-            if i <= 0:
-                missing.add(mark[0])
-                return page.find(">", start)
-        quoted = False
-        return page.find(">", start)
-
-    while at < size:
-        start = page.find("<", at)
-        if start < 0 or "end" in missing:
-            hidden = re.search("<[!?]", page[at:]) if start >= 0 else None
-            yield page[at : at + hidden.start() if hidden else size], "", None
-            return
-        if start > at:
-            yield page[at:start], "", None
-        if page.startswith("<!--", start):
-            end = page.find("-->", start + 4)
-            at = size if end < 0 else end + 3
-            continue
-        if page.startswith(("<!", "<?"), start):
-            end = page.find(">", start)
-            at = size if end < 0 else end + 1
-            continue
-        tag = TAG.match(page, start + 1)
-        end = tag_end(tag.end()) if tag else -1
-        if end < 0:
-            if tag:
-                missing.add("end")  # no ">" is left
-            yield "<", "", None
-            at = start + 1
-            continue
-        name, attributes, at = tag[2].lower(), page[tag.end() : end], end + 1
-        if name in UNSHOWN and not tag[1]:
-            if not attributes.endswith("/"):
-                closed = re.compile(f"</{name}\\s*>", re.I).search(page, at)
-                at = size if closed is None else closed.end()
-            continue
-        yield tag[1], name, attributes
-
-
 def blocks(page: str) -> list[tuple[Element, str, int]]:
     """Blocks of text in page order: the element that holds them, the text, and characters of it in links."""
     paths: dict[tuple[int, str], int] = {}
@@ -159,7 +100,7 @@ def blocks(page: str) -> list[tuple[Element, str, int]]:
             opened[at.tag] -= 1
             at = at.parent
 
-    for end, name, attributes in tokens(page):
+    for end, name, attributes in tokens(page, UNSHOWN):
         if attributes is None:
             text.append(end)
             if in_link:

@@ -3,6 +3,7 @@
 import re
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -49,6 +50,17 @@ def test_op1(spark, sf):
     assert got.kept.to_dict() == {i: i == c for i, c in want.items()}
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_equal_their_sql(spark, sf, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    want = con.sql(queries.ORACLE_SQL[name])
+    got = queries.QUERIES[name](spark, sf)
+    assert sorted(want.columns) == sorted(got.columns)
+    assert sorted(map(tuple, got.select(*want.columns).collect()), key=repr) == sorted(want.fetchall(), key=repr)
+
+
 @pytest.mark.parametrize("k,percent", [(5, 80), (3, 85)])
 def test_large_groups_of_near_copies(spark, k, percent):
     rng = np.random.default_rng(3)

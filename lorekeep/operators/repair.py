@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Presentation forms of ligatures and their letters (fixed values of the character standard).
@@ -38,3 +38,31 @@ def repair_texts(docs: DataFrame, text_col: str = "body") -> DataFrame:
             yield texts.map(rejoined)
 
     return docs.withColumn("repaired", F.when(plain.rlike(r"\p{L}-\s+\p{L}"), join(plain)).otherwise(plain))
+
+
+def moved_block(text: Column, block: str, anchor: str, before: bool = True) -> Column:
+    """A text with the first match of block (a regular expression) moved right before or behind the first match of anchor; unchanged where either is missing, or the anchor lies within the block."""
+    cut = lambda x, at, n: F.concat(F.substring(x, F.lit(1), at - 1), F.substring(x, at + n, F.length(x)))
+    piece = F.regexp_extract(text, f"({block})", 1)
+    rest = cut(text, F.position(piece, text), F.length(piece))
+    mark = F.regexp_extract(rest, f"({anchor})", 1)
+    at = F.position(mark, rest) + (F.lit(0) if before else F.length(mark))
+    moved = F.concat(F.substring(rest, F.lit(1), at - 1), piece, F.substring(rest, at, F.length(rest)))
+    return F.when((piece == "") | (mark == ""), text).otherwise(moved)
+
+
+def bold_headings(text: Column, level: int = 3) -> Column:
+    """Lines of bold text that end without a full stop become headings of a level."""
+    return F.regexp_replace(text, r"(?m)^\*\*([^*\n.]{2,80})\*\*[ \t]*$", "#" * level + " $1")
+
+
+def repaired_names(names: DataFrame, contents: DataFrame, curated: DataFrame) -> DataFrame:
+    """``name, repaired, how``: names (``name``) that curated titles (``name, repaired``) change, or that equal exactly one entry of a table of contents (``name``) but for spaces, case and marks."""
+    from ..functions.text import norm_term
+
+    despaced = lambda c: F.regexp_replace(norm_term(c), r"[\s­-]+", "")
+    c = curated.groupBy("name").agg(F.min("repaired").alias("_curated"))
+    toc = contents.select(F.col("name").alias("_toc"), despaced(F.col("name")).alias("_k")).distinct().groupBy("_k").agg(F.min("_toc").alias("_toc"), F.count("*").alias("n")).where("n = 1").drop("n")
+    met = names.select("name").distinct().join(c, "name", "left").withColumn("_k", despaced(F.col("name"))).join(toc, "_k", "left")
+    repaired = F.coalesce("_curated", "_toc")
+    return met.where(repaired.isNotNull() & (repaired != F.col("name"))).select("name", repaired.alias("repaired"), F.when(F.col("_curated").isNotNull(), "curated").otherwise("contents").alias("how"))

@@ -142,3 +142,34 @@ def level_pairs(left: DataFrame, right: DataFrame, known: DataFrame) -> DataFram
     paired = l.join(known, "left").join(r, ["group", "level", "right"]).select("group", "level", "left", "right").distinct()
     alone = lambda df, c: df.join(paired, ["group", "level", c], "left_anti").groupBy("group", "level").agg(F.min(c).alias(c), F.count("*").alias("n")).where("n = 1").drop("n")
     return paired.unionByName(alone(l, "left").join(alone(r, "right"), ["group", "level"]).select("group", "level", "left", "right"))
+
+
+#: Abilities by the names that users give them (fixed values).
+ABILITY_NAMES = {
+    "str": ("str", "strength", "sta", "stä", "stärke"), "dex": ("dex", "dexterity", "ges", "geschicklichkeit"), "con": ("con", "constitution", "kon", "konstitution"),
+    "int": ("int", "intelligence", "intelligenz"), "wis": ("wis", "wisdom", "wei", "weisheit"), "cha": ("cha", "charisma"),
+}
+
+
+def ability_inputs(values: DataFrame) -> DataFrame:
+    """``build_id, ability, value, problem``: inputs (``build_id, name, value`` as text) by ability: "unknown" names, values that are "no number" (whole ones alone are), and "twice" named abilities are problems; the others have none."""
+    names = F.create_map(*[F.lit(x) for key, words in ABILITY_NAMES.items() for w in words for x in (w, key)])
+    keyed = values.select("build_id", F.try_element_at(names, F.lower(F.trim("name"))).alias("ability"), "name", F.when(F.regexp_like(F.trim("value"), F.lit(r"^[+-]?[0-9]{1,9}$")), F.trim("value").cast("int")).alias("number"))
+    n = F.count("*").over(Window.partitionBy("build_id", "ability"))
+    problem = F.when(F.col("ability").isNull(), "unknown").when(n > 1, "twice").when(F.col("number").isNull(), "no number")
+    return keyed.select("build_id", F.coalesce("ability", "name").alias("ability"), F.col("number").alias("value"), problem.alias("problem"))
+
+
+def point_costs(text: Column) -> Column:
+    """Map of score to cost from a text's Markdown table of two columns of whole numbers; empty without one."""
+    rows = F.regexp_extract_all(text, F.lit(r"(?m)^\|\s*([0-9]{1,2}\s*\|\s*[0-9]{1,2})\s*\|\s*$"))
+    pairs = F.transform(rows, lambda r: F.struct(F.trim(F.substring_index(r, "|", 1)).cast("int").alias("k"), F.trim(F.substring_index(r, "|", -1)).cast("int").alias("v")))
+    kept = F.filter(pairs, lambda p, i: (i == 0) | ~F.exists(F.slice(pairs, F.lit(1), i), lambda q: q["k"] == p["k"]))
+    return F.map_from_entries(kept)
+
+
+def costs_differ(rules_text: DataFrame, expected: dict[int, int]) -> DataFrame:
+    """``id, evidence``: whether a rule's text (``id, body``) states exactly the expected point costs: "ok", "differs", or "none" where it holds no table."""
+    wanted = F.create_map(*[F.lit(x) for pair in sorted(expected.items()) for x in pair])
+    found = F.element_at(F.transform(F.array(point_costs(F.col("body"))), lambda m: F.when(F.size(m) == 0, "none").when((F.size(m) == len(expected)) & F.forall(F.map_entries(wanted), lambda e: F.coalesce(F.try_element_at(m, e["key"]) == e["value"], F.lit(False))), "ok").otherwise("differs")), 1)
+    return rules_text.select("id", F.coalesce(found, F.lit("none")).alias("evidence"))

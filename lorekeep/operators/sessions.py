@@ -37,3 +37,27 @@ def locked(events: DataFrame, failures: int, seconds: int) -> DataFrame:
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     w = Window.partitionBy("user_id").orderBy(micros).rangeBetween(-seconds * 1_000_000, 0)
     return events.where("event_type = 'error'").withColumn("recent", F.count("*").over(w)).where(F.col("recent") >= failures).select("event_id", "user_id", "recent")
+
+
+def live_conversations(turns: DataFrame, now, idle_hours: int = 24, most: int = 200) -> DataFrame:
+    """``conv_id, last``: conversations (turns: ``conv_id, at``) that were active within idle_hours before now (a timestamp column), the most recent ones, at most so many; only those reach one task."""
+    last = turns.groupBy("conv_id").agg(F.max("at").alias("last")).where(F.col("last") > now - F.make_dt_interval(hours=F.lit(idle_hours)))
+    return last.orderBy(F.desc("last"), "conv_id").limit(most)
+
+
+def mark_kind(mark):
+    """A feedback mark without variation selectors and skin tones."""
+    return F.regexp_replace(mark, "[\\x{FE0E}\\x{FE0F}\\x{1F3FB}-\\x{1F3FF}]", "")
+
+
+def still_marked(events: DataFrame) -> DataFrame:
+    """``ref, kind, users``: marks that someone still sets: of each user's events (``ref, user_id, mark, at, event_id, added``) on a reference and kind the last one counts."""
+    w = Window.partitionBy("ref", "kind", "user_id").orderBy(F.desc("at"), F.desc("event_id"))
+    newest = events.withColumn("kind", mark_kind(F.col("mark"))).withColumn("n", F.row_number().over(w)).where("n = 1 and added")
+    return newest.groupBy("ref", "kind").agg(F.count("*").alias("users"))
+
+
+def newest_with_rest(rows: DataFrame, by: str, order: list, keep: int) -> DataFrame:
+    """rows, the first keep of each group, with ``rest``: how many of the group aren't shown."""
+    counted = rows.groupBy(by).agg((F.greatest(F.count("*") - keep, F.lit(0))).alias("rest"))
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_n") <= keep).drop("_n").join(counted, by)

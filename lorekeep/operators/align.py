@@ -134,3 +134,12 @@ def seeded_chain(glossary: DataFrame, steps: list[tuple[str, Callable[[DataFrame
         fresh = new.withColumns({"_k": norm_term(F.col("term")), "_t": norm_term(F.col("target"))}).join(there, ["_k", "_t"], "left_anti").drop("_k", "_t")
         rows = keep(rest.unionByName(fresh), "seeded")
     return rows
+
+
+def vetoed_pairs(left: DataFrame, right: DataFrame, full: list[str], partial: list[str], veto: str) -> DataFrame:
+    """staged_pairs, of which those by the partial key are dropped where both sides have a value of the veto column and the values differ."""
+    found = staged_pairs(left, right, full, partial)
+    a, b = left.select(F.col("id").alias("left_id"), F.col(veto).alias("_a")), right.select(F.col("id").alias("right_id"), F.col(veto).alias("_b"))
+    met = found.join(a, "left_id").join(b, "right_id")
+    conflict = F.col("_a").isNotNull() & F.col("_b").isNotNull() & (F.col("_a") != F.col("_b"))
+    return met.where((F.col("stage") == 1) | ~conflict).select("left_id", "right_id", "stage")

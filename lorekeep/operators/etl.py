@@ -289,3 +289,14 @@ def split_text(text: str | None, limit: int) -> list[str]:
         fence = f"{marks[-1]}\n" if len(marks) % 2 else ""
         out.append(part + ("\n```" if fence and rest else ""))
     return out
+
+
+def cleaned_by_source(docs: DataFrame, rules: dict[str, list[tuple[str, str]]]) -> DataFrame:
+    """docs (``source_key, body``) with ``body`` after the regular expressions of its source, in their order; and ``changed``."""
+    out = F.col("body")
+    for source, pairs in rules.items():
+        text = F.col("body")
+        for pattern, replacement in pairs:
+            text = F.regexp_replace(text, pattern, replacement)
+        out = F.when(F.col("source_key") == source, text).otherwise(out)
+    return docs.withColumn("_clean", out).withColumn("changed", ~F.col("_clean").eqNullSafe(F.col("body"))).withColumn("body", F.col("_clean")).drop("_clean")

@@ -50,3 +50,17 @@ def table_cells(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     v = Window.partitionBy("id", "t").orderBy("pos")
     rows = marked.select("id", "t", "pos", cells.alias("cells"), F.row_number().over(v).alias("row"), F.first(cells).over(v).alias("head")).where("row > 1")
     return rows.select("id", "t", (F.col("row") - 1).alias("row"), F.explode(F.arrays_zip(F.col("head").alias("c"), F.col("cells").alias("v"))).alias("x")).select("id", F.col("t").cast("int").alias("table"), "row", F.col("x.c").alias("column"), F.col("x.v").alias("value"))
+
+
+def level_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, level, column, value``: cells of the table of levels of each text: of the tables whose first column holds whole numbers from 1 to 20 alone, the longest, the first of equals."""
+    cells = table_cells(docs, id_col, text_col)
+    lead = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line")).where(F.col("line").rlike(r"^\s*\|.*\|\s*$") & ~F.col("line").rlike(r"^[\s|:-]+$"))
+    w = Window.partitionBy("id").orderBy("pos")
+    heads = lead.select("id", "pos", F.trim(F.split_part(F.col("line"), F.lit("|"), F.lit(2))).alias("name"), (F.col("pos") - F.coalesce(F.lag("pos").over(w), F.lit(-9)) > 2).cast("int").alias("new"))
+    placed = heads.withColumn("table", F.sum("new").over(w)).withColumn("row", F.row_number().over(Window.partitionBy("id", "table").orderBy("pos")) - 1)
+    level = F.when(F.regexp_like("name", F.lit("^[0-9]{1,2}$")), F.col("name").cast("int"))
+    levels = placed.where("row > 0").select("id", F.col("table").cast("int").alias("table"), "row", level.alias("level"))
+    good = levels.groupBy("id", "table").agg(F.count("*").alias("n"), F.count_if(F.col("level").between(1, 20)).alias("k")).where("n = k")
+    best = good.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "table"))["table"].alias("table"))
+    return cells.join(best, ["id", "table"]).join(levels, ["id", "table", "row"]).select("id", "level", "column", "value")

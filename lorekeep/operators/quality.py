@@ -30,12 +30,17 @@ def manifest(entries: DataFrame, part_rows: int = 4096) -> DataFrame:
     return parts.select("part", "n", F.sha2("all", 256).alias("digest"))
 
 
-def term_conflicts(glossary: DataFrame) -> DataFrame:
-    """``term, targets, editions, kind``: terms with several targets; "edition" where each edition has one, else "real"."""
+def term_conflicts(glossary: DataFrame, homonyms: DataFrame | None = None) -> DataFrame:
+    """``term, targets, editions, kind``: terms with several targets; "homonym" where the term is a verified one (``term``), "edition" where each edition has one target, else "real"."""
     per_edition = glossary.groupBy(F.lower("term").alias("term"), "edition").agg(F.countDistinct("target").alias("n"))
     worst = per_edition.groupBy("term").agg(F.max("n").alias("worst"), F.count("*").alias("editions"))
     targets = glossary.groupBy(F.lower("term").alias("term")).agg(F.countDistinct("target").alias("targets")).where("targets > 1")
-    return targets.join(worst, "term").select("term", "targets", "editions", F.when(F.col("worst") == 1, "edition").otherwise("real").alias("kind"))
+    met = targets.join(worst, "term")
+    verified = F.lit(False)
+    if homonyms is not None:
+        met = met.join(homonyms.select(F.lower("term").alias("term"), F.lit(True).alias("_h")).distinct(), "term", "left")
+        verified = F.coalesce("_h", F.lit(False))
+    return met.select("term", "targets", "editions", F.when(verified, "homonym").when(F.col("worst") == 1, "edition").otherwise("real").alias("kind"))
 
 
 def counts_by(entries: DataFrame) -> DataFrame:

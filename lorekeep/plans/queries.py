@@ -468,5 +468,5 @@ def usage_ratios(spark, sf_dir):
     return rows.groupBy(F.col("n_name").alias("tool")).agg(F.count("*").alias("calls"), tokens.alias("input_tokens"), cached.alias("cached_tokens"), F.round(cached / F.nullif(tokens, F.lit(0)), 6).alias("hit_ratio"))
 
 
-from . import detail_queries, entry_queries, facet_queries, search_queries  # noqa: E402, F401  they register their queries
+from . import detail_queries, entry_queries, facet_queries, measure_queries, search_queries  # noqa: E402, F401  they register their queries
 from .search_queries import fts_search  # noqa: E402, F401

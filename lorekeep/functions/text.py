@@ -14,8 +14,9 @@ TOKEN = r"[\p{L}\p{N}]+"
 
 
 def norm_term(c: Column) -> Column:
-    """Trimmed, lower case, without combining marks; sharp s stays."""
-    return F.regexp_replace(F.translate(F.lower(F.trim(c)), MARKED, BASES), r"\p{M}+", "")
+    """Trimmed, lower case, without combining marks; sharp s stays. Texts of ASCII alone have no marks to look for."""
+    low = F.lower(F.trim(c))
+    return F.when(F.octet_length(c) == F.length(c), low).otherwise(F.regexp_replace(F.translate(low, MARKED, BASES), r"\p{M}+", ""))
 
 
 def tokens(c: Column) -> Column:

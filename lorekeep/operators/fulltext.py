@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fuzzy import weighted_ratio
-from ..functions.text import citation, norm_term, similarity, tokens
+from ..functions.text import TOKEN, citation, norm_term, similarity, tokens
 from . import glossary as terms_of
 from .components import _checkpointed
 from .predicates import checked, edition, relevance
@@ -27,15 +27,16 @@ SNIPPET_WORDS, SNIPPET_BEFORE = 16, 4
 def matching(entries: DataFrame, prefixes: list[str] | None) -> DataFrame:
     """``id, size, hits``: each entry's number of words and those that begin with one of the prefixes (None: all), with the weights of their columns."""
     held = [c for c in WEIGHTS if c in entries.columns]
-    cut = entries.select("id", *[tokens(F.col(c)).alias(f"_{c}") for c in held])
-    test = None if prefixes is None else "^(?:" + "|".join(sorted(prefixes)) + ")"
-    some = lambda c: F.col(c) if test is None else F.filter(c, lambda t: F.regexp_like(t, F.lit(test)))
+    folded = entries.select("id", *[F.coalesce(norm_term(F.col(c)), F.lit("")).alias(f"_{c}") for c in held])
+    begins = "" if prefixes is None else "(?:" + "|".join(sorted(prefixes)) + ")"
+    word = rf"(?<![\p{{L}}\p{{N}}])({begins}[\p{{L}}\p{{N}}]{'+' if prefixes is None else '*'})"
     weigh = lambda w: lambda t: F.struct(t.alias("term"), F.lit(w).alias("w"))
-    hits = F.concat(*[F.transform(some(f"_{c}"), weigh(WEIGHTS[c])) for c in held])
+    some = lambda c: F.lit(None).cast("array<string>") if prefixes == [] else F.regexp_extract_all(f"_{c}", F.lit(word))
+    hits = F.concat(*[F.transform(F.coalesce(some(c), F.array().cast("array<string>")), weigh(WEIGHTS[c])) for c in held])
     size = F.lit(0)
     for c in held:
-        size = size + F.size(f"_{c}")
-    return cut.select("id", size.alias("size"), hits.alias("hits"))
+        size = size + F.regexp_count(f"_{c}", F.lit(TOKEN))
+    return folded.select("id", size.alias("size"), hits.alias("hits"))
 
 
 def search(entries: DataFrame, queries: DataFrame, k: int = 10, keep: Callable = _checkpointed) -> DataFrame:

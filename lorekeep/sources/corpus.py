@@ -15,7 +15,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id, source_key, lang, edition, category, name, body``; the name is the text's first three words."""
     d = table(spark, sf_dir, "documents")
-    name = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({TOKEN})")), 1, 3), " ")
+    gap = r"[^\p{L}\p{N}]"
+    first = rf"^{gap}*({TOKEN})(?:{gap}+({TOKEN}))?(?:{gap}+({TOKEN}))?"  # at the beginning alone: the rest isn't read
+    name = F.when(F.col("text").isNotNull(), F.array_join(F.filter(F.array(*[F.regexp_extract("text", first, i) for i in (1, 2, 3)]), lambda w: w != ""), " "))
     return d.select(
         F.col("doc_id").alias("id"), F.col("source").alias("source_key"), "lang", F.when(F.col("doc_id") % 4 == 0, "2014").otherwise("2024").alias("edition"),
         (F.col("doc_id") % 8).alias("category"), name.alias("name"), F.col("text").alias("body"),

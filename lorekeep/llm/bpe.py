@@ -183,13 +183,24 @@ UNSAFE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}
 
 @lru_cache(maxsize=1)
 def odd_characters() -> re.Pattern:
+    """One of the odd codes."""
+    return re.compile(as_class(odd_codes()) if len(odd_codes()) else r"(?!)")
+
+
+@lru_cache(maxsize=1)
+def not_at_spaces() -> str:
+    """Where a text can't be cut at spaces first, or holds an odd code (RE2)."""
+    return UNSAFE + ("|" + as_class(odd_codes(), "\\x{{{:x}}}") if len(odd_codes()) else "")
+
+
+@lru_cache(maxsize=1)
+def odd_codes() -> np.ndarray:
     """Characters that are letters, numbers or spaces to the pattern here or to the library's, but not to both."""
     every, codes, here = "".join(map(chr, IN_USE)), np.array(IN_USE), np.full(CODES, OTHER, dtype=np.uint8)
     for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
         for m in regex.finditer(pattern, every):
             here[codes[m.start() : m.end()]] = kind
-    differ = np.flatnonzero(here != library_classes())
-    return re.compile(as_class(differ) if len(differ) else r"(?!)")
+    return np.flatnonzero(here != library_classes())
 
 
 class ByteCodec:
@@ -234,10 +245,7 @@ class ByteCodec:
                 if len(self.chunks) > REMEMBERED or len(self.words) > REMEMBERED:
                     self.chunks, self.words = {"": b""}, {}
                 part = [t or "" for t in texts[a:b]]
-                unsafe = pc.match_substring_regex(pa.array(part, type=pa.large_string()), UNSAFE).to_numpy(zero_copy_only=False)
-                for i, t in enumerate(part):
-                    if not t.isascii() and odd_characters().search(t):
-                        unsafe[i] = True
+                unsafe = pc.match_substring_regex(pa.array(part, type=pa.large_string()), not_at_spaces()).to_numpy(zero_copy_only=False)
                 words, at, starts = words_of(["" if u else t for t, u in zip(part, unsafe.tolist())], " ")
                 heads = [words[i] for i in at[starts[:-1]].tolist()]  # a text's first chunk has no space before it
                 at[starts[:-1]] = len(words) + np.arange(len(heads))

@@ -35,11 +35,11 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def as_class(codes: np.ndarray) -> str:
-    """A regular expression for one of the code points (sorted, at least one)."""
+def as_class(codes: np.ndarray, escape: str = "\\U{:08x}") -> str:
+    """A regular expression for one of the code points (sorted, at least one), each written by an escape."""
     starts = np.flatnonzero(np.concatenate([[True], np.diff(codes) > 1]))
     ends = np.append(starts[1:], len(codes)) - 1
-    return "[" + "".join(f"\\U{codes[a]:08x}-\\U{codes[b]:08x}" for a, b in zip(starts, ends)) + "]"
+    return "[" + "".join(f"{escape.format(codes[a])}-{escape.format(codes[b])}" for a, b in zip(starts, ends)) + "]"
 
 
 @lru_cache(maxsize=1)

@@ -20,7 +20,7 @@ def where_computed(df: DataFrame, condition: Column) -> DataFrame:
     """df.where(condition) for conditions on computed columns.
 
     The optimizer moves a filter below the projections it stands on and so computes their expressions anew, word
-    arrays included, for every use. A condition that also reads a row number stays where it is.
+    arrays included, for every use (seen on Spark 4.1). A condition that also reads a row number stays where it is.
     """
     return df.withColumn("_row_number", F.monotonically_increasing_id()).where((F.col("_row_number") >= 0) & condition).drop("_row_number")
 

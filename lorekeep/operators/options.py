@@ -21,7 +21,7 @@ def source_buckets(sources: DataFrame) -> DataFrame:
 
 
 def with_children(sections: DataFrame) -> DataFrame:
-    """sections (``id, path, name, body``) with ``whole``: the body, and those of the direct children in order of id. Texts are concatenated in id order."""
+    """sections (``id, path, name, body``) with ``whole``: the body, and those of the direct children in order of id. All children of a section meet in one row, as the text that it shows does; sections with more than a row can hold don't fit this form."""
     own = F.when(F.col("path") == "", F.col("name")).otherwise(F.concat_ws(" > ", "path", "name"))
     children = sections.select(F.col("path").alias("_parent"), F.struct("id", F.concat(F.lit("## "), F.col("name"), F.lit("\n"), F.col("body")).alias("t")).alias("c")).where("_parent <> ''").groupBy("_parent").agg(F.array_join(F.transform(F.sort_array(F.collect_list("c")), lambda x: x["t"]), "\n").alias("below"))
     return sections.withColumn("_own", own).join(children, F.col("_own") == F.col("_parent"), "left").select("id", "path", "name", F.concat_ws("\n", "body", "below").alias("whole"))

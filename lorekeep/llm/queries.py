@@ -88,7 +88,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_pack_sequences, op3_quality_classifier, op4_token_files, op5_bpe_roundtrip, op6_warc_roundtrip, op7_nearest_neighbours, op8_main_text, op9_quality_rules, op10_token_counts)}
+def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash_dedup import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents"), k=4, distance=4)
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_pack_sequences, op3_quality_classifier, op4_token_files, op5_bpe_roundtrip, op6_warc_roundtrip, op7_nearest_neighbours, op8_main_text, op9_quality_rules, op10_token_counts, op13_simhash_dedup)}
 
 _OP1 = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 1))) AS i FROM w WHERE len(w) > 0)), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),

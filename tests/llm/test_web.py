@@ -117,6 +117,49 @@ def test_ratios_overrule_doubtful_names(name):
     assert "terms" not in html_extract.main_text(beside) and html_extract.main_text(beside).count("The river rose") == 24
 
 
+@pytest.mark.parametrize(
+    "name",
+    ["class='content has-sidebar'", "class='post no-comments'", "class='layout--with-menu'", "class='site-content nav-open'", "class='col-md-8 no-widget'", "class='article-content social-share-enabled'", "class='entry ad-free'",
+     "class='related-work'", "id='share-price-analysis'", "class='sidebar'", "id=footer", "class='promo'", "class='x' id='commentsHeader'"],
+)
+def test_a_name_never_takes_the_only_prose(name):
+    page = f"<body><div class='top-bar'>{SHORT}</div><div {name}><h1>Title</h1>{PROSE * 3}</div><div class='site-footer'><p>Fine, print.</p></div></body>"
+    got = html_extract.main_text(page)
+    assert got.startswith("Title\nThe river") and got.count("The river rose") == 18 and "print" not in got and "item" not in got
+    assert html_extract.main_text(f"<body><div {name}>{PROSE * 3}</div></body>").count("The river rose") == 18
+
+
+def test_frames_and_titles():
+    form = f"<body><form id='aspnetForm'><div class='menu'>{SHORT}</div><div class='page'><h1>Title</h1>{PROSE * 3}</div><div class='sidebar'>{PROSE.replace('river', 'lake')}</div></form></body>"
+    got = html_extract.main_text(form)
+    assert got.startswith("Title\nThe river") and "lake" not in got and "item" not in got
+    entry = f"<body><article><div class='entry-header'><h1>The Title</h1></div><div class='entry-content'>{PROSE * 2}</div><div class='entry-share'><a>Share, it.</a></div></article></body>"
+    assert html_extract.main_text(entry).startswith("The Title\nThe river") and "Share" not in html_extract.main_text(entry)
+    header = f"<body><div class='page-header'><h1>The Title</h1></div><div class='col'>{PROSE * 2}</div></body>"
+    assert html_extract.main_text(header).startswith("The Title\nThe river")
+
+
+def test_teasers_named_as_articles_are_not_all():
+    cards = "".join(f"<article class='card'><h3>More {i}</h3><p>A short, dull teaser of other news.</p></article>" for i in range(5))
+    got = html_extract.main_text(f"<body><div class='text'><h1>Title</h1>{PROSE * 4}</div><div class='grid'>{cards}</div></body>")
+    assert got.count("The river rose") == 24
+
+
+def test_many_comments_below_a_short_article():
+    page = f"<body><div class='text'><h1>Title</h1>{PROSE}</div><div class='comments-area'><h2>Comments</h2>{PROSE.replace('river', 'lake') * 30}</div></body>"
+    got = html_extract.main_text(page)
+    assert got.startswith("Title\nThe river") and "lake" not in got
+
+
+def test_open_items_are_ended_at_any_depth():
+    deep = "<ul><li>" + "<b><div>" * 200 + "one, a.<li>two, b.</ul>"
+    page = f"<body>{deep}</body>"
+    found = html_extract.blocks(page)
+    assert [t for _, t, _ in found] == ["one, a.", "two, b."] and found[1][0].parent.tag == "ul"
+    rows = html_extract.blocks("<table><tr><td>" + "<div>" * 100 + "a<td>b<tr><th>c<table><tr><td>d</table>e</table>")
+    assert [(t, e.tag, e.parent.tag) for e, t, _ in rows] == [("a", "div", "div"), ("b", "td", "tr"), ("c", "th", "tr"), ("d", "td", "tr"), ("e", "th", "tr")]
+
+
 def test_pages_without_telling_names():
     page = f"<body><div class='a'>{SHORT}</div><div class='b'><div class='c'><h1>Title</h1>{PROSE * 5}</div></div><div class='d'>{SHORT}<p>Fine.</p></div></body>"
     got = html_extract.main_text(page)

@@ -1,8 +1,9 @@
 """Ids as the tokenizers library gives them for a lower-casing vocabulary with word ends, one library call per new word.
 
 The vocabulary's normaliser (NFC, white space, lower case) and its pattern work within words between white
-space, so a text's ids are its words' ids joined. Each word met first goes through the library itself; texts
-where that cutting could differ from the library's (special strings, rare separators) go through it whole.
+space, so a text's ids are its words' ids joined. A text is normalised once; each word met first then goes through the
+library without its normaliser. Texts where that cutting could differ from the library's (special strings, rare
+separators) go through it whole.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 
+from .char_classes import code_points, unknown_to_python
 from .wordwise import paused_gc, slices, spread, words_of
 
 #: Words that a worker remembers before it starts anew, and characters of text that it takes together.
@@ -28,15 +30,25 @@ class LibraryIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals the work out
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.remembered, self.slice_chars = Tokenizer.from_file(path), remembered, slice_chars
+        self.tokenizer, self.words, self.remembered, self.slice_chars = Tokenizer.from_file(path), Tokenizer.from_file(path), remembered, slice_chars
+        self.normalizer = self.tokenizer.normalizer
+        self.words.normalizer = None
         self.known: dict[str, bytes] = {"": b""}
 
-    def _call(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _call(self, texts: list[str], whole: bool = False) -> list[bytes]:
+        """Ids of normalised words, or of whole texts as they are."""
+        tokenizer = self.tokenizer if whole else self.words
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _normal(self, text: str) -> str:
+        """As the library has it: texts with characters that Python doesn't know go through its own normaliser."""
+        if not text.isascii() and unknown_to_python()[code_points(text)].any():
+            return self.normalizer.normalize_str(text)
+        return normal(text)
 
     def _call_joined(self, words: list[str]) -> list[bytes]:
         """As _call, for words of letters alone: each is one word to the library too, so one call serves many."""
-        e = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        e = self.words.encode(" ".join(words), add_special_tokens=False)
         ids, ends = np.array(e.ids, dtype="<u4").tobytes(), (4 * np.searchsorted(e.word_ids, np.arange(1, len(words) + 1))).tolist()
         return [ids[a:b] for a, b in zip([0, *ends], ends)]
 
@@ -69,7 +81,7 @@ class LibraryIds:
                     self.known = {"": b""}
                 part = [t or "" for t in texts[a:b]]
                 whole = {i: t for i, t in enumerate(part) if any(map(t.__contains__, WHOLE))}
-                words, at, starts = words_of([normal(t) if i not in whole else "" for i, t in enumerate(part)])
+                words, at, starts = words_of([self._normal(t) if i not in whole else "" for i, t in enumerate(part)])
                 values = list(map(self.known.get, words))
                 if missing := [i for i, v in enumerate(values) if v is None]:
                     self._learn([words[i] for i in missing])
@@ -78,7 +90,7 @@ class LibraryIds:
                 ids, counts = spread(values, at, starts)
                 if whole:
                     pieces = np.split(ids, np.cumsum(counts)[:-1])
-                    for i, got in zip(whole, self._call(list(whole.values()))):
+                    for i, got in zip(whole, self._call(list(whole.values()), True)):
                         pieces[i] = np.frombuffer(got, dtype="<u4")
                     ids, counts = np.concatenate(pieces), np.array([len(p) for p in pieces])
                 yield a, b, ids, counts

@@ -369,11 +369,20 @@ class Transducer:
                 where = np.cumsum([0, *[len(p) + 1 for p in pieces]])
                 where[-1] -= 1
                 starts = begins[where]
+                owner = np.array(owner)
                 try:
                     text, emitted = self.reduce(symbols, self.maps(symbols, starts))
                 except OverflowError:
-                    text, emitted = np.arange(len(pieces)), np.array([self._merged(symbols[x:y]) for x, y in zip(starts[:-1], starts[1:])])
-                np.add.at(counts, np.array(owner)[text], emitted)
+                    # only a word longer than what may stay pending can be the cause
+                    ends = np.flatnonzero(symbols >= 256) + 1
+                    begins = np.concatenate([[0], ends[:-1]])
+                    keep = np.ones(len(symbols), dtype=bool)
+                    for x, y in zip(*(v[ends - begins > PENDING].tolist() for v in (begins, ends))):
+                        keep[x:y] = False
+                        counts[owner[np.searchsorted(starts, x, side="right") - 1]] += self._merged(symbols[x:y])
+                    starts = np.concatenate([[0], np.cumsum(keep)])[starts]
+                    text, emitted = self.reduce(symbols[keep], self.maps(symbols[keep], starts))
+                np.add.at(counts, owner[text], emitted)
             yield counts
 
 

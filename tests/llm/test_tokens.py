@@ -18,7 +18,7 @@ from lorekeep.llm.storage import shared_dir
 BYTE, WORD = queries.tokenizer_path("byte_bpe_50k.json"), queries.tokenizer_path("word_bpe_49k.json")
 ODD = [
     "", " ", "  a  b", "a\n\n b \n\n\tc", "x<|endoftext|>y <|endoftext|>", "<|startoftext|>x<|endoftext", "it's WE'LL 's  'S x's. don't", "é漢字 ñ　x \x1c y\x85z", "a" * 3000, "ab" * 50 + " " + "\n" * 9 + "z",
-    "123 4567 ½ ٠ 12,34.5!? ...", " lead", "trail ", "\n x", "ΣΑΣ Σ İI ß ǅ Å", "a​b\xa0c d᠎e", "a ̈b é",
+    "123 4567 ½ ٠ 12,34.5!? ...", " lead", "trail ", "\n x", "ΣΑΣ Σ İI ß ǅ Å", "İ̱x", "\U0001e4ec\U0001e4ee", "a\U0001e4ee\u0331 \u0130\u0331", "a​b\xa0c d᠎e", "a ̈b é",
 ]
 
 
@@ -73,11 +73,28 @@ def test_many_strings_equal_the_library(path):
     want = [e.ids for e in LIBRARY[path].encode_batch_fast(texts, add_special_tokens=False)]
     if path == WORD:
         assert np.concatenate(list(COUNTER.count(texts))).tolist() == list(map(len, want))
+        assert [x.tolist() for _, _, ids, counts in IDS.encode(texts) for x in np.split(ids, np.cumsum(counts)[:-1])] == want
     else:
         got = [x.tolist() for _, _, ids, counts in CODEC.encode(texts) for x in np.split(ids, np.cumsum(counts)[:-1])]
         assert got == want
 
 
+def test_a_word_that_stays_pending_is_merged_alone():
+    """Its neighbours in the slice are still counted by the machine."""
+    machine = token_counts.Transducer(WORD)
+    rng = random.Random(1)
+    texts = ["the cat sat", "x " + "".join(rng.choice("ab") for _ in range(900)) + " on the mat", None, "", "b" * 2000 + " end"]
+    machine_merged, asked = machine._merged, []
+    machine._merged = lambda symbols: asked.append(len(symbols)) or machine_merged(symbols)
+    token_counts.PENDING, before = 3, token_counts.PENDING
+    try:
+        got = np.concatenate(list(machine.count(texts))).tolist()
+    finally:
+        token_counts.PENDING = before
+    assert got == [len(LIBRARY[WORD].encode(t or "", add_special_tokens=False).ids) for t in texts]
+    assert 900 in asked and sum(asked) < 2 * sum(len(t or "") for t in texts)
+
+
 def test_tokens_apart_are_those_that_merging_leaves():
     rng, m = random.Random(4), COUNTER.merges
     inner = list(COUNTER.inner.items())

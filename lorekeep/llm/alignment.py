@@ -31,58 +31,47 @@ from .storage import materialise
 from .wordwise import paused_gc, slices, words_of
 
 #: Characters of a block of texts, and parts and their characters that a worker remembers; then it starts anew.
-BLOCK, REMEMBERED, REMEMBERED_CHARS = 4_000_000, 300_000, 8_000_000
+BLOCK, REMEMBERED, REMEMBERED_CHARS = 4_000_000, 200_000, 8_000_000
+#: Parts that are labelled together.
+TOGETHER = 4096
 NONE, A_END, B_END, BOTH = range(4)
-SPAN = re.compile(rb"[\x00-\x02]*\x03")
+SPAN = re.compile(rb"[\x01\x02]*\x03")
 #: What stands for a space in pieces of B, and its pieces for single bytes (fixed by the file format).
 PIECE_SPACE, PIECE_BYTE = "▁", re.compile(r"<0x([0-9A-F]{2})>")
 
 
 @dataclass
-class Alignment:
-    """Groups and links of one text or part: ids of both sides, and the groups' tokens on either side."""
-
-    a: list[int]
-    b: list[int]
-    labels: bytes
-
-    def groups(self) -> list[tuple[int, int, int]]:
-        """End of each group in bytes, and how many tokens of A and of B it has."""
-        return [(m.end(), m[0].count(A_END) + 1, m[0].count(B_END) + 1) for m in SPAN.finditer(self.labels)]
-
-    def links(self) -> list[int]:
-        """Of every overlap of tokens, the id of B in the upper and that of A in the lower 32 bits."""
-        a, b = iter(self.a), iter(self.b)
-        x, y, out = next(a, 0), next(b, 0), []
-        for label in self.labels.translate(None, b"\x00"):
-            out.append(y << 32 | x)
-            if label & A_END:
-                x = next(a, 0)
-            if label & B_END:
-                y = next(b, 0)
-        return out
-
-    def spelled(self) -> bytes:
-        """``a1,a2|b1;a3|b2,b3``: the ids of each group."""
-        i = j = 0
-        out = []
-        for _, n, m in self.groups():
-            out.append(f"{','.join(map(str, self.a[i : i + n]))}|{','.join(map(str, self.b[j : j + m]))}")
-            i, j = i + n, j + m
-        return ";".join(out).encode()
-
-
-def label_string(a_sizes: list[int], b_sizes: list[int], size: int) -> bytes:
-    """Labels of size bytes that both tokenizers cut into tokens of so many bytes."""
-    labels = bytearray(size)
-    for sizes, mark in ((a_sizes, A_END), (b_sizes, B_END)):
-        at = -1
-        for n in sizes:
-            if n == 0:
-                raise ValueError("a token without bytes")
-            at += n
-            labels[at] |= mark
-    return bytes(labels)
+class Aligned:
+    """Texts cut by both tokenizers: ids of all texts, tokens in each group, and each text's share of everything."""
+
+    a: np.ndarray
+    b: np.ndarray
+    in_a: np.ndarray  # tokens of A in each group
+    in_b: np.ndarray
+    ends: np.ndarray  # where each group ends, in bytes of all texts
+    links: np.ndarray  # of every overlap of tokens, the id of B in the upper and that of A in the lower 32 bits
+    counts: np.ndarray  # of each text: tokens of A and B, groups, links
+
+
+def align(sizes: np.ndarray, a: np.ndarray, a_sizes: np.ndarray, a_counts: np.ndarray, b: np.ndarray, b_sizes: np.ndarray, b_counts: np.ndarray) -> Aligned:
+    """Align texts of so many bytes each, given all ids, the bytes of each, and how many each text has."""
+    if not a_sizes.all() or not b_sizes.all():
+        raise ValueError("a token without bytes")
+    labels = np.zeros(int(sizes.sum()), dtype=np.uint8)
+    labels[np.cumsum(a_sizes) - 1] += A_END
+    labels[np.cumsum(b_sizes) - 1] += B_END
+    marks = labels.tobytes().translate(None, bytes([NONE]))
+    spans = np.cumsum(np.fromiter(map(len, SPAN.findall(marks)), dtype=np.int64))
+    kinds = np.frombuffer(marks, dtype=np.uint8)
+    of_a, of_b = (kinds & A_END).astype(np.int64), (kinds >> 1).astype(np.int64)
+    upto_a, upto_b = np.cumsum(of_a), np.cumsum(of_b)
+    at, text_ends = np.flatnonzero(labels), np.cumsum(sizes)
+    ends = at[spans - 1] + 1
+    each = lambda places: np.diff(np.searchsorted(places, text_ends, side="right"), prepend=0)
+    return Aligned(
+        a, b, np.diff(upto_a[spans - 1], prepend=0), np.diff(upto_b[spans - 1], prepend=0), ends,
+        b[upto_b - of_b].astype(np.int64) << 32 | a[upto_a - of_a], np.stack([a_counts, b_counts, each(ends), each(at + 1)], axis=1),
+    )
 
 
 class Aligner:
@@ -96,12 +85,18 @@ class Aligner:
         self.a.no_truncation(), self.a.no_padding()
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         byte_of = {c: b for b, c in enumerate(byte_letters())}
-        self.bytes_a = {i: bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode() for t, i in self.a.get_vocab(True).items()}
+        vocabulary = self.a.get_vocab(True)
+        self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
+        for t, i in vocabulary.items():
+            self.bytes_a[i] = bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode()
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         as_byte = [PIECE_BYTE.fullmatch(p) for p in pieces]
         self.bytes_b = [bytes([int(m[1], 16)]) if m else p.replace(PIECE_SPACE, " ").encode() for p, m in zip(pieces, as_byte)]
         if any(re.search(f"[^{PIECE_SPACE}]{PIECE_SPACE}", p) for p in pieces):
             raise ValueError(f"{path_b}: a piece goes on behind a space")
+        self.size_a, self.size_b = (np.fromiter(map(len, x), dtype=np.int64) for x in (self.bytes_a, self.bytes_b))
+        # ids as they are spelled within a group and at its end
+        self.written = [f"{i}{mark}".encode() for n, marks in ((len(self.bytes_a), ",|"), (len(self.bytes_b), ",;")) for i in range(n) for mark in marks]
         self.lone_space = [self.b.piece_to_id(PIECE_SPACE)]
         space = as_class(np.flatnonzero(library_classes() == SPACE))
         self.no_cut, self.cut = re.compile(f"{space} "), re.compile(f"(?<!{space})(?= )")
@@ -110,22 +105,39 @@ class Aligner:
     def _clear(self) -> None:
         self.number: dict[str, int] = {}
         self.chars = 0
-        self.stats: list[tuple[int, int, int, int]] = []  # of a part: tokens of A and B, groups, links; none where it isn't spelled as it is
-        self.pairs: list[list[int]] = []
+        self.stats = np.zeros((0, 4), dtype=np.int64)  # as in Aligned.counts; zeros for parts that aren't spelled as they are
+        self.links, self.first_link = np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64)
         self.strings: list[bytes] = []
 
-    def aligned(self, data: bytes, a: list[int], b: list[int]) -> Alignment | None:
-        """None where the bytes of either side's tokens aren't data."""
-        in_a, in_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(in_a) != data or b"".join(in_b) != data:
-            return None
-        return Alignment(a, b, label_string(list(map(len, in_a)), list(map(len, in_b)), len(data)))
-
-    def whole(self, text: str | None) -> Alignment | None:
-        """A text's alignment, the text as one; None where there are no tokens to align."""
+    def aligned(self, data: list[bytes], a: list[list[int]], b: list[list[int]]) -> Aligned:
+        """Texts (bytes) with both sides' ids; a text that either side's tokens don't spell has no tokens."""
+        flat = lambda ids: np.array([i for some in ids for i in some], dtype=np.int64)
+        count = lambda xs: np.fromiter(map(len, xs), dtype=np.int64, count=len(xs))
+        sides = [(flat(ids), count(ids), size, spelled) for ids, size, spelled in ((a, self.size_a, self.bytes_a), (b, self.size_b, self.bytes_b))]
+        sizes, joined = count(data), b"".join(data)
+        if any((_sums(size[ids], n) != sizes).any() or b"".join(map(spelled.__getitem__, ids.tolist())) != joined for ids, n, size, spelled in sides):
+            like = [all(b"".join(map(spelled.__getitem__, ids)) == d for ids, spelled in ((x, self.bytes_a), (y, self.bytes_b))) for d, x, y in zip(data, a, b)]
+            return self.aligned(*([v if good else type(v)() for v, good in zip(xs, like)] for xs in (data, a, b)))
+        return align(sizes, *(v for ids, n, size, _ in sides for v in (ids, size[ids], n)))
+
+    def spelled(self, x: Aligned) -> list[bytes]:
+        """``a1,a2|b1;a3|b2,b3;`` of each text: the ids of each group."""
+        end_a, end_b = np.cumsum(x.in_a), np.cumsum(x.in_b)
+        last_a, last_b = np.zeros(len(x.a), dtype=np.int64), np.zeros(len(x.b), dtype=np.int64)
+        last_a[end_a - 1] = last_b[end_b - 1] = 1
+        out = np.empty(len(x.a) + len(x.b), dtype=np.int64)
+        # a token of A follows the tokens of B of the groups before its own, one of B the tokens of A up to its own
+        out[np.arange(len(x.a)) + np.repeat(end_b - x.in_b, x.in_a)] = 2 * x.a + last_a
+        out[np.arange(len(x.b)) + np.repeat(end_a, x.in_b)] = 2 * (x.b + len(self.bytes_a)) + last_b
+        pieces = list(map(self.written.__getitem__, out.tolist()))
+        ends = np.cumsum(x.counts[:, 0] + x.counts[:, 1]).tolist()
+        return [b"".join(pieces[i:j]) for i, j in zip([0, *ends], ends)]
+
+    def whole(self, text: str | None) -> Aligned:
+        """A text's alignment, the text as one."""
         if not text:
-            return None
-        return self.aligned((" " + text).encode(), self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text))
+            return self.aligned([b""], [[]], [[]])
+        return self.aligned([(" " + text).encode()], [self.a.encode(" " + text, add_special_tokens=False).ids], [self.b.encode(text)])
 
     def _numbers(self, parts: list[str]) -> np.ndarray:
         """Numbers of parts (each without the space before it); new ones are labelled."""
@@ -133,27 +145,26 @@ class Aligner:
         missing = [i for i, n in enumerate(numbers) if n is None]
         if missing:
             new = list(dict.fromkeys(parts[i] for i in missing))
-            for at in range(0, len(new), 2000):
-                some = new[at : at + 2000]
-                in_a = self.a.encode_batch([" " + p for p in some], add_special_tokens=False)
-                in_b = self.b.encode(some, num_threads=1)
-                for part, a, b in zip(some, in_a, in_b):
-                    self._remember(part, self.aligned((" " + part).encode(), a.ids, b if part else self.lone_space))
+            self.number.update(zip(new, range(len(self.strings), len(self.strings) + len(new))))
+            self.chars += sum(map(len, new))
+            stats, links = [self.stats], [self.links]
+            for some in (new[at : at + TOGETHER] for at in range(0, len(new), TOGETHER)):
+                spaced = [" " + p for p in some]
+                in_a = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
+                in_b = [ids if p else self.lone_space for p, ids in zip(some, self.b.encode(some, num_threads=1))]
+                x = self.aligned([p.encode() for p in spaced], in_a, in_b)
+                stats.append(x.counts)
+                links.append(x.links)
+                self.strings += self.spelled(x)
+            self.stats, self.links = np.concatenate(stats), np.concatenate(links)
+            self.first_link = np.concatenate([[0], np.cumsum(self.stats[:, 3])])
             for i in missing:
                 numbers[i] = self.number[parts[i]]
         return np.array(numbers, dtype=np.int64)
 
-    def _remember(self, part: str, x: Alignment | None) -> None:
-        self.number[part] = len(self.stats)
-        self.chars += len(part)
-        links = x.links() if x else []
-        self.stats.append((len(x.a), len(x.b), len(x.groups()), len(links)) if x else (0, 0, 0, 0))
-        self.pairs.append(links)
-        self.strings.append(x.spelled() if x else b"")
-
     def block(self, texts: list[str | None]) -> dict:
         """What a block holds of texts: per text its counts and digest, its parts, and the links of these."""
-        if len(self.stats) > REMEMBERED or self.chars > REMEMBERED_CHARS:
+        if len(self.strings) > REMEMBERED or self.chars > REMEMBERED_CHARS:
             self._clear()
         texts = [t or "" for t in texts]
         apart = [" " in t and (t[0] == " " or self.no_cut.search(t) is not None) for t in texts]
@@ -165,29 +176,24 @@ class Aligner:
                 of[i] = of[i][:0]
             elif apart[i]:
                 of[i] = self._numbers([p[1:] for p in self.cut.split(" " + t) if p])
-        stats = np.array(self.stats, dtype=np.int64).reshape(-1, 4)
-        unlike = np.flatnonzero(stats[:, 3] == 0)
-        counts, digests, own = np.zeros((len(texts), 4), dtype=np.int64), [], []
+        unlike = self.stats[:, 3] == 0
+        counts, digests, own, parts_of_own = np.zeros((len(texts), 4), dtype=np.int64), [], [], len(self.strings)
         for i, parts in enumerate(of):
-            if len(unlike) and np.isin(parts, unlike).any():
+            if unlike[parts].any():
                 x = self.whole(texts[i])
-                of[i] = parts[:0]
-                if x is None:
-                    digests.append("")
-                    continue
-                links = x.links()
-                counts[i] = len(x.a), len(x.b), len(x.groups()), len(links)
-                digests.append(hashlib.sha256(x.spelled()).hexdigest())
-                of[i] = np.array([len(self.stats) + len(own)])
-                own.append(links)
-                continue
-            counts[i] = stats[parts].sum(axis=0)
-            digests.append(hashlib.sha256(b";".join(map(self.strings.__getitem__, parts.tolist()))).hexdigest() if len(parts) else "")
+                counts[i], spelled, of[i] = x.counts[0], self.spelled(x)[0], parts[:0]
+                if len(x.links):
+                    of[i] = np.array([parts_of_own + len(own)])
+                    own.append(x.links)
+            else:
+                counts[i], spelled = self.stats[parts].sum(axis=0), b"".join(map(self.strings.__getitem__, parts.tolist()))
+            digests.append(hashlib.sha256(spelled[:-1]).hexdigest() if spelled else "")
         every = np.concatenate([*of, np.zeros(0, np.int64)]).astype(np.int64)
         parts, place, times = np.unique(every, return_inverse=True, return_counts=True)
-        links = [self.pairs[p] if p < len(self.pairs) else own[p - len(self.pairs)] for p in parts.tolist()]
-        sizes = np.fromiter(map(len, links), dtype=np.int64, count=len(links))
-        flat = np.fromiter((x for some in links for x in some), dtype=np.int64, count=int(sizes.sum()))
+        known = parts[parts < parts_of_own]
+        sizes = np.concatenate([self.stats[known, 3], np.fromiter(map(len, own), dtype=np.int64, count=len(own))])
+        from_ = np.repeat(self.first_link[known] - np.concatenate([[0], np.cumsum(self.stats[known, 3])[:-1]])[: len(known)], self.stats[known, 3])
+        flat = np.concatenate([self.links[from_ + np.arange(len(from_))], *own])
         pairs, link = np.unique(flat, return_inverse=True)
         held = np.zeros(len(pairs), dtype=np.int64)
         np.add.at(held, link, np.repeat(times, sizes))
@@ -272,13 +278,12 @@ def token_groups(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_i
         for pdf in batches:
             for key, text in zip(pdf["id"].astype("Int64").tolist(), pdf["text"].tolist()):
                 x = codec.whole(text)
-                if x is None:
+                ends, in_a, in_b, a, b = x.ends, np.cumsum(x.in_a), np.cumsum(x.in_b), x.a.tolist(), x.b.tolist()
+                if not len(ends):
                     continue
-                found = np.array(x.groups(), dtype=np.int64)
-                ends, in_a, in_b = found[:, 0], np.cumsum(found[:, 1]), np.cumsum(found[:, 2])
                 yield pd.DataFrame({
                     "doc_id": pd.array([key] * len(ends), dtype="Int64"), "place": np.arange(len(ends)), "start": np.concatenate([[0], ends[:-1]]), "end": ends,
-                    "a": [x.a[i:j] for i, j in zip([0, *in_a.tolist()], in_a.tolist())], "b": [x.b[i:j] for i, j in zip([0, *in_b.tolist()], in_b.tolist())],
+                    "a": [a[i:j] for i, j in zip([0, *in_a.tolist()], in_a.tolist())], "b": [b[i:j] for i, j in zip([0, *in_b.tolist()], in_b.tolist())],
                 })
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

@@ -5,20 +5,28 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Keep = Callable[[DataFrame, str], DataFrame]
 
 
-def _checkpointed(df: DataFrame, name: str) -> DataFrame:
-    """df with its lineage cut, in the session's checkpoint folder; one of our own only where none is set and all runs on one machine."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if not folder and not context.master.startswith("local["):
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all machines share; one of our own only where none is set and all runs on one machine."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lorekeep-"))
+        folder = tempfile.mkdtemp(prefix="lorekeep-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def _checkpointed(df: DataFrame, name: str) -> DataFrame:
+    """df with its lineage cut, in the session's checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

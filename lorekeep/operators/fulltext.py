@@ -11,7 +11,7 @@ from ..functions.fuzzy import weighted_ratio
 from ..functions.text import TOKEN, citation, norm_term, similarity, tokens
 from . import glossary as terms_of
 from .components import _checkpointed
-from .predicates import checked, edition, relevance
+from .predicates import checked, edition, edition_name, relevance
 from .resolve import entity_groups, ranked
 
 K1, B = 1.2, 0.75
@@ -22,6 +22,8 @@ LEAST_IDF = 1e-6
 TESTED, BROADCAST_TERMS = 500, 100_000
 QUERY_CHARS, MOST, RAW, FUZZY_FROM = 200, 50, 5, 86.0
 SNIPPET_WORDS, SNIPPET_BEFORE = 16, 4
+#: Values that an error names.
+NAMED = 20
 
 
 def matching(entries: DataFrame, prefixes: list[str] | None) -> DataFrame:
@@ -68,13 +70,13 @@ def search(entries: DataFrame, queries: DataFrame, k: int = 10, keep: Callable =
     return whole.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
-def search_in_runs(entries: DataFrame, runs: DataFrame, k: int = 10) -> DataFrame:
+def search_in_runs(searched: Callable[[DataFrame, int], DataFrame], runs: DataFrame, k: int = 10) -> DataFrame:
     """Results of a query's runs (``query_id, run, query``: the original and its alternatives) as one list.
 
-    An entry counts in the first run that finds it and keeps its place there; ``query_id, id, run, place``.
+    searched takes queries and k, like a stored index's search. An entry counts in the first run that finds it and keeps its place there; ``query_id, id, run, place``.
     """
     each = runs.select(F.struct("query_id", "run").alias("query_id"), "query")
-    found = search(entries, each, k).select("query_id.query_id", "query_id.run", "id", "rank")
+    found = searched(each, k).select("query_id.query_id", "query_id.run", "id", "rank")
     first = Window.partitionBy("query_id", "id").orderBy("run", "rank")
     return found.withColumn("n", F.row_number().over(first)).where("n = 1").select("query_id", "id", "run", F.col("rank").alias("place"))
 
@@ -120,7 +122,7 @@ def fuzzy_names(entries: DataFrame, asked: DataFrame, k: int = 10, least: float
     return scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).select("query_id", "id", F.round("score", 4).alias("score"), "place")
 
 
-def find(entries: DataFrame, sources: DataFrame, glossary: DataFrame, questions: DataFrame, wanted_edition: str | None = "2024", category=None, source: str | None = None, limit: int = 10) -> DataFrame:
+def find(entries: DataFrame, sources: DataFrame, glossary: DataFrame, questions: DataFrame, wanted_edition: str | None = "2024", category=None, source: str | None = None, limit: int = 10, index=None) -> DataFrame:
     """``query_id, other, rank, id, path, relevance, total``: what the whole search shows for questions (``query_id, query``).
 
     Questions are cut to 200 characters and limits to 1 to 50. Each is searched as it stands and by its exact glossary
@@ -128,33 +130,45 @@ def find(entries: DataFrame, sources: DataFrame, glossary: DataFrame, questions:
     how the name fits, and cut; total counts them before. path says how an entry was found: "direct", "glossary:" and
     the alternative, or "fuzzy"; relevance, whether its name fits or its text alone mentions the question. Other
     editions (other is true) are searched apart, for half as many hits but three at least, and never merged with these.
-    Raises ValueError for an edition, category or source that no entry has.
+    Raises ValueError for an edition, category or source that no entry has. index: a stored index of the entries that
+    is searched instead of their texts.
     """
-    known = lambda c: {r[0] for r in entries.select(c).distinct().limit(10_000).collect()}  # noqa: E731  few values by nature
-    wanted_edition = edition(wanted_edition, known("edition"))
-    checked("category", category, known("category") if category is not None else set())
-    checked("source", source, known("source_key") if source is not None else set())
+
+    def known(column: str, value) -> set:
+        """The value, if an entry has it; of others so many as a message can name."""
+        held = entries.where(F.col(column) == value).limit(1).count()
+        return {value} if held else {r[0] for r in entries.select(column).distinct().limit(NAMED).collect()} - {value}
+
+    if wanted_edition is not None:
+        wanted_edition = edition(wanted_edition, known("edition", edition_name(wanted_edition)))
+    checked("category", category, known("category", category) if category is not None else set())
+    checked("source", source, known("source_key", source) if source is not None else set())
     limit = min(max(1, limit), MOST)
+    narrowed = F.lit(True)
     for column, value in (("category", category), ("source_key", source)):
         if value is not None:
-            entries = entries.where(F.col(column) == value)
+            narrowed = narrowed & (F.col(column) == value)
     asked = _checkpointed(questions.select("query_id", F.substring("query", 1, QUERY_CHARS).alias("query")), "asked")
     more = terms_of.alternatives(glossary, asked.select(F.col("query").alias("term")))
     order = Window.partitionBy("query_id").orderBy("hop", "alternative")
     runs = asked.join(more, F.col("query") == F.col("term")).select("query_id", F.row_number().over(order).alias("run"), F.col("alternative").alias("query"))
     runs = _checkpointed(asked.select("query_id", F.lit(0).alias("run"), "query").unionByName(runs), "runs")
-    if wanted_edition is None:
-        return _found(entries, sources, asked, runs, limit).withColumn("other", F.lit(False)).select(*COLUMNS)
-    here, there = (entries.where(F.col("edition") == wanted_edition), limit), (entries.where(F.col("edition") != wanted_edition), max(3, limit // 2))
-    parts = [_found(e, sources, asked, runs, n).withColumn("other", F.lit(o)).select(*COLUMNS) for (e, n), o in ((here, False), (there, True))]
-    return parts[0].unionByName(parts[1])
+    parts = [(narrowed, limit, False)]
+    if wanted_edition is not None:
+        parts = [(narrowed & (F.col("edition") == wanted_edition), limit, False), (narrowed & (F.col("edition") != wanted_edition), max(3, limit // 2), True)]
+    out = []
+    for condition, n, other in parts:
+        some = entries.where(condition)
+        searched = (lambda q, k, c=condition: index.search(q, k, c)) if index is not None else (lambda q, k, e=some: search(e, q, k))
+        out.append(_found(some, searched, sources, asked, runs, n).withColumn("other", F.lit(other)).select(*COLUMNS))
+    return out[0].unionByName(out[1]) if len(out) > 1 else out[0]
 
 
 COLUMNS = ("query_id", "other", "rank", "id", "path", "relevance", "total")
 
 
-def _found(entries: DataFrame, sources: DataFrame, asked: DataFrame, runs: DataFrame, limit: int) -> DataFrame:
-    exact = search_in_runs(entries, runs, RAW * limit).join(runs.withColumnRenamed("query", "alternative"), ["query_id", "run"])
+def _found(entries: DataFrame, searched: Callable[[DataFrame, int], DataFrame], sources: DataFrame, asked: DataFrame, runs: DataFrame, limit: int) -> DataFrame:
+    exact = search_in_runs(searched, runs, RAW * limit).join(runs.withColumnRenamed("query", "alternative"), ["query_id", "run"])
     path = F.when(F.col("run") == 0, "direct").otherwise(F.concat(F.lit("glossary:"), "alternative"))
     exact = _checkpointed(exact.select("query_id", "id", "run", "place", path.alias("path")), "hits")
     open_ = asked.join(exact.select("query_id").distinct(), "query_id", "left_anti")

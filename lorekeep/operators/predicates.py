@@ -28,12 +28,17 @@ BANDS = (10, 20, 40, 60, 70, 80, 100)
 REVISIONS = ("errata", "ruling")
 
 
+def edition_name(asked: str) -> str:
+    """The edition that a name stands for."""
+    name = asked.strip()
+    return EDITIONS.get(name.lower(), name)
+
+
 def edition(asked: str | None, known: set[str]) -> str | None:
     """The edition that a name stands for; None means all. Raises ValueError for one that isn't known."""
     if asked is None:
         return None
-    name = asked.strip()
-    name = EDITIONS.get(name.lower(), name)
+    name = edition_name(asked)
     if name not in known:
         raise ValueError(f"edition {asked!r}; known are {', '.join(sorted(known))}")
     return name

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.text import similarity, tokens
-from ..operators import fulltext, glossary
+from ..operators import fulltext, glossary, text_index
+from ..operators.components import shared_folder
 from ..sources import corpus
 from ..sources.corpus import ENTRIES_SQL, GLOSSARY_SQL, SOURCES_SQL, table
 from .registry import NORM, query
@@ -39,16 +42,56 @@ _ASKED = f"asked AS (SELECT * FROM {values(SEARCHES)} t(q, query))"
 _SHOWN = """SELECT q AS query_id, CAST(rank AS INTEGER) AS rank, id, round(score, 6) AS score, name, concat_ws(' · ', source_key, edition, kind) AS citation, substring(body, 1, 160) AS excerpt FROM hits JOIN entries USING (id) JOIN sources USING (source_key)"""
 
 
+def stored_index(spark, sf_dir) -> text_index.TextIndex:
+    """The index of the entries, built once for what the documents hold now."""
+    root = f"{shared_folder(spark)}/text-index-{text_index.version_of(spark, f'{sf_dir}/documents.parquet')}"
+    return text_index.open_or_build(corpus.entries(spark, sf_dir), root)
+
+
+def shown(hits, index, sources):
+    """Hits with what the index keeps of entries beside their words."""
+    e = index.docs.join(sources, "source_key")
+    return hits.join(e, "id").select(*hits.columns, "name", fulltext.citation(F.col("source_key"), F.col("edition"), F.col("kind")).alias("citation"), "excerpt")
+
+
+@query(f"""WITH {ENTRIES_SQL}, t AS (SELECT source_key, id, unnest(regexp_extract_all({NORM.format('name')}, {WORDS})) AS term FROM entries UNION ALL SELECT source_key, id, unnest(regexp_extract_all({NORM.format('body')}, {WORDS})) FROM entries),
+p AS (SELECT source_key, count(DISTINCT term) AS terms, count(DISTINCT (term, id)) AS postings, count(*) AS words FROM t GROUP BY source_key), n AS (SELECT source_key, count(*) AS entries FROM entries GROUP BY source_key)
+SELECT source_key, entries, coalesce(words, 0) AS words, coalesce(terms, 0) AS terms, coalesce(postings, 0) AS postings FROM n LEFT JOIN p USING (source_key)""")
+def fts_index(spark, sf_dir):
+    """What the stored index holds of each source; builds it where that wasn't done yet."""
+    index = stored_index(spark, sf_dir)
+    held = index._table("postings", text_index.POSTINGS).groupBy("part").agg(F.countDistinct("term").alias("terms"), F.sum("n").alias("postings"))
+    said = spark.createDataFrame([(s["source_key"], s["part"], s["entries"], s["words"]) for s in index.sources.values()], "source_key string, part string, entries long, words long")
+    return said.join(held, "part", "left").select("source_key", "entries", "words", F.coalesce("terms", F.lit(0)).alias("terms"), F.coalesce("postings", F.lit(0)).alias("postings"))
+
+
 @query(f"WITH {ENTRIES_SQL}, {SOURCES_SQL}, {_ASKED}, {bm25('hits', 'entries', 'asked', 10)} {_SHOWN}")
 def fts_search(spark, sf_dir):
-    e = corpus.entries(spark, sf_dir)
-    return fulltext.cited(fulltext.search(e, searches(spark)), e, corpus.sources(spark, sf_dir))
+    index = stored_index(spark, sf_dir)
+    return shown(index.search(searches(spark)), index, corpus.sources(spark, sf_dir))
 
 
 @query(f"WITH {ENTRIES_SQL}, {SOURCES_SQL}, {_ASKED}, e AS (SELECT * FROM entries WHERE edition = '2024' AND category = 3 AND source_key <> 'src1'), {bm25('hits', 'e', 'asked', 10)} {_SHOWN}")
 def fts_filtered(spark, sf_dir):
-    e = corpus.entries(spark, sf_dir).where("edition = '2024' AND category = 3 AND source_key <> 'src1'")
-    return fulltext.cited(fulltext.search(e, searches(spark)), e, corpus.sources(spark, sf_dir))
+    index = stored_index(spark, sf_dir)
+    return shown(index.search(searches(spark), 10, "edition = '2024' AND category = 3 AND source_key <> 'src1'"), index, corpus.sources(spark, sf_dir))
+
+
+@query(f"WITH {ENTRIES_SQL}, asked AS (SELECT id AS q, name AS query FROM entries WHERE id % 20 = 0), {bm25('hits', 'entries', 'asked', 10)} SELECT q AS query_id, CAST(rank AS INTEGER) AS rank, id, round(score, 6) AS score FROM hits")
+def fts_names(spark, sf_dir):
+    """The index asked with the names of every twentieth entry."""
+    index = stored_index(spark, sf_dir)
+    return index.search(index.docs.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.array_join(F.array_distinct(tokens(F.col("name"))), " ").alias("query")))
+
+
+@query(f"""WITH {ENTRIES_SQL}, {_ASKED}, e AS (SELECT id, name, body FROM entries WHERE source_key <> 'src3' UNION ALL SELECT id, name, 'the queue of la ' || coalesce(body, '') FROM entries WHERE source_key = 'src3' AND id % 2 = 0),
+{bm25('hits', 'e', 'asked', 10)} SELECT q AS query_id, CAST(rank AS INTEGER) AS rank, id, round(score, 6) AS score FROM hits""")
+def fts_replaced(spark, sf_dir):
+    """Searches after one source's entries were replaced in an index of their own."""
+    e = corpus.entries(spark, sf_dir)
+    index = text_index.build(e, f"{shared_folder(spark)}/text-index-{uuid.uuid4().hex}")
+    new = e.where("source_key = 'src3' and id % 2 = 0").withColumn("body", F.concat(F.lit("the queue of la "), F.coalesce("body", F.lit(""))))
+    return index.replace("src3", new).search(searches(spark))
 
 
 _RUNS = [(1, 0, "therea"), (1, 1, "the"), (2, 0, "queue"), (2, 1, "la que"), (2, 2, "an")]
@@ -57,7 +100,7 @@ _RUNS = [(1, 0, "therea"), (1, 1, "the"), (2, 0, "queue"), (2, 1, "la que"), (2,
 @query(f"""WITH {ENTRIES_SQL}, r AS (SELECT * FROM {values(_RUNS)} t(query_id, run, query)), asked AS (SELECT query_id * 100 + run AS q, query FROM r), {bm25('hits', 'entries', 'asked', 10)},
 o AS (SELECT q // 100 AS query_id, id, q % 100 AS run, rank, row_number() OVER (PARTITION BY q // 100, id ORDER BY q, rank) AS n FROM hits) SELECT CAST(query_id AS INTEGER) AS query_id, id, CAST(run AS INTEGER) AS run, CAST(rank AS INTEGER) AS place FROM o WHERE n = 1""")
 def fts_runs(spark, sf_dir):
-    return fulltext.search_in_runs(corpus.entries(spark, sf_dir), spark.createDataFrame(_RUNS, "query_id int, run int, query string"))
+    return fulltext.search_in_runs(stored_index(spark, sf_dir).search, spark.createDataFrame(_RUNS, "query_id int, run int, query string"))
 
 
 _RANKED = f"""h AS (SELECT q AS query_id, id, name, rank % 3 AS run, coalesce(priority, 100) AS priority, {NORM.format('name')} AS key, {NORM.format('query')} AS aim FROM hits JOIN entries USING (id) JOIN sources USING (source_key) JOIN asked USING (q)),
@@ -69,8 +112,8 @@ SELECT query_id, id, class, CAST(row_number() OVER (PARTITION BY query_id ORDER
 def hit_ranking(spark, sf_dir):
     from ..operators import resolve
 
-    e = corpus.entries(spark, sf_dir)
-    hits = fulltext.search(e, searches(spark), 50).join(e.join(corpus.sources(spark, sf_dir), "source_key"), "id").join(searches(spark), "query_id")
+    index = stored_index(spark, sf_dir)
+    hits = index.search(searches(spark), 50).join(index.docs.join(corpus.sources(spark, sf_dir), "source_key"), "id").join(searches(spark), "query_id")
     asked = hits.select("query_id", "query", "id", "name", F.coalesce("priority", F.lit(100)).alias("priority"), (F.col("rank") % 3).alias("run"))
     return resolve.ranked(asked).select("query_id", "id", "class", "rank")
 
@@ -97,7 +140,7 @@ SELECT CAST(query_id AS INTEGER) AS query_id, other, CAST(rank AS INTEGER) AS ra
 def search_driver(spark, sf_dir):
     words = spark.createDataFrame(_WORDS, "term string, target string")
     asked = spark.createDataFrame(_QUESTIONS, "query_id int, query string")
-    return fulltext.find(corpus.entries(spark, sf_dir), corpus.sources(spark, sf_dir), words, asked, "5.5e").drop("relevance")
+    return fulltext.find(corpus.entries(spark, sf_dir), corpus.sources(spark, sf_dir), words, asked, "5.5e", index=stored_index(spark, sf_dir)).drop("relevance")
 
 
 @query(f"""WITH {ENTRIES_SQL}, w AS (SELECT id, regexp_extract_all(body, '[\\p{{L}}\\p{{N}}\\p{{M}}]+') AS w FROM entries), h AS (SELECT id, w, [starts_with({NORM.format('x')}, 'th') OR starts_with({NORM.format('x')}, 'qu') FOR x IN w] AS h FROM w),

@@ -95,8 +95,7 @@ sheets AS (SELECT *, p % 17 = 0 AS none, CAST(floor(q * (die + 1) / 2.0) AS INTE
 CASE WHEN none THEN NULL WHEN p % 31 = 0 THEN false WHEN mod >= 0 OR mod + CASE WHEN p % 13 = 0 THEN 1 ELSE 0 END < 0 THEN said = mod ELSE NULL END AS modifier_ok,
 CASE WHEN none THEN NULL ELSE ['1/4', '1/2', '3', '12'][p % 4 + 1] END AS challenge, CASE WHEN none THEN NULL ELSE CAST(123450 + p % 10 AS BIGINT) END AS price_cents FROM sheets""")
 def facet_parsing(spark, sf_dir):
-    found = facets.findings(_sheets(spark, sf_dir))
-    return found.select("id", "formula_ok", "die_ok", "modifier_ok", facets.challenge(F.col("body")).alias("challenge"), facets.price_cents(F.col("body"), F.lit(False)).alias("price_cents"))
+    return facets.figures(facets.findings(_sheets(spark, sf_dir))).drop("body")
 
 
 @query(f"WITH {_SHEETS} SELECT id FROM sheets WHERE NOT none AND p % 4 = 0")

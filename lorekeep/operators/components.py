@@ -63,3 +63,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", keep: Kee
         before = now
     roots = stars.select(F.col("v").alias("node"), F.col("v").alias("component"))
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.distinct())
+
+
+def endless_chains(edges: DataFrame, keep: Keep = _checkpointed) -> DataFrame:
+    """``node``: nodes of edges (``node, up``: each node's one parent, the least if there are several) from which parents never end, for they lead into a cycle.
+
+    Chains are doubled: after so many rounds that 2 ** rounds is more than the nodes, what still goes on goes round.
+    A round carries two keys a node and drops chains that ended.
+    """
+    up = keep(edges.where("node is not null and up is not null").groupBy("node").agg(F.min("up").alias("up")), "parents")
+    nodes, step, going = up.count(), 1, up
+    while step <= nodes and not going.isEmpty():
+        going = keep(going.select("node", F.col("up").alias("_at")).join(going.select(F.col("node").alias("_at"), "up"), "_at").select("node", "up"), "chains")
+        step *= 2
+    return going.select("node")

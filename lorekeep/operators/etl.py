@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.markup import tokens
 from ..functions.text import norm_term
-from .components import _checkpointed
+from .components import _checkpointed, endless_chains
 
 SHRINK_LIMIT, GROW_LIMIT = 0.5, 3.0
 
@@ -258,19 +258,17 @@ def parent_chain(nodes: DataFrame, keep: Callable = _checkpointed) -> DataFrame:
 
     A missing parent ends the chain, and one without a name isn't named. Each round joins the known parts of chains
     with one another and so doubles them: a depth of 1,000 takes ten rounds. Raises ValueError where parents form a
-    cycle: a chain is then still open when it is longer than there are nodes.
+    cycle, which is looked for by ids alone before any name is carried.
     """
+    if not endless_chains(nodes.select(F.col("id").alias("node"), F.col("parent_id").alias("up")), keep).isEmpty():
+        raise ValueError("parents form a cycle")
     named = nodes.select("id", F.col("parent_id").alias("next"), F.when(F.col("name").isNull(), F.array().cast("array<string>")).otherwise(F.array("name")).alias("own"), F.array().cast("array<string>").alias("above"))
-    at, size, length = keep(named, "chains"), None, 1
+    at = keep(named, "chains")
     while not at.where("next is not null").isEmpty():
-        size = size or at.count()
-        if length > size:
-            raise ValueError("parents form a cycle")
         over = at.select(F.col("id").alias("_id"), F.col("next").alias("_next"), F.col("own").alias("_own"), F.col("above").alias("_above"))
         met = at.join(over, F.col("next") == F.col("_id"), "left")
         none = F.array().cast("array<string>")
         at = keep(met.select("id", F.col("_next").alias("next"), "own", F.concat(F.coalesce("_above", none), F.coalesce("_own", none), "above").alias("above")), "chains")
-        length *= 2
     return at.select("id", F.array_join("above", " > ").alias("breadcrumb"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,11 +12,17 @@ from pyspark.sql import types as T
 WORDS_WEIGHT, PART_WEIGHT, SHORT_PART_WEIGHT, PART_FROM, SHORT_FROM = 0.95, 0.9, 0.6, 1.5, 8.0
 
 
-def common(a: str, b: str) -> int:
-    """Length of the longest common subsequence, by bit vectors: a letter of b is one step over all of a."""
+def places(a: str) -> dict[str, int]:
+    """Bits of the places where each letter of a stands."""
     where: dict[str, int] = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
+    return where
+
+
+def common(a: str, b: str, where: dict[str, int] | None = None) -> int:
+    """Length of the longest common subsequence, by bit vectors: a letter of b is one step over all of a."""
+    where = places(a) if where is None else where
     full = (1 << len(a)) - 1
     row = full
     for c in b:
@@ -34,10 +42,25 @@ def partial(a: str, b: str) -> float:
         a, b = b, a
     if not a:
         return 100.0 if not b else 0.0
-    n, letters = len(a), set(a)
-    # parts that stand over an edge are shorter; a part that begins and ends outside a's letters can't be the best
-    parts = [b[:i] for i in range(1, n)] + [b[i : i + n] for i in range(len(b) - n + 1)] + [b[-i:] for i in range(1, n)]
-    best = max((indel(a, p) for p in parts if p[0] in letters or p[-1] in letters), default=0.0)
+    n, where = len(a), places(a)
+    # a part has no more letters in common than it has of each letter of a; parts over an edge are shorter
+    spare, shared, bounds = Counter(a), 0, []
+    for end in range(1, len(b) + n):
+        if end <= len(b):
+            c = b[end - 1]
+            shared += spare[c] > 0
+            spare[c] -= 1
+        if end > n:
+            c = b[end - n - 1]
+            spare[c] += 1
+            shared -= spare[c] > 0
+        bounds.append((200.0 * shared / (n + min(end, len(b)) - max(0, end - n)), end))
+    best = 0.0
+    for bound, end in sorted(bounds, reverse=True):
+        if bound <= best:
+            break
+        part = b[max(0, end - n) : end]
+        best = max(best, 200.0 * common(a, part, where) / (n + len(part)))
     if len(a) == len(b):
         best = max(best, partial_of_equals(b, a))
     return best

@@ -18,41 +18,66 @@ def canonical(glossary: DataFrame) -> DataFrame:
 
 
 def alternatives(glossary: DataFrame, terms: DataFrame, cap: int = MAX_ALTERNATIVES) -> DataFrame:
-    """``term, alternative, hop``: what up to two exact hops in either direction reach from each term, nearest first, at most cap."""
+    """``term, alternative, hop``: what up to two exact hops in either direction reach from each term, nearest first, at most cap.
+
+    Of each name's neighbours the first 2 * cap are enough: a term with cap of its own needs no second hop, and one with
+    fewer leaves out no more than these and itself. So a name with however many neighbours gives a bounded number of
+    rows, and its others are dropped before they are shuffled.
+    """
     there = glossary.select(norm_term(F.col("term")).alias("a"), norm_term(F.col("target")).alias("b")).where("a <> b").distinct()
     edges = there.unionByName(there.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    near = edges.withColumn("_n", F.row_number().over(Window.partitionBy("a").orderBy("b"))).where(F.col("_n") <= 2 * cap)
     start = terms.select("term", norm_term(F.col("term")).alias("a")).distinct()
-    one = start.join(edges, "a").select("term", F.col("a").alias("start"), F.col("b").alias("alternative"), F.lit(1).alias("hop"))
-    two = one.join(edges, F.col("alternative") == F.col("a")).select("term", "start", F.col("b").alias("alternative"), F.lit(2).alias("hop"))
-    least = one.unionByName(two).where("alternative <> start").groupBy("term", "alternative").agg(F.min("hop").alias("hop"))
-    ranked = least.withColumn("n", F.row_number().over(Window.partitionBy("term").orderBy("hop", "alternative")))
+    first = start.join(near.where(F.col("_n") <= cap), "a").select("term", F.col("a").alias("start"), F.col("b").alias("alternative"), F.lit(1).alias("hop"))
+    few = first.groupBy("term", "start").agg(F.collect_list("alternative").alias("_own")).where(F.size("_own") < cap)
+    two = few.select("term", "start", "_own", F.explode("_own").alias("a")).join(near, "a").where((F.col("b") != F.col("start")) & ~F.array_contains("_own", F.col("b")))
+    both = first.select("term", "alternative", "hop").unionByName(two.select("term", F.col("b").alias("alternative"), F.lit(2).alias("hop")).distinct())
+    ranked = both.withColumn("n", F.row_number().over(Window.partitionBy("term").orderBy("hop", "alternative")))
     return ranked.where(F.col("n") <= cap).select("term", "alternative", "hop")
 
 
+def _rare_pairs(strings: DataFrame, frequency: DataFrame, least: float) -> DataFrame:
+    """strings (``key``) with ``pair``: of its distinct pairs of letters so many of the rarest that one of them is kept by every string as similar as least.
+
+    A string of n letters and one of similarity s lose at most n (2 - 1.5 s - (1.5 s - 1) s / (2 - s)) of its pairs: a
+    letter dropped costs two, one put in between costs one, and the other string has n s / (2 - s) letters at least.
+    """
+    s = least / 100
+    share = 2 - 1.5 * s - (1.5 * s - 1) * s / (2 - s)
+    each = strings.select("key", F.explode(_pairs(F.col("key"))).alias("pair")).join(frequency, "pair", "left")
+    rarest = F.row_number().over(Window.partitionBy("key").orderBy(F.coalesce("_seen", F.lit(0)), "pair"))
+    return each.withColumn("_n", rarest).where(F.col("_n") <= F.floor(F.length("key") * share + 1e-9) + 1).select("key", "pair")
+
+
+def _pairs(c):
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: c.substr(i, F.lit(2))))
+
+
 def suggest(names: DataFrame, asked: DataFrame, least: float = SUGGEST_FROM, k: int = SUGGESTIONS) -> DataFrame:
     """``asked, name, score``: the k most similar names of at least that similarity, never an identity.
 
-    Names and questions meet where they share a pair of letters and their lengths allow the similarity: two strings
-    of 88 or more have two thirds of their letters in common order, so longer ones always share a pair. The edit
-    distance rules out most of the rest before the subsequence is computed.
+    Names and questions meet by their rarest pairs of letters, as many as the similarity requires, so frequent pairs
+    bring nothing together that has a rarer one. Lengths and the edit distance rule out most of the rest before the
+    subsequence is computed. Names and questions are taken once each, however often they stand.
     """
-    pairs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: c.substr(i, F.lit(2))))
-    n = names.select(norm_term(F.col("name")).alias("name")).where("name <> ''").distinct()
+    n = names.select(norm_term(F.col("name")).alias("key")).where("key <> ''").distinct()
     q = asked.select("asked", norm_term(F.col("asked")).alias("key")).where("key <> ''").distinct()
-    met = n.withColumn("pair", F.explode(pairs(F.col("name")))).join(q.withColumn("pair", F.explode(pairs(F.col("key")))), "pair").where(may_reach(F.col("name"), F.col("key"), least)).select("asked", "key", "name").distinct()
+    seen = n.select(F.explode(_pairs(F.col("key"))).alias("pair")).groupBy("pair").agg(F.count("*").alias("_seen"))
+    there = _rare_pairs(n, seen, least).withColumnRenamed("key", "name")
+    met = there.join(_rare_pairs(q.select("key").distinct(), seen, least), "pair").where(may_reach(F.col("name"), F.col("key"), least)).select("key", "name").distinct()
     scored = met.withColumn("score", F.round(similarity(F.col("key"), F.col("name")), 4)).where(F.col("score") >= least)
-    best = Window.partitionBy("asked").orderBy(F.desc("score"), "name")
-    return scored.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).select("asked", "name", "score")
+    best = Window.partitionBy("key").orderBy(F.desc("score"), "name")
+    first = scored.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k)
+    return first.join(q, "key").select("asked", "name", "score")
 
 
-def _grams(n: int):
-    """All runs of n words of the column w."""
-    runs = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))
-    return F.when(F.size("w") >= n, runs).otherwise(F.array().cast("array<string>"))
+def _grams(n: int, starts):
+    """Runs of n words of the column w that begin at one of the places (from 1)."""
+    return F.transform(F.filter(starts, lambda i: i <= F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))
 
 
-#: Distinct terms that may be broadcast, and kept for a first look at the words of texts.
-BROADCAST_TERMS = 200_000
+#: Distinct terms that may be broadcast, and first words of terms that are looked for before any run is built; with more, runs begin at every word.
+BROADCAST_TERMS, FIRST_WORDS = 200_000, 10_000
 
 
 def spot(texts: DataFrame, terms: DataFrame, min_length: int = 4, id_col: str = "id", text_col: str = "body", stop: tuple[str, ...] = (), abbreviations: DataFrame | None = None, cap: int | None = None) -> DataFrame:
@@ -70,7 +95,12 @@ def spot(texts: DataFrame, terms: DataFrame, min_length: int = 4, id_col: str =
     small = known.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     words = texts.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("w"))
     if lengths:
-        found = words.select("id", F.explode(F.array_distinct(F.concat(*[_grams(n) for n in lengths]))).alias("term"))
+        first = known.select(F.substring_index("term", " ", 1).alias("w")).distinct().limit(FIRST_WORDS + 1).collect()
+        places = F.when(F.size("w") > 0, F.sequence(F.lit(1), F.size("w"))).otherwise(F.array().cast("array<int>"))
+        if len(first) <= FIRST_WORDS:
+            places = F.filter(places, lambda i: F.element_at("w", i).isin(*[r["w"] for r in first]))
+        begun = words.withColumn("_at", places)
+        found = begun.select("id", F.explode(F.array_distinct(F.concat(*[_grams(n, F.col("_at")) for n in lengths]))).alias("term"))
         out = found.join(F.broadcast(known.select("term")) if small else known.select("term"), "term").select("id", "term")
     else:
         out = words.select("id", F.lit("").alias("term")).where("false")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,13 @@ def _checkpointed(df: DataFrame, name: str) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table written once to the shared folder and read back; a checkpoint computes its rows twice."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
@@ -65,7 +73,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", keep: Kee
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.distinct())
 
 
-def endless_chains(edges: DataFrame, keep: Keep = _checkpointed) -> DataFrame:
+def endless_chains(edges: DataFrame, keep: Keep = written) -> DataFrame:
     """``node``: nodes of edges (``node, up``: each node's one parent, the least if there are several) from which parents never end, for they lead into a cycle.
 
     Chains are doubled: after so many rounds that 2 ** rounds is more than the nodes, what still goes on goes round.

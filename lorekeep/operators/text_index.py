@@ -23,11 +23,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from .components import _checkpointed
+from .components import written
 from .fulltext import BROADCAST_TERMS, K1, LEAST_IDF, TESTED, WEIGHTS, B, matching
 
 #: Entries of a slab, about; letters of a prefix that is counted beforehand; slabs of each query that are read first.
-SLAB, PREFIX, FIRST = 512, 12, 4
+SLAB, PREFIX, FIRST = 512, 6, 4
 POSTINGS = "term string, slab long, n int, top double, least int, ids array<long>, weights array<double>, sizes array<int>, part string, version string, initial string"
 PREFIXES = "prefix string, df long, part string, version string, initial string"
 MANIFEST = "source_key string, part string, version string, entries long, words long, number long"
@@ -37,9 +37,21 @@ def part_of(source_key: Column) -> Column:
     return F.substring(F.md5(F.coalesce(source_key, F.lit(""))), 1, 12)
 
 
+#: First letters of the groups that a source's terms are filed by; digits and other letters are a group each.
+GROUPS = "adgjnqtw"
+
+
 def initial_of(word: Column) -> Column:
     first = F.substring(word, 1, 1)
-    return F.when(first.between("a", "z"), first).when(first.between("0", "9"), "0").otherwise("_")
+    out = F.when(first.between("0", "9"), "0")
+    for low, high in zip(GROUPS, [*(chr(ord(c) - 1) for c in GROUPS[1:]), "z"]):
+        out = out.when(first.between(low, high), low)
+    return out.otherwise("_")
+
+
+def _initial(word: str) -> str:
+    first = word[0]
+    return "0" if "0" <= first <= "9" else max(c for c in GROUPS if c <= first) if "a" <= first <= "z" else "_"
 
 
 def _idf(df: Column, entries: Column) -> Column:
@@ -78,7 +90,7 @@ class TextIndex:
         """Blocks with each of their terms' beginnings (``prefix``) of the given lengths; prefixes prune files and row groups."""
         rows = self._table("postings", POSTINGS)
         if prefixes is not None:
-            initials = {p[0] if "a" <= p[0] <= "z" else "0" if "0" <= p[0] <= "9" else "_" for p in prefixes}
+            initials = {_initial(p) for p in prefixes}
             begins = F.lit(False)
             for p in prefixes:
                 begins = begins | F.col("term").startswith(p)
@@ -92,11 +104,12 @@ class TextIndex:
         where: a condition on docs; what it keeps is the whole corpus to the search (frequencies and sizes too). Blocks
         aren't skipped then, as bounds are about all entries.
         """
-        keep = _checkpointed
-        terms = keep(queries.select("query_id", F.posexplode(tokens(F.col("query"))).alias("i", "prefix")), "terms")
+        terms = _local(queries.select("query_id", F.posexplode(tokens(F.col("query"))).alias("i", "prefix")), "terms")
         wanted = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
         distinct = terms.select("prefix").distinct()
         known = [r["prefix"] for r in distinct.limit(TESTED + 1).collect()]
+        if not known:
+            return self.spark.createDataFrame([], queries.select("query_id").schema.add("rank", "int").add("id", "long").add("score", "double"))
         few = known if len(known) <= TESTED else None
         lengths = sorted({len(p) for p in known}) if few is not None else sorted(r["n"] for r in distinct.select(F.length("prefix").alias("n")).distinct().collect())
         near = F.broadcast if few is not None or terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else (lambda df: df)
@@ -106,23 +119,22 @@ class TextIndex:
         if where is not None:
             kept = self.docs.where(where)
             entries, mean = kept.agg(F.count("*"), F.avg("size")).first()
-            hits = keep(opened(blocks.join(near(distinct), "prefix")).join(kept.select("id"), "id", "left_semi"), "hits")
+            hits = written(opened(blocks.join(near(distinct), "prefix")).join(kept.select("id"), "id", "left_semi"), "hits")
             df = hits.groupBy("prefix").agg(F.count("*").alias("df"))
             met = terms.join(df, "prefix").select("query_id", "i", "prefix", _idf(F.col("df"), F.lit(entries)).alias("idf"))
             scored = self._scored(hits.join(near(met), "prefix"), wanted, mean or 1.0)
             return self._best(scored, k)
         mean = self.words / self.entries if self.entries else 1.0
-        met = keep(terms.join(near(self._frequencies(distinct, blocks, few, opened)), "prefix").select("query_id", "i", "prefix", _idf(F.col("df"), F.lit(self.entries)).alias("idf")), "weighted")
+        met = _local(terms.join(near(self._frequencies(distinct, blocks, few, opened)), "prefix").select("query_id", "i", "prefix", _idf(F.col("df"), F.lit(self.entries)).alias("idf")), "weighted")
         bounds = blocks.join(near(distinct), "prefix").groupBy("prefix", *at).agg(F.sum("top").alias("f"), F.min("least").alias("size"))
         every = bounds.join(near(met), "prefix").groupBy("query_id", *at).agg(F.sum(_gain(F.col("idf"), F.col("f"), F.col("size"), mean)).alias("bound"), F.count("*").alias("n"))
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), *at))
-        slabs = keep(every.join(near(wanted), "query_id").where("n = n_terms").select("query_id", *at, "bound", place.alias("place")), "slabs")
+        slabs = written(every.join(near(wanted), "query_id").where("n = n_terms").select("query_id", *at, "bound", place.alias("place")), "slabs")
         read = lambda some: self._scored(opened(blocks.join(some.join(terms, "query_id").select("prefix", *at).distinct(), ["prefix", *at], "left_semi")).join(some.join(met, "query_id").select("query_id", "i", "prefix", *at, "idf"), ["prefix", *at]), wanted, mean)
-        first = keep(read(slabs.where(F.col("place") <= FIRST).select("query_id", *at)), "first")
+        first = written(read(slabs.where(F.col("place") <= FIRST).select("query_id", *at)), "first")
         order = Window.partitionBy("query_id").orderBy("score")
         reached = first.withColumn("_n", F.row_number().over(order)).where(F.col("_n") == k).select("query_id", F.col("score").alias("reached"))
         rest = slabs.where(F.col("place") > FIRST).join(reached, "query_id", "left").where(F.col("reached").isNull() | (-F.col("bound") <= F.col("reached") + 1e-9)).select("query_id", *at)
-        rest = keep(rest, "rest")
         both = first if rest.isEmpty() else first.unionByName(read(rest))
         return self._best(both, k)
 
@@ -130,7 +142,7 @@ class TextIndex:
         """``prefix, df``: from the table of prefixes, longer ones from their postings."""
         held = self._table("prefixes", PREFIXES)
         if few is not None:
-            held = held.where(F.col("initial").isin(*sorted({p[0] if "a" <= p[0] <= "z" else "0" if "0" <= p[0] <= "9" else "_" for p in few}))).where(F.col("prefix").isin(*few))
+            held = held.where(F.col("initial").isin(*sorted({_initial(p) for p in few}))).where(F.col("prefix").isin(*few))
         short = held.join(distinct, "prefix").groupBy("prefix").agg(F.sum("df").alias("df"))
         if few is not None and all(len(p) <= PREFIX for p in few):
             return short
@@ -158,6 +170,12 @@ class TextIndex:
         return _publish(self.spark, self.root, stay + written, self.number + 1, self.docs_schema)
 
 
+def _local(rows: DataFrame, name: str) -> DataFrame:
+    """Few rows are held by the driver and sent with each task, more are written."""
+    few = rows.limit(BROADCAST_TERMS // 10 + 1).collect()
+    return rows.sparkSession.createDataFrame(few, rows.schema) if len(few) <= BROADCAST_TERMS // 10 else written(rows, name)
+
+
 def _docs_schema(entries: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in entries.schema if f.name not in ("body", "original"))
 
@@ -168,9 +186,11 @@ def _write(spark: SparkSession, entries: DataFrame, root: str) -> list[dict]:
     held = entries.where("id is not null").withColumn("part", part_of(F.col("source_key")))
     texts = [c for c in WEIGHTS if c in held.columns]
     cut = matching(held.select("id", *texts), None)
-    sized = _checkpointed(held.select("id", "part").join(cut, "id").withColumn("class", F.floor(4 * F.log2(F.col("size") + F.lit(1.0)))), "cut")
-    classes = sized.groupBy("part", "class").agg(F.count("*").alias("_n"))
-    slabs = sized.join(classes, ["part", "class"]).withColumn("slab", F.col("class") * 1_000_000_000 + F.pmod(F.xxhash64("id"), F.ceil(F.col("_n") / SLAB)))
+    sized = written(held.select("id", "part").join(cut, "id").withColumn("class", F.floor(4 * F.log2(F.col("size") + F.lit(1.0)))), "cut")
+    # neighbouring classes of size share a slab as long as they are small, large ones are dealt to several; few classes a source
+    before = Window.partitionBy("part").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
+    classes = sized.groupBy("part", "class").agg(F.count("*").alias("_n")).withColumn("_group", F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / SLAB))
+    slabs = sized.join(F.broadcast(classes) if classes.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else classes, ["part", "class"]).withColumn("slab", F.col("_group") * 1_000_000 + F.pmod(F.xxhash64("id"), F.ceil(F.col("_n") / SLAB)))
     words = slabs.select("part", "slab", "id", "size", F.inline("hits")).groupBy("part", "slab", "id", "size", "term").agg(F.sum("w").alias("f"))
     one = F.sort_array(F.collect_list(F.struct("id", "f", "size")))  # of one slab
     grouped = words.groupBy("part", "term", "slab").agg(F.count("*").cast("int").alias("n"), F.max("f").alias("top"), F.min("size").alias("least"), one.alias("x"))

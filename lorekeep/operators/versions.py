@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import _checkpointed
+from .components import written
 
 WIDTH, FAN = 4096, 16
 #: Ranges that are pushed down to the scan as conditions; more are joined.
@@ -39,12 +39,12 @@ def tree(df: DataFrame, key: str = "id") -> DataFrame:
     # many different rows of one id are summed up first, so that no leaf gathers them
     each = counted.groupBy("_key").agg(F.sum("_times").alias("n"), F.sum(F.conv(F.substring(F.sha2(F.concat_ws("|", "_row", "_times"), 256), 1, 15), 16, 10).cast("decimal(38,0)")).alias("_sum"), F.bit_xor(F.xxhash64("_row", "_times")).alias("_xor"))
     lines = each.select(F.floor(F.col("_key") / WIDTH).alias("part"), "_key", "n", F.concat_ws("|", "_key", "n", "_sum", "_xor").alias("_line"))
-    level = _checkpointed(lines.groupBy("part").agg(F.sum("n").alias("n"), _joined(lines, "_key").alias("digest")).withColumn("level", F.lit(0)), "leaves")
+    level = written(lines.groupBy("part").agg(F.sum("n").alias("n"), _joined(lines, "_key").alias("digest")).withColumn("level", F.lit(0)), "leaves")
     out, number = level, 0
     while level.where(~F.col("part").isin(-1, 0)).limit(1).count():
         number += 1
         below = level.select(F.floor(F.col("part") / FAN).alias("part"), F.col("part").alias("_child"), "n", F.concat_ws("|", "part", "n", "digest").alias("_line"))
-        level = _checkpointed(below.groupBy("part").agg(F.sum("n").alias("n"), _joined(below, "_child").alias("digest")).withColumn("level", F.lit(number)), f"level{number}")
+        level = written(below.groupBy("part").agg(F.sum("n").alias("n"), _joined(below, "_child").alias("digest")).withColumn("level", F.lit(number)), f"level{number}")
         out = out.unionByName(level)
     return out.select("part", "n", "digest", "level")
 
@@ -79,7 +79,7 @@ def differing_ranges(spark: SparkSession, old: str, new: str) -> DataFrame:
             nodes = t.where(F.col("level") == level).select("part", F.col("n").alias(f"{name}_n"), F.col("digest").alias(f"{name}_digest"))
             sides.append(nodes if below is None else nodes.withColumn("_up", F.floor(F.col("part") / FAN)).join(below, "_up", "left_semi").drop("_up"))
         met = sides[0].join(sides[1], "part", "full").where(~F.col("old_digest").eqNullSafe(F.col("new_digest")))
-        met = _checkpointed(met.select("part", F.coalesce("old_n", F.lit(0)).alias("old_n"), F.coalesce("new_n", F.lit(0)).alias("new_n")), f"differing{level}")
+        met = written(met.select("part", F.coalesce("old_n", F.lit(0)).alias("old_n"), F.coalesce("new_n", F.lit(0)).alias("new_n")), f"differing{level}")
         if level == 0:
             return met
         below, level = met.select(F.col("part").alias("_up")), level - 1

@@ -468,5 +468,5 @@ def usage_ratios(spark, sf_dir):
 
 
 from . import detail_queries, entry_queries, facet_queries, measure_queries, search_queries  # noqa: E402, F401  they register their queries
-from . import state_queries, text_queries, version_queries  # noqa: E402, F401
+from . import state_queries, structure_queries, text_queries, version_queries  # noqa: E402, F401
 from .search_queries import fts_search  # noqa: E402, F401

@@ -173,3 +173,84 @@ def costs_differ(rules_text: DataFrame, expected: dict[int, int]) -> DataFrame:
     wanted = F.create_map(*[F.lit(x) for pair in sorted(expected.items()) for x in pair])
     found = F.element_at(F.transform(F.array(point_costs(F.col("body"))), lambda m: F.when(F.size(m) == 0, "none").when((F.size(m) == len(expected)) & F.forall(F.map_entries(wanted), lambda e: F.coalesce(F.try_element_at(m, e["key"]) == e["value"], F.lit(False))), "ok").otherwise("differs")), 1)
     return rules_text.select("id", F.coalesce(found, F.lit("none")).alias("evidence"))
+
+
+def rule_levels(rules: list[dict]) -> list[list[dict]]:
+    """Rules in levels: each stands after all that its ``needs`` names. Unknown names, repeated names and cycles are errors."""
+    by_name = {r["rule"]: r for r in rules}
+    if len(by_name) < len(rules):
+        raise ValueError("a rule is named twice")
+    unknown = sorted({n for r in rules for n in r["needs"] or ()} - set(by_name))
+    if unknown:
+        raise ValueError(f"unknown rules are needed: {unknown[:5]}")
+    levels, done = [], set()
+    while len(done) < len(rules):
+        now = [r for name, r in sorted(by_name.items()) if name not in done and set(r["needs"] or ()) <= done]
+        if not now:
+            raise ValueError(f"rules need each other: {sorted(set(by_name) - done)[:5]}")
+        levels.append(now)
+        done |= {r["rule"] for r in now}
+    return levels
+
+
+def ranked_findings(builds: DataFrame, rules: DataFrame) -> DataFrame:
+    """``build_id, rule, verdict, value, cause``: values of builds (``build_id, field, value``) against rules that may need others.
+
+    rules: ``rule, kind, fields`` (array), ``low, high, needs`` (array of rules), ``required``; at most MAX_RULES. Kinds:
+    "range" (each of the fields' values lies within low and high), "sum" (their sum does), "count" (so many of them are
+    given), "together" (all of them are given or none). ``value`` is what was compared: the least, the sum or the count.
+
+    A rule whose needs aren't all "ok" is "not checkable", with the first such need as its cause; one that lacks a value
+    is "missing" where it is required and else "not checkable", with the first missing field as its cause. Neither is ever
+    a violation. A build is one row of at most as many values as the rules name; of repeated fields the greatest counts.
+    Rules are evaluated in the order of their levels, folded in one pass over the builds. Builds without any of the fields
+    are answered too; null ids are left out.
+    """
+    known = [r.asDict() for r in rules.limit(MAX_RULES + 1).collect()]
+    if len(known) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
+    kinds = {r["kind"] for r in known} - {"range", "sum", "count", "together"}
+    if kinds:
+        raise ValueError(f"unknown kinds of rules: {sorted(kinds)}")
+    levels = rule_levels(known)
+    named = sorted({f for r in known for f in r["fields"]})
+    at = {f: i for i, f in enumerate(named)}  # a field's place in a build's array of values
+    place = F.create_map(*[x for f, i in at.items() for x in (F.lit(f), F.lit(i))])
+    values = builds.where("build_id is not null").groupBy("build_id", "field").agg(F.max("value").cast("double").alias("value"))
+    if named:
+        values = values.withColumn("_at", F.try_element_at(place, F.col("field")))
+    pairs = F.collect_list(F.when(F.col("_at").isNotNull() & F.col("value").isNotNull(), F.struct("_at", "value"))) if named else F.array().cast("array<struct<_at:int,value:double>>")
+    out = values.groupBy("build_id").agg(pairs.alias("_p")).select("build_id", F.map_from_entries("_p").alias("_v"))
+    out = out.select("build_id", F.transform(F.lit(list(range(len(named)))).cast("array<int>"), lambda i: F.try_element_at("_v", i)).alias("_v"))
+    number = {r["rule"]: i for i, r in enumerate(r for level in levels for r in level)}
+    checks = F.array(*[
+        F.struct(F.lit(r["rule"]).alias("rule"), F.lit(r["kind"]).alias("kind"), F.lit(r["fields"]).cast("array<string>").alias("fields"), F.lit([at[f] for f in r["fields"]]).cast("array<int>").alias("at"), F.lit(r["low"]).cast("double").alias("low"), F.lit(r["high"]).cast("double").alias("high"),
+                 F.lit(list(r["needs"] or ())).cast("array<string>").alias("needs"), F.lit([number[n] for n in r["needs"] or ()]).cast("array<int>").alias("before"), F.lit(bool(r["required"])).alias("required"))
+        for level in levels for r in level
+    ])
+    out = out.withColumn("_read", F.transform(checks, lambda c: F.struct(c.alias("c"), F.transform(c["at"], lambda i: F.get("_v", i)).alias("v")))) if known else out.withColumn("_read", F.array())
+    # in order of levels each rule finds its needs' verdicts among those before it
+    none = F.array().cast("array<struct<rule:string,verdict:string,value:double,cause:string>>")
+    done = F.aggregate("_read", none, lambda done, x: F.concat(done, F.array(_finding(x["c"], x["v"], F.filter(x["c"]["needs"], lambda n, i: F.get(done, F.get(x["c"]["before"], i))["verdict"] != "ok"))))) if known else none
+    return out.select("build_id", F.inline(done))
+
+
+def _finding(c: Column, v: Column, unmet: Column) -> Column:
+    """One rule's finding from its row c, its fields' values v and its needs that aren't met."""
+    given = F.filter(v, lambda y: y.isNotNull())
+    total = F.aggregate(given, F.lit(0.0), lambda a, y: a + y)
+    counted = F.size(given).cast("double")
+    value = F.when(c["kind"] == "range", F.array_min(given)).when(c["kind"] == "sum", total).otherwise(counted)
+    lacks = c["kind"].isin("range", "sum") & (F.size(given) < F.size(v))
+    inside = F.when(c["kind"] == "together", (F.size(given) == 0) | (F.size(given) == F.size(v))).when(c["kind"] == "range", F.forall(given, lambda y: y.between(c["low"], c["high"]))).otherwise(value.between(c["low"], c["high"]))
+    verdict = F.when(F.size(unmet) > 0, "not checkable").when(lacks, F.when(c["required"], "missing").otherwise("not checkable")).when(inside, "ok").otherwise("violation")
+    absent = F.filter(c["fields"], lambda f, i: F.get(v, i).isNull())
+    cause = F.when(F.size(unmet) > 0, F.get(unmet, 0)).when(lacks, F.get(absent, 0))
+    return F.struct(c["rule"].alias("rule"), verdict.alias("verdict"), F.when((F.size(unmet) == 0) & ~lacks, value).alias("value"), cause.alias("cause"))
+
+
+def overall_verdicts(findings: DataFrame) -> DataFrame:
+    """``build_id, verdict, violations, missing, open``: "violations", else "incomplete" where a required value is missing, else "none found" where something couldn't be checked, else "legal as far as checkable"."""
+    n = lambda v, name: F.count_if(F.col("verdict") == v).alias(name)
+    counts = findings.groupBy("build_id").agg(n("violation", "violations"), n("missing", "missing"), n("not checkable", "open"))
+    return counts.select("build_id", F.when(F.col("violations") > 0, "violations").when(F.col("missing") > 0, "incomplete").when(F.col("open") > 0, "none found").otherwise("legal as far as checkable").alias("verdict"), "violations", "missing", "open")

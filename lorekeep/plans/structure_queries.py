@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import grouping, layout
+from ..operators import grouping, layout, records, rules
 from ..sources.corpus import table
 from .registry import query
 
@@ -70,3 +70,77 @@ def family_headings(spark, sf_dir):
     head = F.lit("### Intro\n\nA heading of rules may well have some text of its own.\n\n#### Rule\n\nx\n\n")
     text = F.concat(head, F.when(form == 3, "").otherwise("# Beings\n\n"), F.lit("#### First\n\n### "), "n_name", F.lit("s\n\n"), block, F.lit("\n\n#### "), "c_name", F.lit("\n\n**AC** "), F.col("c_custkey").cast("string"), F.lit("\n\n#### Last\n"))
     return layout.family_headings(c.select(F.col("c_custkey").alias("id"), text.alias("text")), "id", "text", r"\*\*AC\*\*", "# Beings")
+
+
+#: rule, kind, fields, low, high, needs, required
+_RULES = [
+    ("size", "range", ["size"], 1, 45, [], True), ("price", "range", ["price"], 0, 1800, ["size"], False), ("budget", "sum", ["size", "price", "tax"], 0, 1500, ["price"], False),
+    ("extras", "count", ["extra", "tax", "gift"], 0, 2, [], False), ("gifts", "together", ["gift", "extra"], 0, 0, ["extras"], False), ("whole", "range", ["size", "tax"], 0, 40, ["budget", "gifts"], False),
+]
+
+_BUILDS = """b AS (SELECT p_partkey AS build_id, CASE WHEN p_partkey % 11 <> 3 THEN CAST(p_size AS DOUBLE) END AS size, CASE WHEN p_partkey % 7 <> 2 THEN p_retailprice END AS price, CASE WHEN p_partkey % 5 <> 1 THEN CAST(p_partkey % 50 AS DOUBLE) END AS tax,
+CASE WHEN p_partkey % 3 = 0 THEN 1.0 END AS extra, CASE WHEN p_partkey % 2 = 0 THEN 1.0 END AS gift FROM part)"""
+
+_FINDINGS = f"""{_BUILDS}, needs(rule, need) AS (VALUES ('price', 'size'), ('budget', 'price'), ('gifts', 'extras'), ('whole', 'budget'), ('whole', 'gifts')),
+up AS (SELECT rule, need FROM needs UNION SELECT up.rule, needs.need FROM up JOIN needs ON needs.rule = up.need),
+x AS (SELECT *, CAST((extra IS NOT NULL)::INT + (tax IS NOT NULL)::INT + (gift IS NOT NULL)::INT AS DOUBLE) AS n, CAST((extra IS NOT NULL)::INT + (gift IS NOT NULL)::INT AS DOUBLE) AS m FROM b),
+own AS (SELECT build_id, 'size' AS rule, CASE WHEN size IS NULL THEN 'missing' WHEN size BETWEEN 1 AND 45 THEN 'ok' ELSE 'violation' END AS v, size AS value FROM x
+UNION ALL SELECT build_id, 'price', CASE WHEN price IS NULL THEN 'not checkable' WHEN price BETWEEN 0 AND 1800 THEN 'ok' ELSE 'violation' END, price FROM x
+UNION ALL SELECT build_id, 'budget', CASE WHEN size + price + tax IS NULL THEN 'not checkable' WHEN size + price + tax BETWEEN 0 AND 1500 THEN 'ok' ELSE 'violation' END, size + price + tax FROM x
+UNION ALL SELECT build_id, 'extras', CASE WHEN n BETWEEN 0 AND 2 THEN 'ok' ELSE 'violation' END, n FROM x UNION ALL SELECT build_id, 'gifts', CASE WHEN m <> 1 THEN 'ok' ELSE 'violation' END, m FROM x
+UNION ALL SELECT build_id, 'whole', CASE WHEN size + tax IS NULL THEN 'not checkable' WHEN greatest(size, tax) <= 40 THEN 'ok' ELSE 'violation' END, CASE WHEN size + tax IS NOT NULL THEN least(size, tax) END FROM x),
+shut AS (SELECT DISTINCT up.rule, o.build_id FROM up JOIN own o ON o.rule = up.need WHERE o.v <> 'ok'),
+f AS (SELECT own.build_id, own.rule, CASE WHEN shut.rule IS NOT NULL THEN 'not checkable' ELSE v END AS verdict, CASE WHEN shut.rule IS NULL THEN value END AS value FROM own LEFT JOIN shut ON shut.rule = own.rule AND shut.build_id = own.build_id)"""
+
+
+def _findings(spark, sf_dir):
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    fields = {"size": F.when(k % 11 != 3, F.col("p_size").cast("double")), "price": F.when(k % 7 != 2, F.col("p_retailprice")), "tax": F.when(k % 5 != 1, (k % 50).cast("double")), "extra": F.when(k % 3 == 0, 1.0), "gift": F.when(k % 2 == 0, 1.0)}
+    builds = p.select(k.alias("build_id"), F.explode(F.create_map(*[x for name, c in fields.items() for x in (F.lit(name), c)])).alias("field", "value"))
+    return rules.ranked_findings(builds, spark.createDataFrame(_RULES, "rule string, kind string, fields array<string>, low int, high int, needs array<string>, required boolean"))
+
+
+@query(f"WITH RECURSIVE {_FINDINGS} SELECT * FROM f")
+def ranked_findings(spark, sf_dir):
+    """Parts as builds with missing values, checked by rules of four kinds that need one another."""
+    return _findings(spark, sf_dir).drop("cause")
+
+
+@query(f"""WITH RECURSIVE {_FINDINGS}, c AS (SELECT build_id, count(*) FILTER (verdict = 'violation') AS violations, count(*) FILTER (verdict = 'missing') AS missing, count(*) FILTER (verdict = 'not checkable') AS open FROM f GROUP BY build_id)
+SELECT *, CASE WHEN violations > 0 THEN 'violations' WHEN missing > 0 THEN 'incomplete' WHEN open > 0 THEN 'none found' ELSE 'legal as far as checkable' END AS verdict FROM c""")
+def overall_verdicts(spark, sf_dir):
+    return rules.overall_verdicts(_findings(spark, sf_dir))
+
+
+#: kind, place, label, path, form, unit
+_FORMATS = [
+    ("spell", 1, "Level", "$.level", "value", None), ("spell", 2, "Ritual", "$.ritual", "flag", None), ("spell", 3, "Classes", "$.classes", "list", None), ("spell", 4, "Higher levels", "$.higher", "paragraphs", None),
+    ("creature", 1, "Speed", "$.speed", "pairs", " ft."), ("creature", 2, "Actions", "$.actions", "paragraphs", None), ("weapon", 1, "Damage", "$.damage.dice", "value", None), ("weapon", 2, "Properties", "$.properties", "list", None),
+    ("armour", 1, "Class", "$.ac.base", "value", " AC"), ("armour", 2, "Stealth disadvantage", "$.stealth", "flag", None), ("item", 1, "Weight", "$.weight", "value", " lb."), ("feat", 1, "Benefits", "$.benefits", "paragraphs", None),
+    ("background", 1, "Skills", "$.skills", "list", None), ("species", 1, "Traits", "$.traits", "paragraphs", None), ("species", 2, "Speed", "$.speed", "pairs", " ft."),
+]
+
+
+@query(r"""SELECT p_partkey AS id, CASE p_partkey % 9 WHEN 0 THEN 'spell' WHEN 1 THEN 'creature' WHEN 2 THEN 'weapon' WHEN 3 THEN 'armour' WHEN 4 THEN 'item' WHEN 5 THEN 'feat' WHEN 6 THEN 'background' WHEN 7 THEN 'species' ELSE 'map' END AS kind,
+CASE p_partkey % 9 WHEN 0 THEN '**Level:** ' || p_size || CASE WHEN p_size % 2 = 0 THEN chr(10) || '**Ritual**' ELSE '' END || chr(10) || '**Classes:** ' || p_brand || ', ' || p_type || CASE WHEN p_size % 3 = 0 THEN chr(10) || chr(10) || '## Higher levels' || chr(10) || chr(10) || p_name ELSE '' END
+WHEN 1 THEN CASE p_size % 3 WHEN 0 THEN '**Speed:** fly ' || p_size + 10 || ' ft., walk ' || p_size || ' ft.' || chr(10) WHEN 1 THEN '**Speed:** ' || p_size || ' ft.' || chr(10) ELSE '' END || CASE p_size % 3 WHEN 2 THEN '' ELSE chr(10) END || '## Actions' || chr(10) || chr(10) || '***Bite.*** ' || p_name || chr(10) || chr(10) || '***Claw.***'
+WHEN 2 THEN '**Damage:** ' || p_size || 'd6' || CASE WHEN p_size % 2 = 0 THEN chr(10) || '**Properties:** ' || p_type || ', light' ELSE '' END WHEN 3 THEN '**Class:** ' || p_size || ' AC' || CASE WHEN p_size % 2 = 1 THEN chr(10) || '**Stealth disadvantage**' ELSE '' END
+WHEN 4 THEN CASE WHEN p_size % 2 = 0 THEN '**Weight:** ' || p_size || ' lb.' ELSE '' END WHEN 5 THEN '## Benefits' || chr(10) || chr(10) || p_name || chr(10) || chr(10) || '***More.*** ' || p_brand WHEN 6 THEN '**Skills:** ' || p_name
+WHEN 7 THEN CASE WHEN p_size % 5 = 0 THEN '' ELSE '## Traits' || chr(10) || chr(10) || '***Sight.*** ' || p_type || chr(10) || '**Speed:** walk ' || p_size || ' ft.' END ELSE '' END AS body,
+CASE WHEN p_partkey % 9 = 7 AND p_size % 5 = 0 THEN 'unreadable' WHEN p_partkey % 9 = 8 THEN 'unknown kind' END AS problem FROM part""")
+def formatted_records(spark, sf_dir):
+    """Records of eight kinds with keys that vary, nulls, text in place of objects and lists, broken JSON and an unknown kind."""
+    p = table(spark, sf_dir, "part")
+    forms = [
+        """'{"level": {size}, "ritual": ' || (p_size % 2 = 0) || ', "classes": ["{brand}", {"name": "{type}"}, null, ""], "higher": ' || if(p_size % 3 = 0, '"{name}"', 'null') || '}'""",
+        """'{"actions": [{"name": "Bite", "desc": "{name}"}, {"name": "Claw"}], "speed": ' || CASE p_size % 3 WHEN 0 THEN '{"walk": {size}, "fly": ' || (p_size + 10) || ', "swim": null}' WHEN 1 THEN '{size}' ELSE '{}' END || '}'""",
+        """'{"damage": {"dice": "{size}d6"}' || if(p_size % 2 = 0, ', "properties": [{"name": "{type}", "more": [1]}, "light"]}', '}')""",
+        """'{"ac": {"base": {size}}, "stealth": ' || (p_size % 2 = 1) || '}'""", """'{' || if(p_size % 2 = 0, '"weight": {size}', '"weight": [1], "other": 2') || '}'""",
+        """'{"benefits": ["{name}", {"name": "More", "desc": "{brand}"}]}'""", """'{"skills": "{name}"}'""", """'{"traits": [{"name": "Sight", "desc": "{type}"}], "speed": {"walk": {size}}' || if(p_size % 5 = 0, '', '}')""", "'{}'",
+    ]
+    record = F.expr("CASE p_partkey % 9 " + " ".join(f"WHEN {i} THEN {f}" for i, f in enumerate(forms)) + " END")
+    for name, c in {"size": "p_size", "brand": "p_brand", "type": "p_type", "name": "p_name"}.items():
+        record = F.replace(record, F.lit("{" + name + "}"), F.col(c).cast("string"))
+    kind = F.get(F.array(*map(F.lit, "spell creature weapon armour item feat background species map".split())), (F.col("p_partkey") % 9).cast("int"))
+    formats = spark.createDataFrame(_FORMATS, "kind string, place int, label string, path string, form string, unit string")
+    return records.formatted_records(p.select(F.col("p_partkey").alias("id"), kind.alias("kind"), record.alias("record")), formats)

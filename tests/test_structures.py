@@ -1,9 +1,11 @@
-"""Greedy groups against a sequential reading, torn layouts on small texts."""
+"""Greedy groups against a sequential reading, torn layouts on small texts, rules that need rules against a plain reading."""
 
 import random
 import time
 
-from lorekeep.operators import grouping, layout
+import pytest
+
+from lorekeep.operators import grouping, layout, rules
 
 ENTRIES = "category string, id long, priority int, variants array<string>"
 
@@ -75,3 +77,62 @@ def test_family_headings(spark):
     assert got[0] == ("# M\n#### A\n\n### Zombies\n\n" + entry(1) + own + entry(2), 1, 0)
     assert got[1] == ("# M\n#### A\n\n" + rest + "### Zombies\n\n" + entry(1), 0, 1)
     assert got[2:] == [(t, 0, 0) for t in texts[2:]]
+
+
+RULES = "rule string, kind string, fields array<string>, low double, high double, needs array<string>, required boolean"
+
+
+def plain_findings(values, table):
+    """One build's findings, rule by rule with recursion."""
+    by_name, done = {r[0]: r for r in table}, {}
+
+    def find(name):
+        if name in done:
+            return done[name]
+        _, kind, fields, low, high, needs, required = by_name[name]
+        v = [values.get(f) for f in fields]
+        given = [x for x in v if x is not None]
+        open_need = next((n for n in needs or [] if find(n)[0] != "ok"), None)
+        lacking = next((f for f, x in zip(fields, v) if x is None), None) if kind in ("range", "sum") else None
+        value = {"range": lambda: min(given, default=None), "sum": lambda: float(sum(given)), "count": lambda: float(len(given)), "together": lambda: float(len(given))}[kind]()
+        good = {"range": lambda: all(low <= x <= high for x in given), "sum": lambda: low <= sum(given) <= high, "count": lambda: low <= len(given) <= high, "together": lambda: len(given) in (0, len(v))}[kind]
+        if open_need:
+            done[name] = ("not checkable", None, open_need)
+        elif lacking:
+            done[name] = ("missing" if required else "not checkable", None, lacking)
+        else:
+            done[name] = ("ok" if good() else "violation", value, None)
+        return done[name]
+
+    return {name: find(name) for name in by_name}
+
+
+def test_rules_that_need_rules(spark):
+    rng = random.Random(4)
+    table = [(f"r{i}", rng.choice(["range", "sum", "count", "together"]), rng.sample("abcdef", rng.randint(1, 3)), float(rng.randint(0, 2)), float(rng.randint(2, 20)), rng.sample([f"r{j}" for j in range(i)], min(i, rng.choice([0, 0, 1, 2]))) or None, rng.random() < 0.5) for i in range(25)]
+    rows = [(b, f, float(rng.randint(0, 9)) if rng.random() < 0.9 else None) for b in range(40) for f in "abcdefxy" if rng.random() < 0.8]
+    rows += [(100, "x", 1.0), (101, None, 2.0), (102, "a", 1.0), (102, "a", 3.0), (None, "a", 1.0)]
+    shuffled = rng.sample(table, len(table))
+    got = rules.ranked_findings(spark.createDataFrame(rows, "build_id long, field string, value double"), spark.createDataFrame(shuffled, RULES)).collect()
+    values = {}
+    for b, f, v in rows:
+        if b is not None:
+            mine = values.setdefault(b, {})
+            if v is not None:
+                mine[f] = max(v, mine.get(f, v))
+    want = {(b, name, *x) for b, v in values.items() for name, x in plain_findings(v, table).items()}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    empty = spark.createDataFrame([], "build_id long, field string, value double")
+    assert rules.ranked_findings(empty, spark.createDataFrame(table, RULES)).collect() == []
+    one = spark.createDataFrame(rows[:3], "build_id long, field string, value double")
+    for bad in ([("a", "range", ["x"], 0.0, 1.0, ["b"], False), ("b", "range", ["x"], 0.0, 1.0, ["a"], False)], [("a", "range", ["x"], 0.0, 1.0, ["c"], False)], 2 * [("a", "range", ["x"], 0.0, 1.0, None, False)], [("a", "odd", ["x"], 0.0, 1.0, None, False)]):
+        with pytest.raises(ValueError):
+            rules.ranked_findings(one, spark.createDataFrame(bad, RULES))
+
+
+def test_long_chains_of_rules(spark):
+    table = [(f"r{i:03}", "range", ["a"], 0.0, 9.0, [f"r{i - 1:03}"] if i else None, False) for i in range(60)]
+    began = time.time()
+    got = rules.ranked_findings(spark.createDataFrame([(1, "a", 5.0), (2, "a", 50.0)], "build_id long, field string, value double"), spark.createDataFrame(table, RULES)).collect()
+    assert {(r.build_id, r.verdict) for r in got} == {(1, "ok"), (2, "violation"), (2, "not checkable")} and len(got) == 120
+    assert time.time() - began < 60

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import grouping, layout, records, rules
+from ..operators import documents, grouping, layout, records, rules
 from ..sources.corpus import table
 from .registry import query
 
@@ -144,3 +144,50 @@ def formatted_records(spark, sf_dir):
     kind = F.get(F.array(*map(F.lit, "spell creature weapon armour item feat background species map".split())), (F.col("p_partkey") % 9).cast("int"))
     formats = spark.createDataFrame(_FORMATS, "kind string, place int, label string, path string, form string, unit string")
     return records.formatted_records(p.select(F.col("p_partkey").alias("id"), kind.alias("kind"), record.alias("record")), formats)
+
+
+@query(r"""WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 1 THEN 'Attack Advantage. ' ELSE '' END || text || CASE WHEN conv_id % 3 = 0 THEN '' WHEN conv_id % 3 = 1 THEN ' Done.' ELSE ' ' END AS v FROM conversations),
+f AS (SELECT *, lag(v) OVER (PARTITION BY conv_id ORDER BY turn, v) AS p FROM c WHERE v <> ''),
+g AS (SELECT conv_id, turn, v, CASE WHEN p IS NULL OR regexp_matches(p, '\s$') OR regexp_matches(v, '^\s') THEN '' WHEN regexp_matches(p, '[.!?]$') AND regexp_matches(v, '^[A-Z][^.!?:\n]{1,42}\.\s')
+AND NOT regexp_matches(v, '^(You |Your|The |This |That |If |When|While |Once |As |At |On |In |To |For |A |An |It |They |Each |Whenever |Immediately |After |Before |Choose )') THEN chr(10) || chr(10) ELSE ' ' END AS gap FROM f)
+SELECT conv_id AS doc_id, 'features' AS path, string_agg(gap || v, '' ORDER BY turn, v) AS text FROM g GROUP BY conv_id""")
+def joined_fragments(spark, sf_dir):
+    """Turns of a conversation as fragments of one text; ends and beginnings of three kinds are planted."""
+    c = table(spark, sf_dir, "conversations")
+    value = F.concat(F.when(F.col("turn") % 2 == 1, "Attack Advantage. ").otherwise(""), "text", F.when(F.col("conv_id") % 3 == 0, "").when(F.col("conv_id") % 3 == 1, " Done.").otherwise(" "))
+    name = F.concat(F.lit("Features"), "turn")
+    fields = c.select(name.alias("name"), F.lit("features").alias("path"), F.lit("text").alias("form"), F.col("turn").alias("place")).distinct()
+    return documents.typed_fields(c.select(F.col("conv_id").alias("doc_id"), name.alias("name"), value.alias("value")), fields).select("doc_id", "path", "text")
+
+
+_FIELDS = [("Level", "level", "whole", 1), ("Gold", "purse.gold", "number", 1), ("Inspired", "inspired", "flag", 1), ("Tongues", "tongues", "list", 1)]
+
+
+@query(r"""WITH c AS (SELECT c_custkey AS k, c_name, c_mktsegment AS seg, c_acctbal AS gold FROM customer)
+SELECT k AS doc_id, CASE WHEN k % 7 = 3 THEN 'rest.Level' ELSE 'level' END AS path, CASE WHEN k % 7 = 3 THEN 'rest' ELSE 'whole' END AS form, CASE WHEN k % 7 = 3 THEN 'about ' || k END AS text, CASE WHEN k % 7 <> 3 THEN 1000 + k % 9000 END AS whole, CAST(NULL AS DOUBLE) AS number, CAST(NULL AS BOOLEAN) AS flag, NULL AS items, 'Level' AS names FROM c
+UNION ALL SELECT k, 'purse.gold', 'number', NULL, NULL, CAST(k AS DOUBLE) + 0.5, NULL, NULL, 'Gold' FROM c
+UNION ALL SELECT k, CASE WHEN k % 5 = 4 THEN 'rest.Inspired' ELSE 'inspired' END, CASE WHEN k % 5 = 4 THEN 'rest' ELSE 'flag' END, CASE WHEN k % 5 = 4 THEN 'perhaps' END, NULL, NULL, CASE k % 5 WHEN 4 THEN NULL ELSE k % 5 < 2 END, NULL, 'Inspired' FROM c
+UNION ALL SELECT k, 'tongues', 'list', NULL, NULL, NULL, NULL, seg || '|' || c_name, 'Tongues' FROM c UNION ALL SELECT k, 'rest.Odd', 'rest', CASE WHEN k % 2 = 0 THEN seg END, NULL, NULL, NULL, NULL, 'Odd' FROM c""")
+def typed_fields(spark, sf_dir):
+    """Cells of customers by four types, with some that don't read as their type and one that no map names."""
+    k = F.col("c_custkey")
+    level = F.when(k % 7 == 3, F.concat(F.lit("about "), k)).otherwise(F.format_number(1000 + k % 9000, 0))
+    flag = F.get(F.array(*map(F.lit, ("Yes", "•", "no", "Off", "perhaps"))), (k % 5).cast("int"))
+    cells = {"Level": level, "Gold": F.concat(F.lit(" +"), k.cast("string"), F.lit(".50 ")), "Inspired": flag, "Tongues": F.concat("c_mktsegment", F.lit(" ;, "), "c_name", F.lit("\n")), "Odd": F.when(k % 2 == 0, F.col("c_mktsegment"))}
+    rows = table(spark, sf_dir, "customer").select(k.alias("doc_id"), F.explode(F.create_map(*[x for n, c in cells.items() for x in (F.lit(n), c)])).alias("name", "value"))
+    out = documents.typed_fields(rows, spark.createDataFrame(_FIELDS, "name string, path string, form string, place int"))
+    return out.withColumn("items", F.array_join("items", "|")).withColumn("names", F.array_join("names", ","))
+
+
+@query(rf"""WITH {_SHEETS} SELECT doc AS id, CASE WHEN k % 2 = 1 THEN 'CLASS ' || k ELSE 'CLASS ' || k - 1 END AS section, k + CASE WHEN doc % 3 = 0 THEN 1 ELSE 0 END - 1 AS place, 'Item ' || l_partkey AS name, 'PHB-' || l_suppkey AS source, CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber END AS page,
+l_linenumber || ' Action' || CASE WHEN k % 3 = 0 THEN '|Bonus' ELSE '' END AS actions, 'Rest.' || chr(10) || chr(10) || 'Sub. More of ' || l_partkey AS body FROM (SELECT l.*, i.l_partkey, i.l_suppkey, i.l_linenumber FROM (SELECT doc, k, n FROM l) l JOIN (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS j FROM lineitem) i ON i.l_orderkey = doc AND i.j = k)
+UNION ALL SELECT DISTINCT l_orderkey, '', 0, NULL, NULL, NULL, '', '| Hero' FROM lineitem WHERE l_orderkey % 3 = 0""")
+def document_features(spark, sf_dir):
+    """Orders as texts with a section for every two lines, a feature a line."""
+    c = lambda e, name: e[name].cast("string")
+    one = lambda e, i: F.concat(
+        F.when(i % 2 == 0, F.concat(F.lit("=== CLASS "), (i + 1).cast("string"), F.lit(" ===\n\n"))).otherwise(""), F.lit("* Item "), c(e, "l_partkey"), F.lit(" • PHB-"), c(e, "l_suppkey"), F.when(e["l_linenumber"] % 2 == 0, F.concat(F.lit(" "), c(e, "l_linenumber"))).otherwise(""),
+        F.lit("\n\n| "), c(e, "l_linenumber"), F.lit(" Action \nRest.\n\n\n"), F.when(i % 3 == 2, " | Bonus\n").otherwise(""), F.lit("Sub. More of "), c(e, "l_partkey"), F.lit("\n"),
+    )
+    text = F.concat(F.when(F.col("doc") % 3 == 0, "| Hero\n").otherwise(""), F.array_join(F.transform("s", one), ""))
+    return documents.features(_sheets(spark, sf_dir).select("doc", text.alias("text")), "doc", "text").withColumn("actions", F.array_join("actions", "|"))

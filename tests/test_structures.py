@@ -1,11 +1,12 @@
-"""Greedy groups against a sequential reading, torn layouts on small texts, rules that need rules against a plain reading."""
+"""Greedy groups against a sequential reading, torn layouts on small texts, rules that need rules against a plain reading,
+records and documents with odd values."""
 
 import random
 import time
 
 import pytest
 
-from lorekeep.operators import grouping, layout, rules
+from lorekeep.operators import documents, grouping, layout, records, rules
 
 ENTRIES = "category string, id long, priority int, variants array<string>"
 
@@ -136,3 +137,49 @@ def test_long_chains_of_rules(spark):
     got = rules.ranked_findings(spark.createDataFrame([(1, "a", 5.0), (2, "a", 50.0)], "build_id long, field string, value double"), spark.createDataFrame(table, RULES)).collect()
     assert {(r.build_id, r.verdict) for r in got} == {(1, "ok"), (2, "violation"), (2, "not checkable")} and len(got) == 120
     assert time.time() - began < 60
+
+
+FORMATS = "kind string, place int, label string, path string, form string, unit string"
+
+
+def test_records_with_odd_values(spark):
+    formats = [("c", 1, "Armour", "$.ac", "value", " AC"), ("c", 2, "Flies", "$.fly", "flag", None), ("c", 3, "Speed", "$.speed", "pairs", " ft."), ("c", 4, "Senses", "$.senses", "list", None), ("c", 5, "Actions", "$.acts", "paragraphs", None)]
+    rows = [
+        (1, "c", '{"ac": 12, "fly": true, "speed": {"walk": 30, "fly": null, "swim": "40"}, "senses": ["a", {"name": "b"}, 7, null, [1]], "acts": [{"name": "Bite", "desc": "Hit."}, {"name": "Roar"}, "Plain"]}'),
+        (2, "c", '{"ac": [1], "fly": false, "speed": "fast", "senses": "keen", "acts": "Only text"}'), (3, "c", '{"ac": null, "fly": "no word", "speed": {}, "senses": [], "acts": {}}'), (4, "c", "{broken"), (5, "c", None), (6, "z", "{}"), (7, None, "{}"), (8, "c", "[1, 2]"), (9, "c", '{"ac": " ", "acts": [{"desc": "no name"}]}'), (1, "c", '{"ac": 1.5}'), (10, "c", ""),
+    ]
+    got = [(r.id, r.body, r.problem) for r in records.formatted_records(spark.createDataFrame(rows, "id long, kind string, record string"), spark.createDataFrame(formats, FORMATS)).collect()]
+    one = "**Armour:** 12 AC\n**Flies**\n**Speed:** swim 40 ft., walk 30 ft.\n**Senses:** a, b, 7\n\n## Actions\n\n***Bite.*** Hit.\n\n***Roar.***\n\nPlain"
+    want = [(1, one, None), (2, "**Speed:** fast ft.\n**Senses:** keen\n\n## Actions\n\nOnly text", None), (3, "", None), (4, "", "unreadable"), (5, "", "unreadable"), (6, "", "unknown kind"), (7, "", "unknown kind"), (8, "", None), (9, "", None), (1, "**Armour:** 1.5 AC", None), (10, "", "unreadable")]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    with pytest.raises(ValueError):
+        records.formatted_records(spark.createDataFrame(rows, "id long, kind string, record string"), spark.createDataFrame([("c", 1, "x", "$.x", "odd", None)], FORMATS))
+
+
+def test_every_cell_is_kept(spark):
+    fields = [("F1", "f", "text", 1), ("F2", "f", "text", 2), ("F10", "f", "text", 10), ("L", "l", "whole", 1), ("N", "n", "number", 1), ("B", "b", "flag", 1), ("I", "i", "list", 1)]
+    rows = [
+        (1, "F10", "Third part"), (1, "F1", "First half of"), (1, "F2", "a line."), (1, "L", " -1,234 "), (1, "N", "1,000.25"), (1, "B", "X"), (1, "I", "a, b;c\n"), (1, "Zz", "kept"),
+        (2, "F1", ""), (2, "L", "1,23"), (2, "N", "1e5"), (2, "B", ""), (2, "I", " , "), (2, "Zz", None), (3, "L", "1"), (3, "L", "1"), (3, "F1", "One."), (3, "F2", "Small Head. It is."), (4, "F1", "One."), (4, "F2", "The Head. It is."), (5, "F1", "One.\n"), (5, "F2", "Head. x"), (5, "F2", None),
+        (None, "L", "1"), (6, None, "x"), (7, "L", "9" * 18), (7, "N", "9" * 400),
+    ]
+    cells = spark.createDataFrame(rows, "doc_id long, name string, value string")
+    got = documents.typed_fields(cells, spark.createDataFrame(fields, "name string, path string, form string, place int")).collect()
+    by = {(r.doc_id, r.path): r for r in got}
+    assert by[1, "f"].text == "First half of a line. Third part" and by[1, "f"].names == ["F1", "F2", "F10"]
+    assert (by[1, "l"].whole, by[1, "n"].number, by[1, "b"].flag, by[1, "i"]["items"]) == (-1234, 1000.25, True, ["a", "b", "c"])
+    assert (by[3, "f"].text, by[4, "f"].text, by[5, "f"].text) == ("One.\n\nSmall Head. It is.", "One. The Head. It is.", "One.\nHead. x")
+    assert {r.path for r in got if r.doc_id == 2} == {"rest.F1", "rest.L", "rest.N", "rest.B", "rest.I", "rest.Zz"} and sum(r.path == "rest.L" for r in got if r.doc_id == 3) == 2
+    assert by[7, "l"].whole == int("9" * 18) and by[7, "rest.N"].text == "9" * 400
+    assert sorted((r.doc_id, n) for r in got for n in r.names) == sorted((d, n) for d, n, _ in rows if d is not None and n is not None)
+    for bad in (fields + fields[:1], fields + [("Q", "q", "odd", 1)], fields + [("Q", "f", "flag", 1)]):
+        with pytest.raises(ValueError):
+            documents.typed_fields(cells, spark.createDataFrame(bad, "name string, path string, form string, place int"))
+
+
+def test_features_lose_no_line(spark):
+    text = "Before.\n=== A ===\n* One • PHB 12\n\n| 1 Action\nBody.\n\n\n\nMore | here\n | Bonus\n* Two • DMG\n=== B ===\nloose\n* no feature\n"
+    rows = [(1, text), (2, None), (3, ""), (4, " \n"), (5, "=== A ==="), (1, "again"), (6, "=== A ===\n* X • S 99999999999")]
+    got = sorted((tuple(r) for r in documents.features(spark.createDataFrame(rows, "id long, text string"), "id", "text").collect()), key=repr)
+    want = [(1, "", 0, None, None, None, [], "Before."), (1, "A", 1, "One", "PHB", 12, ["1 Action", "Bonus"], "Body.\n\nMore | here"), (1, "A", 2, "Two", "DMG", None, [], ""), (1, "B", 3, None, None, None, [], "loose\n* no feature"), (1, "", 0, None, None, None, [], "again"), (6, "A", 0, None, None, None, [], "* X • S 99999999999")]
+    assert got == sorted(want, key=repr)

@@ -80,6 +80,32 @@ def divergent(entries: DataFrame, groups: DataFrame, least: float = 90.0, cap: i
     return few.withColumn("score", ratio(F.col("lt"), F.col("t"))).where(F.col("score") < least).select(F.col("lead").alias("id"), F.col("id").alias("other_id"), F.round("score", 4).alias("score"))
 
 
+def other_versions(entries: DataFrame, groups: DataFrame, sources: DataFrame, least: float = 90.0, cap: int = 3) -> DataFrame:
+    """``id, other_id, kind, score``: what a group's lead is held against: "conflict" for a text of its language that differs (similarity ``score`` below least), "foreign" for a version in another language (no score: a translation may differ without proof of a conflict).
+
+    entries: ``id, source_key, edition, lang, body``; groups: ``group_id, id``; sources: ``source_key, kind``. The lead is the
+    group's least id that is no revision. Compared are the next cap members by id that are neither revisions (to differ is
+    their purpose), nor of the lead's source (those are further sections), nor of another edition; like texts among them
+    use up a comparison. Blank texts are never in conflict; a null language is one of its own. A member named twice
+    counts once.
+
+    No more than the lead and cap members of a group are carried on, whatever its size; only their bodies are read.
+    """
+    plain = sources.where("kind is null").select("source_key").distinct()
+    members = groups.where("group_id is not null").select("group_id", "id").distinct()
+    rows = members.join(entries.select("id", "source_key", "edition", "lang"), "id").join(plain, "source_key", "left_semi")
+    lead = rows.groupBy("group_id").agg(F.min(F.struct("id", "source_key", "edition", "lang")).alias("l"))
+    met = rows.join(lead, "group_id").where("id <> l.id and source_key <> l.source_key and edition <=> l.edition")
+    few = met.withColumn("_n", F.row_number().over(Window.partitionBy("group_id").orderBy("id"))).where(F.col("_n") <= cap)
+    few = few.select(F.col("l.id").alias("lead"), F.col("id").alias("other_id"), F.expr("lang <=> l.lang").alias("same"))
+    text = F.trim(F.regexp_replace(F.lower(F.regexp_replace("body", r"^\*Context:[^\n]*?\*", "")), r"\s+", " "))
+    body = lambda id_col, name: entries.select(F.col("id").alias(id_col), text.alias(name))
+    held = few.where("same").join(body("lead", "a"), "lead").join(body("other_id", "b"), "other_id").where("a <> '' and b <> '' and a <> b")
+    conflicts = held.withColumn("score", ratio(F.col("a"), F.col("b"))).where(F.col("score") < least).select(F.col("lead").alias("id"), "other_id", F.lit("conflict").alias("kind"), F.round("score", 4).alias("score"))
+    foreign = few.where("not same").select(F.col("lead").alias("id"), "other_id", F.lit("foreign").alias("kind"), F.lit(None).cast("double").alias("score"))
+    return conflicts.unionByName(foreign)
+
+
 def ranked(hits: DataFrame) -> DataFrame:
     """hits (``query_id, query, id, name, priority, run``) with ``class`` and ``rank`` in their query: 0 exact, 1 prefix of the question, 2 prefix of one of its ``variants`` (if there), 3 other; then source or run, then name.
 

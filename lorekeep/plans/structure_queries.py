@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import documents, grouping, layout, records, rules
+from ..operators import documents, grouping, layout, records, resolve, rules
 from ..sources.corpus import table
 from .registry import query
 
@@ -191,3 +191,15 @@ def document_features(spark, sf_dir):
     )
     text = F.concat(F.when(F.col("doc") % 3 == 0, "| Hero\n").otherwise(""), F.array_join(F.transform("s", one), ""))
     return documents.features(_sheets(spark, sf_dir).select("doc", text.alias("text")), "doc", "text").withColumn("actions", F.array_join("actions", "|"))
+
+
+@query("""WITH e AS (SELECT p_partkey AS id, p_name AS group_id, p_brand AS source_key, CASE WHEN p_size % 3 = 0 THEN 'de' ELSE 'en' END AS lang, CASE WHEN p_partkey % 9 = 4 THEN '2014' ELSE '2024' END AS edition, p_partkey % 4 AS form FROM part WHERE p_brand <> 'Brand#7'),
+l AS (SELECT group_id, arg_min(e, id) AS l FROM e GROUP BY group_id), m AS (SELECT e.*, l.l, row_number() OVER (PARTITION BY e.group_id ORDER BY e.id) AS n FROM e JOIN l USING (group_id) WHERE e.id <> l.l.id AND e.source_key <> l.l.source_key AND e.edition = l.l.edition)
+SELECT l.id AS id, id AS other_id, CASE WHEN lang = l.lang THEN 'conflict' ELSE 'foreign' END AS kind FROM m WHERE n <= 3 AND (lang <> l.lang OR (CASE WHEN form = 3 THEN 1 WHEN form = 2 THEN 2 ELSE 0 END) <> (CASE WHEN l.form = 3 THEN 1 WHEN l.form = 2 THEN 2 ELSE 0 END) AND form <> 2 AND l.form <> 2)""")
+def other_versions(spark, sf_dir):
+    """Parts of one name as versions from many sources: texts that differ in case and spaces alone, others, blank ones, other languages and editions; one source holds revisions."""
+    p, form = table(spark, sf_dir, "part"), F.col("p_partkey") % 4
+    body = F.when(form == 0, F.concat(F.lit("The  "), "p_name", F.lit(" holds."))).when(form == 1, F.concat(F.lit("*Context: A*\n"), F.upper(F.concat(F.lit("The "), "p_name", F.lit(" holds."))))).when(form == 2, " ").otherwise("zzzzzzzzzzzzzzzzzzzzzz")
+    entries = p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("source_key"), F.when(F.col("p_partkey") % 9 == 4, "2014").otherwise("2024").alias("edition"), F.when(F.col("p_size") % 3 == 0, "de").otherwise("en").alias("lang"), body.alias("body"))
+    sources = p.select(F.col("p_brand").alias("source_key"), F.when(F.col("p_brand") == "Brand#7", "errata").alias("kind")).distinct()
+    return resolve.other_versions(entries, p.select(F.col("p_name").alias("group_id"), F.col("p_partkey").alias("id")), sources).drop("score")

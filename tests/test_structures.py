@@ -6,7 +6,7 @@ import time
 
 import pytest
 
-from lorekeep.operators import documents, grouping, layout, records, rules
+from lorekeep.operators import documents, grouping, layout, records, resolve, rules
 
 ENTRIES = "category string, id long, priority int, variants array<string>"
 
@@ -183,3 +183,15 @@ def test_features_lose_no_line(spark):
     got = sorted((tuple(r) for r in documents.features(spark.createDataFrame(rows, "id long, text string"), "id", "text").collect()), key=repr)
     want = [(1, "", 0, None, None, None, [], "Before."), (1, "A", 1, "One", "PHB", 12, ["1 Action", "Bonus"], "Body.\n\nMore | here"), (1, "A", 2, "Two", "DMG", None, [], ""), (1, "B", 3, None, None, None, [], "loose\n* no feature"), (1, "", 0, None, None, None, [], "again"), (6, "A", 0, None, None, None, [], "* X • S 99999999999")]
     assert got == sorted(want, key=repr)
+
+
+def test_versions_of_a_group(spark):
+    rows = [(1, "rev", "x", "de", "a revision"), (2, "s1", "x", "de", "*Context: A*\nSame  text here"), (3, "s2", "x", "de", "same text HERE"), (4, "s1", "x", "de", "own further section"), (5, "s3", "x", "en", "other language"), (6, "s4", "x", None, "no language"), (7, "s5", "x", "de", "beyond the cap"), (8, "s6", "y", "de", "other edition")]
+    rows += [(20, "s1", "x", "de", "quite a text"), (21, "s2", "x", "de", None), (22, "s3", "x", "de", ""), (23, "s4", "x", "de", "0123456789")] + [(30, "s1", None, "de", "alone")]
+    rows += [(1000 + i, f"s{i % 7}", "x", "de", "one" if i < 2 else "of very many") for i in range(3000)]
+    e = spark.createDataFrame(rows, "id long, source_key string, edition string, lang string, body string")
+    groups = spark.createDataFrame([(i // 20 if i < 30 else 7 if i < 1000 else 9, i) for i, *_ in rows] + [(0, 5), (0, 999), (None, 2), (0, None)], "group_id long, id long")
+    sources = spark.createDataFrame([(f"s{i}", None) for i in range(7)] + [("rev", "errata")], "source_key string, kind string")
+    got = {(r.id, r.other_id, r.kind) for r in resolve.other_versions(e, groups, sources).collect()}
+    assert got == {(2, 5, "foreign"), (2, 6, "foreign"), (20, 23, "conflict"), (1000, 1002, "conflict"), (1000, 1003, "conflict")}
+    assert resolve.other_versions(e.limit(0), groups, sources).collect() == []

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
 from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.markup import tokens
 from ..functions.text import norm_term
@@ -23,6 +26,36 @@ def cleaned(column):
     return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(breaks, "­", ""), " ", " "), "[ \\t]+", " "))
 
 
+@F.pandas_udf(StringType())
+def _composed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t if t is None or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t))
+
+
+@lru_cache
+def _may_compose() -> str:
+    """A class of all characters that composing may change: marks, parts of Hangul syllables, and those that aren't in that form alone."""
+    odd = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (0x1100 <= c < 0x1200 or unicodedata.category(chr(c))[0] == "M" or not unicodedata.is_normalized("NFC", chr(c)))]
+    starts = [c for i, c in enumerate(odd) if not i or odd[i - 1] < c - 1]
+    ends = [c for i, c in enumerate(odd) if i + 1 == len(odd) or odd[i + 1] > c + 1]
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends)) + "]"
+
+
+#: What a converter puts around text that it read in pictures (a fixed value).
+PICTURE_MARKS = "<!-- (?:Start|End) of picture text -->"
+
+
+def composed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, text``: texts with letters and their marks composed (NFC), no marks around text of pictures, no soft hyphens, spaces for no-break spaces and markup's line breaks. Nothing else changes; null stays null.
+
+    Only texts that hold a mark or a letter that composes are sent to Python: the rest, most of a corpus, stays as it is.
+    """
+    odd = F.regexp_like(text_col, F.lit(_may_compose()))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(odd, F.lit(False)).alias("_odd"))
+    text = rows.where("_odd").select("id", _composed("text").alias("text")).unionByName(rows.where("not _odd").select("id", "text"))
+    plain = F.translate("text", "\u00a0\u00ad", " ")
+    return text.select("id", F.regexp_replace(F.regexp_replace(plain, r"(?i)<br\s*/?>", " "), PICTURE_MARKS, "").alias("text"))
+
+
 def merge_fragments(lines: DataFrame, least: int) -> DataFrame:
     """lines (``doc_id, pos, text``) with fragments (shorter than least characters) joined to what they follow: ``doc_id, pos, text, parts``."""
     w = Window.partitionBy("doc_id").orderBy("pos")

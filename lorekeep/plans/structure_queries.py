@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import documents, grouping, layout, records, resolve, rules
+from ..operators import documents, etl, grouping, layout, records, resolve, rules
 from ..sources.corpus import table
 from .registry import query
 
@@ -203,3 +203,11 @@ def other_versions(spark, sf_dir):
     entries = p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("source_key"), F.when(F.col("p_partkey") % 9 == 4, "2014").otherwise("2024").alias("edition"), F.when(F.col("p_size") % 3 == 0, "de").otherwise("en").alias("lang"), body.alias("body"))
     sources = p.select(F.col("p_brand").alias("source_key"), F.when(F.col("p_brand") == "Brand#7", "errata").alias("kind")).distinct()
     return resolve.other_versions(entries, p.select(F.col("p_name").alias("group_id"), F.col("p_partkey").alias("id")), sources).drop("score")
+
+
+@query(r"""SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN nfc_normalize(text || 'e' || chr(769)) WHEN doc_id % 3 = 1 THEN nfc_normalize(text) || ' in picture a b' ELSE nfc_normalize(text) END AS text FROM documents""")
+def composed_texts(spark, sf_dir):
+    """Documents with planted marks: a decomposed letter in every third, marks of pictures, soft hyphens, no-break spaces and line breaks of markup in another."""
+    i = F.col("doc_id") % 3
+    planted = F.when(i == 0, "e\u0301").when(i == 1, " <!-- Start of picture text -->in\u00a0pic\u00adture<!-- End of picture text --> a<BR />b").otherwise("")
+    return etl.composed_texts(table(spark, sf_dir, "documents").select("doc_id", F.concat("text", planted).alias("text")), "doc_id", "text")

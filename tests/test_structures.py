@@ -2,11 +2,13 @@
 records and documents with odd values."""
 
 import random
+import re
 import time
+import unicodedata
 
 import pytest
 
-from lorekeep.operators import documents, grouping, layout, records, resolve, rules
+from lorekeep.operators import documents, etl, grouping, layout, records, resolve, rules
 
 ENTRIES = "category string, id long, priority int, variants array<string>"
 
@@ -195,3 +197,14 @@ def test_versions_of_a_group(spark):
     got = {(r.id, r.other_id, r.kind) for r in resolve.other_versions(e, groups, sources).collect()}
     assert got == {(2, 5, "foreign"), (2, 6, "foreign"), (20, 23, "conflict"), (1000, 1002, "conflict"), (1000, 1003, "conflict")}
     assert resolve.other_versions(e.limit(0), groups, sources).collect() == []
+
+
+def test_every_character_composes(spark):
+    odd = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and not unicodedata.is_normalized("NFC", chr(c))]
+    rng = random.Random(5)
+    marks = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c))[0] == "M"]
+    texts = odd + ["aeo"[i % 3] + m for i, m in enumerate(marks)] + ["".join(rng.choice(odd + marks + list("aeiouy\u1100\u1161\u11a8")) for _ in range(6)) for _ in range(2000)]
+    texts += [None, "", "a\u00a0b\u00adc<br>d<BR/>", "<!-- Start of picture text -->x<!-- End of picture text -->", "plain", "plain"]
+    want = [t if t is None else re.sub("<!-- (?:Start|End) of picture text -->", "", re.sub(r"(?i)<br\s*/?>", " ", unicodedata.normalize("NFC", t).replace("\u00ad", "").replace("\u00a0", " "))) for t in texts]
+    got = etl.composed_texts(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", "text").orderBy("id").collect()
+    assert [r.text for r in got] == want

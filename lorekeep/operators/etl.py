@@ -37,7 +37,8 @@ def _may_compose() -> str:
     odd = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (0x1100 <= c < 0x1200 or unicodedata.category(chr(c))[0] == "M" or not unicodedata.is_normalized("NFC", chr(c)))]
     starts = [c for i, c in enumerate(odd) if not i or odd[i - 1] < c - 1]
     ends = [c for i, c in enumerate(odd) if i + 1 == len(odd) or odd[i + 1] > c + 1]
-    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends)) + "]"
+    # the first is U+0300: Latin letters are passed without a look at the ranges
+    return f"[\\x{{{odd[0]:x}}}-\\x{{10ffff}}&&[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends)) + "]]"
 
 
 #: What a converter puts around text that it read in pictures (a fixed value).

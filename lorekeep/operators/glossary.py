@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import core_name, may_reach, norm_term, similarity, tokens
@@ -10,10 +12,10 @@ from ..functions.text import core_name, may_reach, norm_term, similarity, tokens
 SUGGEST_FROM, SUGGESTIONS, MAX_ALTERNATIVES = 88.0, 5, 8
 
 
-def canonical(glossary: DataFrame) -> DataFrame:
-    """The preferred row of each normalised term: official, with known edition, newer, with evidenced origin, then by name."""
+def canonical(glossary: DataFrame, fold: Callable[[Column], Column] = norm_term) -> DataFrame:
+    """The preferred row of each normalised term: official, with known edition, newer, with evidenced origin, then by name. fold: what makes terms one."""
     order = [F.desc("official"), F.col("edition").isNull(), F.desc_nulls_last("edition"), F.col("origin").isNull(), "target", "row_id"]
-    keyed = glossary.withColumn("key", norm_term(F.col("term")))
+    keyed = glossary.withColumn("key", fold(F.col("term")))
     return keyed.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where("n = 1").drop("n")
 
 
@@ -139,10 +141,10 @@ def translated_terms(glossary: DataFrame, asked: DataFrame, exact_cap: int = 10,
     return exact.unionByName(similar).select("asked", "place", "target", F.when(F.col("match") == "exact", F.col("official")).otherwise(0).alias("official"), "match")
 
 
-def best_target(glossary: DataFrame, asked: DataFrame) -> DataFrame:
-    """``asked, target, official``: the canonical exact translation of each question, of its name without a parenthesis where it has none itself; null where neither has one."""
-    c = canonical(glossary).select("key", "target", "official")
-    q = asked.select("asked", norm_term(F.col("asked")).alias("_own"), norm_term(core_name(F.col("asked"))).alias("_core")).distinct()
+def best_target(glossary: DataFrame, asked: DataFrame, fold: Callable[[Column], Column] = norm_term) -> DataFrame:
+    """``asked, target, official``: the canonical exact translation of each question, of its name without a parenthesis where it has none itself; null where neither has one. fold: what makes questions and terms one."""
+    c = canonical(glossary, fold).select("key", "target", "official")
+    q = asked.select("asked", fold(F.col("asked")).alias("_own"), fold(core_name(F.col("asked"))).alias("_core")).distinct()
     own, core = c.select(F.col("key").alias("_own"), F.struct("target", "official").alias("_a")), c.select(F.col("key").alias("_core"), F.struct("target", "official").alias("_b"))
     met = q.join(own, "_own", "left").join(core, "_core", "left").withColumn("_m", F.coalesce("_a", "_b"))
     return met.select("asked", "_m.target", "_m.official")

@@ -2,7 +2,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lorekeep.operators import align, etl, facets, glossary, predicates, resolve, rules, sessions
+from lorekeep.operators import align, details, etl, facets, glossary, predicates, resolve, rules, sessions
 from lorekeep.operators.components import connected_components
 from lorekeep.plans import queries
 from lorekeep.sources import corpus
@@ -181,3 +181,12 @@ def test_differing_versions_of_one_language(spark):
 def test_book_values_and_records(spark):
     e = spark.createDataFrame([(1, {"str": 0}, {}), (2, {"str": 10}, {"str": 12}), (3, {"str": 10}, {"dex": 30}), (4, None, None)], "id int, a map<string,int>, b map<string,int>")
     assert [r[0] for r in e.orderBy("id").select(predicates.implausible(F.col("a"), F.col("b"))).collect()] == ["score", "save", None, None]
+
+
+def test_details_take_names_as_they_are_written(spark):
+    rows = [(1, "a", "The Anhely", "2024", 1, "en"), (2, "a", "THE ANHELY", "2024", 1, "en"), (3, "a", "the anhely", "2024", 1, "en")]
+    e = spark.createDataFrame(rows, "id long, source_key string, name string, edition string, category int, lang string")
+    g = spark.createDataFrame([("The Anhely", "Der Anhel", 0, 1), ("THE ANHELY", "DER ANHEL", 0, 2)], "term string, target string, official int, row_id long").withColumns({"edition": F.lit(None).cast("string"), "origin": F.lit(None).cast("string")})
+    s = spark.createDataFrame([("a", 1, None, "free")], "source_key string, priority int, kind string, licence string")
+    shown = dict(pairs(details.details(e, s, g, e.select("id")).select("id", "shown")))
+    assert shown == {1: "Der Anhel* (The Anhely)", 2: "DER ANHEL* (THE ANHELY)", 3: "the anhely"}

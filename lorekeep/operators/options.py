@@ -53,14 +53,21 @@ def table_cells(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def level_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, level, column, value``: cells of the table of levels of each text: of the tables whose first column holds whole numbers from 1 to 20 alone, the longest, the first of equals."""
-    cells = table_cells(docs, id_col, text_col)
-    lead = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line")).where(F.col("line").rlike(r"^\s*\|.*\|\s*$") & ~F.col("line").rlike(r"^[\s|:-]+$"))
-    w = Window.partitionBy("id").orderBy("pos")
-    heads = lead.select("id", "pos", F.trim(F.split_part(F.col("line"), F.lit("|"), F.lit(2))).alias("name"), (F.col("pos") - F.coalesce(F.lag("pos").over(w), F.lit(-9)) > 2).cast("int").alias("new"))
-    placed = heads.withColumn("table", F.sum("new").over(w)).withColumn("row", F.row_number().over(Window.partitionBy("id", "table").orderBy("pos")) - 1)
-    level = F.when(F.regexp_like("name", F.lit("^[0-9]{1,2}$")), F.col("name").cast("int"))
-    levels = placed.where("row > 0").select("id", F.col("table").cast("int").alias("table"), "row", level.alias("level"))
-    good = levels.groupBy("id", "table").agg(F.count("*").alias("n"), F.count_if(F.col("level").between(1, 20)).alias("k")).where("n = k")
-    best = good.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "table"))["table"].alias("table"))
-    return cells.join(best, ["id", "table"]).join(levels, ["id", "table", "row"]).select("id", "level", "column", "value")
+    """``id, level, column, value``: cells of the table of levels of each text: of the tables whose first column holds whole numbers from 1 to 20 alone, the longest, the first of equals.
+
+    A text's tables are told apart within its row: nothing is shuffled, joined or sent to the driver.
+    """
+    lines = F.transform(F.split(text_col, "\n"), lambda line, i: F.struct(i.alias("pos"), line.alias("line")))
+    rows = docs.select(F.col(id_col).alias("id"), F.filter(lines, lambda r: r["line"].rlike(r"^\s*\|.*\|\s*$") & ~r["line"].rlike(r"^[\s|:-]+$")).alias("_r"))
+    at = F.when(F.size("_r") > 0, F.sequence(F.lit(1), F.size("_r"))).otherwise(F.array().cast("array<int>"))
+    # rows of one table follow one another but for the rule below its head
+    begins = rows.withColumn("_s", F.filter(at, lambda i: (i == 1) | (F.get("_r", i - 1)["pos"] - F.get("_r", i - 2)["pos"] > 2)))
+    below = F.transform("_s", lambda s, j: F.struct(F.get("_r", s - 1)["line"].alias("head"), F.slice("_r", s + 1, F.coalesce(F.get("_s", j + 1), F.size("_r") + 1) - s - 1)["line"].alias("lines")))
+    name = lambda line: F.trim(F.split_part(line, F.lit("|"), F.lit(2)))
+    level = lambda line: F.when(F.regexp_like(name(line), F.lit("^[0-9]{1,2}$")), name(line).cast("int"))
+    good = F.filter(below, lambda t: (F.size(t["lines"]) > 0) & F.forall(t["lines"], lambda line: F.coalesce(level(line).between(1, 20), F.lit(False))))
+    best = begins.select("id", good.alias("_t")).select("id", F.get("_t", F.array_min(F.transform("_t", lambda t, i: F.struct(-F.size(t["lines"]), i.alias("i"))))["i"]).alias("t"))
+    cells = lambda line: F.transform(F.split(F.regexp_replace(F.trim(line), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
+    each = best.select("id", F.col("t.head").alias("head"), F.explode("t.lines").alias("line"))
+    zipped = F.arrays_zip(cells(F.col("head")).alias("c"), cells(F.col("line")).alias("v"))
+    return each.select("id", level(F.col("line")).alias("level"), F.explode(zipped).alias("x")).select("id", "level", F.col("x.c").alias("column"), F.col("x.v").alias("value"))

@@ -2,7 +2,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lorekeep.operators import align, details, etl, facets, glossary, predicates, resolve, rules, sessions
+from lorekeep.operators import align, details, etl, facets, glossary, options, predicates, resolve, rules, sessions
 from lorekeep.operators.components import connected_components
 from lorekeep.plans import queries
 from lorekeep.sources import corpus
@@ -190,3 +190,12 @@ def test_details_take_names_as_they_are_written(spark):
     s = spark.createDataFrame([("a", 1, None, "free")], "source_key string, priority int, kind string, licence string")
     shown = dict(pairs(details.details(e, s, g, e.select("id")).select("id", "shown")))
     assert shown == {1: "Der Anhel* (The Anhely)", 2: "DER ANHEL* (THE ANHELY)", 3: "the anhely"}
+
+
+def test_level_table_stays_in_its_row(spark):
+    table = "| {} | b |\n|---|---|\n| 1 | x |\n| 2 | y | z |"
+    texts = [(1, f"{table.format('first')}\n\n\n{table.format('second')}\n| 3 | w"), (2, None), (3, "no table"), (4, "| n | b |\n|---|---|\n| 21 | x |"), (5, "| n |\n|---|\n|  20  |\n\n\n| m | b |\n|---|---|\n| 1 | x |\n| two | y |"), (6, "| head |")]
+    docs = spark.createDataFrame(texts, "id long, t string")
+    got = options.level_table(docs, "id", "t")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 1, "first", "1"), (1, 1, "b", "x"), (1, 2, "first", "2"), (1, 2, "b", "y"), (1, 2, None, "z"), (5, 20, "n", "20")], key=str)
+    assert "Exchange" not in got._jdf.queryExecution().toString()

@@ -143,3 +143,38 @@ def vetoed_pairs(left: DataFrame, right: DataFrame, full: list[str], partial: li
     met = found.join(a, "left_id").join(b, "right_id")
     conflict = F.col("_a").isNotNull() & F.col("_b").isNotNull() & (F.col("_a") != F.col("_b"))
     return met.where((F.col("stage") == 1) | ~conflict).select("left_id", "right_id", "stage")
+
+
+#: Rows of one key that meet as many of the other side in one task, about.
+TILE_ROWS = 4096
+#: Tasks that tiles are dealt to at most.
+MOST_TASKS = 4000
+
+
+def either_key_pairs(left: DataFrame, right: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """``id, match``: each pair of a left and a right id (``id, key`` each) that are equal or share a key, once.
+
+    Pairs are distinct as they are made: a pair by id is left out where the ids share a key, one by key is made at the
+    least key that both have. So only the inputs are shuffled, never the pairs, which are as many as the keys make them.
+    A key with many rows is dealt to tiles, block against block; a task holds a block, never a key.
+    """
+    keyed = lambda df, name: df.groupBy(F.col("id").alias(name)).agg(F.collect_set("key").alias("keys"))
+    a, b = keyed(left, "id"), keyed(right, "match")
+    same = a.withColumnRenamed("keys", "_k").join(b, F.col("id") == F.col("match")).where(~F.arrays_overlap("_k", "keys")).select("id", "match")
+    several = F.when(F.size("keys") > 1, F.col("keys"))
+    one, two = a.select("id", several.alias("_l"), F.explode("keys").alias("key")), b.select("match", several.alias("_r"), F.explode("keys").alias("key"))
+    counts = lambda df, name: df.groupBy("key").agg(F.count("*").alias(name))
+    both = counts(one, "_a").join(counts(two, "_b"), "key")
+    pairs = both.agg(F.sum(F.col("_a") * F.col("_b"))).first()[0] or 0
+    blocks = lambda c: F.ceil(F.col(c) / tile_rows).cast("int")
+    hot = both.where((F.col("_a") > tile_rows) | (F.col("_b") > tile_rows)).select("key", blocks("_a").alias("_x"), blocks("_b").alias("_y"))  # a row for each tile_rows rows at most
+    place = lambda own, c, n: F.pmod(F.xxhash64(c), F.coalesce(n, F.lit(1))).cast("int").alias(own)
+    every = lambda other, n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1)).alias(other)
+    tile = (F.col("_i") * F.coalesce("_y", F.lit(1)) + F.col("_j")).alias("_tile")
+    one = one.join(F.broadcast(hot), "key", "left").select("id", "_l", "key", "_y", place("_i", "id", F.col("_x")), every("_j", F.col("_y"))).select("id", "_l", "key", tile)
+    two = two.join(F.broadcast(hot), "key", "left").select("match", "_r", "key", "_y", place("_j", "match", F.col("_y")), every("_i", F.col("_x"))).select("match", "_r", "key", tile)
+    n = min(-(-pairs // tile_rows**2), MOST_TASKS)
+    if n > 1:  # few rows can make many pairs; their size says nothing of the work
+        one, two = one.repartition(n, "key", "_tile"), two.repartition(n, "key", "_tile")
+    least = F.col("_l").isNull() | F.col("_r").isNull() | (F.col("key") == F.array_min(F.array_intersect("_l", "_r")))
+    return same.unionByName(one.join(two.hint("shuffle_hash"), ["key", "_tile"]).where(least).select("id", "match"))

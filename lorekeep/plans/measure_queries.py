@@ -77,10 +77,9 @@ def level_tables(spark, sf_dir):
 
 @query("SELECT DISTINCT c.c_custkey AS id, p.p_partkey AS match FROM customer c JOIN part p ON c.c_custkey = p.p_partkey OR c.c_nationkey = p.p_size")
 def either_key_join(spark, sf_dir):
-    """Rows that meet by one key or the other: two equi-joins, not a comparison of all pairs."""
+    """Rows that meet by one key or the other: two equi-joins that make each pair once."""
     c, p = table(spark, sf_dir, "customer"), table(spark, sf_dir, "part")
-    one = c.join(p, F.col("c_custkey") == F.col("p_partkey")).select(F.col("c_custkey").alias("id"), F.col("p_partkey").alias("match"))
-    return one.unionByName(c.join(p, F.col("c_nationkey") == F.col("p_size")).select(F.col("c_custkey").alias("id"), F.col("p_partkey").alias("match"))).distinct()
+    return align.either_key_pairs(c.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("key")), p.select(F.col("p_partkey").alias("id"), F.col("p_size").alias("key")))
 
 
 @query("""WITH a AS (SELECT o_custkey AS id, count(*) AS orders FROM orders GROUP BY 1), b AS (SELECT c_nationkey AS nation, count(*) AS customers FROM customer GROUP BY 1) SELECT c_custkey AS id, coalesce(orders, 0) AS orders, customers FROM customer LEFT JOIN a ON a.id = c_custkey JOIN b ON nation = c_nationkey""")

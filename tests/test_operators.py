@@ -199,3 +199,14 @@ def test_level_table_stays_in_its_row(spark):
     got = options.level_table(docs, "id", "t")
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, 1, "first", "1"), (1, 1, "b", "x"), (1, 2, "first", "2"), (1, 2, "b", "y"), (1, 2, None, "z"), (5, 20, "n", "20")], key=str)
     assert "Exchange" not in got._jdf.queryExecution().toString()
+
+
+def test_either_key_pairs_are_distinct_without_shuffling_them(spark):
+    left, right = [(i % 23, i % 4 if i % 9 else None) for i in range(60)] + [(None, 1)], [(i % 31, i % 5 if i % 7 else None) for i in range(70)] + [(None, 2)]
+    want = {(a, b) for a, k in left for b, m in right if (a is not None and a == b) or (k is not None and k == m)}
+    a, b = (spark.createDataFrame(x, "id int, key int") for x in (left, right))
+    for size in (1, 3, 8192):
+        found = align.either_key_pairs(a, b, size)
+        got = [tuple(r) for r in found.collect()]
+        assert len(got) == len(want) and set(got) == want
+        assert found._jdf.queryExecution().optimizedPlan().toString().lstrip().startswith("Union")

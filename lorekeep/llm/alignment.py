@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ from .storage import materialise
 from .wordwise import paused_gc, slices, words_of
 
 #: Characters of a block of texts, and parts and their characters that a worker remembers; then it starts anew.
-BLOCK, REMEMBERED, REMEMBERED_CHARS = 4_000_000, 200_000, 8_000_000
+BLOCK, REMEMBERED, REMEMBERED_CHARS = 2_000_000, 100_000, 4_000_000
 #: Parts that are labelled together.
 TOGETHER = 4096
 NONE, A_END, B_END, BOTH = range(4)
@@ -223,6 +224,8 @@ def _blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: st
                     row = {"block": first + n, "ids": ids[a:b], **codec.block(texts[a:b])}
                     n += 1
                     yield pd.DataFrame({k: [v] for k, v in row.items()})
+                    del row
+                    pa.default_memory_pool().release_unused()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, BLOCK_SCHEMA)
 

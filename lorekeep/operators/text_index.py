@@ -18,16 +18,19 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import TOKEN, norm_term, tokens
 from .components import written
-from .fulltext import BROADCAST_TERMS, K1, LEAST_IDF, TESTED, WEIGHTS, B, matching
+from .fulltext import BROADCAST_TERMS, K1, LEAST_IDF, TESTED, WEIGHTS, B
 
-#: Entries of a slab, about; letters of a prefix that is counted beforehand; slabs of each query that are read first.
-SLAB, PREFIX, FIRST = 512, 6, 4
+#: Entries of a slab, about; words that those of one class in a slab have, about; letters of a prefix that is counted beforehand; slabs of each query that are read first.
+SLAB, SLAB_WORDS, PREFIX, FIRST = 512, 4_000_000, 6, 4
 POSTINGS = "term string, slab long, n int, top double, least int, ids array<long>, weights array<double>, sizes array<int>, part string, version string, initial string"
 PREFIXES = "prefix string, df long, part string, version string, initial string"
 MANIFEST = "source_key string, part string, version string, entries long, words long, number long"
@@ -180,28 +183,84 @@ def _docs_schema(entries: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in entries.schema if f.name not in ("body", "original"))
 
 
+def _runs(sorted_keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    return np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]]) if len(sorted_keys) else np.zeros(0, np.int64)
+
+
+FILED = "term string, slab long, n int, top double, least int, ids array<long>, weights array<double>, sizes array<int>, part string"
+
+
+def _filed(rows: pa.Table) -> pa.Table:
+    """One slab's blocks; and how many of its entries hold a prefix, in rows without ids. Words come folded and parted by spaces."""
+    rows = rows.sort_by("id").combine_chunks()
+    n, ids, sizes = rows.num_rows, rows["id"].to_numpy(), rows["size"].to_numpy()
+    words, owners, gains = [], [], []
+    for column in (c for c in WEIGHTS if c in rows.column_names):
+        for chunk in rows[column].chunks:
+            lists = pc.split_pattern(chunk, " ")
+            flat, owner = pc.list_flatten(lists), pc.list_parent_indices(lists)
+            some = pc.not_equal(flat, "")
+            words.append(flat.filter(some))
+            owners.append(owner.filter(some).to_numpy(zero_copy_only=False).astype(np.int64))
+            gains.append(np.full(len(owners[-1]), WEIGHTS[column]))
+    coded = pa.chunked_array(words, pa.string()).combine_chunks().dictionary_encode() if words else pa.array([], pa.string()).dictionary_encode()
+    held = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * n + np.concatenate([np.zeros(0, np.int64), *owners])
+    order = np.argsort(held, kind="stable")
+    held, at = held[order], _runs(held[order])
+    f = np.add.reduceat(np.concatenate([np.zeros(0), *gains])[order], at) if len(at) else np.zeros(0)
+    term, owner = held[at] // n, held[at] % n
+    block = _runs(term)
+    ends = np.r_[block, len(term)].astype(np.int32)
+    size = sizes[owner].astype(np.int32)
+    terms = coded.dictionary
+    out = [{
+        "term": terms.take(pa.array(term[block])), "n": np.diff(ends).astype(np.int32), "top": np.maximum.reduceat(f, block) if len(block) else f, "least": np.minimum.reduceat(size, block) if len(block) else size,
+        **{name: pa.ListArray.from_arrays(ends, values) for name, values in (("ids", pa.array(ids[owner])), ("weights", pa.array(f)), ("sizes", pa.array(size)))},
+    }]
+    lengths = pc.utf8_length(terms).to_numpy(zero_copy_only=False)
+    for letters in range(1, PREFIX + 1):
+        begins = pc.utf8_slice_codeunits(terms, 0, letters).dictionary_encode()
+        long = lengths[term] >= letters
+        both = np.unique(begins.indices.to_numpy(zero_copy_only=False).astype(np.int64)[term[long]] * n + owner[long])
+        prefix = both // n
+        first = _runs(prefix)
+        out.append({"term": begins.dictionary.take(pa.array(prefix[first])), "n": np.diff(np.r_[first, len(prefix)]).astype(np.int32)})
+    schema = pa.schema([("term", pa.string()), ("slab", pa.int64()), ("n", pa.int32()), ("top", pa.float64()), ("least", pa.int32()), ("ids", pa.list_(pa.int64())), ("weights", pa.list_(pa.float64())), ("sizes", pa.list_(pa.int32())), ("part", pa.string())])
+    slab, part = rows["slab"][0], rows["part"][0]
+    return pa.concat_tables([pa.table([pa.repeat(slab, len(o["n"])) if c.name == "slab" else pa.repeat(part, len(o["n"])) if c.name == "part" else o.get(c.name, pa.nulls(len(o["n"]), c.type)) for c in schema], schema=schema) for o in out])
+
+
 def _write(spark: SparkSession, entries: DataFrame, root: str) -> list[dict]:
-    """Write the tables of all sources of entries under a new version; returns what the manifest says of them."""
+    """Write the tables of all sources of entries under a new version; returns what the manifest says of them.
+
+    Texts are read twice, for their sizes and for their words, and shuffled once, by slab: all that an entry or a block
+    sums up lies in one slab.
+    """
     version = uuid.uuid4().hex[:16]
-    held = entries.where("id is not null").withColumn("part", part_of(F.col("source_key")))
-    texts = [c for c in WEIGHTS if c in held.columns]
-    cut = matching(held.select("id", *texts), None)
-    sized = written(held.select("id", "part").join(cut, "id").withColumn("class", F.floor(4 * F.log2(F.col("size") + F.lit(1.0)))), "cut")
+    texts = [c for c in WEIGHTS if c in entries.columns]
+    folded = lambda c: F.coalesce(norm_term(F.col(c)), F.lit(""))
+    size = F.lit(0)
+    for c in texts:
+        size = size + F.regexp_count(folded(c), F.lit(TOKEN))
+    held = entries.where("id is not null").withColumns({"size": size, "part": part_of(F.col("source_key"))})
+    shown = held.withColumn("excerpt", F.substring("body", 1, 160)).withColumn("version", F.lit(version))
+    _save(shown.select(*[c for c in entries.columns if c not in ("body", "original")], "size", "excerpt", "part", "version"), f"{root}/docs", ["part", "version"], "id")
+    docs = spark.read.schema(_docs_schema(entries) + ", size int, excerpt string, part string, version string").parquet(f"{root}/docs").where(F.col("version") == version)
+    of_size = F.floor(4 * F.log2(F.col("size") + F.lit(1.0)))
     # neighbouring classes of size share a slab as long as they are small, large ones are dealt to several; few classes a source
     before = Window.partitionBy("part").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
-    classes = sized.groupBy("part", "class").agg(F.count("*").alias("_n")).withColumn("_group", F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / SLAB))
-    slabs = sized.join(F.broadcast(classes) if classes.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else classes, ["part", "class"]).withColumn("slab", F.col("_group") * 1_000_000 + F.pmod(F.xxhash64("id"), F.ceil(F.col("_n") / SLAB)))
-    words = slabs.select("part", "slab", "id", "size", F.inline("hits")).groupBy("part", "slab", "id", "size", "term").agg(F.sum("w").alias("f"))
-    one = F.sort_array(F.collect_list(F.struct("id", "f", "size")))  # of one slab
-    grouped = words.groupBy("part", "term", "slab").agg(F.count("*").cast("int").alias("n"), F.max("f").alias("top"), F.min("size").alias("least"), one.alias("x"))
-    rows = grouped.select("term", "slab", "n", "top", "least", F.col("x.id").alias("ids"), F.col("x.f").alias("weights"), F.col("x.size").alias("sizes"), "part", F.lit(version).alias("version"), initial_of(F.col("term")).alias("initial"))
+    classes = docs.groupBy("part", of_size.alias("class")).agg(F.count("*").alias("_n"), F.sum("size").alias("_words")).withColumn("_group", F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / SLAB))
+    dealt = classes.select("part", "class", "_group", F.greatest(F.ceil(F.col("_n") / SLAB), F.ceil(F.col("_words") / SLAB_WORDS), F.lit(1)).alias("_parts"))
+    dealt = F.broadcast(dealt) if dealt.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else dealt
+    words = held.select("part", "id", "size", of_size.alias("class"), *[F.regexp_replace(folded(c), r"[^\p{L}\p{N}]+", " ").alias(c) for c in texts])
+    slabs = words.join(dealt, ["part", "class"]).withColumn("slab", F.col("_group") * 1_000_000 + F.pmod(F.xxhash64("id"), F.col("_parts"))).drop("class", "_group", "_parts")
+    filed = written(slabs.groupBy("part", "slab").applyInArrow(_filed, FILED), "filed")
+    rows = filed.where("ids is not null").withColumns({"version": F.lit(version), "initial": initial_of(F.col("term"))})
     _save(rows, f"{root}/postings", ["part", "version", "initial"], "term")
-    beginnings = F.array_distinct(F.flatten(F.transform(F.array_distinct(F.transform("hits", lambda h: F.substring(h["term"], 1, PREFIX))), lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda n: F.substring(t, F.lit(1), n)))))
-    counted = sized.select("part", F.explode(beginnings).alias("prefix")).groupBy("part", "prefix").agg(F.count("*").alias("df"))
+    counted = filed.where("ids is null").groupBy("part", F.col("term").alias("prefix")).agg(F.sum("n").alias("df"))
     _save(counted.select("prefix", "df", "part", F.lit(version).alias("version"), initial_of(F.col("prefix")).alias("initial")), f"{root}/prefixes", ["part", "version", "initial"], "prefix")
-    shown = held.drop("body", "original").join(sized.select("id", F.col("size").cast("int").alias("size")), "id").join(held.select("id", F.substring("body", 1, 160).alias("excerpt")), "id")
-    _save(shown.select(*[c for c in entries.columns if c not in ("body", "original")], "size", "excerpt", "part", F.lit(version).alias("version")), f"{root}/docs", ["part", "version"], "id")
-    totals = held.select("id", "source_key").join(sized.select("id", "part", "size"), "id").groupBy("source_key", "part").agg(F.count("*").alias("entries"), F.sum("size").alias("words"))
+    totals = docs.groupBy("source_key", "part").agg(F.count("*").alias("entries"), F.sum("size").alias("words"))
     return [{**r.asDict(), "version": version} for r in totals.collect()]  # one row a source
 
 

@@ -72,3 +72,16 @@ def test_odd_entries(spark):
     assert index.docs.count() == 5
     empty = text_index.build(e.where("false"), new_root(spark))
     assert empty.search(asked).count() == 0
+
+
+def test_a_slab_is_filed_at_once():
+    """Blocks and counts of beginnings of a slab come from its rows alone, so that a text's words are dealt once."""
+    import pyarrow as pa
+
+    data = [(7, "ab abc", "ab  x ab"), (3, "", " abcdefgh"), (5, "é", "")]
+    slab = pa.table({"part": ["p"] * 3, "slab": [4] * 3, "id": [d[0] for d in data], "size": [5, 1, 1], "name": [d[1] for d in data], "body": [d[2] for d in data]})
+    out = text_index._filed(slab).to_pylist()
+    blocks = {r["term"]: (r["n"], r["top"], r["least"], r["ids"], r["weights"], r["sizes"]) for r in out if r["ids"] is not None}
+    assert blocks == {"ab": (1, 12.0, 5, [7], [12.0], [5]), "abc": (1, 10.0, 5, [7], [10.0], [5]), "x": (1, 1.0, 5, [7], [1.0], [5]), "abcdefgh": (1, 1.0, 1, [3], [1.0], [1]), "é": (1, 10.0, 1, [5], [10.0], [1])}
+    begins = {r["term"]: r["n"] for r in out if r["ids"] is None}
+    assert begins == {"a": 2, "ab": 2, "abc": 2, "abcd": 1, "abcde": 1, "abcdef": 1, "x": 1, "é": 1} and all(r["slab"] == 4 and r["part"] == "p" for r in out)

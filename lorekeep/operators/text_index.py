@@ -9,7 +9,7 @@ Tables below a root, each partitioned by source, version and (but for docs) the
 * ``docs``: what hits show.
 * ``manifest``: sources with the version that counts, their entries and words; the newest set of rows is in force.
 
-A search reads bounds first (two small columns of the blocks whose terms begin with a query's words), then the blocks
+A search of many queries passes all blocks, in tiles of slabs. One of few reads bounds first (two small columns of the blocks whose terms begin with a query's words), then the blocks
 of the best slabs, and then only slabs whose bound reaches the k-th best score so far. A source is replaced by writing
 its new version and a new manifest; postings of other sources stay as they are, and readers of the old manifest too.
 """
@@ -31,6 +31,8 @@ from .fulltext import BROADCAST_TERMS, K1, LEAST_IDF, TESTED, WEIGHTS, B
 
 #: Entries of a slab, about; words that those of one class in a slab have, about; letters of a prefix that is counted beforehand; slabs of each query that are read first.
 SLAB, SLAB_WORDS, PREFIX, FIRST = 512, 4_000_000, 6, 4
+#: Entries that many queries meet in one task, about; fewer, while there are less than SPREAD tiles. Parts of a tile's entries that hold a word from which on it is kept for each entry.
+TILE, SPREAD, SMALL_TILE, DENSE = 16_384, 32, 1_024, 8
 POSTINGS = "term string, slab long, n int, top double, least int, ids array<long>, weights array<double>, sizes array<int>, part string, version string, initial string"
 PREFIXES = "prefix string, df long, part string, version string, initial string"
 MANIFEST = "source_key string, part string, version string, entries long, words long, number long"
@@ -89,8 +91,8 @@ class TextIndex:
         """The entries' columns without their texts, ``size`` and ``excerpt``."""
         return self._table("docs", self.docs_schema + ", size int, excerpt string, part string, version string").drop("part", "version")
 
-    def _blocks(self, prefixes: list[str] | None, lengths: list[int]) -> DataFrame:
-        """Blocks with each of their terms' beginnings (``prefix``) of the given lengths; prefixes prune files and row groups."""
+    def _blocks(self, prefixes: list[str] | None, lengths: list[int], longer: DataFrame | None = None) -> DataFrame:
+        """Blocks with each of their terms' beginnings (``prefix``) of the given lengths; prefixes prune files and row groups. longer: only those that may hold one of these that is longer than PREFIX."""
         rows = self._table("postings", POSTINGS)
         if prefixes is not None:
             initials = {_initial(p) for p in prefixes}
@@ -98,6 +100,9 @@ class TextIndex:
             for p in prefixes:
                 begins = begins | F.col("term").startswith(p)
             rows = rows.where(F.col("initial").isin(*sorted(initials))).where(begins)
+        if longer is not None:
+            begin = lambda c: F.substring(c, 1, PREFIX + 1)
+            rows = rows.join(longer.where(F.length("prefix") > PREFIX).select(begin("prefix").alias("_begin")), begin("term") == F.col("_begin"), "left_semi")
         starts = F.array_compact(F.array(*[F.when(F.length("term") >= n, F.substring("term", 1, n)) for n in lengths])) if lengths else F.array().cast("array<string>")
         return rows.withColumn("prefix", F.explode(starts))
 
@@ -118,6 +123,7 @@ class TextIndex:
         near = F.broadcast if few is not None or terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else (lambda df: df)
         blocks = self._blocks(few, lengths)
         at = ["part", "slab"]
+        many = few is None and where is None
         opened = lambda rows: rows.select("prefix", *at, F.inline(F.arrays_zip("ids", "weights", "sizes"))).groupBy("prefix", *at, F.col("ids").alias("id"), F.col("sizes").alias("size")).agg(F.sum("weights").alias("f"))
         if where is not None:
             kept = self.docs.where(where)
@@ -128,7 +134,9 @@ class TextIndex:
             scored = self._scored(hits.join(near(met), "prefix"), wanted, mean or 1.0)
             return self._best(scored, k)
         mean = self.words / self.entries if self.entries else 1.0
-        met = _local(terms.join(near(self._frequencies(distinct, blocks, few, opened)), "prefix").select("query_id", "i", "prefix", _idf(F.col("df"), F.lit(self.entries)).alias("idf")), "weighted")
+        if many:
+            return self._search_many(terms, near(self._frequencies(distinct, self._blocks(None, [n for n in lengths if n > PREFIX], near(distinct)), None, opened, near)), k, mean)
+        met = _local(terms.join(near(self._frequencies(distinct, blocks, few, opened, near)), "prefix").select("query_id", "i", "prefix", _idf(F.col("df"), F.lit(self.entries)).alias("idf")), "weighted")
         bounds = blocks.join(near(distinct), "prefix").groupBy("prefix", *at).agg(F.sum("top").alias("f"), F.min("least").alias("size"))
         every = bounds.join(near(met), "prefix").groupBy("query_id", *at).agg(F.sum(_gain(F.col("idf"), F.col("f"), F.col("size"), mean)).alias("bound"), F.count("*").alias("n"))
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), *at))
@@ -141,7 +149,23 @@ class TextIndex:
         both = first if rest.isEmpty() else first.unionByName(read(rest))
         return self._best(both, k)
 
-    def _frequencies(self, distinct: DataFrame, blocks: DataFrame, few: list[str] | None, opened) -> DataFrame:
+    def _search_many(self, terms: DataFrame, frequencies: DataFrame, k: int, mean: float) -> DataFrame:
+        """As search: all queries meet all blocks in tiles of entries, each of which keeps the k best of a query. Queries of the same words are asked once."""
+        weighed = terms.join(frequencies, "prefix", "left").select("query_id", F.struct("prefix", _idf(F.col("df"), F.lit(self.entries)).alias("idf")).alias("t"), "df")
+        asked = weighed.groupBy("query_id").agg(F.sort_array(F.collect_list("t")).alias("t"), F.count("*").alias("n"), F.count("df").alias("known")).where("n = known")
+        asked = written(asked.select("query_id", F.array_join("t.prefix", " ").alias("words"), F.col("t.idf").alias("idfs")), "asked")
+        sets = written(asked.groupBy("words").agg(F.min("idfs").alias("idfs")).withColumn("number", F.monotonically_increasing_id()), "sets")
+        tiles = max(-(-self.entries // TILE), min(SPREAD, -(-self.entries // SMALL_TILE)), 1)
+        blocks = self._table("postings", POSTINGS).select(F.pmod(F.xxhash64("part", "slab"), F.lit(tiles)).alias("tile"), "term", "ids", "weights", "sizes")
+        dealt = sets.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long")))).select("tile", "number", "words", "idfs")
+        # a partition for each tile: rows of a tile are many, whatever their bytes
+        both = blocks.repartition(tiles, "tile").groupBy("tile").cogroup(dealt.repartition(tiles, "tile").groupBy("tile"))
+        found = both.applyInArrow(lambda b, s: _best_of_tile(b, s, k, mean), "number long, id long, score double")
+        best = Window.partitionBy("number").orderBy(F.round("score", 9), "id")
+        ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        return asked.join(sets.select("words", "number"), "words").join(ranked, "number").select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+    def _frequencies(self, distinct: DataFrame, blocks: DataFrame, few: list[str] | None, opened, near) -> DataFrame:
         """``prefix, df``: from the table of prefixes, longer ones from their postings."""
         held = self._table("prefixes", PREFIXES)
         if few is not None:
@@ -149,7 +173,7 @@ class TextIndex:
         short = held.join(distinct, "prefix").groupBy("prefix").agg(F.sum("df").alias("df"))
         if few is not None and all(len(p) <= PREFIX for p in few):
             return short
-        long = opened(blocks.where(F.length("prefix") > PREFIX).join(distinct, "prefix")).groupBy("prefix").agg(F.count("*").alias("df"))
+        long = opened(blocks.where(F.length("prefix") > PREFIX).join(near(distinct), "prefix")).groupBy("prefix").agg(F.count("*").alias("df"))
         return short.unionByName(long)
 
     @staticmethod
@@ -231,6 +255,62 @@ def _filed(rows: pa.Table) -> pa.Table:
     return pa.concat_tables([pa.table([pa.repeat(slab, len(o["n"])) if c.name == "slab" else pa.repeat(part, len(o["n"])) if c.name == "part" else o.get(c.name, pa.nulls(len(o["n"]), c.type)) for c in schema], schema=schema) for o in out])
 
 
+def _best_of_tile(blocks: pa.Table, sets: pa.Table, k: int, mean: float) -> pa.Table:
+    """``number, id, score``: a tile's k best entries of each set of words, ties in order of ids."""
+    numbers, hits, scores = [], [], []
+    if blocks.num_rows and sets.num_rows:
+        blocks = blocks.select(["term", "ids", "weights", "sizes"]).sort_by("term").combine_chunks()
+        terms, lists = blocks["term"].to_numpy(), [blocks[c].combine_chunks() for c in ("ids", "weights", "sizes")]
+        ends = np.r_[0, np.cumsum(pc.list_value_length(lists[0]).to_numpy(zero_copy_only=False))]
+        every, weight, size_at = (pc.list_flatten(x).to_numpy(zero_copy_only=False) for x in lists)
+        ids, first, owner = np.unique(every, return_index=True, return_inverse=True)
+        norm = K1 * (1 - B + B * size_at[first] / mean)
+        n, known = len(ids), {}
+
+        def gains(prefix: str, idf: float):
+            """Entries that hold a word that begins so, what it adds to each, and that of all entries where it is in many."""
+            low, high = np.searchsorted(terms, prefix), np.searchsorted(terms, prefix + chr(0x10FFFF))
+            at = slice(ends[low], ends[high])
+            f = np.bincount(owner[at], weight[at], n)
+            rows = np.flatnonzero(f)
+            gain = idf * f[rows] * (K1 + 1) / (f[rows] + norm[rows])
+            if len(rows) * DENSE < n:
+                return rows, gain, None
+            f[rows] = gain
+            return rows, gain, f
+
+        for number, words, idfs in zip(*(sets[c].to_pylist() for c in ("number", "words", "idfs"))):
+            held = []
+            for w, idf in zip(words.split(" "), idfs):
+                if w not in known:
+                    known[w] = gains(w, idf)
+                held.append(known[w])
+            held.sort(key=lambda x: len(x[0]))
+            rows, score = held[0][0], held[0][1]
+            for others, gain, of_all in held[1:]:
+                if not len(rows):
+                    break
+                if of_all is None:
+                    place = np.searchsorted(others, rows)
+                    place[place == len(others)] = 0
+                    both = others[place] == rows
+                    rows, score = rows[both], score[both] + gain[place[both]]
+                else:
+                    more = of_all[rows]
+                    both = more > 0
+                    rows, score = rows[both], score[both] + more[both]
+            if len(rows) > k:
+                near = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k] - 1e-8)
+                if len(near) > 4 * k:  # many are equal to nine places
+                    near = near[np.lexsort((rows[near], -np.round(score[near], 9)))[: 2 * k]]
+                rows, score = rows[near], score[near]
+            numbers.append(np.full(len(rows), number, np.int64))
+            hits.append(ids[rows])
+            scores.append(-score)
+    join = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
+    return pa.table({"number": join(numbers, np.int64), "id": join(hits, np.int64), "score": join(scores, np.float64)})
+
+
 def _write(spark: SparkSession, entries: DataFrame, root: str) -> list[dict]:
     """Write the tables of all sources of entries under a new version; returns what the manifest says of them.
 

@@ -85,3 +85,25 @@ def test_a_slab_is_filed_at_once():
     assert blocks == {"ab": (1, 12.0, 5, [7], [12.0], [5]), "abc": (1, 10.0, 5, [7], [10.0], [5]), "x": (1, 1.0, 5, [7], [1.0], [5]), "abcdefgh": (1, 1.0, 1, [3], [1.0], [1]), "é": (1, 10.0, 1, [5], [10.0], [1])}
     begins = {r["term"]: r["n"] for r in out if r["ids"] is None}
     assert begins == {"a": 2, "ab": 2, "abc": 2, "abcd": 1, "abcde": 1, "abcdef": 1, "x": 1, "é": 1} and all(r["slab"] == 4 and r["part"] == "p" for r in out)
+
+
+def test_many_queries_meet_blocks_in_tiles(spark, made, monkeypatch):
+    """A tile keeps k entries of a query: rows of all its hits are not dealt again."""
+    e, index = made
+    monkeypatch.setattr(text_index, "TESTED", 2)
+    monkeypatch.setattr(text_index, "SMALL_TILE", 64)
+    monkeypatch.setattr(text_index, "DENSE", 3)
+    asked = spark.createDataFrame([(1, "the of"), (2, "th th"), (3, "of the"), (4, "queue zzzz"), (5, "")], "query_id int, query string")
+    made_of = index.search(asked, 3)
+    assert rows(made_of) == rows(fulltext.search(e, asked, 3))
+    assert "FlatMapCoGroupsInArrow" in made_of._jdf.queryExecution().toString()
+
+
+def test_equal_scores_of_a_tile_go_by_id():
+    import pyarrow as pa
+
+    blocks = pa.table({"term": ["ab", "a", "b"], "ids": [[9, 3, 5, 7, 8, 1, 2], [4], [9]], "weights": [[1.0] * 7, [1.0], [2.0]], "sizes": pa.array([[4] * 7, [4], [4]], pa.list_(pa.int32()))})
+    sets = pa.table({"number": [5, 6, 7], "words": ["a", "a b", "z"], "idfs": [[1.0], [1.0, 1.0], [1.0]]})
+    out = text_index._best_of_tile(blocks, sets, 1, 4.0).to_pylist()
+    assert min(r["id"] for r in out if r["number"] == 5) == 1 and len([r for r in out if r["number"] == 5]) == 2
+    assert [r["id"] for r in out if r["number"] == 6] == [9] and not [r for r in out if r["number"] == 7]

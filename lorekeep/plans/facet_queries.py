@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import facets
-from ..sources.corpus import table
+from ..sources.corpus import dealt, table
 from .registry import query
 
 _SCHOOL_WORDS = ("Bannzauber", "Beschwörung", "divination", "Verzauberung", "evocation", "Illusion", "Nekromantie", "transmutation")
@@ -28,7 +28,7 @@ def _list(words) -> str:
 
 def _spells(spark, sf_dir) -> DataFrame:
     """Spells of parts: the grade in four notations (a fifth states none), school, classes in a field, in brackets or none, a range, a duration and damage."""
-    p = table(spark, sf_dir, "part")
+    p = dealt(spark, sf_dir, "part", "p_partkey")
     k = F.col("p_partkey")
     grade, form, school, one, two = k % 12, k % 5, k % 8, k % 12, (k + 5) % 12
     stated = F.when(form == 0, F.concat(grade, F.lit(". Grades"))).when(form == 1, F.concat(F.lit("**Level:** "), grade)).when(form == 2, F.concat(grade, F.lit("th-level"))).when(form == 3, "_Zaubertrick_").otherwise("ohne")
@@ -63,7 +63,7 @@ def spell_heads(spark, sf_dir):
 
 def _creatures(spark, sf_dir) -> DataFrame:
     """Sheets of parts: the challenge in five notations, armour class and points, six abilities of which one may lack."""
-    p = table(spark, sf_dir, "part")
+    p = dealt(spark, sf_dir, "part", "p_partkey")
     k, s = F.col("p_partkey"), F.col("p_size")
     rating = F.element_at(F.array(F.lit("0.125"), F.lit("1/2"), F.lit("4.0"), F.lit("17")), (k % 4 + 1).cast("int"))
     form = k % 5

@@ -12,6 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tasks for each core that rows are dealt to.
+TASKS = 4
+
+
+def dealt(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table of narrow rows that much work is done on: dealt to all cores, as a small file is read by few tasks."""
+    return table(spark, sf_dir, name).repartition(TASKS * spark.sparkContext.defaultParallelism, key)
+
+
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id, source_key, lang, edition, category, name, body``; the name is the text's first three words."""
     d = table(spark, sf_dir, "documents")

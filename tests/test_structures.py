@@ -208,3 +208,10 @@ def test_every_character_composes(spark):
     want = [t if t is None else re.sub("<!-- (?:Start|End) of picture text -->", "", re.sub(r"(?i)<br\s*/?>", " ", unicodedata.normalize("NFC", t).replace("\u00ad", "").replace("\u00a0", " "))) for t in texts]
     got = etl.composed_texts(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", "text").orderBy("id").collect()
     assert [r.text for r in got] == want
+
+
+def test_facets_of_parts_are_read_by_all_cores(spark, sf):
+    """A small file is read by one task; the work on its rows is dealt."""
+    from lorekeep.plans.facet_queries import _creatures, _spells
+
+    assert _spells(spark, sf).rdd.getNumPartitions() > 4 and _creatures(spark, sf).rdd.getNumPartitions() > 4

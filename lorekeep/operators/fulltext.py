@@ -110,14 +110,18 @@ def fuzzy_names(entries: DataFrame, asked: DataFrame, k: int = 10, least: float
     def runs_of(c: Column, n: int) -> Column:
         return F.explode(F.array_distinct(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: c.substr(i, F.lit(n))), lambda g: F.length(g) == n)))
 
-    n = entries.where("name is not null and name <> ''").select("id", "name")
+    # names are compared once however many entries have them; of one name no more than k can be among the k best
+    named = entries.where("name is not null and name <> ''").select("id", "name").distinct()
+    held = named.withColumn("_n", F.row_number().over(Window.partitionBy("name").orderBy("id"))).where(F.col("_n") <= k).select("id", "name")
+    n = named.select("name").distinct()
     q = asked.where("query is not null and query <> ''").select("query_id", "query")
     keyed = lambda df, c, size: df.withColumn("g", runs_of(F.col(c), size))
     long = keyed(n, "name", 3).join(keyed(q, "query", 3), "g")
     short = keyed(n, "name", 1).join(keyed(q.where(F.length("query") < 6), "query", 1), "g")
     short = short.unionByName(keyed(n.where(F.length("name") < 6), "name", 1).join(keyed(q, "query", 1), "g"))
-    met = long.unionByName(short).select("query_id", "query", "id", "name").distinct()
-    scored = met.withColumn("score", weighted_ratio(F.col("query"), F.col("name"))).where(F.col("score") >= least)
+    # the score takes up the count, so that it isn't computed below for each run that two strings share
+    met = long.unionByName(short).groupBy("query_id", "query", "name").agg(F.count("*").alias("_met"))
+    scored = met.withColumn("score", F.when(F.col("_met") > 0, weighted_ratio(F.col("query"), F.col("name")))).where(F.col("score") >= least).join(held, "name")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "name", "id")
     return scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).select("query_id", "id", F.round("score", 4).alias("score"), "place")
 

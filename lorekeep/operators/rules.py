@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_term
-from .components import _checkpointed
+from .components import written
 
 MAX_RULES = 1000
 
@@ -84,10 +84,10 @@ def forced_pairs(groups: DataFrame, known: DataFrame) -> DataFrame:
     while True:  # each round but the last adds a pair
         left = groups.where("side = 'l'").join(found, F.col("term") == F.col("left"), "left_anti")
         right = groups.where("side = 'r'").join(found, F.col("term") == F.col("right"), "left_anti")
-        last = lambda df, name: df.groupBy("group").agg(F.min("term").alias(name), F.countDistinct("term").alias("n")).where("n = 1").drop("n")
+        last = lambda df, name: df.groupBy("group").agg(F.min("term").alias(name), F.max("term").alias("_most")).where(F.col(name) == F.col("_most")).drop("_most")
         forced = last(left, "left").join(last(right, "right"), "group").select("left", "right").distinct()
         once = forced.withColumn("a", F.count("*").over(Window.partitionBy("left"))).withColumn("b", F.count("*").over(Window.partitionBy("right"))).where("a = 1 and b = 1").select("left", "right")
-        found = _checkpointed(found.unionByName(once).distinct(), "forced")
+        found = written(found.unionByName(once).distinct(), "forced")
         now = found.count()
         if now == before:
             return found

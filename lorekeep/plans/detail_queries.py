@@ -150,6 +150,6 @@ def log_newest_with_rest(spark, sf_dir):
 def name_scores(spark, sf_dir):
     from ..functions.text import norm_term
 
-    g = corpus.glossary(spark, sf_dir)
+    g = corpus.glossary(spark, sf_dir).repartition(corpus.TASKS * spark.sparkContext.defaultParallelism, "row_id")  # a small file, much work a row
     aims = F.array(F.when(F.col("row_id") % 2 == 0, norm_term(F.col("term"))).otherwise(F.concat(norm_term(F.col("term")), F.lit("ß"))), F.lit(""))
     return g.select(F.col("row_id").alias("id"), F.round(details.name_score(F.concat("term", F.when(F.col("row_id") % 2 == 0, " (x)").otherwise("")), aims), 4).alias("score"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import norm_term
 from ..operators import align, etl, predicates, quality, resolve, rules
 from ..sources import corpus, sinks
-from ..sources.corpus import ENTRIES_SQL, GLOSSARY_SQL, SOURCES_SQL, table
+from ..sources.corpus import ENTRIES_SQL, GLOSSARY_SQL, SOURCES_SQL, dealt, table
 from ..streaming import gates
 from .registry import NORM, query
 from .search_queries import values
@@ -181,7 +181,7 @@ _SPLIT = (("Beasts", 3, "creature"), ("Magic", 2, "spell"))
 @query("""SELECT p_partkey AS id, place, name || p_size AS name, breadcrumb, category, body || p_brand || tail AS body FROM part, (VALUES (0, 'Wolf', 'Beasts', 'creature', '', ''), (1, 'Bite', 'Beasts > Wolf', 'creature', 'teeth ', ''), (2, 'Light', 'Magic', 'spell', 'glow ', '\n### Deep\nx')) t(place, name, breadcrumb, category, body, tail) WHERE place > 0
 UNION ALL SELECT p_partkey, 0, 'Wolf' || p_size, 'Beasts', 'creature', 'grey' FROM part""".replace("'Beasts > Wolf'", "'Beasts > Wolf'").replace("\\n", "\n").replace("name || p_size AS name, breadcrumb", "name || p_size AS name, CASE WHEN place = 1 THEN breadcrumb || p_size ELSE breadcrumb END AS breadcrumb"))
 def ruled_chunks(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
+    p = dealt(spark, sf_dir, "part", "p_partkey")
     text = F.concat(F.lit("# Beasts\n## Wolf"), "p_size", F.lit("\ngrey\n### Bite"), "p_size", F.lit("\nteeth "), "p_brand", F.lit("\n# Magic\n## Light"), "p_size", F.lit("\nglow "), "p_brand", F.lit("\n### Deep\nx"))
     return etl.chunks(p.select("p_partkey", text.alias("text")), "p_partkey", "text", 1, 1, _SPLIT).select("id", "place", "name", "breadcrumb", "category", "body")
 

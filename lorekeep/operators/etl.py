@@ -41,6 +41,8 @@ def _may_compose() -> str:
     return f"[\\x{{{odd[0]:x}}}-\\x{{10ffff}}&&[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends)) + "]]"
 
 
+#: Texts that a task's Python makes rows of at once; Spark's batches are larger.
+SLICE = 256
 #: What a converter puts around text that it read in pictures (a fixed value).
 PICTURE_MARKS = "<!-- (?:Start|End) of picture text -->"
 
@@ -161,7 +163,9 @@ def html_to_markdown(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            yield pdf.assign(markdown=pdf.pop("_html").map(markdown_of))
+            for at in range(0, len(pdf), SLICE):
+                some = pdf.iloc[at : at + SLICE]
+                yield some.drop(columns="_html").assign(markdown=some["_html"].map(markdown_of))
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "markdown string"])
     return pages.select(*[f.name for f in kept], F.col(html_col).alias("_html")).mapInPandas(run, schema)
@@ -220,9 +224,11 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, split_level: int = 2, le
 
     def run(batches):
         for pdf in batches:
-            rows = [{"id": i, "place": n} | c for i, t in zip(pdf["id"], pdf["text"]) for n, c in enumerate(chunk_headings(t, split_level, least, rules))]
-            frame = pd.DataFrame(rows, columns=["id", "place", "name", "breadcrumb", "page", "category", "body"])
-            yield frame.astype({"page": "Int64"})
+            for at in range(0, len(pdf), SLICE):
+                some = pdf.iloc[at : at + SLICE]
+                rows = [{"id": i, "place": n} | c for i, t in zip(some["id"], some["text"]) for n, c in enumerate(chunk_headings(t, split_level, least, rules))]
+                frame = pd.DataFrame(rows, columns=["id", "place", "name", "breadcrumb", "page", "category", "body"])
+                yield frame.astype({"page": "Int64"})
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, place int, name string, breadcrumb string, page long, category string, body string")
 

@@ -11,7 +11,6 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from ..functions.markup import tokens
 from ..functions.text import norm_term
@@ -26,9 +25,12 @@ def cleaned(column):
     return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(breaks, "­", ""), " ", " "), "[ \\t]+", " "))
 
 
-@F.pandas_udf(StringType())
-def _composed(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: t if t is None or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t))
+def _composed(batches):
+    """Rows (``id, text``) with their texts composed, a slice at a time."""
+    for pdf in batches:
+        for at in range(0, len(pdf), SLICE):
+            some = pdf.iloc[at : at + SLICE]
+            yield some.assign(text=some["text"].map(lambda t: t if t is None or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t)))
 
 
 @lru_cache
@@ -54,7 +56,8 @@ def composed_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     odd = F.regexp_like(text_col, F.lit(_may_compose()))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(odd, F.lit(False)).alias("_odd"))
-    text = rows.where("_odd").select("id", _composed("text").alias("text")).unionByName(rows.where("not _odd").select("id", "text"))
+    composed = rows.where("_odd").select("id", "text")
+    text = composed.mapInPandas(_composed, composed.schema).unionByName(rows.where("not _odd").select("id", "text"))
     plain = F.translate("text", "\u00a0\u00ad", " ")
     return text.select("id", F.regexp_replace(F.regexp_replace(plain, r"(?i)<br\s*/?>", " "), PICTURE_MARKS, "").alias("text"))
 

@@ -16,8 +16,12 @@ CHECKED, EMPTY = ("yes", "true", "on", "x", "1", "•"), ("no", "false", "off",
 FORMS = ("text", "whole", "number", "flag", "list")
 
 #: A feature's line: a star, its name, a dot, its source and maybe a page of at most nine digits.
-FEATURE = r"[ \t]*\*[ \t]*([^\n•]*[^\n•\s])[ \t]*•[ \t]*([^\s•]+)(?:[ \t]+([0-9]{1,9}))?[ \t]*"
-SECTION = r"===[ \t]*([^=\n]*[^=\s])[ \t]*==="
+FEATURE = r"[ \t]*\*[ \t]*+([^\n•]*[^\n•\s])[ \t]*•[ \t]*([^\s•]+)(?:[ \t]+([0-9]{1,9}))?[ \t]*"
+#: A line with all below it up to the next feature's line. Nothing is tried twice: what ``.*`` leaves is a line's end.
+PIECE = rf"(?m).*(?:(?s:.)(?!^{FEATURE}$).*)*+(?s:.)?+"
+SECTION = r"===[ \t]*+([^=\n]*[^=\s])[ \t]*==="
+#: The characters of \s in a pattern.
+BLANKS = " \t\n\x0b\f\r"
 
 
 def joined(fragments: Column) -> Column:
@@ -72,23 +76,19 @@ def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     A feature begins at its line (FEATURE); lines with a bar below it are its actions, all others its body, whose blank
     lines stay (at most one in a row). Text before the first feature of a section, or before the first section (title
     ""), is a row without a name, so that no line is lost but blank ones. place counts the rows of a text. Null and blank
-    texts have none; a text is handled in its row.
+    texts have none. A text is handled in its row, in time proportional to its length.
     """
     t = F.col(text_col)
-    titles = F.regexp_extract_all(t, F.lit(SECTION), F.lit(1))
-    parts = docs.select(F.col(id_col).alias("id"), titles.alias("_titles"), F.split(t, SECTION).alias("_bodies"))
-    cut = parts.select("id", F.flatten(F.transform("_bodies", lambda b, i: F.transform(F.split(b, rf"(?m)(?=^{FEATURE}$)"), lambda p: F.struct(F.coalesce(F.get("_titles", i - 1), F.lit("")).alias("section"), p.alias("p"))))).alias("s"))
-    first = rf"^{FEATURE}(?:\n|$)"
-
-    def read(x: Column) -> Column:
-        got = lambda g: F.nullif(F.regexp_extract(x["p"], first, g), F.lit(""))
-        return F.struct(x["section"].alias("section"), got(1).alias("name"), got(2).alias("source"), got(3).try_cast("int").alias("page"), F.split(F.regexp_replace(x["p"], first, ""), "\n").alias("lines"))
-
-    def shown(x: Column) -> Column:
-        bar = lambda line: x["name"].isNotNull() & F.startswith(F.ltrim(line), F.lit("|"))
-        body = F.regexp_replace(F.array_join(F.filter(x["lines"], lambda line: ~bar(line)), "\n"), r"^\s+|\s+$", "")
-        actions = F.transform(F.filter(x["lines"], bar), lambda line: F.regexp_replace(line, r"^[\s|]+|\s+$", ""))
-        return F.struct(x["section"].alias("section"), x["name"].alias("name"), x["source"].alias("source"), x["page"].alias("page"), actions.alias("actions"), F.regexp_replace(body, r"\n(?:[ \t]*\n){2,}", "\n\n").alias("body"))
-
-    rows = cut.withColumn("s", F.transform("s", read)).withColumn("s", F.transform("s", shown)).withColumn("s", F.filter("s", lambda x: x["name"].isNotNull() | (x["body"] != "")))
-    return rows.select("id", F.posexplode("s").alias("place", "x")).select("id", "x.section", "place", "x.name", "x.source", "x.page", "x.actions", "x.body")
+    titles = F.concat(F.array(F.lit("")), F.regexp_extract_all(t, F.lit(SECTION), F.lit(1)))
+    cut = F.flatten(F.zip_with(F.split(t, SECTION), titles, lambda b, title: F.transform(F.regexp_extract_all(b, F.lit(PIECE), F.lit(0)), lambda p: F.struct(title.alias("section"), p.alias("p")))))
+    # exploded as it is cut: of a named column, Spark would ask first whether it is empty, and cut each text twice
+    parts = docs.select(F.col(id_col).alias("id"), F.posexplode(F.filter(cut, lambda x: F.ltrim(x["p"], F.lit(BLANKS)) != "")).alias("place", "x")).select("id", "place", "x.section", "x.p")
+    # one match of a piece gives its head and its lines; the mark tells whether there was one, as no head begins with it
+    lines = F.split(F.regexp_replace("p", rf"^{FEATURE}(?:\n|$)", "•\n$1\n$2\n$3\n"), "\n")
+    read = parts.select("id", "section", "place", "p", lines.alias("l")).withColumn("head", F.when(~F.startswith("p", F.lit("•")) & (F.col("l")[0] == "•"), F.slice("l", 2, 3)))
+    read = read.select("id", "section", "place", F.col("head")[0].alias("name"), F.col("head")[1].alias("source"), F.nullif(F.col("head")[2], F.lit("")).try_cast("int").alias("page"), F.when(F.col("head").isNotNull(), F.slice("l", F.lit(5), F.size("l"))).otherwise(F.col("l")).alias("lines"))
+    bar = lambda line: F.startswith(F.ltrim(line), F.lit("|"))
+    named = F.col("name").isNotNull()
+    actions = F.transform(F.when(named, F.filter("lines", bar)).otherwise(F.array().cast("array<string>")), lambda line: F.rtrim(F.ltrim(line, F.lit(BLANKS + "|")), F.lit(BLANKS)))
+    body = F.trim(F.array_join(F.when(named, F.filter("lines", lambda line: ~bar(line))).otherwise(F.col("lines")), "\n"), F.lit(BLANKS))
+    return read.select("id", "section", "place", "name", "source", "page", actions.alias("actions"), F.regexp_replace(body, r"\n(?:[ \t]*\n){2,}+", "\n\n").alias("body"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import documents, etl, grouping, layout, records, resolve, rules
-from ..sources.corpus import table
+from ..sources.corpus import dealt, table
 from .registry import query
 
 _VARIANTS = """e AS (SELECT p_type AS category, p_partkey AS id, row_number() OVER (ORDER BY p_size, p_partkey) AS r, unnest([p_name || ' ' || p_brand, p_name || ' ' || p_size % 10]) AS v FROM part)"""
@@ -22,7 +22,7 @@ def greedy_groups(spark, sf_dir):
 
 def _sheets(spark, sf_dir):
     """``doc, k`` and the five parts of an entry: every order is a document, its lines are entries in order."""
-    line = table(spark, sf_dir, "lineitem")
+    line = dealt(spark, sf_dir, "lineitem", "l_orderkey")
     one = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     return line.groupBy(F.col("l_orderkey").alias("doc")).agg(F.array_sort(F.collect_list(one)).alias("s"))  # an order holds few lines
 

@@ -187,6 +187,16 @@ def test_features_lose_no_line(spark):
     assert got == sorted(want, key=repr)
 
 
+def test_features_of_long_texts_are_cut_once(spark):
+    n = 20_000
+    rows = [(1, "* A • B\na" + "\n" * n + "b"), (2, "=== S ===\n" + "* C • D 1\nx\n" * n + "=== T ===y"), (3, "\r\n* E • F\r\n\x85* G • H\n•\ni \u2029"), (4, "•\nno head\n1\n2\n3"), (5, "*" + " " * n + "x\n===" + " " * n + "y")]
+    found = documents.features(spark.createDataFrame(rows, "id long, text string"), "id", "text")
+    assert "Filter" not in found._jdf.queryExecution().optimizedPlan().toString()  # one that Spark infers cuts each text again
+    got = sorted((tuple(r) for r in found.collect()), key=repr)
+    want = [(1, "", 0, "A", "B", None, [], "a\n\nb"), (3, "", 0, None, None, None, [], "* E • F\r\n\x85"), (3, "", 1, "G", "H", None, [], "•\ni \u2029"), (4, "", 0, None, None, None, [], "•\nno head\n1\n2\n3"), (5, "", 0, None, None, None, [], rows[4][1])]
+    assert got == sorted(want + [(2, "S", i, "C", "D", 1, [], "x") for i in range(n)] + [(2, "T", n, None, None, None, [], "y")], key=repr)
+
+
 def test_versions_of_a_group(spark):
     rows = [(1, "rev", "x", "de", "a revision"), (2, "s1", "x", "de", "*Context: A*\nSame  text here"), (3, "s2", "x", "de", "same text HERE"), (4, "s1", "x", "de", "own further section"), (5, "s3", "x", "en", "other language"), (6, "s4", "x", None, "no language"), (7, "s5", "x", "de", "beyond the cap"), (8, "s6", "y", "de", "other edition")]
     rows += [(20, "s1", "x", "de", "quite a text"), (21, "s2", "x", "de", None), (22, "s3", "x", "de", ""), (23, "s4", "x", "de", "0123456789")] + [(30, "s1", None, "de", "alone")]

@@ -22,6 +22,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,12 +30,14 @@ from pyspark.sql import functions as F
 from .bpe import byte_letters
 from .char_classes import SPACE, as_class, library_classes
 from .storage import materialise
-from .wordwise import paused_gc, slices, words_of
+from .wordwise import paused_gc, slices_of, words_of
 
 #: Characters of a block of texts, and parts and their characters that a worker remembers; then it starts anew.
 BLOCK, REMEMBERED, REMEMBERED_CHARS = 2_000_000, 100_000, 4_000_000
 #: Parts that are labelled together.
 TOGETHER = 4096
+#: Bytes of blocks that are written, and later read, at once, about; a block has two million.
+STORED_BYTES = 4 << 20
 NONE, A_END, B_END, BOTH = range(4)
 SPAN = re.compile(rb"[\x01\x02]*\x03")
 #: What stands for a space in pieces of B, and its pieces for single bytes (fixed by the file format).
@@ -199,17 +202,26 @@ class Aligner:
         held = np.zeros(len(pairs), dtype=np.int64)
         np.add.at(held, link, np.repeat(times, sizes))
         return {
-            "counts": counts.astype("<i8").tobytes(), "digests": digests, "places": zlib.compress(place.astype("<i4").tobytes(), 1), "sizes": np.fromiter(map(len, of), dtype="<i8", count=len(of)).tobytes(),
-            "part_sizes": sizes.astype("<i4").tobytes(), "part_links": link.astype("<i4").tobytes(), "pairs": pairs, "held": held,
+            "counts": counts.astype("<i8").tobytes(), "digests": digests, "places": _packed(place), "sizes": np.fromiter(map(len, of), dtype="<i8", count=len(of)).tobytes(),
+            "part_sizes": _packed(sizes), "part_links": _packed(link), "pairs": pairs, "held": held,
         }
 
 
+def _packed(values: np.ndarray) -> bytes:
+    return zlib.compress(values.astype("<i4").tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), "<i4")
+
+
 @lru_cache(maxsize=1)
 def aligner(path_a: str, path_b: str) -> Aligner:
     return Aligner(path_a, path_b)
 
 
 BLOCK_SCHEMA = "block long, ids array<long>, counts binary, digests array<string>, places binary, sizes binary, part_sizes binary, part_links binary, pairs array<long>, held array<long>"
+BLOCK_TYPES = pa.schema({"block": pa.int64(), "ids": pa.list_(pa.int64()), "counts": pa.binary(), "digests": pa.list_(pa.string()), "places": pa.binary(), "sizes": pa.binary(), "part_sizes": pa.binary(), "part_links": pa.binary(), "pairs": pa.list_(pa.int64()), "held": pa.list_(pa.int64())})
 
 
 def _blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: str) -> DataFrame:
@@ -218,16 +230,16 @@ def _blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: st
     def run(batches):
         codec, first, n = aligner(path_a, path_b), TaskContext.get().partitionId() << 32, 0
         with paused_gc():
-            for pdf in batches:
-                ids, texts = pdf["id"].astype("Int64").astype(object).where(pdf["id"].notna(), None).tolist(), pdf["text"].tolist()
-                for a, b in slices(texts, BLOCK):
-                    row = {"block": first + n, "ids": ids[a:b], **codec.block(texts[a:b])}
+            for batch in batches:  # a block's texts at a time become strings, never a batch's
+                for a, b in slices_of(pc.fill_null(pc.utf8_length(batch["text"]), 0).to_pylist(), BLOCK):
+                    some = batch.slice(a, b - a)
+                    row = {"block": first + n, "ids": some["id"].to_pylist(), **codec.block(some["text"].to_pylist())}
                     n += 1
-                    yield pd.DataFrame({k: [v] for k, v in row.items()})
-                    del row
+                    yield pa.RecordBatch.from_pydict({k: [v] for k, v in row.items()}, BLOCK_TYPES)
+                    del row, some
                     pa.default_memory_pool().release_unused()
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, BLOCK_SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, BLOCK_SCHEMA)
 
 
 def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -244,7 +256,7 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, id_col: str = "do
     spell, have no tokens: zeros and ''. Ids may be null or repeat; further columns are ignored; an empty table gives
     an empty result.
     """
-    blocks = materialise(_blocks(docs, path_a, path_b, id_col, text_col), "aligned-blocks")
+    blocks = materialise(_blocks(docs, path_a, path_b, id_col, text_col), "aligned-blocks", STORED_BYTES)
     counted = blocks.select(F.explode(F.arrays_zip("pairs", "held")).alias("x")).groupBy(F.col("x.pairs").alias("pair")).agg(F.sum("x.held").alias("n"))
     counted = materialise(counted, "link-counts")
     # one row for each id of B
@@ -257,7 +269,7 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, id_col: str = "do
         for r in held.itertuples():  # one row
             n, best = np.zeros(len(links), dtype=np.int64), np.zeros(len(links), dtype=np.int64)
             n[links["at"]], best[links["at"]] = links["n"], links["best"]
-            link, sizes, places = np.frombuffer(r.part_links, "<i4"), np.frombuffer(r.part_sizes, "<i4").astype(np.int64), np.frombuffer(zlib.decompress(r.places), "<i4")
+            link, sizes, places = _unpacked(r.part_links), _unpacked(r.part_sizes).astype(np.int64), _unpacked(r.places)
             docs_sizes, counts = np.frombuffer(r.sizes, "<i8"), np.frombuffer(r.counts, "<i8").reshape(-1, 4)
             of = lambda values: _sums(_sums(values[link], sizes)[places], docs_sizes)
             out.append(pd.DataFrame({

@@ -21,10 +21,15 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back; cuts lineage and survives lost executors."""
+def materialise(df: DataFrame, name: str, group_bytes: int | None = None) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it back; cuts lineage and survives lost executors.
+
+    group_bytes: for rows of megabytes. A row group closes at so many bytes and a page when it is full; otherwise either
+    is looked at after a hundred rows only, and a reader holds all of them at once.
+    """
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    options = {"parquet.block.size": group_bytes, "parquet.page.size.row.check.min": 1} if group_bytes else {}
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

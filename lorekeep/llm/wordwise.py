@@ -29,15 +29,19 @@ def paused_gc() -> Iterator[None]:
 
 def slices(texts: list, limit: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of texts of at most limit characters, or one text."""
+    return slices_of([len(t or "") for t in texts], limit)
+
+
+def slices_of(lengths: list[int], limit: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
+    """As slices, of texts of these lengths."""
     start = held = 0
-    for i, t in enumerate(texts):
-        n = len(t or "") + 1
-        if held and held + n > limit:
+    for i, n in enumerate(lengths):
+        if held and held + n + 1 > limit:
             yield start, i
             start, held = i, 0
-        held += n
-    if start < len(texts):
-        yield start, len(texts)
+        held += n + 1
+    if start < len(lengths):
+        yield start, len(lengths)
 
 
 def words_of(texts: list[str], separator: str | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:

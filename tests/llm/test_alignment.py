@@ -5,6 +5,7 @@ import hashlib
 import random
 from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -111,3 +112,20 @@ def test_groups(spark, both):
         x, y = both(texts[key])
         assert [i for r in mine for i in r["a"]] == [i for *_, i in x] and [i for r in mine for i in r["b"]] == [i for *_, i in y]
         assert mine[0]["start"] == 0 and mine[-1]["end"] == len((" " + texts[key]).encode()) and all(p["end"] == q["start"] for p, q in zip(mine, mine[1:]))
+
+
+def test_blocks_are_stored_and_read_few_at_a_time(spark, both, monkeypatch):
+    """Row groups, and pages in them, don't grow with the blocks of a task."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words, k=20_000)) for _ in range(60)]
+    monkeypatch.setattr(alignment, "BLOCK", 100_000)
+    monkeypatch.setattr(alignment, "STORED_BYTES", 1 << 20, raising=False)
+    found = alignment.align_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), *PATHS)
+    stored = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in found.inputFiles() if "aligned-blocks" in f]
+    groups = [m.row_group(i) for m in stored for i in range(m.num_row_groups)]
+    rows, total = sum(g.num_rows for g in groups), sum(g.total_byte_size for g in groups)
+    assert rows == len(texts) and total > 3 << 20
+    assert max(g.total_byte_size for g in groups) < (1 << 20) + 4 * total / rows
+    short = {r["doc_id"]: (r["n_a"], r["n_b"]) for r in found.collect()}
+    assert all(short[i] == tuple(map(len, both(t))) for i, t in enumerate(texts[:2]))

@@ -149,6 +149,8 @@ def vetoed_pairs(left: DataFrame, right: DataFrame, full: list[str], partial: li
 TILE_ROWS = 4096
 #: Tasks that tiles are dealt to at most.
 MOST_TASKS = 4000
+#: Right ids that are listed in a row, a multiple of eight.
+LISTED = 256
 
 
 def either_key_pairs(left: DataFrame, right: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
@@ -156,7 +158,9 @@ def either_key_pairs(left: DataFrame, right: DataFrame, tile_rows: int = TILE_RO
 
     Pairs are distinct as they are made: a pair by id is left out where the ids share a key, one by key is made at the
     least key that both have. So only the inputs are shuffled, never the pairs, which are as many as the keys make them.
-    A key with many rows is dealt to tiles, block against block; a task holds a block, never a key.
+    A key with many rows is dealt to tiles, block against block; a task holds a block, never a key. Right ids are
+    listed, and a list meets all left ids of its tile in turn: an id stands in a run, matches repeat from run to run at
+    whole bytes, so that a file of pairs takes a fraction of a byte for each.
     """
     keyed = lambda df, name: df.groupBy(F.col("id").alias(name)).agg(F.collect_set("key").alias("keys"))
     a, b = keyed(left, "id"), keyed(right, "match")
@@ -164,17 +168,28 @@ def either_key_pairs(left: DataFrame, right: DataFrame, tile_rows: int = TILE_RO
     several = F.when(F.size("keys") > 1, F.col("keys"))
     one, two = a.select("id", several.alias("_l"), F.explode("keys").alias("key")), b.select("match", several.alias("_r"), F.explode("keys").alias("key"))
     counts = lambda df, name: df.groupBy("key").agg(F.count("*").alias(name))
-    both = counts(one, "_a").join(counts(two, "_b"), "key")
+    both = counts(one, "_a").join(counts(two, "_b"), "key", "full")
     pairs = both.agg(F.sum(F.col("_a") * F.col("_b"))).first()[0] or 0
-    blocks = lambda c: F.ceil(F.col(c) / tile_rows).cast("int")
+    blocks = lambda c: F.coalesce(F.ceil(F.col(c) / tile_rows), F.lit(1)).cast("int")
     hot = both.where((F.col("_a") > tile_rows) | (F.col("_b") > tile_rows)).select("key", blocks("_a").alias("_x"), blocks("_b").alias("_y"))  # a row for each tile_rows rows at most
     place = lambda own, c, n: F.pmod(F.xxhash64(c), F.coalesce(n, F.lit(1))).cast("int").alias(own)
     every = lambda other, n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1)).alias(other)
     tile = (F.col("_i") * F.coalesce("_y", F.lit(1)) + F.col("_j")).alias("_tile")
     one = one.join(F.broadcast(hot), "key", "left").select("id", "_l", "key", "_y", place("_i", "id", F.col("_x")), every("_j", F.col("_y"))).select("id", "_l", "key", tile)
-    two = two.join(F.broadcast(hot), "key", "left").select("match", "_r", "key", "_y", place("_j", "match", F.col("_y")), every("_i", F.col("_x"))).select("match", "_r", "key", tile)
+    two = two.join(F.broadcast(hot), "key", "left").select("match", "_r", "key", "_x", "_y", place("_j", "match", F.col("_y")))
+    block = two.groupBy("key", "_j").agg(F.first("_x").alias("_x"), F.first("_y").alias("_y"), F.collect_list(F.struct("match", "_r")).alias("_all"))
+    lists = block.select("key", "_j", "_x", "_y", "_all", F.explode(F.sequence(F.lit(1), F.size("_all"), F.lit(LISTED))).alias("_from"))
+    lists = lists.select("key", "_j", "_x", "_y", F.slice("_all", F.col("_from"), F.lit(LISTED)).alias("_some"))
+    keys = F.when(F.exists("_some", lambda p: p["_r"].isNotNull()), F.col("_some._r"))
+    two = lists.select(F.col("_some.match").alias("_matches"), keys.alias("_keys"), "key", "_j", "_y", every("_i", F.col("_x"))).select("_matches", "_keys", "key", tile)
     n = min(-(-pairs // tile_rows**2), MOST_TASKS)
     if n > 1:  # few rows can make many pairs; their size says nothing of the work
         one, two = one.repartition(n, "key", "_tile"), two.repartition(n, "key", "_tile")
-    least = F.col("_l").isNull() | F.col("_r").isNull() | (F.col("key") == F.array_min(F.array_intersect("_l", "_r")))
-    return same.unionByName(one.join(two.hint("shuffle_hash"), ["key", "_tile"]).where(least).select("id", "match"))
+    meet = lambda lists, ids: lists.join(ids.hint("shuffle_hash"), ["key", "_tile"])
+    # Spark doesn't compile what holds a lambda function: the join hands on one list at a time, compiled it would hold all pairs of a list; explode is compiled
+    none = F.forall("_keys", lambda k: k.isNull())
+    plain = meet(two, one).where(F.col("_l").isNull() | F.col("_keys").isNull() | none).select("id", F.explode("_matches").alias("match"))
+    least = lambda p: p["_keys"].isNull() | (F.col("key") == F.array_min(F.array_intersect("_l", p["_keys"])))
+    kept = F.transform(F.filter(F.arrays_zip("_matches", "_keys"), least), lambda p: p["_matches"])
+    rest = meet(two.where("_keys is not null"), one.where("_l is not null")).select("id", F.explode(kept).alias("match"))
+    return same.unionByName(plain).unionByName(rest)

@@ -210,3 +210,12 @@ def test_either_key_pairs_are_distinct_without_shuffling_them(spark):
         got = [tuple(r) for r in found.collect()]
         assert len(got) == len(want) and set(got) == want
         assert found._jdf.queryExecution().optimizedPlan().toString().lstrip().startswith("Union")
+
+
+def test_either_key_pairs_take_little_room(spark, tmp_path):
+    """A file of many pairs takes far less than a byte for each."""
+    a, b = spark.range(3001).select("id", F.lit(1).alias("key")), spark.range(10_000, 13_003).select("id", F.lit(1).alias("key"))
+    align.either_key_pairs(a, b).write.parquet(str(tmp_path / "pairs"))
+    found = spark.read.parquet(str(tmp_path / "pairs"))
+    assert found.agg(F.count("*"), F.countDistinct("id"), F.countDistinct("match"), F.sum(F.col("match") - F.col("id"))).first() == (3001 * 3003, 3001, 3003, 3001 * sum(range(10_000, 13_003)) - 3003 * sum(range(3001)))
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.25 * 3001 * 3003

@@ -33,6 +33,8 @@ from .fulltext import BROADCAST_TERMS, K1, LEAST_IDF, TESTED, WEIGHTS, B
 SLAB, SLAB_WORDS, PREFIX, FIRST = 512, 4_000_000, 6, 4
 #: Entries that many queries meet in one task, about; fewer, while there are less than SPREAD tiles. Parts of a tile's entries that hold a word from which on it is kept for each entry.
 TILE, SPREAD, SMALL_TILE, DENSE = 16_384, 32, 1_024, 8
+#: Sets of words that are asked at once in a tile; entries of remembered words, about.
+ASKED, REMEMBERED = 4_096, 16_000_000
 POSTINGS = "term string, slab long, n int, top double, least int, ids array<long>, weights array<double>, sizes array<int>, part string, version string, initial string"
 PREFIXES = "prefix string, df long, part string, version string, initial string"
 MANIFEST = "source_key string, part string, version string, entries long, words long, number long"
@@ -257,58 +259,96 @@ def _filed(rows: pa.Table) -> pa.Table:
 
 def _best_of_tile(blocks: pa.Table, sets: pa.Table, k: int, mean: float) -> pa.Table:
     """``number, id, score``: a tile's k best entries of each set of words, ties in order of ids."""
-    numbers, hits, scores = [], [], []
+    found = []
     if blocks.num_rows and sets.num_rows:
-        blocks = blocks.select(["term", "ids", "weights", "sizes"]).sort_by("term").combine_chunks()
-        terms, lists = blocks["term"].to_numpy(), [blocks[c].combine_chunks() for c in ("ids", "weights", "sizes")]
-        ends = np.r_[0, np.cumsum(pc.list_value_length(lists[0]).to_numpy(zero_copy_only=False))]
-        every, weight, size_at = (pc.list_flatten(x).to_numpy(zero_copy_only=False) for x in lists)
-        ids, first, owner = np.unique(every, return_index=True, return_inverse=True)
-        norm = K1 * (1 - B + B * size_at[first] / mean)
-        n, known = len(ids), {}
+        order = pc.sort_indices(blocks["term"]).to_numpy()
+        terms = blocks["term"].to_numpy()[order]
+        ids, owner, sizes = _owners(blocks["ids"], blocks["sizes"])
+        norm = K1 * (1 - B + B * sizes / mean)
+        long = pc.list_value_length(blocks["ids"]).to_numpy().astype(np.int64)
+        ends, long = np.cumsum(long), long[order]
+        # one column at a time, in order of terms; those that came are held by the caller
+        place = np.repeat((ends[order] - np.cumsum(long)).astype(np.int32), long)
+        place += np.arange(len(place), dtype=np.int32)
+        ends = np.r_[0, np.cumsum(long)]
+        owner, weight = owner[place], _flat(blocks["weights"], np.float64)[place]
+        del place
+        n, known, held_rows = len(ids), {}, 0
 
         def gains(prefix: str, idf: float):
             """Entries that hold a word that begins so, what it adds to each, and that of all entries where it is in many."""
             low, high = np.searchsorted(terms, prefix), np.searchsorted(terms, prefix + chr(0x10FFFF))
             at = slice(ends[low], ends[high])
             f = np.bincount(owner[at], weight[at], n)
-            rows = np.flatnonzero(f)
+            rows = np.flatnonzero(f).astype(np.int32)
             gain = idf * f[rows] * (K1 + 1) / (f[rows] + norm[rows])
             if len(rows) * DENSE < n:
                 return rows, gain, None
             f[rows] = gain
             return rows, gain, f
 
-        for number, words, idfs in zip(*(sets[c].to_pylist() for c in ("number", "words", "idfs"))):
-            held = []
-            for w, idf in zip(words.split(" "), idfs):
-                if w not in known:
-                    known[w] = gains(w, idf)
-                held.append(known[w])
-            held.sort(key=lambda x: len(x[0]))
-            rows, score = held[0][0], held[0][1]
-            for others, gain, of_all in held[1:]:
-                if not len(rows):
-                    break
-                if of_all is None:
-                    place = np.searchsorted(others, rows)
-                    place[place == len(others)] = 0
-                    both = others[place] == rows
-                    rows, score = rows[both], score[both] + gain[place[both]]
-                else:
-                    more = of_all[rows]
-                    both = more > 0
-                    rows, score = rows[both], score[both] + more[both]
-            if len(rows) > k:
-                near = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k] - 1e-8)
-                if len(near) > 4 * k:  # many are equal to nine places
-                    near = near[np.lexsort((rows[near], -np.round(score[near], 9)))[: 2 * k]]
-                rows, score = rows[near], score[near]
-            numbers.append(np.full(len(rows), number, np.int64))
-            hits.append(ids[rows])
-            scores.append(-score)
-    join = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
-    return pa.table({"number": join(numbers, np.int64), "id": join(hits, np.int64), "score": join(scores, np.float64)})
+        for at in range(0, sets.num_rows, ASKED):
+            numbers, hits, scores = [], [], []
+            for number, words, idfs in zip(*(sets[c].slice(at, ASKED).to_pylist() for c in ("number", "words", "idfs"))):
+                held = []
+                for w, idf in zip(words.split(" "), idfs):
+                    if w not in known:
+                        if held_rows > REMEMBERED:
+                            known, held_rows = {}, 0
+                        known[w] = gains(w, idf)
+                        held_rows += len(known[w][0]) + (0 if known[w][2] is None else n)
+                    held.append(known[w])
+                held.sort(key=lambda x: len(x[0]))
+                rows, score = held[0][0], held[0][1]
+                for others, gain, of_all in held[1:]:
+                    if not len(rows):
+                        break
+                    if of_all is None:
+                        place = np.searchsorted(others, rows)
+                        place[place == len(others)] = 0
+                        both = others[place] == rows
+                        rows, score = rows[both], score[both] + gain[place[both]]
+                    else:
+                        more = of_all[rows]
+                        both = more > 0
+                        rows, score = rows[both], score[both] + more[both]
+                if len(rows) > k:
+                    near = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k] - 1e-8)
+                    if len(near) > 4 * k:  # many are equal to nine places
+                        near = near[np.lexsort((rows[near], -np.round(score[near], 9)))[: 2 * k]]
+                    rows, score = rows[near], score[near]
+                if len(rows):
+                    numbers.append(np.full(len(rows), number, np.int64))
+                    hits.append(ids[rows])
+                    scores.append(-score)
+            if numbers:
+                found.append(pa.table({"number": np.concatenate(numbers), "id": np.concatenate(hits), "score": np.concatenate(scores)}))
+    none = pa.table({"number": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+    return pa.concat_tables([none, *found])
+
+
+def _flat(lists: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """What lists hold, joined."""
+    out, at = np.empty(sum(len(x.flatten()) for x in lists.chunks), kind), 0
+    for x in lists.chunks:
+        flat = x.flatten().to_numpy(zero_copy_only=False)
+        out[at : at + len(flat)] = flat
+        at += len(flat)
+    return out
+
+
+def _owners(ids: pa.ChunkedArray, sizes: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ids, for each held one its place there, and each distinct one's size; a chunk at a time."""
+    distinct = np.zeros(0, np.int64)
+    for x in ids.chunks:
+        distinct = np.union1d(distinct, x.flatten().to_numpy(zero_copy_only=False))
+    owners, size, at = np.empty(sum(len(x.flatten()) for x in ids.chunks), np.int32), np.zeros(len(distinct), np.int64), 0
+    for x, y in zip(ids.chunks, sizes.chunks):
+        of = np.searchsorted(distinct, x.flatten().to_numpy(zero_copy_only=False))
+        owners[at : at + len(of)] = of
+        size[of] = y.flatten().to_numpy(zero_copy_only=False)
+        at += len(of)
+    return distinct, owners, size
 
 
 def _write(spark: SparkSession, entries: DataFrame, root: str) -> list[dict]:

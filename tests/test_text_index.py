@@ -1,7 +1,10 @@
 """The stored index against the search over texts."""
 
+import tracemalloc
 import uuid
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,3 +110,33 @@ def test_equal_scores_of_a_tile_go_by_id():
     out = text_index._best_of_tile(blocks, sets, 1, 4.0).to_pylist()
     assert min(r["id"] for r in out if r["number"] == 5) == 1 and len([r for r in out if r["number"] == 5]) == 2
     assert [r["id"] for r in out if r["number"] == 6] == [9] and not [r for r in out if r["number"] == 7]
+
+
+def test_a_tile_holds_little_beside_its_postings():
+    """And its k best are those of a plain reading, however few words are remembered."""
+    rng = np.random.default_rng(2)
+    terms, entries, each = sorted(f"{a}{b}" for a in "abcdefgh" for b in "abcdefghijklmnopqrstuvwxyz"), 4_000, 2_000
+    size = rng.integers(100, 900, entries)
+    owners = [np.sort(rng.choice(entries, each, replace=False)) for _ in terms]
+    weights = [rng.integers(1, 9, each).astype(np.float64) for _ in terms]
+    ends = np.arange(0, each * len(terms) + 1, each, dtype=np.int32)
+    lists = lambda x: pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x)))
+    blocks = pa.table({"tile": np.zeros(len(terms), np.int64), "term": terms, "ids": lists([3 * o + 5 for o in owners]), "weights": lists(weights), "sizes": lists([size[o].astype(np.int32) for o in owners])}).take(rng.permutation(len(terms)))
+    idf = {w: 0.5 + i % 4 for i, w in enumerate(terms)}
+    asked = [sorted(rng.choice(terms, 3, replace=False)) for _ in range(40)]
+    sets = pa.table({"tile": np.zeros(len(asked), np.int64), "number": np.arange(len(asked)), "words": [" ".join(a) for a in asked], "idfs": [[idf[w] for w in a] for a in asked]})
+    tracemalloc.start()
+    got = text_index._best_of_tile(blocks, sets, 10, 400.0).to_pandas()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.6 * blocks.nbytes
+    norm, of = 1.2 * (0.25 + 0.75 * size / 400.0), dict(zip(terms, zip(owners, weights)))
+    for number, words in enumerate(asked):
+        score, met = np.zeros(entries), np.ones(entries, bool)
+        for w in words:
+            f = np.zeros(entries)
+            f[of[w][0]] = of[w][1]
+            score, met = score - idf[w] * f * 2.2 / (f + norm), met & (f > 0)
+        want = sorted((round(score[i], 9), 3 * i + 5) for i in np.flatnonzero(met))[:10]
+        mine = sorted((round(s, 9), i) for i, s in got[got.number == number][["id", "score"]].itertuples(index=False))[:10]
+        assert [i for _, i in mine] == [i for _, i in want]
